@@ -180,3 +180,75 @@ def with_views(sql: str) -> str:
     if re.match(r"(?is)^with\s", body):
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"
+
+
+# -- customers ----------------------------------------------------------------
+
+view("cust_rec", f"""
+SELECT customerId, fullName, email, custType, locName, plName, totalOrders,
+       coalesce(totalSales, 0.0) AS totalSales, firstOrder, lastOrder, dateEntered,
+       CAST(floor((epoch_us({AS_OF_SQL}) - epoch_us(lastOrder)) / 86400000000.0) AS BIGINT)
+           AS days_since_last_order,
+       CAST(floor((epoch_us({AS_OF_SQL}) - epoch_us(firstOrder)) / 86400000000.0) AS BIGINT)
+           AS customer_age_days
+FROM customers
+""")
+
+view("rfm_thr", """
+SELECT count(*) AS n_active,
+       quantile_cont(days_since_last_order, 0.33) AS r_p33,
+       quantile_cont(totalOrders, 0.66) AS f_p66,
+       quantile_cont(totalSales, 0.66) AS m_p66
+FROM cust_rec WHERE totalOrders > 0 AND days_since_last_order IS NOT NULL
+""")
+
+view("cust_seg", """
+SELECT c.*,
+  CASE WHEN t.n_active < 5 THEN 'Insufficient Data'
+       WHEN c.lastOrder IS NULL OR c.days_since_last_order IS NULL THEN 'Never Ordered'
+       WHEN c.customer_age_days IS NOT NULL AND c.customer_age_days <= 90 AND c.totalOrders <= 2
+            THEN 'New'
+       WHEN c.days_since_last_order > 270 THEN 'Lost'
+       WHEN c.days_since_last_order <= t.r_p33 AND c.totalOrders >= t.f_p66
+            AND c.totalSales >= t.m_p66 THEN 'Champions'
+       WHEN c.totalOrders >= t.f_p66 AND c.totalSales >= t.m_p66
+            AND c.days_since_last_order <= 180 THEN 'Loyal'
+       WHEN (c.totalSales >= t.m_p66 OR c.totalOrders >= t.f_p66)
+            AND c.days_since_last_order > 90 THEN 'At-Risk'
+       WHEN c.days_since_last_order <= 90 AND c.totalOrders >= 1 THEN 'Regular'
+       ELSE 'Occasional' END AS segment
+FROM cust_rec c CROSS JOIN rfm_thr t
+""")
+
+view("cust_clv0", """
+SELECT *, greatest(avg_order_value * orders_per_month * 12.0, 0.0) AS projected_clv
+FROM (SELECT *,
+        CASE WHEN totalOrders > 0 THEN historical_clv / totalOrders ELSE 0.0 END AS avg_order_value,
+        CASE WHEN coalesce(CAST(customer_age_days AS DOUBLE), 0.0) / 30.44 > 0.5
+             THEN totalOrders / (coalesce(CAST(customer_age_days AS DOUBLE), 0.0) / 30.44)
+             ELSE 0.0 END AS orders_per_month
+      FROM (SELECT *, greatest(totalSales, 0.0) AS historical_clv FROM cust_seg))
+""")
+
+view("clv_thr", """
+SELECT CASE WHEN count(*) >= 3 THEN quantile_cont(projected_clv, 0.33) ELSE 0.0 END AS p33,
+       CASE WHEN count(*) >= 3 THEN quantile_cont(projected_clv, 0.66) ELSE 0.0 END AS p66
+FROM cust_clv0 WHERE totalOrders > 0
+""")
+
+view("cust_clv", """
+SELECT c.*,
+  CASE WHEN NOT (c.totalOrders > 0) THEN 'No Orders'
+       WHEN c.projected_clv >= t.p66 THEN 'High'
+       WHEN c.projected_clv >= t.p33 THEN 'Medium'
+       ELSE 'Low' END AS clv_tier
+FROM cust_clv0 c CROSS JOIN clv_thr t
+""")
+
+# order item rows of the Champions segment (e-mail matched case-insensitively)
+view("seg_orders", r"""
+SELECT * FROM order_items
+WHERE lower(regexp_replace(regexp_replace(coalesce(email, ''), '^\s+', ''), '\s+$', '')) IN (
+  SELECT lower(regexp_replace(regexp_replace(email, '^\s+', ''), '\s+$', ''))
+  FROM cust_seg WHERE segment = 'Champions' AND email IS NOT NULL)
+""")
