@@ -1,0 +1,151 @@
+"""Registered source / sink queries (S1-S10).
+
+Each one lands data that Spark derives from the given tables in the shared
+checkpoint folder and reads it back through the operator under test.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from basketry.operators.orders import aov_by_type_period, orders_at_order_level
+from basketry.plans.registry import register
+from basketry.schemas import ORDER_ITEMS
+from basketry.session import scratch_path
+from basketry.sources import files as S
+from basketry.sources.adapters import availability, customers, order_items, price_levels
+
+_ITEM_COLS = ", ".join(f.name for f in ORDER_ITEMS.fields)
+
+
+@register("csv_scan", f"SELECT {_ITEM_COLS} FROM order_items")
+def q_csv_scan(spark, sf):
+    path = scratch_path(spark, "csv-orders")
+    S.csv_sink(order_items(spark, sf), path)
+    return S.csv_scan(spark, path, ORDER_ITEMS)
+
+
+@register("csv_sink", """
+SELECT periodStart, customerType,
+       CAST(count(DISTINCT orderId) AS BIGINT) AS orders,
+       CAST(sum(orderSubTotal) AS DOUBLE) / count(orderSubTotal) AS avg_order_subtotal,
+       CAST(sum(orderTotal) AS DOUBLE) / count(orderTotal) AS avg_order_total,
+       coalesce(CAST(sum(orderSubTotal) AS DOUBLE), 0.0) AS sum_order_subtotal,
+       coalesce(CAST(sum(orderTotal) AS DOUBLE), 0.0) AS sum_order_total
+FROM order_level GROUP BY periodStart, customerType
+""")
+def q_csv_sink(spark, sf):
+    """Write the AOV aggregation as CSV and read it back with its own schema."""
+    agg = aov_by_type_period(order_items(spark, sf))
+    path = scratch_path(spark, "csv-aov")
+    S.csv_sink(agg, path)
+    return S.csv_scan(spark, path, agg.schema)
+
+
+def _nested_orders(spark, sf):
+    """One nested JSON record per order item: id, customer{name,type}, items[...]."""
+    items = order_items(spark, sf)
+    doc = items.select(
+        F.col("orderId").alias("id"),
+        F.struct(F.col("customerName").alias("name"), F.col("customerType").alias("type"))
+        .alias("customer"),
+        F.array(F.struct(F.col("productName").alias("product"), F.col("qty"))).alias("items"))
+    path = scratch_path(spark, "json-orders")
+    doc.write.mode("overwrite").json(path)
+    return S.read_json(spark, path, doc.schema)
+
+
+@register("json_flatten", """
+SELECT productName AS product, qty, orderId AS id, customerName AS "customer.name",
+       customerType AS "customer.type"
+FROM order_items
+""")
+def q_json_flatten(spark, sf):
+    return S.json_flatten(_nested_orders(spark, sf), record_path="items",
+                          meta=["id", ["customer", "name"], "customer.type"])
+
+
+@register("json_flatten_events", """
+SELECT event_id, ts, user_id, event_type, value,
+       CAST(json_extract(props, '$.k') AS INTEGER) AS "props.k"
+FROM events
+""")
+def q_json_flatten_events(spark, sf):
+    from basketry.sources.tables import read_table
+    ev = read_table(spark, sf, "events")
+    parsed = ev.withColumn("props", F.from_json("props", "k int"))
+    return S.json_flatten(parsed)
+
+
+@register("orders_source", f"""
+SELECT {_ITEM_COLS} FROM order_items
+WHERE periodStart >= DATE '1996-01-01' AND periodStart <= DATE '1997-12-31'
+""")
+def q_orders_source(spark, sf):
+    path = S.land(spark, order_items(spark, sf), "order_items", (sf,))
+    return S.orders_source(spark, path, "1996-01-01", "1997-12-31").select(*ORDER_ITEMS.names)
+
+
+@register("customers_source", """
+SELECT * FROM customers WHERE lastOrder > TIMESTAMP '1996-01-01 00:00:00'
+""")
+def q_customers_source(spark, sf):
+    path = S.land(spark, customers(spark, sf), "customers", (sf,))
+    return S.customers_source(spark, path, "1996-01-01")
+
+
+@register("price_levels_source", "SELECT * FROM price_levels")
+def q_price_levels_source(spark, sf):
+    path = S.land(spark, price_levels(spark, sf), "price_levels", (sf,))
+    return S.price_levels_source(spark, path)
+
+
+@register("availability_source", """
+SELECT priceLevel, periodStart, producer, productName, quantityListed, quantitySold,
+       quantityAvailable
+FROM availability WHERE priceLevel IN (SELECT id FROM price_levels WHERE "default")
+""")
+def q_availability_source(spark, sf):
+    path = S.land(spark, availability(spark, sf), "availability", (sf,), ["priceLevel"])
+    df = S.availability_source(spark, path, price_levels(spark, sf), 0)
+    return df.select("priceLevel", "periodStart", "producer", "productName", "quantityListed",
+                     "quantitySold", "quantityAvailable")
+
+
+@register("preview", "SELECT * FROM order_level ORDER BY orderId LIMIT 20")
+def q_preview(spark, sf):
+    return S.preview(orders_at_order_level(order_items(spark, sf)), 20, ["orderId"])
+
+
+def _describe_sql() -> str:
+    parts = []
+    for f in ORDER_ITEMS.fields:
+        c = f'"{f.name}"'
+        if f.dataType.typeName() in ("long", "double", "decimal", "integer"):
+            x = f"CAST({c} AS DOUBLE)"
+            parts.append(
+                f"SELECT '{f.name}' AS \"column\", CAST(count({c}) AS BIGINT) AS count, "
+                f"CAST(NULL AS BIGINT) AS \"unique\", CAST(NULL AS VARCHAR) AS top, "
+                f"CAST(NULL AS BIGINT) AS freq, avg({x}) AS mean, stddev_samp({x}) AS std, "
+                f"min({x}) AS min, quantile_cont({x}, 0.25) AS p25, quantile_cont({x}, 0.5) AS p50, "
+                f"quantile_cont({x}, 0.75) AS p75, max({x}) AS max FROM order_items")
+        else:
+            v = f"strftime({c}, '%Y-%m-%d')" if f.dataType.typeName() == "date" else c
+            parts.append(
+                f"SELECT '{f.name}' AS \"column\", CAST(coalesce(sum(n), 0) AS BIGINT) AS count, "
+                f"CAST(count(*) AS BIGINT) AS \"unique\", arg_min(v, (-n, v)) AS top, "
+                f"CAST(max(n) AS BIGINT) AS freq, CAST(NULL AS DOUBLE) AS mean, "
+                f"CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS p25, "
+                f"CAST(NULL AS DOUBLE) AS p50, CAST(NULL AS DOUBLE) AS p75, CAST(NULL AS DOUBLE) AS max "
+                f"FROM (SELECT {v} AS v, count(*) AS n FROM order_items WHERE {c} IS NOT NULL GROUP BY 1)")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("describe_all", _describe_sql())
+def q_describe_all(spark, sf):
+    return S.describe_all(order_items(spark, sf))
+
+
+@register("describe_types")
+def q_describe_types(spark, sf):
+    return S.describe_types(spark, order_items(spark, sf))
