@@ -102,3 +102,52 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], *,
         lo, hi = vals[f], vals[c]
         out.append(float(lo) if f == c else float(lo + (hi - lo) * (rn - f)))
     return out
+
+
+def _value(column: str):
+    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+
+
+def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]], *,
+                          small: int = SMALL, accuracy: int = ACCURACY
+                          ) -> tuple[dict[str, list[float | None]], dict[str, int]]:
+    """Quantiles of several columns with one counting pass and, for columns of
+    at most ``small`` values, one selection pass for all of them.
+
+    Returns ``({column: [quantile per probability]}, {column: non-null count})``.
+    Larger columns go through the narrowing search of ``exact_quantiles``.
+    """
+    cols = list(spec)
+    row = df.agg(*[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    counts = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
+    plan: dict[str, list[tuple[float, int, int]]] = {}
+    for c in cols:
+        n = counts[c]
+        plan[c] = [((n - 1) * float(q), math.floor((n - 1) * float(q)),
+                    math.ceil((n - 1) * float(q))) for q in spec[c]] if n else []
+    values: dict[str, dict[int, float]] = {}
+    small_cols = [c for c in cols if 0 < counts[c] <= small]
+    if small_cols:
+        aggs, names = [], []
+        for i, c in enumerate(small_cols):
+            srt = F.array_sort(F.collect_list(_value(c)))
+            for r in sorted({f for _, f, _ in plan[c]} | {k for _, _, k in plan[c]}):
+                names.append((c, r))
+                aggs.append(F.element_at(srt, r + 1).alias(f"v{len(names) - 1}"))
+        got = df.agg(*aggs).first()
+        for j, (c, r) in enumerate(names):
+            values.setdefault(c, {})[r] = got[f"v{j}"]
+    for c in cols:
+        if counts[c] > small:
+            x = _clean(df, c)
+            ranks = sorted({f for _, f, _ in plan[c]} | {k for _, _, k in plan[c]})
+            values[c] = _select(x, counts[c], ranks, small, accuracy)
+    out = {}
+    for c in cols:
+        if not counts[c]:
+            out[c] = [None] * len(spec[c])
+            continue
+        v = values[c]
+        out[c] = [float(v[f]) if f == k else float(v[f] + (v[k] - v[f]) * (rn - f))
+                  for rn, f, k in plan[c]]
+    return out, counts

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.cleaning import (as_of_literal, floor_days_between, strip_ws,
                                          to_number, to_timestamp_lenient)
-from basketry.functions.quantiles import exact_quantiles
+from basketry.functions.quantiles import exact_quantiles, exact_quantiles_multi
 
 AS_OF = "1996-06-30 00:00:00"
 
@@ -86,14 +86,13 @@ def _active(rec: DataFrame) -> DataFrame:
 
 def rfm_thresholds(rec: DataFrame) -> RfmThresholds:
     """33rd percentile of recency, 66th of orders and of sales over active customers."""
-    active = _active(rec)
-    n = active.count()
+    q, counts = exact_quantiles_multi(_active(rec), {"days_since_last_order": [0.33],
+                                                     "totalOrders": [0.66],
+                                                     "totalSales": [0.66]})
+    n = counts["days_since_last_order"]   # every active row has a recency
     if n < MIN_ACTIVE_FOR_SEGMENTS:
         return RfmThresholds(n, None, None, None)
-    (r,) = exact_quantiles(active, "days_since_last_order", [0.33])
-    (f,) = exact_quantiles(active, "totalOrders", [0.66])
-    (m,) = exact_quantiles(active, "totalSales", [0.66])
-    return RfmThresholds(n, r, f, m)
+    return RfmThresholds(n, q["days_since_last_order"][0], q["totalOrders"][0], q["totalSales"][0])
 
 
 def segment_expr(t: RfmThresholds) -> Column:
@@ -264,10 +263,10 @@ def calculate_clv(seg: DataFrame, projection_months: int = 12) -> DataFrame:
 
 def clv_tiers(clv: DataFrame) -> DataFrame:
     """High / Medium / Low by the 66th / 33rd percentile of active customers."""
-    active = clv.where(F.col("_orders") > 0)
-    n = active.count()
-    if n >= MIN_ACTIVE_FOR_TIERS:
-        p33, p66 = exact_quantiles(active, "projected_clv", [0.33, 0.66])
+    q, counts = exact_quantiles_multi(clv.where(F.col("_orders") > 0),
+                                      {"projected_clv": [0.33, 0.66]})
+    if counts["projected_clv"] >= MIN_ACTIVE_FOR_TIERS:
+        p33, p66 = q["projected_clv"]
     else:
         p33, p66 = 0.0, 0.0
     tier = (F.when(~(F.col("_orders") > 0), "No Orders")

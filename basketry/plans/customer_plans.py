@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators import customers as C
 from basketry.plans.registry import register
-from basketry.sources.adapters import customers, order_items
+from basketry.sources.adapters import landed_customers, landed_order_items
 
 SEGMENT = "Champions"       # segment inspected by the drill-down and order queries
 CLV_MONTHS = 12
@@ -16,7 +16,7 @@ _REC_COLS = ("customerId, fullName, email, custType, locName, plName, totalOrder
 
 
 def _seg(spark, sf):
-    return C.segment_customers(customers(spark, sf))
+    return C.segment_customers(landed_customers(spark, sf))
 
 
 def _clv(spark, sf):
@@ -24,17 +24,17 @@ def _clv(spark, sf):
 
 
 def _seg_orders(spark, sf):
-    return C.segment_orders_semi_join(order_items(spark, sf), _seg(spark, sf), SEGMENT)
+    return C.segment_orders_semi_join(landed_order_items(spark, sf), _seg(spark, sf), SEGMENT)
 
 
 @register("customer_recency", f"SELECT {_REC_COLS} FROM cust_rec")
 def q_customer_recency(spark, sf):
-    return C.customer_recency(customers(spark, sf))
+    return C.customer_recency(landed_customers(spark, sf))
 
 
 @register("rfm_thresholds", "SELECT CAST(n_active AS BIGINT) AS n_active, r_p33, f_p66, m_p66 FROM rfm_thr")
 def q_rfm_thresholds(spark, sf):
-    rec = C.customer_recency(customers(spark, sf))
+    rec = C.customer_recency(landed_customers(spark, sf))
     t = C.rfm_thresholds(rec)
     # one row derived from the data: the active count, plus the thresholds
     return C._active(rec).agg(F.count(F.lit(1)).cast("long").alias("n_active")).select(

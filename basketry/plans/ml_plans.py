@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from basketry.operators import ml as M
 from basketry.operators.customers import segment_customers
 from basketry.plans.registry import register
-from basketry.sources.adapters import customers
+from basketry.sources.adapters import landed_customers
 
 # Forest size for the registered queries (the library default is 300 trees).
 QUERY_TREES = 50
@@ -39,14 +39,14 @@ _FEATS = "customerId, segment, " + ", ".join(M.ML_FEATURES)
 
 
 def _feat(spark, sf):
-    return M.customer_features(segment_customers(customers(spark, sf))).select(
+    return M.customer_features(segment_customers(landed_customers(spark, sf))).select(
         "customerId", "segment", *M.ML_FEATURES)
 
 
 @lru_cache(maxsize=4)
 def _ml(spark, sf):
     """One training run per session and data folder, shared by the ML keys."""
-    seg = segment_customers(customers(spark, sf))
+    seg = segment_customers(landed_customers(spark, sf))
     return M.run_customer_ml(seg, num_trees=QUERY_TREES, max_depth=QUERY_DEPTH)
 
 

@@ -8,14 +8,14 @@ from basketry.operators import orders as O
 from basketry.operators import periods as P
 from basketry.plans.registry import register
 from basketry.schemas import require_columns
-from basketry.sources.adapters import order_items
+from basketry.sources.adapters import landed_order_items
 
 STATUS = "F"              # the preferred ("complete") status in this data
 THRESHOLD = 250_000.0     # order total threshold; every total exceeds 100 here
 
 
 def _items(spark, sf):
-    return order_items(spark, sf)
+    return landed_order_items(spark, sf)
 
 
 def _metrics(spark, sf):

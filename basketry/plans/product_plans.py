@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from basketry.operators import products as P
 from basketry.plans.registry import register
-from basketry.sources.adapters import availability, order_items, price_levels
-from basketry.sources.files import availability_source, land
+from basketry.sources.adapters import (landed_availability, landed_order_items, landed_path,
+                                       price_levels)
+from basketry.sources.files import availability_source
 
 TOP_K = 5
 
 
 def _base(spark, sf):
-    return P.product_base(order_items(spark, sf))
+    return P.product_base(landed_order_items(spark, sf))
 
 
 def _filtered(spark, sf):
@@ -22,7 +23,8 @@ def _filtered(spark, sf):
 
 def _avail_default(spark, sf):
     """Availability of the default price level, producer cleaned, default selection."""
-    path = land(spark, availability(spark, sf), "availability", (sf,), ["priceLevel"])
+    landed_availability(spark, sf)
+    path = landed_path(spark, "availability", sf)
     levels = price_levels(spark, sf)
     avail = P.product_base(availability_source(spark, path, levels, 0), "producer")
     return P.default_product_filter(avail, "producer")
@@ -108,7 +110,7 @@ SELECT DISTINCT periodStart FROM order_items WHERE periodStart IS NOT NULL
 ORDER BY periodStart DESC LIMIT 12
 """)
 def q_last_n_periods(spark, sf):
-    return P.last_n_periods(order_items(spark, sf), 12)
+    return P.last_n_periods(landed_order_items(spark, sf), 12)
 
 
 # -- availability -------------------------------------------------------------
@@ -165,7 +167,7 @@ LEFT JOIN availability a ON a.priceLevel = p.id
 GROUP BY 1, 2, 3
 """)
 def q_availability_count_by_level(spark, sf):
-    return P.availability_count_by_level(price_levels(spark, sf), availability(spark, sf))
+    return P.availability_count_by_level(price_levels(spark, sf), landed_availability(spark, sf))
 
 
 @register("price_level_labels", """

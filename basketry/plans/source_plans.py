@@ -13,7 +13,8 @@ from basketry.plans.registry import register
 from basketry.schemas import ORDER_ITEMS
 from basketry.session import scratch_path
 from basketry.sources import files as S
-from basketry.sources.adapters import availability, customers, order_items, price_levels
+from basketry.sources.adapters import (landed_availability, landed_customers, landed_order_items,
+                                       landed_path, price_levels)
 
 _ITEM_COLS = ", ".join(f.name for f in ORDER_ITEMS.fields)
 
@@ -21,7 +22,7 @@ _ITEM_COLS = ", ".join(f.name for f in ORDER_ITEMS.fields)
 @register("csv_scan", f"SELECT {_ITEM_COLS} FROM order_items")
 def q_csv_scan(spark, sf):
     path = scratch_path(spark, "csv-orders")
-    S.csv_sink(order_items(spark, sf), path)
+    S.csv_sink(landed_order_items(spark, sf), path)
     return S.csv_scan(spark, path, ORDER_ITEMS)
 
 
@@ -36,7 +37,7 @@ FROM order_level GROUP BY periodStart, customerType
 """)
 def q_csv_sink(spark, sf):
     """Write the AOV aggregation as CSV and read it back with its own schema."""
-    agg = aov_by_type_period(order_items(spark, sf))
+    agg = aov_by_type_period(landed_order_items(spark, sf))
     path = scratch_path(spark, "csv-aov")
     S.csv_sink(agg, path)
     return S.csv_scan(spark, path, agg.schema)
@@ -44,7 +45,7 @@ def q_csv_sink(spark, sf):
 
 def _nested_orders(spark, sf):
     """One nested JSON record per order item: id, customer{name,type}, items[...]."""
-    items = order_items(spark, sf)
+    items = landed_order_items(spark, sf)
     doc = items.select(
         F.col("orderId").alias("id"),
         F.struct(F.col("customerName").alias("name"), F.col("customerType").alias("type"))
@@ -82,7 +83,8 @@ SELECT {_ITEM_COLS} FROM order_items
 WHERE periodStart >= DATE '1996-01-01' AND periodStart <= DATE '1997-12-31'
 """)
 def q_orders_source(spark, sf):
-    path = S.land(spark, order_items(spark, sf), "order_items", (sf,))
+    landed_order_items(spark, sf)
+    path = landed_path(spark, "order_items", sf)
     return S.orders_source(spark, path, "1996-01-01", "1997-12-31").select(*ORDER_ITEMS.names)
 
 
@@ -90,7 +92,8 @@ def q_orders_source(spark, sf):
 SELECT * FROM customers WHERE lastOrder > TIMESTAMP '1996-01-01 00:00:00'
 """)
 def q_customers_source(spark, sf):
-    path = S.land(spark, customers(spark, sf), "customers", (sf,))
+    landed_customers(spark, sf)
+    path = landed_path(spark, "customers", sf)
     return S.customers_source(spark, path, "1996-01-01")
 
 
@@ -106,7 +109,8 @@ SELECT priceLevel, periodStart, producer, productName, quantityListed, quantityS
 FROM availability WHERE priceLevel IN (SELECT id FROM price_levels WHERE "default")
 """)
 def q_availability_source(spark, sf):
-    path = S.land(spark, availability(spark, sf), "availability", (sf,), ["priceLevel"])
+    landed_availability(spark, sf)
+    path = landed_path(spark, "availability", sf)
     df = S.availability_source(spark, path, price_levels(spark, sf), 0)
     return df.select("priceLevel", "periodStart", "producer", "productName", "quantityListed",
                      "quantitySold", "quantityAvailable")
@@ -114,7 +118,7 @@ def q_availability_source(spark, sf):
 
 @register("preview", "SELECT * FROM order_level ORDER BY orderId LIMIT 20")
 def q_preview(spark, sf):
-    return S.preview(orders_at_order_level(order_items(spark, sf)), 20, ["orderId"])
+    return S.preview(orders_at_order_level(landed_order_items(spark, sf)), 20, ["orderId"])
 
 
 def _describe_sql() -> str:
@@ -143,9 +147,9 @@ def _describe_sql() -> str:
 
 @register("describe_all", _describe_sql())
 def q_describe_all(spark, sf):
-    return S.describe_all(order_items(spark, sf))
+    return S.describe_all(landed_order_items(spark, sf))
 
 
 @register("describe_types")
 def q_describe_types(spark, sf):
-    return S.describe_types(spark, order_items(spark, sf))
+    return S.describe_types(spark, landed_order_items(spark, sf))

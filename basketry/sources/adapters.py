@@ -161,3 +161,45 @@ def availability(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.coalesce(F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))),
                             F.lit(0.0)).alias("quantitySold"))
             .withColumn("quantityAvailable", F.col("quantityListed") - F.col("quantitySold")))
+
+
+# -- landed copies --------------------------------------------------------------
+#
+# The reference fetches its tables once and keeps them for every view. Here
+# the adapter tables are built by Spark once per session and written as
+# Parquet under the shared checkpoint folder; every query then scans that
+# copy, so filters and column pruning reach the Parquet reader and the star
+# joins are not repeated per query. The copy lives in shared storage, so it
+# survives the loss of any executor.
+
+_LANDED: dict[tuple, str] = {}
+
+
+def _landed(spark: SparkSession, name: str, sf_dir: str, build, partition_by=None) -> DataFrame:
+    from basketry.session import scratch_path
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in _LANDED:
+        path = scratch_path(spark, f"adapter-{name}")
+        w = build(spark, sf_dir).write.mode("overwrite")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
+        _LANDED[key] = path
+    return spark.read.parquet(_LANDED[key])
+
+
+def landed_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _landed(spark, "order_items", sf_dir, order_items)
+
+
+def landed_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _landed(spark, "customers", sf_dir, customers)
+
+
+def landed_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Availability partitioned by price level (one folder per level)."""
+    return _landed(spark, "availability", sf_dir, availability, ["priceLevel"])
+
+
+def landed_path(spark: SparkSession, name: str, sf_dir: str) -> str:
+    return _LANDED[(spark.sparkContext.applicationId, name, sf_dir)]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.functions.quantiles import exact_quantiles
+from basketry.functions.quantiles import exact_quantiles_multi
 from basketry.session import scratch_path
 
 CSV_OPTIONS = {"header": "true", "ignoreLeadingWhiteSpace": "false",
@@ -161,36 +161,53 @@ DESCRIBE_SCHEMA = ("column string, count long, unique long, top string, freq lon
 def describe_all(df: DataFrame) -> DataFrame:
     """Summary per column: numeric columns get count, mean, std, min, quartiles,
     max; other columns get count, unique, top (most frequent, smallest value
-    on ties) and freq. Every statistic is a distributed aggregate; results are
-    stacked with a union (one row per column)."""
+    on ties) and freq.
+
+    Numeric statistics of all columns come from one aggregate (plus the
+    quantile passes); all other columns are unpivoted to (column, value)
+    pairs and counted in one grouped aggregate, so the number of jobs does
+    not grow with the number of columns.
+    """
+    num = [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
+    other = [f for f in df.schema.fields if not isinstance(f.dataType, _NUMERIC)]
     parts = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, _NUMERIC):
-            x = c.cast("double")
-            q = exact_quantiles(df.select(x.alias("x")), "x", [0.25, 0.5, 0.75])
-            part = df.agg(F.count(c).alias("count"), F.avg(x).alias("mean"),
-                          F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                          F.max(x).alias("max")).select(
-                F.lit(f.name).alias("column"), "count",
-                F.lit(None).cast("long").alias("unique"), F.lit(None).cast("string").alias("top"),
-                F.lit(None).cast("long").alias("freq"), "mean", "std", "min",
-                *[F.lit(v).cast("double").alias(n) for v, n in zip(q, ["p25", "p50", "p75"])],
-                "max")
-        else:
-            s = c.cast("string") if not isinstance(f.dataType, T.DateType) \
-                else F.date_format(c, "yyyy-MM-dd")
-            counts = (df.select(s.alias("v")).where(F.col("v").isNotNull())
-                      .groupBy("v").agg(F.count(F.lit(1)).alias("n")))
-            part = counts.agg(
-                F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("count"),
-                F.count(F.lit(1)).cast("long").alias("unique"),
-                F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("top"),
-                F.max("n").cast("long").alias("freq")).select(
-                F.lit(f.name).alias("column"), "count", "unique", "top", "freq",
-                *[F.lit(None).cast("double").alias(n)
-                  for n in ["mean", "std", "min", "p25", "p50", "p75", "max"]])
-        parts.append(part)
+    if num:
+        q, _ = exact_quantiles_multi(df, {c: [0.25, 0.5, 0.75] for c in num})
+        aggs = []
+        for i, c in enumerate(num):
+            x = F.col(f"`{c}`").cast("double")
+            aggs += [F.count(F.col(f"`{c}`")).alias(f"c{i}"), F.avg(x).alias(f"a{i}"),
+                     F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
+                     F.max(x).alias(f"hi{i}")]
+        stats = df.agg(*aggs)
+        rows = [F.struct(F.lit(c).alias("column"), F.col(f"c{i}").cast("long").alias("count"),
+                         F.lit(None).cast("long").alias("unique"),
+                         F.lit(None).cast("string").alias("top"),
+                         F.lit(None).cast("long").alias("freq"),
+                         F.col(f"a{i}").alias("mean"), F.col(f"s{i}").alias("std"),
+                         F.col(f"lo{i}").alias("min"),
+                         *[F.lit(v).cast("double").alias(n)
+                           for v, n in zip(q[c], ["p25", "p50", "p75"])],
+                         F.col(f"hi{i}").alias("max"))
+                for i, c in enumerate(num)]
+        parts.append(stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
+    if other:
+        def text(f):
+            c = F.col(f"`{f.name}`")
+            return F.date_format(c, "yyyy-MM-dd") if isinstance(f.dataType, T.DateType) \
+                else c.cast("string")
+        pairs = df.select(F.explode(F.array(*[F.struct(F.lit(f.name).alias("column"),
+                                                       text(f).alias("v")) for f in other]))
+                          .alias("p")).select("p.*").where(F.col("v").isNotNull())
+        counts = pairs.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+        per = counts.groupBy("column").agg(
+            F.sum("n").cast("long").alias("count"),
+            F.count(F.lit(1)).cast("long").alias("unique"),
+            F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("top"),
+            F.max("n").cast("long").alias("freq"))
+        parts.append(per.select("column", "count", "unique", "top", "freq",
+                                *[F.lit(None).cast("double").alias(n)
+                                  for n in ["mean", "std", "min", "p25", "p50", "p75", "max"]]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
