@@ -26,7 +26,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 200_000
+SMALL = 1_000_000   # values sorted inside one task at most (8 MB of doubles)
 ACCURACY = 10_000
 
 
