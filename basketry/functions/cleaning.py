@@ -33,10 +33,12 @@ def to_number(c: str | Column, default: float | None = 0.0) -> Column:
 
 
 def to_timestamp_lenient(c: str | Column) -> Column:
-    """``pd.to_datetime(errors="coerce")`` for ISO text or typed input."""
-    col = _c(c)
-    return F.coalesce(col.try_cast("timestamp"),
-                      F.try_to_timestamp(col.cast("string")))
+    """``pd.to_datetime(errors="coerce")`` for ISO text or typed input.
+
+    The result is a wall-clock timestamp without time zone (like the naive
+    pandas result); text that does not parse becomes null.
+    """
+    return _c(c).try_cast("timestamp_ntz")
 
 
 def floor_days_between(later: Column, earlier: str | Column) -> Column:

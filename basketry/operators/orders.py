@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.cleaning import safe_ratio, strip_ws
 from basketry.schemas import require_columns
+from basketry.session import materialize
 
 ORDER_FIELDS = ["periodStart", "customerType", "orderSubTotal", "orderTotal", "orderStatus"]
 CUSTOMER_FIELDS = ["email", "customerId", "customerName", "locationName"]
@@ -128,10 +129,19 @@ def aov_by_type_period(items: DataFrame, status: str | None = None) -> DataFrame
 # Customer history (E1-E3) and period metrics (A5-A8)
 # ---------------------------------------------------------------------------
 
-def order_base(items: DataFrame, status: str | None = "F") -> DataFrame:
-    """Status-filtered order-level rows with the customer type stripped."""
+def order_base(items: DataFrame, status: str | None = "F", shared: bool = False) -> DataFrame:
+    """Status-filtered order-level rows with the customer type stripped.
+
+    ``shared=True`` materializes the rows once (checkpoint) for plans that
+    read them in several branches (metrics, history, KPIs).
+    """
     ol = orders_at_order_level(items, status)
-    return ol.withColumn("customerType", strip_ws("customerType"))
+    base = ol.withColumn("customerType", strip_ws("customerType"))
+    if shared:
+        cols = [c for c in ("orderId", "periodStart", "customerType", "orderTotal", "email",
+                            "customerName") if c in base.columns]
+        base = materialize(base.select(*cols))
+    return base
 
 
 def customer_history(base: DataFrame) -> DataFrame:
@@ -180,7 +190,7 @@ def order_metrics_by_period_type(items: DataFrame, status: str | None = "F",
     Customer history comes from all status-filtered orders, before the
     display filter. Each customer counts once per group.
     """
-    base = order_base(items, status)
+    base = order_base(items, status, shared=True)
     disp = display_rows(base, periods, types)
     keys = ["periodStart", "customerType"]
     om = disp.groupBy(*keys).agg(
@@ -226,7 +236,7 @@ def order_kpis(items: DataFrame, status: str | None = "F", threshold: float = 10
     The order part and the customer part are single-row aggregates; they are
     stacked with a union and folded with ``max`` instead of being joined.
     """
-    base = order_base(items, status)
+    base = order_base(items, status, shared=True)
     disp = display_rows(base, periods, types)
     kp = disp.agg(_money_sum("orderTotal").alias("revenue"),
                   F.count("orderId").cast("long").alias("total_orders"),
@@ -259,13 +269,14 @@ def new_customers_detail(items: DataFrame, status: str | None = "F",
                          periods: DataFrame | None = None,
                          types: list[str] | None = None) -> DataFrame:
     """One row per (email, type, period) where the period is the customer's first."""
-    base = order_base(items, status)
+    base = order_base(items, status, shared=True)
     disp = display_rows(base, periods, types).where(F.col("email").isNotNull())
     hist = customer_history(base).select("email", "first_period")
-    firsts = (disp.join(hist, "email")
-              .where(F.col("first_period") == F.col("periodStart"))
-              .groupBy("email", "customerType", "periodStart")
-              .agg(F.min_by("customerName", "orderId").alias("name")))
+    # reduce to one row per (email, type, period) before joining the history
+    per = (disp.groupBy("email", "customerType", "periodStart")
+           .agg(F.min_by("customerName", "orderId").alias("name")))
+    firsts = (per.join(hist, "email")
+              .where(F.col("first_period") == F.col("periodStart")))
     return firsts.select(F.col("email"), F.col("name"),
                          F.col("customerType").alias("customer_type"),
                          F.col("periodStart").alias("first_period"))

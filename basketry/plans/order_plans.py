@@ -174,7 +174,7 @@ def _comparison_sql(label: str, prev: str, spine: str) -> str:
     cols = ["revenue", "total_orders", "aov", "pct_orders_over", "new_customers", "recurring_pct"]
     prec = {"revenue": 2, "aov": 6, "pct_orders_over": 6, "recurring_pct": 6}
     sums = ", ".join(f"CAST(sum(CAST({c} AS DECIMAL(38,{prec[c]}))) AS DOUBLE) AS {c}" if c in prec
-                     else f"sum({c}) AS {c}" for c in cols)
+                     else f"CAST(sum({c}) AS BIGINT) AS {c}" for c in cols)
     fill = ", ".join(f"coalesce(b.{c}, 0) AS {c}" for c in cols)
     pct = ", ".join(
         f"CASE WHEN p.{c} IS NULL THEN NULL WHEN p.{c} = 0 AND c.{c} = 0 THEN NULL "

@@ -62,3 +62,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+
+    Used where one intermediate feeds several branches of a plan (Catalyst
+    prunes each branch differently, so their shuffles cannot be reused).
+    The data is written to the shared checkpoint folder, so it survives the
+    loss of executors; ``localCheckpoint`` is never used.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
