@@ -8,6 +8,7 @@ feature importances (a handful of numbers) are collected.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -47,6 +48,7 @@ UPGRADE_POSITIVE = ["Champions", "Loyal"]
 MIN_PER_CLASS = 10
 MAX_FOLDS = 5
 DAYS_PER_MONTH_ML = 30
+FIT_THREADS = 12          # concurrent model fits submitted from the driver
 
 
 def customer_features(seg: DataFrame) -> DataFrame:
@@ -101,42 +103,80 @@ def _forest(num_trees: int, max_depth: int, seed: int, weighted: bool) -> Random
     return rf
 
 
-def train_binary(labeled: DataFrame, key: str = "customerId", num_trees: int = 300,
-                 max_depth: int = 10, seed: int = 42, cross_validate: bool = True) -> TrainedModel:
-    """Balanced random forest; mean ROC-AUC over up to five folds.
+@dataclass
+class _Prepared:
+    data: DataFrame | None
+    counts: dict[int, int]
+    folds: int
 
-    Trains only with at least ``MIN_PER_CLASS`` rows in each class. Class
-    weights are ``n / (2 * n_class)``. Folds come from a hash of the key, so
-    each class is split evenly without a per-class window or shuffle.
-    """
+
+def _prepare(labeled: DataFrame, key: str, seed: int) -> _Prepared:
+    """Class counts, balanced weights and hashed fold ids; persisted for fitting."""
     counts = class_counts(labeled)
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     if n0 < MIN_PER_CLASS or n1 < MIN_PER_CLASS:
-        return TrainedModel(None, None, None, counts)
-    n = n0 + n1
+        return _Prepared(None, counts, 0)
+    n, k = n0 + n1, min(MAX_FOLDS, n0, n1)
     assembler = VectorAssembler(inputCols=ML_FEATURES, outputCol="features")
     data = assembler.transform(labeled.select(key, "label", *ML_FEATURES)).withColumns({
         "weight": F.when(F.col("label") == 1, F.lit(n / (2.0 * n1))).otherwise(F.lit(n / (2.0 * n0))),
-        "fold": F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(min(MAX_FOLDS, n0, n1))),
+        "fold": F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)),
     }).select(key, "label", "features", "weight", "fold")
     data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = _forest(num_trees, max_depth, seed, True).fit(data)
-        auc = None
-        if cross_validate:
-            k = min(MAX_FOLDS, n0, n1)
-            ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability",
-                                               metricName="areaUnderROC")
-            scores = []
-            for i in range(k):
-                train = data.where(F.col("fold") != i)
-                test = data.where(F.col("fold") == i)
-                m = _forest(num_trees, max_depth, seed, True).fit(train)
-                scores.append(ev.evaluate(m.transform(test)))
-            auc = float(sum(scores) / len(scores))
-        return TrainedModel(model, auc, list(model.featureImportances.toArray()), counts)
-    finally:
-        data.unpersist()
+    data.count()            # fill the cache once, before concurrent fits read it
+    return _Prepared(data, counts, k)
+
+
+def _fit_all(prepared: list[_Prepared], num_trees: int, max_depth: int, seed: int,
+             cross_validate: bool) -> list[TrainedModel]:
+    """Fit every full model and every cross-validation fold concurrently.
+
+    Each fit is a chain of small Spark jobs (one per tree level); submitting
+    them from several driver threads lets the scheduler run them side by
+    side instead of leaving executors idle between levels.
+    """
+    ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability",
+                                       metricName="areaUnderROC")
+
+    def full(p: _Prepared):
+        return _forest(num_trees, max_depth, seed, True).fit(p.data)
+
+    def fold(p: _Prepared, i: int):
+        m = _forest(num_trees, max_depth, seed, True).fit(p.data.where(F.col("fold") != i))
+        return ev.evaluate(m.transform(p.data.where(F.col("fold") == i)))
+
+    jobs = {}
+    with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
+        for j, p in enumerate(prepared):
+            if p.data is None:
+                continue
+            jobs[(j, "full")] = pool.submit(full, p)
+            if cross_validate:
+                for i in range(p.folds):
+                    jobs[(j, i)] = pool.submit(fold, p, i)
+        done = {k: f.result() for k, f in jobs.items()}
+    out = []
+    for j, p in enumerate(prepared):
+        if p.data is None:
+            out.append(TrainedModel(None, None, None, p.counts))
+            continue
+        model = done[(j, "full")]
+        scores = [done[(j, i)] for i in range(p.folds)] if cross_validate else []
+        auc = float(sum(scores) / len(scores)) if scores else None
+        out.append(TrainedModel(model, auc, list(model.featureImportances.toArray()), p.counts))
+        p.data.unpersist()
+    return out
+
+
+def train_binary(labeled: DataFrame, key: str = "customerId", num_trees: int = 300,
+                 max_depth: int = 10, seed: int = 42, cross_validate: bool = True) -> TrainedModel:
+    """Balanced random forest; mean ROC-AUC over up to five folds.
+
+    Trains only with at least ``MIN_PER_CLASS`` rows in each class. Class
+    weights are ``n / (2 * n_class)``. Folds come from a hash of the key, so
+    each class is split evenly without a per-class window or shuffle.
+    """
+    return _fit_all([_prepare(labeled, key, seed)], num_trees, max_depth, seed, cross_validate)[0]
 
 
 def score(feat: DataFrame, trained: TrainedModel, out_col: str) -> DataFrame:
@@ -161,10 +201,9 @@ class MlResult:
 def run_customer_ml(seg: DataFrame, num_trees: int = 300, max_depth: int = 10, seed: int = 42,
                     cross_validate: bool = True) -> MlResult:
     feat = customer_features(seg)
-    churn = train_binary(churn_labels(feat), num_trees=num_trees, max_depth=max_depth,
-                         seed=seed, cross_validate=cross_validate)
-    upgrade = train_binary(upgrade_labels(feat), num_trees=num_trees, max_depth=max_depth,
-                           seed=seed, cross_validate=cross_validate)
+    prepared = [_prepare(churn_labels(feat), "customerId", seed),
+                _prepare(upgrade_labels(feat), "customerId", seed)]
+    churn, upgrade = _fit_all(prepared, num_trees, max_depth, seed, cross_validate)
     scored = score(score(feat, churn, "churn_risk_score"), upgrade, "upgrade_potential_score")
     return MlResult(scored, churn, upgrade)
 

@@ -34,9 +34,33 @@ HEADLINE = [
     "availability_summary",
     "describe_all",
     "churn_score",
+    "ml_training",
+    "adapters_landing",
 ]
 
 
+def _special(key, spark, sf_dir):
+    """Work that the registered queries reuse across calls, timed on its own."""
+    if key == "ml_training":
+        # both forests with 5-fold cross-validation, then scoring every customer
+        from basketry.operators import ml as M
+        from basketry.operators.customers import segment_customers
+        from basketry.plans.ml_plans import QUERY_DEPTH, QUERY_TREES
+        from basketry.sources.adapters import landed_customers
+        seg = segment_customers(landed_customers(spark, sf_dir))
+        res = M.run_customer_ml(seg, num_trees=QUERY_TREES, max_depth=QUERY_DEPTH)
+        return res.scored
+    if key == "adapters_landing":
+        # building the four adapter tables from the star schema (done once per session)
+        from basketry.sources import adapters as A
+        parts = [A.order_items(spark, sf_dir), A.customers(spark, sf_dir),
+                 A.availability(spark, sf_dir)]
+        for p in parts[:-1]:
+            p.write.format("noop").mode("overwrite").save()
+        return parts[-1]
+    return None
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -54,7 +78,8 @@ def main() -> None:
         runs = []
         for i in range(repeat + 1):
             t0 = time.perf_counter()
-            q[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            df = _special(key, spark, sf_dir) if key not in q else q[key](spark, sf_dir)
+            df.write.format("noop").mode("overwrite").save()
             dt = time.perf_counter() - t0
             if i > 0:
                 runs.append(dt)
