@@ -279,7 +279,8 @@ def new_customers_detail(items: DataFrame, status: str | None = "F",
               .where(F.col("first_period") == F.col("periodStart")))
     return firsts.select(F.col("email"), F.col("name"),
                          F.col("customerType").alias("customer_type"),
-                         F.col("periodStart").alias("first_period"))
+                         F.col("periodStart").alias("first_period")) \
+        .orderBy("first_period", "customer_type", "email")
 
 
 def metrics_grid(metrics: DataFrame) -> DataFrame:
@@ -293,4 +294,5 @@ def metrics_grid(metrics: DataFrame) -> DataFrame:
         F.bround("pct_orders_over", 1).alias("pct_orders_over"),
         "new_customers",
         F.bround("recurring_pct", 1).alias("recurring_pct"),
-        F.bround("avg_weeks", 1).alias("avg_weeks"))
+        F.bround("avg_weeks", 1).alias("avg_weeks")) \
+        .orderBy(F.to_date("period_start", "MM/dd/yy"), "customer_type")

@@ -140,4 +140,4 @@ def period_comparison(metrics: DataFrame, freq: str,
     return joined.select(
         "period_label", *metric_cols,
         *[pct_change(F.col(c).cast("double"), F.col(f"_prev_{c}").cast("double")).alias(f"{c}_pct")
-          for c in metric_cols])
+          for c in metric_cols]).orderBy("period_label")
