@@ -286,7 +286,7 @@ def new_customers_detail(items: DataFrame, status: str | None = "F",
 def metrics_grid(metrics: DataFrame) -> DataFrame:
     """Presentation copy: MM/dd/yy dates, 2-digit money, 1-digit percentages
     (half-even rounding like numpy)."""
-    return metrics.select(
+    return metrics.orderBy("period_start", "customer_type").select(
         F.date_format("period_start", "MM/dd/yy").alias("period_start"),
         "customer_type",
         F.bround("revenue", 2).alias("revenue"), "total_orders",
@@ -294,5 +294,4 @@ def metrics_grid(metrics: DataFrame) -> DataFrame:
         F.bround("pct_orders_over", 1).alias("pct_orders_over"),
         "new_customers",
         F.bround("recurring_pct", 1).alias("recurring_pct"),
-        F.bround("avg_weeks", 1).alias("avg_weeks")) \
-        .orderBy(F.to_date("period_start", "MM/dd/yy"), "customer_type")
+        F.bround("avg_weeks", 1).alias("avg_weeks"))
