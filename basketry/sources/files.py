@@ -154,8 +154,6 @@ def describe_types(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType)
-DESCRIBE_SCHEMA = ("column string, count long, unique long, top string, freq long, mean double, "
-                   "std double, min double, p25 double, p50 double, p75 double, max double")
 
 
 def describe_all(df: DataFrame) -> DataFrame:
