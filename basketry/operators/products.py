@@ -38,12 +38,25 @@ def product_base(items: DataFrame, producer_col: str = "producerName") -> DataFr
     })
 
 
+def default_selection(base: DataFrame, producer_col: str = "producerName",
+                      n_producers: int = 5, n_periods: int = 12) -> tuple[list, list]:
+    """The default selector values: first producers alphabetically, last periods.
+
+    Each list holds at most ``n`` values (a distributed top-n), so it can be
+    applied as an ``IN`` predicate that reaches the Parquet scan.
+    """
+    producers = [r[0] for r in first_values(base, producer_col, n_producers).collect()]
+    periods = [r[0] for r in first_values(base, "periodStart", n_periods, last=True).collect()]
+    return sorted(producers), sorted(periods)
+
+
 def default_product_filter(base: DataFrame, producer_col: str = "producerName",
-                           n_producers: int = 5, n_periods: int = 12) -> DataFrame:
-    """Default selection: the first producers alphabetically and the last periods."""
-    producers = first_values(base, producer_col, n_producers)
-    periods = first_values(base, "periodStart", n_periods, last=True)
-    return keep_values(keep_values(base, producers, producer_col), periods, "periodStart")
+                           n_producers: int = 5, n_periods: int = 12,
+                           selection: tuple[list, list] | None = None) -> DataFrame:
+    """Rows of the selected producers and periods (default selection if none given)."""
+    producers, periods = selection or default_selection(base, producer_col, n_producers, n_periods)
+    return base.where(F.col(producer_col).isin(list(producers))
+                      & F.col("periodStart").isin(list(periods)))
 
 
 def last_n_periods(df: DataFrame, n: int = 12, column: str = "periodStart") -> DataFrame:
@@ -136,13 +149,12 @@ def availability_summary(avail: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("quantitySold") if "quantitySold" in qty else F.desc(p))
 
 
-def availability_by_product(avail: DataFrame, producer: DataFrame) -> DataFrame:
-    """Quantity sums per product for the producer(s) in the one-row ``producer``."""
+def availability_by_product(avail: DataFrame, producer: str) -> DataFrame:
+    """Quantity sums per product of one producer, first quantity column descending."""
     p = availability_producer_col(avail)
     qty = _qty_cols(avail)
-    rows = keep_values(avail, producer.select(F.col(producer.columns[0]).alias(p)), p)
-    out = (rows.where(F.col("productName").isNotNull()).groupBy("productName")
-           .agg(*[F.sum(c).alias(c) for c in qty]))
+    out = (avail.where((F.col(p) == F.lit(producer)) & F.col("productName").isNotNull())
+           .groupBy("productName").agg(*[F.sum(c).alias(c) for c in qty]))
     return out.orderBy(F.desc(qty[0]), "productName") if qty else out
 
 

@@ -21,13 +21,15 @@ def _filtered(spark, sf):
     return P.default_product_filter(_base(spark, sf))
 
 
-def _avail_default(spark, sf):
+def _avail_default(spark, sf, with_selection=False):
     """Availability of the default price level, producer cleaned, default selection."""
     landed_availability(spark, sf)
     path = landed_path(spark, "availability", sf)
     levels = price_levels(spark, sf)
     avail = P.product_base(availability_source(spark, path, levels, 0), "producer")
-    return P.default_product_filter(avail, "producer")
+    sel = P.default_selection(avail, "producer")
+    rows = P.default_product_filter(avail, "producer", selection=sel)
+    return (rows, sel) if with_selection else rows
 
 
 _PBASE = r"""
@@ -151,13 +153,13 @@ def q_availability_summary(spark, sf):
 @register("availability_by_product", _AFILT + """
 SELECT productName, sum(quantityListed) AS quantityListed,
        sum(quantityAvailable) AS quantityAvailable, sum(quantitySold) AS quantitySold
-FROM af WHERE producer = (SELECT min(producer) FROM af) AND productName IS NOT NULL
+FROM af WHERE producer = (SELECT min(producer) FROM abase) AND productName IS NOT NULL
 GROUP BY 1
 """)
 def q_availability_by_product(spark, sf):
-    af = _avail_default(spark, sf)
-    first = P.first_values(af, "producer", 1)
-    return P.availability_by_product(af, first)
+    """Detail of the first selected producer (alphabetically)."""
+    af, (producers, _) = _avail_default(spark, sf, with_selection=True)
+    return P.availability_by_product(af, producers[0])
 
 
 @register("availability_count_by_level", """
