@@ -19,17 +19,12 @@ def distinct_options(df: DataFrame, column: str) -> DataFrame:
 def first_values(df: DataFrame, column: str, k: int, last: bool = False) -> DataFrame:
     """The ``k`` smallest (or largest) distinct non-null values of ``column``.
 
-    The result has at most ``k`` rows, so it is safe to broadcast.
+    The result has at most ``k`` rows (a distributed top-n, not a full sort).
     """
     d = df.select(column).where(F.col(column).isNotNull()).distinct()
     return d.orderBy(F.desc(column) if last else F.asc(column)).limit(k)
 
 
-def keep_values(df: DataFrame, selection: DataFrame, column: str) -> DataFrame:
-    """Rows whose ``column`` value is in a small, bounded ``selection``."""
-    return df.join(F.broadcast(selection.select(column)), column, "left_semi")
-
-
 def product_base(items: DataFrame, producer_col: str = "producerName") -> DataFrame:
     """Item rows with a date period and the producer null -> "Unknown", stripped."""
     return items.withColumns({
