@@ -45,12 +45,22 @@ def _small_select(x: DataFrame, ranks: list[int]) -> dict[int, float]:
 
 def _select(x: DataFrame, n: int, ranks: list[int], small: int,
             accuracy: int, depth: int = 0) -> dict[int, float]:
-    """Values at 0-based ``ranks`` of the sorted non-null column ``x``."""
-    if n <= small or depth > 8:
+    """Values at 0-based ``ranks`` of the sorted non-null column ``x``.
+
+    Each bracket ``[lo, hi]`` is checked with one counting pass that also
+    measures the tie blocks at both ends: a rank that falls on ``lo`` or
+    ``hi`` is answered at once (so heavy ties never stall the search), and
+    only values strictly inside the bracket are searched again. The sketch
+    bounds that inner set by about ``6 n / accuracy`` values.
+    """
+    if n <= small:
         return _small_select(x, ranks)
+    if depth > 16:
+        raise RuntimeError("quantile search did not converge")
     out: dict[int, float] = {}
     eps = 2.0 / accuracy
     pending = list(ranks)
+    v = F.col("x")
     while pending:
         probs = []
         for r in pending:
@@ -60,24 +70,30 @@ def _select(x: DataFrame, n: int, ranks: list[int], small: int,
         aggs = []
         for i in range(len(pending)):
             lo, hi = bounds[2 * i], bounds[2 * i + 1]
-            aggs += [F.count_if(F.col("x") < lo).alias(f"below{i}"),
-                     F.count_if(F.col("x").between(lo, hi)).alias(f"inside{i}")]
+            aggs += [F.count_if(v < lo).alias(f"below{i}"),
+                     F.count_if(v == lo).alias(f"eqlo{i}"),
+                     F.count_if((v > lo) & (v < hi)).alias(f"mid{i}"),
+                     F.count_if((v == hi) & F.lit(hi != lo)).alias(f"eqhi{i}")]
         counts = x.agg(*aggs).first()
         retry = []
         for i, r in enumerate(pending):
             lo, hi = bounds[2 * i], bounds[2 * i + 1]
-            below, inside = counts[f"below{i}"], counts[f"inside{i}"]
-            if below <= r < below + inside:
-                sub = x.where(F.col("x").between(lo, hi))
-                out.update({r: _select(sub, inside, [r - below], small,
-                                       accuracy, depth + 1)[r - below]})
+            below, eqlo = counts[f"below{i}"], counts[f"eqlo{i}"]
+            mid, eqhi = counts[f"mid{i}"], counts[f"eqhi{i}"]
+            if not below <= r < below + eqlo + mid + eqhi:
+                retry.append(r)                 # the sketch missed: widen and retry
+            elif r < below + eqlo:
+                out[r] = lo
+            elif r >= below + eqlo + mid:
+                out[r] = hi
             else:
-                retry.append(r)
+                sub = x.where((v > lo) & (v < hi))
+                k = r - below - eqlo
+                out[r] = _select(sub, mid, [k], small, accuracy, depth + 1)[k]
         pending = retry
         eps *= 4
-        if eps >= 1:
-            out.update(_small_select(x, pending))
-            break
+        if pending and eps >= 1:
+            raise RuntimeError("quantile bracket did not cover the wanted rank")
     return out
 
 

@@ -72,6 +72,15 @@ def test_exact_quantiles_equal_numpy(spark, n, small):
     assert multi["x"] == pytest.approx(list(want), rel=1e-12, abs=1e-9)
 
 
+def test_exact_quantiles_with_heavy_ties(spark):
+    rnd = random.Random(3)
+    vals = [float(rnd.choice([1, 2, 2, 3, 3, 3])) for _ in range(30000)] + [0.5, 9.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    probs = [0.0, 0.1, 0.33, 0.5, 0.66, 0.9, 1.0]
+    got = exact_quantiles(df, "x", probs, small=50, accuracy=100)
+    assert got == pytest.approx(list(np.quantile(np.array(vals), probs)), rel=1e-12)
+
+
 def test_exact_quantiles_empty(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert exact_quantiles(df, "x", [0.5]) == [None]
