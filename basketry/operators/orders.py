@@ -132,7 +132,7 @@ def aov_by_type_period(items: DataFrame, status: str | None = None) -> DataFrame
 def order_base(items: DataFrame, status: str | None = "F", shared: bool = False) -> DataFrame:
     """Status-filtered order-level rows with the customer type stripped.
 
-    ``shared=True`` materializes the rows once (checkpoint) for plans that
+    ``shared=True`` writes the rows once (a Parquet table) for plans that
     read them in several branches (metrics, history, KPIs).
     """
     ol = orders_at_order_level(items, status)
@@ -140,7 +140,7 @@ def order_base(items: DataFrame, status: str | None = "F", shared: bool = False)
     if shared:
         cols = [c for c in ("orderId", "periodStart", "customerType", "orderTotal", "email",
                             "customerName") if c in base.columns]
-        base = materialize(base.select(*cols))
+        base = materialize(base.select(*cols), "order-base")
     return base
 
 

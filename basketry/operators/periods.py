@@ -123,7 +123,8 @@ def period_comparison(metrics: DataFrame, freq: str,
     # one row per calendar bin: small, computed once and read by both the
     # spine and the join
     binned = materialize(metrics.groupBy(lab.alias("period_label"))
-                         .agg(*[_sum_metric(c).alias(c) for c in metric_cols]))
+                         .agg(*[_sum_metric(c).alias(c) for c in metric_cols]),
+                         columnar=False)
     spine = (binned.agg(F.min("period_label").alias("lo"), F.max("period_label").alias("hi"))
              .select(F.explode(_spine(freq, F.col("lo"), F.col("hi"))).alias("period_label")))
     filled = spine.join(binned, "period_label", "left").select(

@@ -66,13 +66,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df):
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+def materialize(df, name: str = "intermediate", columnar: bool = True):
+    """Compute ``df`` once and cut its lineage with a written Parquet table.
 
     Used where one intermediate feeds several branches of a plan (Catalyst
     prunes each branch differently, so their shuffles cannot be reused).
-    The data is written to the shared checkpoint folder, so it survives the
-    loss of executors; ``localCheckpoint`` is never used.
+    The table is written below the shared checkpoint folder, so it survives
+    the loss of executors, and it is columnar: each branch reads only the
+    columns it needs, with its filters pushed into the scan.
+    ``localCheckpoint`` is never used.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    if not columnar:
+        # small, bounded results: a reliable checkpoint has less file overhead
+        ensure_checkpoint_dir(spark)
+        return df.checkpoint(eager=True)
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
