@@ -283,3 +283,19 @@ def test_producer_unknown_and_strip(spark):
     df = items(spark, [item(1, W1, producer=None), item(2, W1, producer=" s\t")])
     got = sorted(r.producerName for r in PR.product_base(df).collect())
     assert got == ["Unknown", "s"]
+
+
+def test_aggregate_orders_function_table(spark):
+    df = items(spark, [item(1, W1, "A", total=D("10.00"), qty=1.0),
+                       item(2, W1, "A", total=D("20.00"), qty=3.0),
+                       item(2, W1, "A", total=None, qty=5.0),
+                       item(3, W1, "B", total=D("40.00"), qty=2.0)])
+    out = O.aggregate_orders(df, ["customerType"],
+                             {"qty": ["median", "std", "min", "max", "count"],
+                              "orderId": "nunique", "orderTotal": "mean"})
+    got = {r.customerType: r for r in out.collect()}
+    a = got["A"]
+    assert (a.qty_median, a.qty_min, a.qty_max, a.qty_count) == (3.0, 1.0, 5.0, 3)
+    assert a.qty_std == pytest.approx(2.0)
+    assert a.orderId == 2 and a.orderTotal == 15.0
+    assert got["B"].qty_std is None

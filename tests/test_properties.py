@@ -1,7 +1,6 @@
 """Properties that must hold on the real tables, and distributed helpers vs brute force."""
 
 import json
-import math
 import random
 
 import numpy as np
