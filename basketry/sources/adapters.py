@@ -64,13 +64,19 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_order = li.groupBy("l_orderkey").agg(
         F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("_sub"),
         F.max(line).alias("_carrier"))
-    rows = (li.join(per_order, "l_orderkey")
-            .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-            .join(F.broadcast(nation.select("n_nationkey", "n_name")),
-                  F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-            .join(supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey")))
+    # customer attributes go onto orders first (an orders-sized shuffle), and
+    # product / producer names onto the still narrow line rows, so the line
+    # items are shuffled three times (part, supplier, order key), never by
+    # customer key with every column attached
+    ocust = (orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+             .join(F.broadcast(nation.select("n_nationkey", "n_name")),
+                   F.col("c_nationkey") == F.col("n_nationkey"))
+             .select("o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice",
+                     "c_custkey", "c_name", "c_mktsegment", "n_name"))
+    lines = (li.join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+             .join(supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey")))
+    rows = (lines.join(per_order, "l_orderkey")
+            .join(ocust, F.col("l_orderkey") == F.col("o_orderkey")))
     carrier = line == F.col("_carrier")
     ck = F.col("c_custkey")
     return rows.select(
@@ -146,20 +152,28 @@ def availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part")
     supplier = read_table(spark, sf_dir, "supplier")
     nation = read_table(spark, sf_dir, "nation")
-    rows = (li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-            .join(supplier.select("s_suppkey", "s_name", "s_nationkey"),
-                  F.col("l_suppkey") == F.col("s_suppkey"))
-            .join(F.broadcast(nation.select("n_nationkey", "n_regionkey")),
-                  F.col("s_nationkey") == F.col("n_nationkey")))
-    return (rows.groupBy(
+    # 1) line items reduced per (week, part, supplier) right after the order
+    #    date is attached; 2) names joined onto that much smaller table;
+    #    3) a second aggregate merges keys that share a name. Quantities are
+    #    whole numbers, so the two-step sums are exact.
+    by_key = (li.join(orders.select("o_orderkey", "o_orderdate"),
+                      F.col("l_orderkey") == F.col("o_orderkey"))
+              .groupBy(week_start("o_orderdate").alias("periodStart"), "l_partkey", "l_suppkey")
+              .agg(F.sum("l_quantity").alias("_listed"),
+                   F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))).alias("_sold")))
+    named = (by_key
+             .join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+             .join(supplier.select("s_suppkey", "s_name", "s_nationkey"),
+                   F.col("l_suppkey") == F.col("s_suppkey"))
+             .join(F.broadcast(nation.select("n_nationkey", "n_regionkey")),
+                   F.col("s_nationkey") == F.col("n_nationkey")))
+    return (named.groupBy(
                 F.col("n_regionkey").cast("int").alias("priceLevel"),
-                week_start("o_orderdate").alias("periodStart"),
+                "periodStart",
                 _producer(F.col("s_suppkey"), F.col("s_name")).alias("producer"),
                 F.col("p_name").alias("productName"))
-            .agg(F.sum("l_quantity").alias("quantityListed"),
-                 F.coalesce(F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))),
-                            F.lit(0.0)).alias("quantitySold"))
+            .agg(F.sum("_listed").alias("quantityListed"),
+                 F.coalesce(F.sum("_sold"), F.lit(0.0)).alias("quantitySold"))
             .withColumn("quantityAvailable", F.col("quantityListed") - F.col("quantitySold")))
 
 
