@@ -1,0 +1 @@
+"""Column helpers and the distributed exact quantile."""

@@ -1,0 +1 @@
+"""Analytics operators: orders, periods, customers, products, ML."""

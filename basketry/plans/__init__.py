@@ -1,0 +1 @@
+"""Registered queries (``queries()`` keys) and their DuckDB oracle SQL."""

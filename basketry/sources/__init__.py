@@ -1,0 +1 @@
+"""Sources and sinks: Parquet tables, adapter views, CSV / JSON / landed files."""

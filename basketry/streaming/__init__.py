@@ -1,0 +1 @@
+"""Structured Streaming ingest of landed order files."""

@@ -70,7 +70,7 @@ def main() -> None:
     from basketry.session import get_session
     from basketry.plans.registry import queries
 
-    spark = get_session(f"local[{cpus}]", int(cpus) * 2, app_name="basketry-bench")
+    spark = get_session(f"local[{cpus}]", int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2)), app_name="basketry-bench")
     spark.sparkContext.setLogLevel("ERROR")
     q = queries()
     results = {}
