@@ -6,164 +6,161 @@ aggregate gives the same numbers on small data but keeps every distinct value
 of the column in the single task that finishes a global aggregate, which does
 not hold on a very large table.
 
-Here the needed order statistics are found by narrowing:
+Here the needed order statistics are found by narrowing, for all requested
+columns and ranks at once:
 
 1. ``percentile_approx`` (a fixed-size sketch merged map-side) brackets each
    wanted rank by two values whose rank error is bounded by the accuracy.
-2. One aggregate counts the rows below and inside each bracket, which proves
-   that the wanted rank lies inside it (otherwise the bracket is widened).
-3. The rows inside the bracket (about ``4 n / accuracy`` of them) are searched
-   the same way until at most ``small`` rows remain; those are sorted inside
-   one task and only the wanted elements leave the executor.
-
-Only a handful of numbers ever reach the driver.
+2. One counting pass measures, per bracket, the rows below it, the tie block
+   on each end and the rows strictly inside. A rank on a tie block is
+   answered at once (heavy ties never stall the search); otherwise only the
+   rows strictly inside (about ``6 n / accuracy``) are searched again.
+3. Once a search space holds at most ``small`` values, one final pass sorts
+   each such space inside one task and returns only the wanted elements.
+
+Every round is two Spark jobs whatever the number of columns, and only a
+handful of numbers ever reach the driver.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 1_000_000   # values sorted inside one task at most (8 MB of doubles)
+SMALL = 1_000_000   # values sorted inside one task at most (per column)
 ACCURACY = 10_000
+MAX_ROUNDS = 16
 
 
-def _clean(df: DataFrame, column: str) -> DataFrame:
-    x = F.col(column).cast("double")
-    return (df.select(x.alias("x"))
-            .where(F.col("x").isNotNull() & ~F.isnan("x")))
-
-
-def _small_select(x: DataFrame, ranks: list[int]) -> dict[int, float]:
-    srt = F.array_sort(F.collect_list("x"))
-    row = x.agg(*[F.element_at(srt, r + 1).alias(f"r{i}")
-                  for i, r in enumerate(ranks)]).first()
-    return {r: row[f"r{i}"] for i, r in enumerate(ranks)}
-
+def _value(column: str) -> Column:
+    """The column as double; NaN counts as missing (pandas skips both)."""
+    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
 
-def _select(x: DataFrame, n: int, ranks: list[int], small: int,
-            accuracy: int, depth: int = 0) -> dict[int, float]:
-    """Values at 0-based ``ranks`` of the sorted non-null column ``x``.
 
-    Each bracket ``[lo, hi]`` is checked with one counting pass that also
-    measures the tie blocks at both ends: a rank that falls on ``lo`` or
-    ``hi`` is answered at once (so heavy ties never stall the search), and
-    only values strictly inside the bracket are searched again. The sketch
-    bounds that inner set by about ``6 n / accuracy`` values.
-    """
-    if n <= small:
-        return _small_select(x, ranks)
-    if depth > 16:
+@dataclass
+class _Search:
+    column: str
+    rank: int                       # wanted rank inside the current space
+    n: int                          # values in the current space
+    lo: float | None = None         # current space: lo < x < hi (None = open)
+    hi: float | None = None
+    eps: float = 0.0
+    value: float | None = None
+    done: bool = False
+
+    def inside(self) -> Column:
+        v = _value(self.column)
+        cond = v.isNotNull()
+        if self.lo is not None:
+            cond = cond & (v > F.lit(self.lo))
+        if self.hi is not None:
+            cond = cond & (v < F.lit(self.hi))
+        return cond
+
+
+def _final_pass(df: DataFrame, searches: list[_Search]) -> None:
+    """Sort each remaining (small) space in one task; read the wanted element."""
+    aggs = []
+    for i, s in enumerate(searches):
+        srt = F.array_sort(F.collect_list(F.when(s.inside(), _value(s.column))))
+        aggs.append(F.element_at(srt, s.rank + 1).alias(f"v{i}"))
+    row = df.agg(*aggs).first()
+    for i, s in enumerate(searches):
+        s.value, s.done = row[f"v{i}"], True
+
+
+def _narrow_round(df: DataFrame, searches: list[_Search], accuracy: int) -> None:
+    """One sketch pass and one counting pass for every open search."""
+    sketch = []
+    for i, s in enumerate(searches):
+        p = s.rank / (s.n - 1)
+        probs = [max(0.0, p - s.eps), min(1.0, p + s.eps)]
+        sketch.append(F.percentile_approx(F.when(s.inside(), _value(s.column)), probs,
+                                          accuracy).alias(f"b{i}"))
+    bounds = df.agg(*sketch).first()
+    counts = []
+    for i, s in enumerate(searches):
+        lo, hi = bounds[f"b{i}"]
+        v, inside = _value(s.column), s.inside()
+        counts += [F.count_if(inside & (v < lo)).alias(f"below{i}"),
+                   F.count_if(inside & (v == lo)).alias(f"eqlo{i}"),
+                   F.count_if(inside & (v > lo) & (v < hi)).alias(f"mid{i}"),
+                   F.count_if(inside & (v == hi) & F.lit(hi != lo)).alias(f"eqhi{i}")]
+    c = df.agg(*counts).first()
+    for i, s in enumerate(searches):
+        lo, hi = bounds[f"b{i}"]
+        below, eqlo, mid, eqhi = (c[f"below{i}"], c[f"eqlo{i}"], c[f"mid{i}"], c[f"eqhi{i}"])
+        r = s.rank
+        if not below <= r < below + eqlo + mid + eqhi:
+            s.eps *= 4                   # the sketch missed: widen and retry
+            if s.eps >= 1:
+                raise RuntimeError("quantile bracket did not cover the wanted rank")
+        elif r < below + eqlo:
+            s.value, s.done = lo, True
+        elif r >= below + eqlo + mid:
+            s.value, s.done = hi, True
+        else:
+            s.lo, s.hi, s.n, s.rank = lo, hi, mid, r - below - eqlo
+            s.eps = 2.0 / accuracy
+
+
+def _order_statistics(df: DataFrame, wanted: dict[str, tuple[int, list[int]]],
+                      small: int, accuracy: int) -> dict[str, dict[int, float]]:
+    """``{column: (n, ranks)}`` -> ``{column: {rank: value}}`` (0-based ranks)."""
+    searches = {(c, r): _Search(c, r, n, eps=2.0 / accuracy)
+                for c, (n, ranks) in wanted.items() for r in ranks}
+    for _ in range(MAX_ROUNDS):
+        big = [s for s in searches.values() if not s.done and s.n > small]
+        if not big:
+            break
+        _narrow_round(df, big, accuracy)
+    else:
         raise RuntimeError("quantile search did not converge")
-    out: dict[int, float] = {}
-    eps = 2.0 / accuracy
-    pending = list(ranks)
-    v = F.col("x")
-    while pending:
-        probs = []
-        for r in pending:
-            p = r / (n - 1)
-            probs += [max(0.0, p - eps), min(1.0, p + eps)]
-        bounds = x.agg(F.percentile_approx("x", probs, accuracy).alias("b")).first()["b"]
-        aggs = []
-        for i in range(len(pending)):
-            lo, hi = bounds[2 * i], bounds[2 * i + 1]
-            aggs += [F.count_if(v < lo).alias(f"below{i}"),
-                     F.count_if(v == lo).alias(f"eqlo{i}"),
-                     F.count_if((v > lo) & (v < hi)).alias(f"mid{i}"),
-                     F.count_if((v == hi) & F.lit(hi != lo)).alias(f"eqhi{i}")]
-        counts = x.agg(*aggs).first()
-        retry = []
-        for i, r in enumerate(pending):
-            lo, hi = bounds[2 * i], bounds[2 * i + 1]
-            below, eqlo = counts[f"below{i}"], counts[f"eqlo{i}"]
-            mid, eqhi = counts[f"mid{i}"], counts[f"eqhi{i}"]
-            if not below <= r < below + eqlo + mid + eqhi:
-                retry.append(r)                 # the sketch missed: widen and retry
-            elif r < below + eqlo:
-                out[r] = lo
-            elif r >= below + eqlo + mid:
-                out[r] = hi
-            else:
-                sub = x.where((v > lo) & (v < hi))
-                k = r - below - eqlo
-                out[r] = _select(sub, mid, [k], small, accuracy, depth + 1)[k]
-        pending = retry
-        eps *= 4
-        if pending and eps >= 1:
-            raise RuntimeError("quantile bracket did not cover the wanted rank")
-    return out
-
-
-def exact_quantiles(df: DataFrame, column: str, probs: list[float], *,
-                    small: int = SMALL, accuracy: int = ACCURACY) -> list[float | None]:
-    """Linear-interpolated quantiles of ``column`` (nulls and NaN skipped).
-
-    Returns ``None`` for every probability when no value is present.
-    """
-    x = _clean(df, column)
-    n = x.count()
-    if n == 0:
-        return [None] * len(probs)
-    pos = []
-    for q in probs:
-        rn = (n - 1) * float(q)
-        pos.append((rn, math.floor(rn), math.ceil(rn)))
-    ranks = sorted({f for _, f, _ in pos} | {c for _, _, c in pos})
-    vals = _select(x, n, ranks, small, accuracy)
-    out = []
-    for rn, f, c in pos:
-        lo, hi = vals[f], vals[c]
-        out.append(float(lo) if f == c else float(lo + (hi - lo) * (rn - f)))
-    return out
-
-
-def _value(column: str):
-    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    rest = [s for s in searches.values() if not s.done]
+    if rest:
+        _final_pass(df, rest)
+    return {c: {r: searches[(c, r)].value for r in ranks} for c, (_, ranks) in wanted.items()}
 
 
 def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]], *,
                           small: int = SMALL, accuracy: int = ACCURACY
                           ) -> tuple[dict[str, list[float | None]], dict[str, int]]:
-    """Quantiles of several columns with one counting pass and, for columns of
-    at most ``small`` values, one selection pass for all of them.
+    """Quantiles of several columns: one counting pass, then the shared search.
 
     Returns ``({column: [quantile per probability]}, {column: non-null count})``.
-    Larger columns go through the narrowing search of ``exact_quantiles``.
     """
     cols = list(spec)
     row = df.agg(*[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
     counts = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
-    plan: dict[str, list[tuple[float, int, int]]] = {}
+    plan, wanted = {}, {}
     for c in cols:
         n = counts[c]
+        if not n:
+            continue
         plan[c] = [((n - 1) * float(q), math.floor((n - 1) * float(q)),
-                    math.ceil((n - 1) * float(q))) for q in spec[c]] if n else []
-    values: dict[str, dict[int, float]] = {}
-    small_cols = [c for c in cols if 0 < counts[c] <= small]
-    if small_cols:
-        aggs, names = [], []
-        for i, c in enumerate(small_cols):
-            srt = F.array_sort(F.collect_list(_value(c)))
-            for r in sorted({f for _, f, _ in plan[c]} | {k for _, _, k in plan[c]}):
-                names.append((c, r))
-                aggs.append(F.element_at(srt, r + 1).alias(f"v{len(names) - 1}"))
-        got = df.agg(*aggs).first()
-        for j, (c, r) in enumerate(names):
-            values.setdefault(c, {})[r] = got[f"v{j}"]
-    for c in cols:
-        if counts[c] > small:
-            x = _clean(df, c)
-            ranks = sorted({f for _, f, _ in plan[c]} | {k for _, _, k in plan[c]})
-            values[c] = _select(x, counts[c], ranks, small, accuracy)
+                    math.ceil((n - 1) * float(q))) for q in spec[c]]
+        wanted[c] = (n, sorted({f for _, f, _ in plan[c]} | {k for _, _, k in plan[c]}))
+    values = _order_statistics(df, wanted, small, accuracy) if wanted else {}
     out = {}
     for c in cols:
-        if not counts[c]:
+        if c not in plan:
             out[c] = [None] * len(spec[c])
             continue
         v = values[c]
+        # same formula as DuckDB's quantile_cont: lo + (hi - lo) * fraction
         out[c] = [float(v[f]) if f == k else float(v[f] + (v[k] - v[f]) * (rn - f))
                   for rn, f, k in plan[c]]
     return out, counts
+
+
+def exact_quantiles(df: DataFrame, column: str, probs: list[float], *,
+                    small: int = SMALL, accuracy: int = ACCURACY) -> list[float | None]:
+    """Linear-interpolated quantiles of ``column`` (nulls and NaN skipped).
+
+    Returns ``None`` for every probability when no value is present.
+    """
+    out, _ = exact_quantiles_multi(df, {column: list(probs)}, small=small, accuracy=accuracy)
+    return out[column]

@@ -120,3 +120,16 @@ def test_preview_is_ordered_top_n(spark, sf_dir):
     rows = queries()["preview"](spark, sf_dir).collect()
     ids = [r.orderId for r in rows]
     assert ids == sorted(ids) and len(ids) == 20
+
+
+def test_exact_quantiles_multi_columns_share_rounds(spark):
+    rnd = random.Random(5)
+    rows = [(float(rnd.randint(0, 9)), rnd.random() * 100, None if i % 7 == 0 else float(i))
+            for i in range(6000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    spec = {"a": [0.1, 0.5, 0.9], "b": [0.33, 0.66], "c": [0.0, 0.25, 1.0]}
+    got, counts = exact_quantiles_multi(df, spec, small=30, accuracy=50)
+    for col, idx in (("a", 0), ("b", 1), ("c", 2)):
+        vals = np.array([r[idx] for r in rows if r[idx] is not None])
+        assert counts[col] == len(vals)
+        assert got[col] == pytest.approx(list(np.quantile(vals, spec[col])), rel=1e-12)
