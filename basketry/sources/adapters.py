@@ -4,7 +4,7 @@ The operators work on four logical tables (order items, customers, price
 levels, availability). These functions derive them from the Parquet star
 schema with joins and aggregates only, so their cost grows with the data.
 ``FIXTURES.md`` documents every column; DuckDB builds the same views in
-``basketry.plans.oracle``.
+``basketry.plans.oracle_views``.
 
 Join strategy: region and nation have a fixed, tiny size and are broadcast
 explicitly. Customer, part and supplier grow with the data, so the choice is
