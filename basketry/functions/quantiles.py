@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,8 +141,9 @@ def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]], *,
         n = counts[c]
         if not n:
             continue
-        plan[c] = [((n - 1) * float(q), math.floor((n - 1) * float(q)),
-                    math.ceil((n - 1) * float(q))) for q in spec[c]]
+        # exact position (n - 1) * q: no rounding before the interpolation
+        plan[c] = [(rn, math.floor(rn), math.ceil(rn))
+                   for rn in (Fraction(float(q)) * (n - 1) for q in spec[c])]
         wanted[c] = (n, sorted({f for _, f, _ in plan[c]} | {k for _, _, k in plan[c]}))
     values = _order_statistics(df, wanted, small, accuracy) if wanted else {}
     out = {}
@@ -150,8 +152,10 @@ def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]], *,
             out[c] = [None] * len(spec[c])
             continue
         v = values[c]
-        # same formula as DuckDB's quantile_cont: lo + (hi - lo) * fraction
-        out[c] = [float(v[f]) if f == k else float(v[f] + (v[k] - v[f]) * (rn - f))
+        # lo + (hi - lo) * fraction, evaluated exactly and rounded once (DuckDB's
+        # quantile_cont gives the same; plain doubles can differ in the last bit)
+        out[c] = [float(v[f]) if f == k else
+                  float(Fraction(v[f]) + (Fraction(v[k]) - Fraction(v[f])) * (rn - f))
                   for rn, f, k in plan[c]]
     return out, counts
 

@@ -36,6 +36,12 @@ def _money_mean(c: str) -> Column:
     return (F.sum(c).cast("double") / F.count(c)).cast("double")
 
 
+def _fixed_avg(c: str) -> Column:
+    """Mean of a double column summed in fixed point (9 decimals), so the
+    result does not depend on the order in which partitions are combined."""
+    return F.sum(F.col(c).cast("decimal(38,9)")).cast("double") / F.count(c)
+
+
 def summarize_orders(df: DataFrame) -> DataFrame:
     """One row: row count, total revenue, total items, distinct customers.
 
@@ -214,7 +220,7 @@ def order_metrics_by_period_type(items: DataFrame, status: str | None = "F",
         F.count_if(F.col("first_period") == F.col("periodStart")).cast("long").alias("new_customers"),
         F.count_if(F.col("first_period") < F.col("periodStart")).alias("_rec"),
         F.count(F.lit(1)).alias("_n"),
-        F.avg("avg_weeks").alias("avg_weeks"))
+        _fixed_avg("avg_weeks").alias("avg_weeks"))
     cm = cm.select(F.col("periodStart").alias("period_start"),
                    F.col("customerType").alias("customer_type"),
                    "new_customers",
@@ -252,7 +258,7 @@ def order_kpis(items: DataFrame, status: str | None = "F", threshold: float = 10
     ca = cust.agg(F.count_if(F.col("_sel")).alias("new_customers"),
                   F.count(F.lit(1)).alias("_n"),
                   F.count_if(F.col("first_period") < F.lit(min_period).cast("date")).alias("_rec"),
-                  F.avg("avg_weeks").alias("avg_weeks_between"))
+                  _fixed_avg("avg_weeks").alias("avg_weeks_between"))
     both = kp.unionByName(ca, allowMissingColumns=True)
     row = both.agg(*[F.max(c).alias(c) for c in both.columns])
     return row.select(

@@ -146,7 +146,8 @@ FROM (SELECT periodStart AS period_start, customerType AS customer_type,
 LEFT JOIN (SELECT d.periodStart AS period_start, d.customerType AS customer_type,
                   count_if(h.first_period = d.periodStart) AS new_customers,
                   count_if(h.first_period < d.periodStart) * 100.0 / count(*) AS recurring_pct,
-                  avg(h.avg_weeks) AS avg_weeks
+                  CAST(sum(CAST(h.avg_weeks AS DECIMAL(38,9))) AS DOUBLE) / count(h.avg_weeks)
+                      AS avg_weeks
            FROM (SELECT DISTINCT periodStart, customerType, email FROM disp
                  WHERE email IS NOT NULL) d
            LEFT JOIN cust_hist h ON d.email = h.email

@@ -98,7 +98,8 @@ SELECT coalesce(CAST(sum(orderTotal) AS DOUBLE), 0.0) AS revenue,
                          / count(*) END
           FROM (SELECT DISTINCT email FROM disp WHERE email IS NOT NULL) e
           LEFT JOIN cust_hist h USING (email)) AS recurring_pct,
-       (SELECT avg(h.avg_weeks) FROM (SELECT DISTINCT email FROM disp WHERE email IS NOT NULL) e
+       (SELECT CAST(sum(CAST(h.avg_weeks AS DECIMAL(38,9))) AS DOUBLE) / count(h.avg_weeks)
+          FROM (SELECT DISTINCT email FROM disp WHERE email IS NOT NULL) e
           LEFT JOIN cust_hist h USING (email)) AS avg_weeks_between
 FROM disp
 """)

@@ -127,10 +127,23 @@ def _describe_sql() -> str:
         c = f'"{f.name}"'
         if f.dataType.typeName() in ("long", "double", "decimal", "integer"):
             x = f"CAST({c} AS DOUBLE)"
+            sc = 0 if f.dataType.typeName() in ("long", "integer") else (
+                f.dataType.scale if f.dataType.typeName() == "decimal" else None)
+            if sc is None:
+                mean, std = f"avg({x})", f"stddev_samp({x})"
+            else:
+                # exact decimal sums, converted through text (one correct rounding)
+                s1 = f"CAST(CAST(sum(CAST({c} AS DECIMAL(38,{sc}))) AS VARCHAR) AS DOUBLE)"
+                s2 = (f"CAST(CAST(sum(CAST({c} AS DECIMAL(18,{sc})) * CAST({c} AS DECIMAL(18,{sc})))"
+                      f" AS VARCHAR) AS DOUBLE)")
+                n = f"count({c})"
+                mean = f"{s1} / {n}"
+                std = (f"CASE WHEN {n} > 1 THEN sqrt(greatest(({s2} - {s1} * {s1} / {n}) / ({n} - 1), 0.0))"
+                       f" END")
             parts.append(
                 f"SELECT '{f.name}' AS \"column\", CAST(count({c}) AS BIGINT) AS count, "
                 f"CAST(NULL AS BIGINT) AS \"unique\", CAST(NULL AS VARCHAR) AS top, "
-                f"CAST(NULL AS BIGINT) AS freq, avg({x}) AS mean, stddev_samp({x}) AS std, "
+                f"CAST(NULL AS BIGINT) AS freq, {mean} AS mean, {std} AS std, "
                 f"min({x}) AS min, quantile_cont({x}, 0.25) AS p25, quantile_cont({x}, 0.5) AS p50, "
                 f"quantile_cont({x}, 0.75) AS p75, max({x}) AS max FROM order_items")
         else:

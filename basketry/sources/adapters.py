@@ -140,7 +140,8 @@ def price_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region.select(
         F.col("r_regionkey").cast("int").alias("id"),
         F.col("r_name").alias("name"),
-        (F.col("r_regionkey") * F.lit(MARKUP_STEP)).cast("double").alias("markup"),
+        (F.col("r_regionkey").cast("decimal(10,0)") * F.lit(MARKUP_STEP).cast("decimal(4,2)"))
+        .cast("double").alias("markup"),
         (F.col("r_regionkey") == 0).alias("default"),
     )
 

@@ -156,6 +156,15 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
             T.DecimalType)
 
 
+def _exact_scale(t: T.DataType) -> int | None:
+    """Decimal scale for exact sums: integers (0) and decimals with <= 2 places."""
+    if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return 0
+    if isinstance(t, T.DecimalType) and t.scale <= 2 and t.precision <= 18:
+        return t.scale
+    return None
+
+
 def describe_all(df: DataFrame) -> DataFrame:
     """Summary per column: numeric columns get count, mean, std, min, quartiles,
     max; other columns get count, unique, top (most frequent, smallest value
@@ -172,10 +181,24 @@ def describe_all(df: DataFrame) -> DataFrame:
     if num:
         q, _ = exact_quantiles_multi(df, {c: [0.25, 0.5, 0.75] for c in num})
         aggs = []
+        types = {f.name: f.dataType for f in df.schema.fields}
         for i, c in enumerate(num):
-            x = F.col(f"`{c}`").cast("double")
-            aggs += [F.count(F.col(f"`{c}`")).alias(f"c{i}"), F.avg(x).alias(f"a{i}"),
-                     F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
+            raw = F.col(f"`{c}`")
+            x = raw.cast("double")
+            scale = _exact_scale(types[c])
+            if scale is None:
+                mean, std = F.avg(x), F.stddev_samp(x)
+            else:
+                # integers and money: exact decimal sums, one rounding to double,
+                # so the result does not depend on how partitions are combined
+                n = F.count(raw)
+                xd = raw.cast(f"decimal(18,{scale})")
+                s1 = F.sum(raw.cast(f"decimal(38,{scale})")).cast("double")
+                s2 = F.sum(xd * xd).cast("double")
+                mean = s1 / n
+                std = F.when(n > 1, F.sqrt(F.greatest((s2 - s1 * s1 / n) / (n - 1), F.lit(0.0))))
+            aggs += [F.count(raw).alias(f"c{i}"), mean.alias(f"a{i}"),
+                     std.alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
                      F.max(x).alias(f"hi{i}")]
         stats = df.agg(*aggs)
         rows = [F.struct(F.lit(c).alias("column"), F.col(f"c{i}").cast("long").alias("count"),
