@@ -129,17 +129,23 @@ def _describe_sql() -> str:
             x = f"CAST({c} AS DOUBLE)"
             sc = 0 if f.dataType.typeName() in ("long", "integer") else (
                 f.dataType.scale if f.dataType.typeName() == "decimal" else None)
-            if sc is None:
-                mean, std = f"avg({x})", f"stddev_samp({x})"
-            else:
+            def exact(v, scale):
                 # exact decimal sums, converted through text (one correct rounding)
-                s1 = f"CAST(CAST(sum(CAST({c} AS DECIMAL(38,{sc}))) AS VARCHAR) AS DOUBLE)"
-                s2 = (f"CAST(CAST(sum(CAST({c} AS DECIMAL(18,{sc})) * CAST({c} AS DECIMAL(18,{sc})))"
+                s1 = f"CAST(CAST(sum(CAST({v} AS DECIMAL(38,{scale}))) AS VARCHAR) AS DOUBLE)"
+                s2 = (f"CAST(CAST(sum(CAST({v} AS DECIMAL(18,{scale})) * CAST({v} AS DECIMAL(18,{scale})))"
                       f" AS VARCHAR) AS DOUBLE)")
                 n = f"count({c})"
-                mean = f"{s1} / {n}"
-                std = (f"CASE WHEN {n} > 1 THEN sqrt(greatest(({s2} - {s1} * {s1} / {n}) / ({n} - 1), 0.0))"
-                       f" END")
+                return (f"{s1} / {n}",
+                        f"CASE WHEN {n} > 1 THEN sqrt(greatest(({s2} - {s1} * {s1} / {n}) / ({n} - 1), 0.0))"
+                        f" END")
+            if sc is None:
+                whole = f"(NOT isnan({x}) AND {x} = floor({x}) AND abs({x}) < 1e15)"
+                m_ex, s_ex = exact(f"(CASE WHEN {whole} THEN {x} END)", 0)
+                ok = f"count_if({c} IS NOT NULL AND NOT {whole}) = 0"
+                mean = f"CASE WHEN {ok} THEN {m_ex} ELSE avg({x}) END"
+                std = f"CASE WHEN {ok} THEN {s_ex} ELSE stddev_samp({x}) END"
+            else:
+                mean, std = exact(c, sc)
             parts.append(
                 f"SELECT '{f.name}' AS \"column\", CAST(count({c}) AS BIGINT) AS count, "
                 f"CAST(NULL AS BIGINT) AS \"unique\", CAST(NULL AS VARCHAR) AS top, "

@@ -165,6 +165,16 @@ def _exact_scale(t: T.DataType) -> int | None:
     return None
 
 
+def _exact_mean_std(v, scale: int, n):
+    """Mean and sample std from exact decimal sums of ``v`` (one rounding each)."""
+    xd = v.cast(f"decimal(18,{scale})")
+    s1 = F.sum(v.cast(f"decimal(38,{scale})")).cast("double")
+    s2 = F.sum(xd * xd).cast("double")
+    mean = s1 / n
+    std = F.when(n > 1, F.sqrt(F.greatest((s2 - s1 * s1 / n) / (n - 1), F.lit(0.0))))
+    return mean, std
+
+
 def describe_all(df: DataFrame) -> DataFrame:
     """Summary per column: numeric columns get count, mean, std, min, quartiles,
     max; other columns get count, unique, top (most frequent, smallest value
@@ -187,16 +197,17 @@ def describe_all(df: DataFrame) -> DataFrame:
             x = raw.cast("double")
             scale = _exact_scale(types[c])
             if scale is None:
-                mean, std = F.avg(x), F.stddev_samp(x)
+                # doubles: exact when every value is a whole number below 1e15
+                # (decided inside the aggregate), floating statistics otherwise
+                whole = ~F.isnan(x) & (x == F.floor(x)) & (F.abs(x) < F.lit(1e15))
+                m_ex, s_ex = _exact_mean_std(F.when(whole, x), 0, F.count(raw))
+                ok = F.count_if(raw.isNotNull() & ~whole) == 0
+                mean = F.when(ok, m_ex).otherwise(F.avg(x))
+                std = F.when(ok, s_ex).otherwise(F.stddev_samp(x))
             else:
                 # integers and money: exact decimal sums, one rounding to double,
                 # so the result does not depend on how partitions are combined
-                n = F.count(raw)
-                xd = raw.cast(f"decimal(18,{scale})")
-                s1 = F.sum(raw.cast(f"decimal(38,{scale})")).cast("double")
-                s2 = F.sum(xd * xd).cast("double")
-                mean = s1 / n
-                std = F.when(n > 1, F.sqrt(F.greatest((s2 - s1 * s1 / n) / (n - 1), F.lit(0.0))))
+                mean, std = _exact_mean_std(raw, scale, F.count(raw))
             aggs += [F.count(raw).alias(f"c{i}"), mean.alias(f"a{i}"),
                      std.alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
                      F.max(x).alias(f"hi{i}")]
