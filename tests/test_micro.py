@@ -299,3 +299,31 @@ def test_aggregate_orders_function_table(spark):
     assert a.qty_std == pytest.approx(2.0)
     assert a.orderId == 2 and a.orderTotal == 15.0
     assert got["B"].qty_std is None
+
+
+def test_recompute_ratios_per_bin(spark):
+    rows = [(W1, "A", 100.0, 2, 50.0, 0.0, 0, 0.0), (W1, "B", 300.0, 1, 300.0, 0.0, 0, 0.0)]
+    m = spark.createDataFrame(rows, "period_start date, customer_type string, revenue double, "
+                                    "total_orders long, aov double, pct_orders_over double, "
+                                    "new_customers long, recurring_pct double")
+    summed = P.period_comparison(m, "W").first()
+    assert summed.aov == 350.0                      # the reference sums AOV per bin
+    ratio = P.period_comparison(m, "W", recompute_ratios=True).first()
+    assert ratio.aov == pytest.approx(400.0 / 3)
+
+
+def test_segment_profile_unknown_and_actions(spark):
+    seg = spark.createDataFrame([("Champions", 2, 10.0, 5), (None, 1, 1.0, None), ("Odd", 1, 0.0, 3)],
+                                "segment string, totalOrders long, totalSales double, "
+                                "days_since_last_order long")
+    prof = {r.segment: r for r in C.segment_profile(seg).collect()}
+    assert prof["Champions"].suggested_action == C.SEGMENT_ACTIONS["Champions"]
+    assert prof["Unknown"].suggested_action == "" and prof["Odd"].suggested_action == ""
+    assert prof["Unknown"].avg_days_since_last is None
+
+
+def test_clv_histogram_single_value(spark):
+    seg = C.customer_recency(cust(spark, [c_row(i, 5, 400, orders=2, sales=100.0) for i in range(4)]),
+                             AS_OF).withColumn("segment", C.F.lit("X"))
+    hist = C.clv_histogram(C.customer_clv(seg, 12)).collect()
+    assert [(r.bin, r.customers) for r in hist] == [(1, 4)]

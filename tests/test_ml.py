@@ -68,3 +68,14 @@ def test_classification_report_shape(spark):
     n = rep["accuracy"]["support"]
     assert sum(r["support"] for k, r in rep.items() if k not in ("accuracy", "macro avg",
                                                                  "weighted avg")) == n
+
+
+def test_top_lists_skip_untrained_scores(spark):
+    rows = [(i, "Regular", 1.0, 1.0, 5.0, 100.0) for i in range(5)]
+    seg = spark.createDataFrame(rows, "customerId long, segment string, totalOrders double, "
+                                      "totalSales double, days_since_last_order double, "
+                                      "customer_age_days double")
+    res = M.run_customer_ml(seg, num_trees=3, max_depth=2, cross_validate=False)
+    assert res.churn.model is None and res.upgrade.model is None
+    assert M.top_winback(res.scored).count() == 0
+    assert M.score_scatter(res.scored).count() == 0
