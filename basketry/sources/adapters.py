@@ -48,10 +48,10 @@ def _producer(s_suppkey: F.Column, s_name: F.Column) -> F.Column:
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order item; order money only on one row of each order.
 
-    The per-order subtotal and the carrier row come from one partial
-    aggregate on ``l_orderkey`` (map-side combine, so a huge order does not
-    land in one task), joined back on the same key as ``orders``: lineitem is
-    shuffled once for both joins.
+    The per-order subtotal and the carrier row (the largest line tuple) come
+    from one partial aggregate on ``l_orderkey`` (map-side combine, so a huge
+    order does not land in one task), joined back on the order key together
+    with the customer-enriched orders: both joins share one partitioning.
     """
     li = read_table(spark, sf_dir, "lineitem")
     orders = read_table(spark, sf_dir, "orders")
