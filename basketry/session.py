@@ -49,7 +49,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as is. Only when nothing is configured (tests, local runs) a fresh folder
     under the system temp directory is created and registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:                    # Spark Connect: no SparkContext on the client
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        return current or tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
@@ -60,6 +64,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+def app_id(spark: SparkSession) -> str:
+    """Identifier of the running application (for per-application caches)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:
+        return spark.conf.get("spark.app.id", "app")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

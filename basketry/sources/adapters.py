@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions.cleaning import week_start
+from basketry.session import app_id
 from basketry.sources.tables import read_table
 
 # Fixed values of the fixture design (see FIXTURES.md).
@@ -192,7 +193,7 @@ _LANDED: dict[tuple, str] = {}
 
 def _landed(spark: SparkSession, name: str, sf_dir: str, build, partition_by=None) -> DataFrame:
     from basketry.session import scratch_path
-    key = (spark.sparkContext.applicationId, name, sf_dir)
+    key = (app_id(spark), name, sf_dir)
     if key not in _LANDED:
         path = scratch_path(spark, f"adapter-{name}")
         w = build(spark, sf_dir).write.mode("overwrite")
@@ -217,4 +218,4 @@ def landed_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landed_path(spark: SparkSession, name: str, sf_dir: str) -> str:
-    return _LANDED[(spark.sparkContext.applicationId, name, sf_dir)]
+    return _LANDED[(app_id(spark), name, sf_dir)]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketry.functions.quantiles import exact_quantiles_multi
-from basketry.session import scratch_path
+from basketry.session import app_id, scratch_path
 
 CSV_OPTIONS = {"header": "true", "ignoreLeadingWhiteSpace": "false",
                "ignoreTrailingWhiteSpace": "false", "nullValue": "", "emptyValue": "\"\""}
@@ -92,7 +92,7 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
 def land(spark: SparkSession, df: DataFrame, name: str, key: tuple,
          partition_by: list[str] | None = None) -> str:
     """Write ``df`` once per session as Parquet under the checkpoint folder."""
-    k = (spark.sparkContext.applicationId, name) + tuple(key)
+    k = (app_id(spark), name) + tuple(key)
     if k not in _LANDED:
         path = scratch_path(spark, f"landed-{name}")
         w = df.write.mode("overwrite")
