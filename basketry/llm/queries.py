@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import exact_dedup, mixing
+from basketry.llm import exact_dedup, mixing, packing
 from basketry.llm.common import bounded_batches
 from basketry.sources.tables import read_table
 
@@ -30,6 +30,19 @@ def op1_mix(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op5_pack(spark, sf_dir):
+    """Every document's tokens in sequences of at most 2048."""
+    out = packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                      "sequence_id", "offset")
+
+
 @query
 def op10_exact_dedup(spark, sf_dir):
     """Every document with its group of equal texts and the one that stays."""
