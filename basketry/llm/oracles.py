@@ -46,3 +46,40 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
+
+
+def _license_sql() -> str:
+    from basketry.llm.license_scan import PHRASES, TEMPLATES, make_templates
+
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES.items())
+    templates = ", ".join(f"({t.label!r}, {list(t.words)!r}, {t.needed})" for t in make_templates(TEMPLATES, 0.9))
+    return rf"""
+WITH phrases(words, label) AS (VALUES {phrases}),
+templates(label, words, needed) AS (VALUES {templates}),
+d AS (SELECT row_number() OVER () AS r, doc_id,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower
+      FROM documents),
+w AS (SELECT r, doc_id, lower, regexp_extract_all(lower, '{word}') AS words FROM d),
+places AS (
+  SELECT r, label, unnest(list_filter(range(len(w.words)), lambda i: w.words[i + 1:i + len(p.words)] = p.words)) AS place
+  FROM w, phrases p),
+base AS (SELECT r, count(*) AS n, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels
+         FROM places GROUP BY r),
+blocks AS (SELECT r, regexp_extract_all(b, '{word}') AS words
+           FROM (SELECT r, unnest(string_split(lower, chr(10))) AS b FROM d)),
+found AS (
+  SELECT r, list(DISTINCT label) AS labels, max(common / size) AS score
+  FROM (SELECT r, label, needed, len(t.words) AS size, len(list_distinct(list_intersect(t.words, b.words))) AS common
+        FROM blocks b, templates t WHERE len(b.words) >= needed)
+  WHERE common >= needed GROUP BY r)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base,
+       base.first_word::BIGINT AS first_word, base.last_word::BIGINT AS last_word,
+       coalesce(list_aggregate(list_sort(base.labels), 'string_agg', ','), '') AS base_labels,
+       coalesce(list_aggregate(list_sort(list_distinct(list_concat(base.labels, found.labels))), 'string_agg', ','), '') AS labels,
+       CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(found.score, 0.0) END::DOUBLE AS score
+FROM w LEFT JOIN base USING (r) LEFT JOIN found USING (r)
+"""
+
+
+ORACLES["op8_license_scan"] = _license_sql()

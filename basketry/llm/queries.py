@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import exact_dedup, mixing, packing
+from basketry.llm import exact_dedup, license_scan, mixing, packing
 from basketry.llm.common import bounded_batches
 from basketry.sources.tables import read_table
 
@@ -43,6 +43,13 @@ def op5_pack(spark, sf_dir):
                       "sequence_id", "offset")
 
 
+@query
+def op8_license_scan(spark, sf_dir):
+    """License labels of every document, by phrase and by containment of notices."""
+    out = license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 @query
 def op10_exact_dedup(spark, sf_dir):
     """Every document with its group of equal texts and the one that stays."""
