@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import exact_dedup, license_scan, mixing, packing
+from basketry.llm import exact_dedup, license_scan, mixing, packing, pii
 from basketry.llm.common import bounded_batches
 from basketry.sources.tables import read_table
 
@@ -43,6 +43,16 @@ def op5_pack(spark, sf_dir):
                       "sequence_id", "offset")
 
 
+@query
+def op7_pii(spark, sf_dir):
+    """Every document's text with personal data pseudonymised, and how many values of each kind it held."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.pseudonymise(docs, key="corpus-key-1")
+    kinds = F.col("pii_kinds")
+    count = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", F.size(kinds).cast("long").alias("n_values"), *count, "text")
+
+
 @query
 def op8_license_scan(spark, sf_dir):
     """License labels of every document, by phrase and by containment of notices."""
