@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import exact_dedup, license_scan, mixing, packing, pii
+from basketry.llm import exact_dedup, license_scan, mixing, packing, pii, quality
 from basketry.llm.common import bounded_batches
 from basketry.sources.tables import read_table
 
@@ -30,6 +30,14 @@ def op1_mix(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+@query
+def op2_quality(spark, sf_dir):
+    """Every document's quality figures, base rule and verdict by weak supervision."""
+    out = quality.judge(read_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                      "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
