@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import exact_dedup, license_scan, mixing, packing, pii, quality
+from basketry.llm import exact_dedup, langid, license_scan, mixing, packing, pii, quality
 from basketry.llm.common import bounded_batches
 from basketry.sources.tables import read_table
 
@@ -38,6 +38,17 @@ def op2_quality(spark, sf_dir):
                       "n_repeat_words", "base_failed", "kept", "quality")
 
 
+@query
+def op4_langid(spark, sf_dir):
+    """The language of every document, learnt from those whose crc32(doc_id) mod 4 is not 2."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    filters = langid.train(docs.where(~held_out))
+    out = langid.predict(docs.select("doc_id", "text"), filters)
+    return out.select("doc_id", held_out.alias("held_out"), F.col("prediction.lang").alias("lang_pred"),
+                      F.col("prediction.score").alias("score"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
