@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import exact_dedup, langid, license_scan, mixing, packing, pii, quality
+from basketry.llm import exact_dedup, langid, license_scan, mixing, packing, pii, quality, warc
 from basketry.llm.common import bounded_batches
+from basketry.session import scratch_path
 from basketry.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +80,17 @@ def op8_license_scan(spark, sf_dir):
     return out.withColumnRenamed("id", "doc_id")
 
 
+@query
+def op9_warc(spark, sf_dir):
+    """Every page's record as read back from the archives, in order of URL key and capture time."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    # the table has no capture time: one second a page from a fixed start
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0)))
+    pages = pages.withColumn("captured_at", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    out = warc.archive_pages(spark, pages, scratch_path(spark, "warc"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op10_exact_dedup(spark, sf_dir):
     """Every document with its group of equal texts and the one that stays."""
