@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import exact_dedup, langid, license_scan, mixing, packing, pii, quality, warc
+from basketry.llm import exact_dedup, langid, license_scan, mixing, near_dedup, packing, pii, quality, warc
 from basketry.llm.common import bounded_batches
 from basketry.session import scratch_path
 from basketry.sources.tables import read_table
@@ -39,6 +39,13 @@ def op2_quality(spark, sf_dir):
                       "n_repeat_words", "base_failed", "kept", "quality")
 
 
+@query
+def op3_near_dedup(spark, sf_dir):
+    """Every document with the component of documents linked by 2-word shingles."""
+    out = near_dedup.near_groups(read_table(spark, sf_dir, "documents"), config=near_dedup.NearConfig(shingle=2))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 @query
 def op4_langid(spark, sf_dir):
     """The language of every document, learnt from those whose crc32(doc_id) mod 4 is not 2."""
