@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import exact_dedup, langid, license_scan, mixing, near_dedup, packing, pii, quality, warc
+from basketry.llm import exact_dedup, langid, license_scan, mixing, near_dedup, packing, pii, quality, substring_dedup, warc
 from basketry.llm.common import bounded_batches
 from basketry.session import scratch_path
 from basketry.sources.tables import read_table
@@ -70,6 +70,14 @@ def op5_pack(spark, sf_dir):
                       "sequence_id", "offset")
 
 
+@query
+def op6_substring_dedup(spark, sf_dir):
+    """Every document without the words of 20-word windows that start earlier in the corpus."""
+    out = substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed",
+                      F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query
 def op7_pii(spark, sf_dir):
     """Every document's text with personal data pseudonymised, and how many values of each kind it held."""
