@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import WordHashes, ascii_lower, cut, mix64
+from basketry.llm.common import WordHashes, ascii_lower, cut, mix64, text_or_empty
 from basketry.llm.components import connected_components
 
 BROADCAST_IDS = 200_000
@@ -241,9 +241,9 @@ def node_components(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str,
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 config: NearConfig = NearConfig()) -> DataFrame:
-    """One row per row of ``df``: id, n_shingles, component_id, kept."""
-    rows = cut(df.select(F.col(id_col).cast("long").alias("id"), signatures(text_col, config).alias("s"))
-               .select("id", "s.*"))
+    """One row per row of ``df``: id, n_shingles, component_id, kept, text_key (a hash of the text)."""
+    rows = cut(df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("text_key"),
+                         signatures(text_col, config).alias("s")).select("id", "text_key", "s.*"))
     nodes = cut(rows.where(F.col("digest").isNotNull()).groupBy("digest")
                 .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"),
                      F.count(F.lit(1)).alias("copies"))
@@ -254,8 +254,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = of.groupBy("root").agg(F.min("id").alias("component_id"), F.sum("copies").alias("size"))
     # a document alone in its component needs no lookup
     named = of.join(least.where("size > 1"), "root").select("digest", "component_id")
-    out = rows.select("id", F.col("n").alias("n_shingles"), "digest").join(
+    out = rows.select("id", "text_key", F.col("n").alias("n_shingles"), "digest").join(
         named.withColumn("grouped", F.lit(True)), "digest", "left")
     component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("id"))
     return out.select("id", "n_shingles", component.alias("component_id"),
-                      F.col("id").eqNullSafe(component).alias("kept"))
+                      F.col("id").eqNullSafe(component).alias("kept"), "text_key")

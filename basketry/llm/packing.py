@@ -257,3 +257,9 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"),
                      F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(pack, PIECES)
+
+
+def piece_digests(pieces: DataFrame) -> DataFrame:
+    """Pieces with the CRC-32 of their ids instead of the ids."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm import exact_dedup, langid, license_scan, mixing, near_dedup, packing, pii, quality, substring_dedup, warc
 from basketry.llm.common import bounded_batches
+from basketry.llm.stages import tokenizer_path
 from basketry.session import scratch_path
 from basketry.sources.tables import read_table
 
@@ -43,7 +44,7 @@ def op2_quality(spark, sf_dir):
 def op3_near_dedup(spark, sf_dir):
     """Every document with the component of documents linked by 2-word shingles."""
     out = near_dedup.near_groups(read_table(spark, sf_dir, "documents"), config=near_dedup.NearConfig(shingle=2))
-    return out.withColumnRenamed("id", "doc_id")
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 @query
@@ -57,17 +58,10 @@ def op4_langid(spark, sf_dir):
                       F.col("prediction.score").alias("score"))
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 @query
 def op5_pack(spark, sf_dir):
     """Every document's tokens in sequences of at most 2048."""
-    out = packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
-    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
-                      "sequence_id", "offset")
+    return packing.piece_digests(packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 @query

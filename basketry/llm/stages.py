@@ -1,21 +1,60 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame with the columns of docs."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame.
+
+All but the last return the columns of ``docs``. Texts stay where they are
+read: a stage finds out from narrow rows which rows go, and the few that go
+are looked up by (id, hash of the text).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import exact_dedup, mixing
+from basketry.llm import exact_dedup, mixing, near_dedup, packing, quality
+from basketry.llm.common import cut, text_or_empty
+
+BROADCAST_ROWS = 200_000
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
+    """``docs`` without the rows of ``dropped`` (id, key).
+
+    The dropped rows are broadcast if counting shows them few; beyond that the
+    join is a shuffle on the id.
+    """
+    dropped = cut(dropped.select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct())
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule or are probably bad by the rules' votes go."""
+    return quality.filter_documents(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts only the document with the largest id stays."""
-    dropped = exact_dedup.dedup_documents(docs).where(~F.col("kept")).select(
-        F.col("id").alias("__id"), F.col("digest").alias("__digest"))
-    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["__id"]) & (digest == dropped["__digest"]), "left_anti")
+    dropped = exact_dedup.dedup_documents(docs).where(~F.col("kept")).select("id", F.col("digest").alias("key"))
+    return without(docs, dropped, F.unhex(F.sha2(text_or_empty("text"), 256)))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document with the smallest id stays."""
+    dropped = near_dedup.near_groups(docs).where(~F.col("kept")).select("id", F.col("text_key").alias("key"))
+    return without(docs, dropped, F.xxhash64(text_or_empty("text")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that the sources reach their target weights."""
     return mixing.mix_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens, as in the packing query."""
+    return packing.piece_digests(packing.pack_documents(docs, tokenizer_path()))

@@ -17,8 +17,11 @@ from basketry.session import scratch_path
 from basketry.sources.tables import read_table
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", stages.quality_rules),
     ("exact_dedup", stages.exact),
+    ("near_dedup", stages.near),
     ("source_mix", stages.mix),
+    ("packing", stages.pack),
 ]
 
 # packing needs the tokenizer, which SQL does not have; tests compare with a brute-force version
