@@ -25,9 +25,10 @@ def strip_ws(c: str | Column) -> Column:
 def to_number(c: str | Column, default: float | None = 0.0) -> Column:
     """``pd.to_numeric(errors="coerce").fillna(default)``: bad text becomes default.
 
-    NaN counts as missing, like pandas ``fillna``.
+    Numbers are converted as they are, only text is parsed. NaN counts as
+    missing, like pandas ``fillna``.
     """
-    x = _c(c).cast("string").try_cast("double")
+    x = _c(c).try_cast("double")
     x = F.nanvl(x, F.lit(None).cast("double"))
     return x if default is None else F.coalesce(x, F.lit(float(default)))
 
@@ -35,10 +36,11 @@ def to_number(c: str | Column, default: float | None = 0.0) -> Column:
 def to_timestamp_lenient(c: str | Column) -> Column:
     """``pd.to_datetime(errors="coerce")`` for ISO text or typed input.
 
-    The result is a wall-clock timestamp without time zone (like the naive
-    pandas result); text that does not parse becomes null.
+    The result is a wall-clock timestamp without time zone, in UTC: an offset
+    in the text is applied (the session time zone is UTC). Text that does not
+    parse becomes null.
     """
-    return _c(c).try_cast("timestamp_ntz")
+    return _c(c).try_cast("timestamp").cast("timestamp_ntz")
 
 
 def floor_days_between(later: Column, earlier: str | Column) -> Column:

@@ -7,19 +7,22 @@ of the column in the single task that finishes a global aggregate, which does
 not hold on a very large table.
 
 Here the needed order statistics are found by narrowing, for all requested
-columns and ranks at once:
-
-1. ``percentile_approx`` (a fixed-size sketch merged map-side) brackets each
-   wanted rank by two values whose rank error is bounded by the accuracy.
-2. One counting pass measures, per bracket, the rows below it, the tie block
-   on each end and the rows strictly inside. A rank on a tie block is
-   answered at once (heavy ties never stall the search); otherwise only the
-   rows strictly inside (about ``6 n / accuracy``) are searched again.
-3. Once a search space holds at most ``small`` values, one final pass sorts
-   each such space inside one task and returns only the wanted elements.
-
-Every round is two Spark jobs whatever the number of columns, and only a
-handful of numbers ever reach the driver.
+columns and ranks at once, in one way at every size:
+
+1. ``percentile_approx`` (a fixed-size sketch merged map-side) estimates each
+   wanted rank and brackets it by two values whose rank error is bounded by
+   the accuracy.
+2. One counting pass measures the rows below the bracket, between its values
+   and the tie block on each of them. A rank on a tie block is answered at
+   once (heavy ties never stall the search, and columns shorter than the
+   accuracy end in the first round); otherwise only the rows strictly between
+   two of the values (about ``2 n / accuracy``) are searched again.
+3. Where a sketch misses, the bracket is widened up to the smallest and largest
+   value, which cannot miss. Every round takes at least its end values out of
+   the space, so the search ends.
+
+Every round is two Spark jobs whatever the number of columns, no task keeps
+more than the sketches, and only a handful of numbers ever reach the driver.
 """
 
 from __future__ import annotations
@@ -31,9 +34,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 1_000_000   # values sorted inside one task at most (per column)
 ACCURACY = 10_000
-MAX_ROUNDS = 16
 
 
 def _value(column: str) -> Column:
@@ -62,72 +63,69 @@ class _Search:
         return cond
 
 
-def _final_pass(df: DataFrame, searches: list[_Search]) -> None:
-    """Sort each remaining (small) space in one task; read the wanted element."""
-    aggs = []
-    for i, s in enumerate(searches):
-        srt = F.array_sort(F.collect_list(F.when(s.inside(), _value(s.column))))
-        aggs.append(F.element_at(srt, s.rank + 1).alias(f"v{i}"))
-    row = df.agg(*aggs).first()
-    for i, s in enumerate(searches):
-        s.value, s.done = row[f"v{i}"], True
-
-
 def _narrow_round(df: DataFrame, searches: list[_Search], accuracy: int) -> None:
     """One sketch pass and one counting pass for every open search."""
     sketch = []
     for i, s in enumerate(searches):
-        p = s.rank / (s.n - 1)
-        probs = [max(0.0, p - s.eps), min(1.0, p + s.eps)]
-        sketch.append(F.percentile_approx(F.when(s.inside(), _value(s.column)), probs,
-                                          accuracy).alias(f"b{i}"))
-    bounds = df.agg(*sketch).first()
-    counts = []
+        p = (s.rank + 0.5) / s.n          # the smallest value with this share of rows has the rank
+        probs = [max(0.0, p - s.eps), p, min(1.0, p + s.eps)]
+        inside = F.when(s.inside(), _value(s.column))
+        sketch += [F.percentile_approx(inside, probs, accuracy).alias(f"b{i}"),
+                   F.min(inside).alias(f"min{i}"), F.max(inside).alias(f"max{i}")]
+    found = df.agg(*sketch).first()
+    points, counts = [], []
     for i, s in enumerate(searches):
-        lo, hi = bounds[f"b{i}"]
+        b = [*found[f"b{i}"]]
+        if s.eps >= 0.5:
+            b += [found[f"min{i}"], found[f"max{i}"]]
+        points.append(sorted(set(b)))
         v, inside = _value(s.column), s.inside()
-        counts += [F.count_if(inside & (v < lo)).alias(f"below{i}"),
-                   F.count_if(inside & (v == lo)).alias(f"eqlo{i}"),
-                   F.count_if(inside & (v > lo) & (v < hi)).alias(f"mid{i}"),
-                   F.count_if(inside & (v == hi) & F.lit(hi != lo)).alias(f"eqhi{i}")]
+        counts.append(F.count_if(inside & (v < points[i][0])).alias(f"below{i}"))
+        for k, x in enumerate(points[i]):
+            counts.append(F.count_if(inside & (v == x)).alias(f"on{i}_{k}"))
+            if k + 1 < len(points[i]):
+                counts.append(F.count_if(inside & (v > x) & (v < points[i][k + 1])).alias(f"to{i}_{k}"))
     c = df.agg(*counts).first()
     for i, s in enumerate(searches):
-        lo, hi = bounds[f"b{i}"]
-        below, eqlo, mid, eqhi = (c[f"below{i}"], c[f"eqlo{i}"], c[f"mid{i}"], c[f"eqhi{i}"])
-        r = s.rank
-        if not below <= r < below + eqlo + mid + eqhi:
-            s.eps *= 4                   # the sketch missed: widen and retry
-            if s.eps >= 1:
-                raise RuntimeError("quantile bracket did not cover the wanted rank")
-        elif r < below + eqlo:
-            s.value, s.done = lo, True
-        elif r >= below + eqlo + mid:
-            s.value, s.done = hi, True
-        else:
-            s.lo, s.hi, s.n, s.rank = lo, hi, mid, r - below - eqlo
-            s.eps = 2.0 / accuracy
+        at = s.rank - c[f"below{i}"]
+        hit = False
+        for k, x in enumerate(points[i] if at >= 0 else []):
+            if at < c[f"on{i}_{k}"]:
+                s.value, s.done, hit = x, True, True
+                break
+            at -= c[f"on{i}_{k}"]
+            if k + 1 < len(points[i]):
+                if at < c[f"to{i}_{k}"]:
+                    s.lo, s.hi, s.n, s.rank, s.eps = x, points[i][k + 1], c[f"to{i}_{k}"], at, 1.0 / accuracy
+                    hit = True
+                    break
+                at -= c[f"to{i}_{k}"]
+        if not hit:
+            s.eps *= 8                   # the sketch missed: widen and retry
 
 
 def _order_statistics(df: DataFrame, wanted: dict[str, tuple[int, list[int]]],
-                      small: int, accuracy: int) -> dict[str, dict[int, float]]:
+                      accuracy: int) -> dict[str, dict[int, float]]:
     """``{column: (n, ranks)}`` -> ``{column: {rank: value}}`` (0-based ranks)."""
-    searches = {(c, r): _Search(c, r, n, eps=2.0 / accuracy)
+    searches = {(c, r): _Search(c, r, n, eps=1.0 / accuracy)
                 for c, (n, ranks) in wanted.items() for r in ranks}
-    for _ in range(MAX_ROUNDS):
-        big = [s for s in searches.values() if not s.done and s.n > small]
-        if not big:
-            break
-        _narrow_round(df, big, accuracy)
-    else:
-        raise RuntimeError("quantile search did not converge")
-    rest = [s for s in searches.values() if not s.done]
-    if rest:
-        _final_pass(df, rest)
+    while todo := [s for s in searches.values() if not s.done]:
+        _narrow_round(df, todo, accuracy)
     return {c: {r: searches[(c, r)].value for r in ranks} for c, (_, ranks) in wanted.items()}
 
 
+def _between(a: float, b: float, t: Fraction) -> float:
+    """a + (b - a) * t, evaluated exactly and rounded once (DuckDB's quantile_cont gives the
+    same; plain doubles can differ in the last bit). An infinite end with a share wins."""
+    if a == b or not t:
+        return float(a)
+    if math.isinf(a) or math.isinf(b):
+        return float(a + b)              # opposite infinities: NaN
+    return float(Fraction(a) + (Fraction(b) - Fraction(a)) * t)
+
+
 def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]], *,
-                          small: int = SMALL, accuracy: int = ACCURACY
+                          accuracy: int = ACCURACY
                           ) -> tuple[dict[str, list[float | None]], dict[str, int]]:
     """Quantiles of several columns: one counting pass, then the shared search.
 
@@ -145,26 +143,22 @@ def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]], *,
         plan[c] = [(rn, math.floor(rn), math.ceil(rn))
                    for rn in (Fraction(float(q)) * (n - 1) for q in spec[c])]
         wanted[c] = (n, sorted({f for _, f, _ in plan[c]} | {k for _, _, k in plan[c]}))
-    values = _order_statistics(df, wanted, small, accuracy) if wanted else {}
+    values = _order_statistics(df, wanted, accuracy) if wanted else {}
     out = {}
     for c in cols:
         if c not in plan:
             out[c] = [None] * len(spec[c])
             continue
         v = values[c]
-        # lo + (hi - lo) * fraction, evaluated exactly and rounded once (DuckDB's
-        # quantile_cont gives the same; plain doubles can differ in the last bit)
-        out[c] = [float(v[f]) if f == k else
-                  float(Fraction(v[f]) + (Fraction(v[k]) - Fraction(v[f])) * (rn - f))
-                  for rn, f, k in plan[c]]
+        out[c] = [_between(v[f], v[k], rn - f) for rn, f, k in plan[c]]
     return out, counts
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: list[float], *,
-                    small: int = SMALL, accuracy: int = ACCURACY) -> list[float | None]:
+                    accuracy: int = ACCURACY) -> list[float | None]:
     """Linear-interpolated quantiles of ``column`` (nulls and NaN skipped).
 
     Returns ``None`` for every probability when no value is present.
     """
-    out, _ = exact_quantiles_multi(df, {column: list(probs)}, small=small, accuracy=accuracy)
+    out, _ = exact_quantiles_multi(df, {column: list(probs)}, accuracy=accuracy)
     return out[column]

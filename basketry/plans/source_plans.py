@@ -44,13 +44,16 @@ def q_csv_sink(spark, sf):
 
 
 def _nested_orders(spark, sf):
-    """One nested JSON record per order item: id, customer{name,type}, items[...]."""
-    items = landed_order_items(spark, sf)
-    doc = items.select(
-        F.col("orderId").alias("id"),
-        F.struct(F.col("customerName").alias("name"), F.col("customerType").alias("type"))
-        .alias("customer"),
-        F.array(F.struct(F.col("productName").alias("product"), F.col("qty"))).alias("items"))
+    """One nested JSON record per order: id, customer{name,type}, items[...].
+
+    Orders without items have an empty list. An order's list is bounded by
+    the format: a JSON record is read whole.
+    """
+    items = landed_order_items(spark, sf).where(F.col("orderId").isNotNull())
+    entry = F.when(F.col("itemOrder").isNotNull(), F.struct(F.col("productName").alias("product"), F.col("qty")))
+    doc = items.groupBy(F.col("orderId").alias("id")).agg(
+        F.struct(F.max("customerName").alias("name"), F.max("customerType").alias("type")).alias("customer"),
+        F.collect_list(entry).alias("items"))
     path = scratch_path(spark, "json-orders")
     doc.write.mode("overwrite").json(path)
     return S.read_json(spark, path, doc.schema)
@@ -59,7 +62,7 @@ def _nested_orders(spark, sf):
 @register("json_flatten", """
 SELECT productName AS product, qty, orderId AS id, customerName AS "customer.name",
        customerType AS "customer.type"
-FROM order_items
+FROM order_items WHERE orderId IS NOT NULL AND itemOrder IS NOT NULL
 """)
 def q_json_flatten(spark, sf):
     return S.json_flatten(_nested_orders(spark, sf), record_path="items",
@@ -125,35 +128,17 @@ def _describe_sql() -> str:
     parts = []
     for f in ORDER_ITEMS.fields:
         c = f'"{f.name}"'
-        if f.dataType.typeName() in ("long", "double", "decimal", "integer"):
+        kind = f.dataType.typeName()
+        if kind in ("long", "double", "decimal", "integer"):
             x = f"CAST({c} AS DOUBLE)"
-            sc = 0 if f.dataType.typeName() in ("long", "integer") else (
-                f.dataType.scale if f.dataType.typeName() == "decimal" else None)
-            def exact(v, scale):
-                # exact decimal sums, converted through text (one correct rounding)
-                s1 = f"CAST(CAST(sum(CAST({v} AS DECIMAL(38,{scale}))) AS VARCHAR) AS DOUBLE)"
-                s2 = (f"CAST(CAST(sum(CAST({v} AS DECIMAL(18,{scale})) * CAST({v} AS DECIMAL(18,{scale})))"
-                      f" AS VARCHAR) AS DOUBLE)")
-                n = f"count({c})"
-                return (f"{s1} / {n}",
-                        f"CASE WHEN {n} > 1 THEN sqrt(greatest(({s2} - {s1} * {s1} / {n}) / ({n} - 1), 0.0))"
-                        f" END")
-            if sc is None:
-                whole = f"(NOT isnan({x}) AND {x} = floor({x}) AND abs({x}) < 1e15)"
-                m_ex, s_ex = exact(f"(CASE WHEN {whole} THEN {x} END)", 0)
-                ok = f"count_if({c} IS NOT NULL AND NOT {whole}) = 0"
-                mean = f"CASE WHEN {ok} THEN {m_ex} ELSE avg({x}) END"
-                std = f"CASE WHEN {ok} THEN {s_ex} ELSE stddev_samp({x}) END"
-            else:
-                mean, std = exact(c, sc)
             parts.append(
                 f"SELECT '{f.name}' AS \"column\", CAST(count({c}) AS BIGINT) AS count, "
                 f"CAST(NULL AS BIGINT) AS \"unique\", CAST(NULL AS VARCHAR) AS top, "
-                f"CAST(NULL AS BIGINT) AS freq, {mean} AS mean, {std} AS std, "
+                f"CAST(NULL AS BIGINT) AS freq, round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS std, "
                 f"min({x}) AS min, quantile_cont({x}, 0.25) AS p25, quantile_cont({x}, 0.5) AS p50, "
                 f"quantile_cont({x}, 0.75) AS p75, max({x}) AS max FROM order_items")
         else:
-            v = f"strftime({c}, '%Y-%m-%d')" if f.dataType.typeName() == "date" else c
+            v = f"strftime({c}, '%Y-%m-%d')" if kind == "date" else c
             parts.append(
                 f"SELECT '{f.name}' AS \"column\", CAST(coalesce(sum(n), 0) AS BIGINT) AS count, "
                 f"CAST(count(*) AS BIGINT) AS \"unique\", arg_min(v, (-n, v)) AS top, "
@@ -166,9 +151,16 @@ def _describe_sql() -> str:
 
 @register("describe_all", _describe_sql())
 def q_describe_all(spark, sf):
-    return S.describe_all(landed_order_items(spark, sf))
+    """Mean and deviation to six places: engines differ in the last bits of a double sum."""
+    return S.describe_all(landed_order_items(spark, sf)).withColumns(
+        {c: F.round(c, 6) for c in ("mean", "std")})
 
 
-@register("describe_types")
+_SQL_TYPES = {"long": "bigint", "integer": "int", "decimal": "decimal(18,2)"}
+
+
+@register("describe_types", "\nUNION ALL\n".join(
+    f"SELECT '{f.name}' AS \"column\", '{_SQL_TYPES.get(f.dataType.typeName(), f.dataType.typeName())}' AS type, "
+    f"CAST(count(\"{f.name}\") AS BIGINT) AS non_null FROM order_items" for f in ORDER_ITEMS.fields))
 def q_describe_types(spark, sf):
-    return S.describe_types(spark, landed_order_items(spark, sf))
+    return S.describe_types(landed_order_items(spark, sf))

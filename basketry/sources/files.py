@@ -8,15 +8,24 @@ Parquet scan (row-group statistics, partition pruning).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketry.functions.quantiles import exact_quantiles_multi
+from basketry.schemas import require_columns
 from basketry.session import app_id, scratch_path
 
-CSV_OPTIONS = {"header": "true", "ignoreLeadingWhiteSpace": "false",
-               "ignoreTrailingWhiteSpace": "false", "nullValue": "", "emptyValue": "\"\""}
+# RFC 4180: quotes are doubled, a quoted value may hold separators and line ends.
+# An empty field is null, a quoted empty one is the empty string.
+_CSV = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false"}
+CSV_WRITE = _CSV | {"nullValue": "", "emptyValue": '""', "lineSep": "\n"}
+_NULL = "\u0001null\u0001"      # what the reader puts for an empty field
+CSV_READ = _CSV | {"nullValue": _NULL, "emptyValue": "", "multiLine": "true"}
 
 _LANDED: dict[tuple, str] = {}
 
@@ -25,15 +34,22 @@ _LANDED: dict[tuple, str] = {}
 
 def csv_sink(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Write a headered CSV folder (one file per task; parents are created)."""
-    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
+    df.write.mode(mode).options(**CSV_WRITE).csv(path)
     return path
 
 
 def csv_scan(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Read a headered CSV; with no schema the types are inferred (one extra pass)."""
-    reader = spark.read.options(**CSV_OPTIONS)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
-    return reader.csv(path)
+    """Read headered CSV files; with no schema the types are inferred (one extra pass).
+
+    With a schema the columns are found by their names in the header, in any
+    order; a value that doesn't parse is null, a missing column an error.
+    Values may hold line ends, so one file is read by one task: large inputs
+    should come as many files.
+    """
+    if schema is None:
+        return spark.read.options(**CSV_READ).option("inferSchema", "true").csv(path)
+    text = require_columns(spark.read.options(**CSV_READ).csv(path), schema.names)
+    return text.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 # -- nested JSON -------------------------------------------------------------
@@ -138,7 +154,7 @@ def availability_source(spark: SparkSession, path: str, levels: DataFrame,
     if price_level_id:
         return df.where(F.col("priceLevel") == F.lit(int(price_level_id)))
     default = levels.where(F.col("default")).select(F.col("id").alias("priceLevel"))
-    return df.join(F.broadcast(default), "priceLevel", "left_semi")
+    return df.join(default, "priceLevel", "left_semi")
 
 
 # -- previews and summaries -----------------------------------------------------
@@ -148,31 +164,52 @@ def preview(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> Dat
     return df.orderBy(*(order_by or df.columns[:1])).limit(n)
 
 
-def describe_types(spark: SparkSession, df: DataFrame) -> DataFrame:
-    return spark.createDataFrame([(c, t) for c, t in df.dtypes], "column string, type string")
+def describe_types(df: DataFrame) -> DataFrame:
+    """(column, type, non_null): the type of each column and how many rows have a value."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(f"c{i}").alias("non_null"))
+            for i, (c, t) in enumerate(df.dtypes)]
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType)
+_LIMB = 10 ** 9
 
 
-def _exact_scale(t: T.DataType) -> int | None:
-    """Decimal scale for exact sums: integers (0) and decimals with <= 2 places."""
+def _scale(t: T.DataType) -> int | None:
+    """Digits after the point of whole numbers and decimals of up to 18 digits, whose sums are exact."""
     if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return 0
-    if isinstance(t, T.DecimalType) and t.scale <= 2 and t.precision <= 18:
-        return t.scale
-    return None
+    return t.scale if isinstance(t, T.DecimalType) and t.precision <= 18 else None
+
 
+def _exact_sums(x: Column, scale: int, i: int) -> list[Column]:
+    """Sums that give the exact sum and sum of squares of a column's unscaled values.
 
-def _exact_mean_std(v, scale: int, n):
-    """Mean and sample std from exact decimal sums of ``v`` (one rounding each)."""
-    xd = v.cast(f"decimal(18,{scale})")
-    s1 = F.sum(v.cast(f"decimal(38,{scale})")).cast("double")
-    s2 = F.sum(xd * xd).cast("double")
-    mean = s1 / n
-    std = F.when(n > 1, F.sqrt(F.greatest((s2 - s1 * s1 / n) / (n - 1), F.lit(0.0))))
-    return mean, std
+    A value is split as high * 10^9 + low, so that the squares of any 64-bit
+    number add up inside decimal(38) for 10^17 rows.
+    """
+    whole = (x * F.lit(10 ** scale)).cast("decimal(20,0)") if scale else x.cast("decimal(20,0)")
+    high = F.floor(whole / F.lit(_LIMB)).cast("decimal(12,0)")
+    low = (whole - high * F.lit(_LIMB)).cast("decimal(10,0)")
+    return [F.sum(a.cast("decimal(38,0)")).alias(f"{n}{i}") for n, a in
+            (("h", high), ("l", low), ("hh", high * high), ("hl", high * low), ("ll", low * low))]
+
+
+def _exact_mean_std(row, scale: int, i: int) -> tuple[float | None, float | None]:
+    """Mean and sample standard deviation from the exact sums, each rounded once."""
+    n = row[f"c{i}"]
+    if not n:
+        return None, None
+    h, l, hh, hl, ll = (int(row[f"{x}{i}"]) for x in ("h", "l", "hh", "hl", "ll"))
+    total = h * _LIMB + l
+    squares = hh * _LIMB ** 2 + 2 * hl * _LIMB + ll
+    unit = 10 ** scale
+    if n < 2:
+        return float(Fraction(total, unit)), None
+    variance = Fraction(n * squares - total * total, n * (n - 1) * unit * unit)
+    return float(Fraction(total, n * unit)), math.sqrt(variance)
 
 
 def describe_all(df: DataFrame) -> DataFrame:
@@ -180,8 +217,10 @@ def describe_all(df: DataFrame) -> DataFrame:
     max; other columns get count, unique, top (most frequent, smallest value
     on ties) and freq.
 
-    Numeric statistics of all columns come from one aggregate (plus the
-    quantile passes); all other columns are unpivoted to (column, value)
+    NaN counts as missing. Means and standard deviations of whole numbers and
+    decimals come from exact sums, those of floating columns from Spark's
+    (numerically stable) aggregates. Numeric statistics of all columns come
+    from one aggregate (plus the quantile passes); all other columns are unpivoted to (column, value)
     pairs and counted in one grouped aggregate, so the number of jobs does
     not grow with the number of columns.
     """
@@ -190,39 +229,24 @@ def describe_all(df: DataFrame) -> DataFrame:
     parts = []
     if num:
         q, _ = exact_quantiles_multi(df, {c: [0.25, 0.5, 0.75] for c in num})
-        aggs = []
         types = {f.name: f.dataType for f in df.schema.fields}
+        aggs = []
         for i, c in enumerate(num):
             raw = F.col(f"`{c}`")
-            x = raw.cast("double")
-            scale = _exact_scale(types[c])
-            if scale is None:
-                # doubles: exact when every value is a whole number below 1e15
-                # (decided inside the aggregate), floating statistics otherwise
-                whole = ~F.isnan(x) & (x == F.floor(x)) & (F.abs(x) < F.lit(1e15))
-                m_ex, s_ex = _exact_mean_std(F.when(whole, x), 0, F.count(raw))
-                ok = F.count_if(raw.isNotNull() & ~whole) == 0
-                mean = F.when(ok, m_ex).otherwise(F.avg(x))
-                std = F.when(ok, s_ex).otherwise(F.stddev_samp(x))
-            else:
-                # integers and money: exact decimal sums, one rounding to double,
-                # so the result does not depend on how partitions are combined
-                mean, std = _exact_mean_std(raw, scale, F.count(raw))
-            aggs += [F.count(raw).alias(f"c{i}"), mean.alias(f"a{i}"),
-                     std.alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
-                     F.max(x).alias(f"hi{i}")]
-        stats = df.agg(*aggs)
-        rows = [F.struct(F.lit(c).alias("column"), F.col(f"c{i}").cast("long").alias("count"),
-                         F.lit(None).cast("long").alias("unique"),
-                         F.lit(None).cast("string").alias("top"),
-                         F.lit(None).cast("long").alias("freq"),
-                         F.col(f"a{i}").alias("mean"), F.col(f"s{i}").alias("std"),
-                         F.col(f"lo{i}").alias("min"),
-                         *[F.lit(v).cast("double").alias(n)
-                           for v, n in zip(q[c], ["p25", "p50", "p75"])],
-                         F.col(f"hi{i}").alias("max"))
-                for i, c in enumerate(num)]
-        parts.append(stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
+            x = F.nanvl(raw.cast("double"), F.lit(None).cast("double"))      # NaN counts as missing
+            aggs += [F.count(x).alias(f"c{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+            scale = _scale(types[c])
+            aggs += [F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}")] if scale is None else \
+                _exact_sums(raw, scale, i)
+        row = df.agg(*aggs).first()              # a few numbers a column
+        rows = []
+        for i, c in enumerate(num):
+            scale = _scale(types[c])
+            mean, std = (row[f"a{i}"], row[f"s{i}"]) if scale is None else _exact_mean_std(row, scale, i)
+            rows.append((c, row[f"c{i}"], None, None, None, mean, std, row[f"lo{i}"], *q[c], row[f"hi{i}"]))
+        parts.append(df.sparkSession.createDataFrame(
+            rows, "column string, count long, `unique` long, top string, freq long, mean double, std double, "
+                  "min double, p25 double, p50 double, p75 double, max double"))
     if other:
         def text(f):
             c = F.col(f"`{f.name}`")
