@@ -208,10 +208,17 @@ def segment_orders_semi_join(items: DataFrame, seg: DataFrame, segment: str) ->
     A left semi join on the normalised e-mail: only the distinct key set of
     the segment is shuffled (or broadcast when AQE measures it small).
     """
-    keys = (seg.where((F.col("segment") == segment) & F.col("email").isNotNull())
-            .select(normalized_email("email").alias("_email_key")).distinct())
-    rows = items.withColumn("_email_key", normalized_email(F.coalesce(F.col("email"), F.lit(""))))
-    return rows.join(keys, "_email_key", "left_semi").drop("_email_key")
+    def keyed(df: DataFrame) -> DataFrame:
+        # a null e-mail matches only an empty one: null rows, which would be one
+        # hot key, are left out unless the segment has such a customer
+        return df.withColumn("_email_key", normalized_email("email"))
+
+    keys = (keyed(seg.where((F.col("segment") == segment) & F.col("email").isNotNull()))
+            .select("_email_key").distinct())
+    known = keyed(items.where(F.col("email").isNotNull())).join(keys, "_email_key", "left_semi").drop("_email_key")
+    nameless = items.where(F.col("email").isNull())
+    has_empty = keys.where(F.col("_email_key") == "").agg(F.count(F.lit(1)).alias("n"))
+    return known.unionByName(nameless.withColumn("_n", has_empty.scalar()).where("_n > 0").drop("_n"))
 
 
 def segment_order_insights(seg_orders: DataFrame) -> DataFrame:

@@ -12,9 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Column
 from pyspark.sql import functions as F
 
-from basketry.functions.cleaning import safe_ratio, strip_ws
+from basketry.functions.cleaning import safe_ratio, strip_ws, to_timestamp_lenient
 from basketry.schemas import require_columns
-from basketry.session import materialize
 
 ORDER_FIELDS = ["periodStart", "customerType", "orderSubTotal", "orderTotal", "orderStatus"]
 CUSTOMER_FIELDS = ["email", "customerId", "customerName", "locationName"]
@@ -65,7 +64,7 @@ _AGG_FUNCS = {
     "max": F.max,
     "count": F.count,
     "nunique": F.countDistinct,
-    "first": lambda c: F.first(c, ignorenulls=True),
+    "first": lambda c: _first_non_null(c, _ROW),
     "median": F.median,
     "std": F.stddev_samp,
 }
@@ -82,6 +81,7 @@ def aggregate_orders(df: DataFrame, group_by: Iterable[str],
     keys = list(group_by)
     metrics = metrics or {"orderTotal": "sum", "qty": "sum"}
     require_columns(df, keys + list(metrics))
+    df = with_row_order(df)
     aggs = []
     for c, fns in metrics.items():
         many = isinstance(fns, (list, tuple))
@@ -97,31 +97,47 @@ def aggregate_orders(df: DataFrame, group_by: Iterable[str],
     return df.dropna(subset=keys).groupBy(*keys).agg(*aggs)
 
 
-def _first_non_null(c: str, order_by: str | None) -> Column:
-    if order_by:
-        # min_by skips rows whose ordering is null: first non-null by order_by
-        return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order_by)))
-    # Order-level fields are constant within an order; ``max`` is the
-    # deterministic choice when they are not.
-    return F.max(c)
+_ROW = "_row_order"
+
+
+def with_row_order(df: DataFrame, order_by: str | None = None) -> DataFrame:
+    """Add the order in which ``first`` looks at rows: ``order_by``, else the item's
+    place in its order, else the place in the scan."""
+    order = order_by or ("itemOrder" if "itemOrder" in df.columns else None)
+    return df.withColumn(_ROW, F.coalesce(F.col(order).cast("long"), F.lit(0).cast("long")) if order
+                         else F.monotonically_increasing_id())
+
+
+def _first_non_null(c: str, order_by: str) -> Column:
+    # min_by skips rows whose ordering is null; the value breaks ties
+    return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.col(order_by), F.col(c))))
+
+
+def _as_period(df: DataFrame) -> DataFrame:
+    """``periodStart`` as a date; text is parsed, and becomes null where it can't be."""
+    if dict(df.dtypes)["periodStart"] == "date":
+        return df
+    return df.withColumn("periodStart", to_timestamp_lenient("periodStart").cast("date"))
 
 
 def orders_at_order_level(items: DataFrame, status: str | None = None,
                           order_by: str | None = None) -> DataFrame:
     """One row per ``orderId`` with the first non-null order-level fields.
 
-    The status filter runs before the collapse. Rows without ``orderId``
-    are dropped. Optional customer fields are kept when present.
+    "First" follows ``order_by``, by default the item's place in its order if
+    the table has it. The status filter runs before the collapse. Rows without
+    ``orderId`` are dropped. Optional customer fields are kept when present.
     """
     require_columns(items, ["orderId"] + ORDER_FIELDS)
     df = status_filter(items, status).where(F.col("orderId").isNotNull())
     fields = ORDER_FIELDS + [c for c in CUSTOMER_FIELDS if c in items.columns]
-    return df.groupBy("orderId").agg(*[_first_non_null(c, order_by).alias(c) for c in fields])
+    return with_row_order(df, order_by).groupBy("orderId").agg(
+        *[_first_non_null(c, _ROW).alias(c) for c in fields])
 
 
 def aov_by_type_period(items: DataFrame, status: str | None = None) -> DataFrame:
     """Average and total order value by (periodStart, customerType), null keys kept."""
-    ol = orders_at_order_level(items, status)
+    ol = _as_period(orders_at_order_level(items, status))
     return ol.groupBy("periodStart", "customerType").agg(
         F.countDistinct("orderId").cast("long").alias("orders"),
         _money_mean("orderSubTotal").alias("avg_order_subtotal"),
@@ -135,19 +151,14 @@ def aov_by_type_period(items: DataFrame, status: str | None = None) -> DataFrame
 # Customer history (E1-E3) and period metrics (A5-A8)
 # ---------------------------------------------------------------------------
 
-def order_base(items: DataFrame, status: str | None = "F", shared: bool = False) -> DataFrame:
-    """Status-filtered order-level rows with the customer type stripped.
+def order_base(items: DataFrame, status: str | None = "F") -> DataFrame:
+    """Status-filtered order-level rows with a date period and the customer type stripped.
 
-    ``shared=True`` writes the rows once (a Parquet table) for plans that
-    read them in several branches (metrics, history, KPIs).
+    Plans that need it more than once take it as ``base``, written once next
+    to the order items (``sources.adapters.landed_order_base``).
     """
-    ol = orders_at_order_level(items, status)
-    base = ol.withColumn("customerType", strip_ws("customerType"))
-    if shared:
-        cols = [c for c in ("orderId", "periodStart", "customerType", "orderTotal", "email",
-                            "customerName") if c in base.columns]
-        base = materialize(base.select(*cols), "order-base")
-    return base
+    ol = _as_period(orders_at_order_level(items, status))
+    return ol.withColumn("customerType", strip_ws("customerType"))
 
 
 def customer_history(base: DataFrame) -> DataFrame:
@@ -186,17 +197,19 @@ def display_rows(base: DataFrame, periods: DataFrame | None = None,
     return df
 
 
-def order_metrics_by_period_type(items: DataFrame, status: str | None = "F",
+def order_metrics_by_period_type(items: DataFrame | None, status: str | None = "F",
                                  threshold: float = 100.0,
                                  periods: DataFrame | None = None,
-                                 types: list[str] | None = None) -> DataFrame:
+                                 types: list[str] | None = None,
+                                 base: DataFrame | None = None) -> DataFrame:
     """Revenue, orders, AOV, share over threshold, new / recurring customers,
     and mean weeks between orders per (period_start, customer_type).
 
     Customer history comes from all status-filtered orders, before the
-    display filter. Each customer counts once per group.
+    display filter. Each customer counts once per group. ``base`` (from
+    ``order_base``) stands in for ``items`` and ``status``.
     """
-    base = order_base(items, status, shared=True)
+    base = order_base(items, status) if base is None else base
     disp = display_rows(base, periods, types)
     keys = ["periodStart", "customerType"]
     om = disp.groupBy(*keys).agg(
@@ -233,54 +246,66 @@ def order_metrics_by_period_type(items: DataFrame, status: str | None = "F",
                     "avg_weeks"))
 
 
-def order_kpis(items: DataFrame, status: str | None = "F", threshold: float = 100.0,
-               periods: DataFrame | None = None, types: list[str] | None = None) -> DataFrame:
+def order_kpis(items: DataFrame | None, status: str | None = "F", threshold: float = 100.0,
+               periods: DataFrame | None = None, types: list[str] | None = None,
+               base: DataFrame | None = None) -> DataFrame:
     """Whole-selection KPIs (one row).
 
-    new customers: first period is one of the selected periods;
-    recurring: first period before the earliest selected period.
+    The selected periods are those of the period selector (default: all
+    periods), whatever customer types are selected. New customers: the first
+    period is one of them; recurring: the first period is before the earliest.
     The order part and the customer part are single-row aggregates; they are
     stacked with a union and folded with ``max`` instead of being joined.
     """
-    base = order_base(items, status, shared=True)
+    base = order_base(items, status) if base is None else base
     disp = display_rows(base, periods, types)
     kp = disp.agg(_money_sum("orderTotal").alias("revenue"),
                   F.count("orderId").cast("long").alias("total_orders"),
                   F.count_if(F.col("orderTotal") > F.lit(threshold)).alias("_over"))
-    # one scalar: the earliest displayed period
-    min_period = disp.agg(F.min("periodStart")).first()[0]
-    hist = customer_history(base)
-    sel = disp.select(F.col("periodStart").alias("first_period")).distinct() \
-        .withColumn("_sel", F.lit(True))
+    ratios = [F.coalesce("revenue", F.lit(0.0)).alias("revenue"),
+              F.coalesce("total_orders", F.lit(0).cast("long")).alias("total_orders"),
+              safe_ratio(F.col("revenue"), F.col("total_orders")).alias("aov"),
+              safe_ratio(F.col("_over") * 100.0, F.col("total_orders")).alias("pct_orders_over")]
+    if "email" not in base.columns:
+        return kp.select(*ratios, F.lit(0).cast("long").alias("new_customers"),
+                         F.lit(0.0).alias("recurring_pct"), F.lit(None).cast("double").alias("avg_weeks_between"))
+    selected = (base if periods is None else periods).select("periodStart").where(F.col("periodStart").isNotNull())
+    sel = selected.select(F.col("periodStart").alias("first_period")).distinct().withColumn("_sel", F.lit(True))
+    earliest = selected.agg(F.min("periodStart").alias("_earliest"))
     cust = (disp.where(F.col("email").isNotNull()).select("email").distinct()
-            .join(hist, "email", "left")
-            .join(sel, "first_period", "left"))
+            .join(customer_history(base), "email", "left")
+            .join(sel, "first_period", "left")
+            .withColumn("_earliest", earliest.scalar()))
     ca = cust.agg(F.count_if(F.col("_sel")).alias("new_customers"),
                   F.count(F.lit(1)).alias("_n"),
-                  F.count_if(F.col("first_period") < F.lit(min_period).cast("date")).alias("_rec"),
+                  F.count_if(F.col("first_period") < F.col("_earliest")).alias("_rec"),
                   _fixed_avg("avg_weeks").alias("avg_weeks_between"))
     both = kp.unionByName(ca, allowMissingColumns=True)
     row = both.agg(*[F.max(c).alias(c) for c in both.columns])
-    return row.select(
-        F.coalesce("revenue", F.lit(0.0)).alias("revenue"),
-        F.coalesce("total_orders", F.lit(0).cast("long")).alias("total_orders"),
-        safe_ratio(F.col("revenue"), F.col("total_orders")).alias("aov"),
-        safe_ratio(F.col("_over") * 100.0, F.col("total_orders")).alias("pct_orders_over"),
-        F.coalesce("new_customers", F.lit(0)).cast("long").alias("new_customers"),
-        safe_ratio(F.col("_rec") * 100.0, F.col("_n")).alias("recurring_pct"),
-        "avg_weeks_between")
+    return row.select(*ratios,
+                      F.coalesce("new_customers", F.lit(0)).cast("long").alias("new_customers"),
+                      safe_ratio(F.col("_rec") * 100.0, F.col("_n")).alias("recurring_pct"),
+                      "avg_weeks_between")
 
 
-def new_customers_detail(items: DataFrame, status: str | None = "F",
+def new_customers_detail(items: DataFrame | None, status: str | None = "F",
                          periods: DataFrame | None = None,
-                         types: list[str] | None = None) -> DataFrame:
-    """One row per (email, type, period) where the period is the customer's first."""
-    base = order_base(items, status, shared=True)
+                         types: list[str] | None = None,
+                         base: DataFrame | None = None) -> DataFrame:
+    """One row per (email, type, period) where the period is the customer's first.
+
+    Without an e-mail column there are none; without names the name is "".
+    """
+    base = order_base(items, status) if base is None else base
+    if "email" not in base.columns:
+        return base.where(F.lit(False)).select(
+            F.lit("").alias("email"), F.lit("").alias("name"), F.col("customerType").alias("customer_type"),
+            F.col("periodStart").alias("first_period"))
+    name = F.min_by("customerName", "orderId") if "customerName" in base.columns else F.first(F.lit(""))
     disp = display_rows(base, periods, types).where(F.col("email").isNotNull())
     hist = customer_history(base).select("email", "first_period")
     # reduce to one row per (email, type, period) before joining the history
-    per = (disp.groupBy("email", "customerType", "periodStart")
-           .agg(F.min_by("customerName", "orderId").alias("name")))
+    per = disp.groupBy("email", "customerType", "periodStart").agg(name.alias("name"))
     firsts = (per.join(hist, "email")
               .where(F.col("first_period") == F.col("periodStart")))
     return firsts.select(F.col("email"), F.col("name"),

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Column
 from pyspark.sql import functions as F
 
 from basketry.functions.cleaning import as_of_literal, pct_change
-from basketry.session import materialize
 
 COMPARISON_METRICS = ["revenue", "total_orders", "aov", "pct_orders_over",
                       "new_customers", "recurring_pct"]
@@ -120,11 +119,9 @@ def period_comparison(metrics: DataFrame, freq: str,
     so no global window (single partition) is needed.
     """
     lab = _label(freq, F.col("period_start"))
-    # one row per calendar bin: small, computed once and read by both the
-    # spine and the join
-    binned = materialize(metrics.groupBy(lab.alias("period_label"))
-                         .agg(*[_sum_metric(c).alias(c) for c in metric_cols]),
-                         columnar=False)
+    # one row per calendar bin, read by the spine, the join and its shift; the
+    # exchange below it is planned once and reused
+    binned = metrics.groupBy(lab.alias("period_label")).agg(*[_sum_metric(c).alias(c) for c in metric_cols])
     spine = (binned.agg(F.min("period_label").alias("lo"), F.max("period_label").alias("hi"))
              .select(F.explode(_spine(freq, F.col("lo"), F.col("hi"))).alias("period_label")))
     filled = spine.join(binned, "period_label", "left").select(

@@ -28,30 +28,21 @@ def first_values(df: DataFrame, column: str, k: int, last: bool = False) -> Data
 def product_base(items: DataFrame, producer_col: str = "producerName") -> DataFrame:
     """Item rows with a date period and the producer null -> "Unknown", stripped."""
     return items.withColumns({
-        "periodStart": F.col("periodStart").cast("date"),
+        "periodStart": F.col("periodStart").try_cast("date"),
         producer_col: strip_ws(F.coalesce(F.col(producer_col).cast("string"), F.lit(UNKNOWN))),
     })
 
 
-def default_selection(base: DataFrame, producer_col: str = "producerName",
-                      n_producers: int = 5, n_periods: int = 12) -> tuple[list, list]:
-    """The default selector values: first producers alphabetically, last periods.
+def default_product_filter(base: DataFrame, producer_col: str = "producerName",
+                           n_producers: int = 5, n_periods: int = 12) -> DataFrame:
+    """Rows of the default selection: first producers alphabetically, last periods.
 
-    Each list holds at most ``n`` values (a distributed top-n), so it can be
-    applied as an ``IN`` predicate that reaches the Parquet scan.
+    Each list is a distributed top-n of at most ``n`` rows and is applied as a
+    semi join, so no value passes the driver and the plan stays lazy.
     """
-    producers = [r[0] for r in first_values(base, producer_col, n_producers).collect()]
-    periods = [r[0] for r in first_values(base, "periodStart", n_periods, last=True).collect()]
-    return sorted(producers), sorted(periods)
-
-
-def default_product_filter(base: DataFrame, producer_col: str = "producerName",
-                           n_producers: int = 5, n_periods: int = 12,
-                           selection: tuple[list, list] | None = None) -> DataFrame:
-    """Rows of the selected producers and periods (default selection if none given)."""
-    producers, periods = selection or default_selection(base, producer_col, n_producers, n_periods)
-    return base.where(F.col(producer_col).isin(list(producers))
-                      & F.col("periodStart").isin(list(periods)))
+    return (base.join(first_values(base, "periodStart", n_periods, last=True), "periodStart", "left_semi")
+            .join(first_values(base, producer_col, n_producers), producer_col, "left_semi")
+            .select(*base.columns))
 
 
 def last_n_periods(df: DataFrame, n: int = 12, column: str = "periodStart") -> DataFrame:
@@ -116,6 +107,10 @@ def product_trends_top(rows: DataFrame, k: int = 5) -> DataFrame:
 
 # -- availability -------------------------------------------------------------
 
+def _qty_sum(c: str) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0.0)).alias(c)
+
+
 def _qty_cols(df: DataFrame) -> list[str]:
     return [c for c in QTY_COLUMNS if c in df.columns]
 
@@ -132,7 +127,7 @@ def availability_trends(avail: DataFrame) -> DataFrame:
     """Sum of each quantity column per (period, producer)."""
     p = availability_producer_col(avail)
     return (avail.dropna(subset=["periodStart", p]).groupBy("periodStart", p)
-            .agg(*[F.sum(c).alias(c) for c in _qty_cols(avail)]))
+            .agg(*[_qty_sum(c) for c in _qty_cols(avail)]))
 
 
 def availability_summary(avail: DataFrame) -> DataFrame:
@@ -140,24 +135,25 @@ def availability_summary(avail: DataFrame) -> DataFrame:
     qty = _qty_cols(avail)
     out = (avail.where(F.col(p).isNotNull()).groupBy(p)
            .agg(F.countDistinct("productName").cast("long").alias("num_products"),
-                *[F.sum(c).alias(c) for c in qty]))
+                *[_qty_sum(c) for c in qty]))
     return out.orderBy(F.desc("quantitySold") if "quantitySold" in qty else F.desc(p))
 
 
-def availability_by_product(avail: DataFrame, producer: str) -> DataFrame:
-    """Quantity sums per product of one producer, first quantity column descending."""
+def availability_by_product(avail: DataFrame, producer: str | None = None) -> DataFrame:
+    """Quantity sums per (producer, product), or of one producer only, first quantity descending."""
     p = availability_producer_col(avail)
     qty = _qty_cols(avail)
-    out = (avail.where((F.col(p) == F.lit(producer)) & F.col("productName").isNotNull())
-           .groupBy("productName").agg(*[F.sum(c).alias(c) for c in qty]))
-    return out.orderBy(F.desc(qty[0]), "productName") if qty else out
+    rows = avail.where(F.col(p).isNotNull() & F.col("productName").isNotNull())
+    if producer is not None:
+        rows = rows.where(F.col(p) == F.lit(producer))
+    out = rows.groupBy(p, "productName").agg(*[_qty_sum(c) for c in qty])
+    return out.orderBy(p, F.desc(qty[0]), "productName") if qty else out
 
 
-def availability_count_by_level(levels: DataFrame, avail: DataFrame, n_levels: int = 3) -> DataFrame:
-    """Rows of availability for each of the first ``n_levels`` price levels."""
-    first = levels.orderBy("id").limit(n_levels)
+def availability_count_by_level(levels: DataFrame, avail: DataFrame) -> DataFrame:
+    """Rows of availability for each price level."""
     counts = avail.groupBy("priceLevel").agg(F.count(F.lit(1)).alias("rows"))
-    return (first.join(counts, first["id"] == counts["priceLevel"], "left")
+    return (levels.join(counts, levels["id"] == counts["priceLevel"], "left")
             .select("id", "name", "default",
                     F.coalesce(F.col("rows"), F.lit(0)).cast("long").alias("rows")))
 

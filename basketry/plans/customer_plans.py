@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators import customers as C
 from basketry.plans.registry import register
-from basketry.sources.adapters import landed_customers, landed_order_items
+from basketry.sources.adapters import landed_customers, landed_order_items, landed_segments
 
 SEGMENT = "Champions"       # segment inspected by the drill-down and order queries
 CLV_MONTHS = 12
@@ -16,7 +16,7 @@ _REC_COLS = ("customerId, fullName, email, custType, locName, plName, totalOrder
 
 
 def _seg(spark, sf):
-    return C.segment_customers(landed_customers(spark, sf))
+    return landed_segments(spark, sf)
 
 
 def _clv(spark, sf):

@@ -19,13 +19,14 @@ def view(name: str, sql: str) -> None:
 
 
 view("order_items", """
-SELECT o.o_orderkey AS orderId,
+SELECT coalesce(o.o_orderkey, l.l_orderkey) AS orderId,
+       CAST(l.l_linenumber AS BIGINT) AS itemOrder,
        CASE WHEN o.o_orderkey % 97 = 0 THEN NULL
             ELSE CAST(date_trunc('week', o.o_orderdate) AS DATE) END AS periodStart,
        CASE WHEN c.c_custkey % 7 = 0 THEN '  ' || c.c_mktsegment || ' '
             ELSE c.c_mktsegment END AS customerType,
        CASE WHEN l.rn = 1 THEN l.sub END AS orderSubTotal,
-       CASE WHEN l.rn = 1 THEN CAST(o.o_totalprice AS DECIMAL(18,2)) END AS orderTotal,
+       CASE WHEN l.rn = 1 OR l.l_orderkey IS NULL THEN CAST(o.o_totalprice AS DECIMAL(18,2)) END AS orderTotal,
        o.o_orderstatus AS orderStatus,
        CASE WHEN c.c_custkey % 11 = 0 THEN NULL
             ELSE upper('c' || CAST(c.c_custkey AS VARCHAR) || '@example.com') END AS email,
@@ -42,11 +43,11 @@ FROM (SELECT *,
              CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) OVER (PARTITION BY l_orderkey)
                   AS DECIMAL(18,2)) AS sub
       FROM lineitem) l
-JOIN orders o ON l.l_orderkey = o.o_orderkey
-JOIN customer c ON o.o_custkey = c.c_custkey
-JOIN nation n ON c.c_nationkey = n.n_nationkey
-JOIN part p ON l.l_partkey = p.p_partkey
-JOIN supplier s ON l.l_suppkey = s.s_suppkey
+FULL JOIN orders o ON l.l_orderkey = o.o_orderkey
+LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+LEFT JOIN part p ON l.l_partkey = p.p_partkey
+LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
 """)
 
 view("customers", f"""
@@ -62,8 +63,8 @@ SELECT c.c_custkey AS customerId,
        s.last_o AS lastOrder,
        s.first_o AS dateEntered
 FROM customer c
-JOIN nation n ON c.c_nationkey = n.n_nationkey
-JOIN region r ON n.n_regionkey = r.r_regionkey
+LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
 LEFT JOIN (SELECT o_custkey, count(*) AS n,
                   sum(CAST(o_totalprice AS DECIMAL(18,2))) AS sales,
                   min(o_orderdate) AS first_o, max(o_orderdate) AS last_o
@@ -87,41 +88,39 @@ SELECT CAST(n.n_regionkey AS INTEGER) AS priceLevel,
        sum(l.l_quantity) - coalesce(sum(CASE WHEN l.l_linestatus = 'F' THEN l.l_quantity END), 0.0)
            AS quantityAvailable
 FROM lineitem l
-JOIN orders o ON l.l_orderkey = o.o_orderkey
-JOIN part p ON l.l_partkey = p.p_partkey
-JOIN supplier s ON l.l_suppkey = s.s_suppkey
-JOIN nation n ON s.s_nationkey = n.n_nationkey
+LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
+LEFT JOIN part p ON l.l_partkey = p.p_partkey
+LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
+LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
 GROUP BY 1, 2, 3, 4
 """)
 
-# order level rows (first non-null per order; constant fields -> max)
-view("order_level", """
-SELECT orderId, max(periodStart) AS periodStart, max(customerType) AS customerType,
-       max(orderSubTotal) AS orderSubTotal, max(orderTotal) AS orderTotal,
-       max(orderStatus) AS orderStatus, max(email) AS email, max(customerId) AS customerId,
-       max(customerName) AS customerName, max(locationName) AS locationName
+_ORDER_FIELDS = ["periodStart", "customerType", "orderSubTotal", "orderTotal", "orderStatus", "email",
+                 "customerId", "customerName", "locationName"]
+_FIRST = {c: f"first({c} ORDER BY coalesce(itemOrder, 0), {c}) FILTER (WHERE {c} IS NOT NULL)"
+          for c in _ORDER_FIELDS}
+
+# order level rows: each field's first non-null value in the order of the items
+view("order_level", f"""
+SELECT orderId, {", ".join(f"{x} AS {c}" for c, x in _FIRST.items())}
 FROM order_items WHERE orderId IS NOT NULL GROUP BY orderId
 """)
 
 # status 'F', customer type stripped of all whitespace
-view("order_base", r"""
-SELECT orderId, periodStart,
-       regexp_replace(regexp_replace(customerType, '^\s+', ''), '\s+$', '') AS customerType,
-       orderSubTotal, orderTotal, orderStatus, email, customerId, customerName, locationName
-FROM (SELECT orderId, max(periodStart) AS periodStart, max(customerType) AS customerType,
-             max(orderSubTotal) AS orderSubTotal, max(orderTotal) AS orderTotal,
-             max(orderStatus) AS orderStatus, max(email) AS email, max(customerId) AS customerId,
-             max(customerName) AS customerName, max(locationName) AS locationName
+view("order_base", rf"""
+SELECT * REPLACE (regexp_replace(regexp_replace(customerType, '^\s+', ''), '\s+$', '') AS customerType)
+FROM (SELECT orderId, {", ".join(f"{x} AS {c}" for c, x in _FIRST.items())}
       FROM order_items WHERE orderId IS NOT NULL AND orderStatus = 'F' GROUP BY orderId)
 """)
 
+# gaps between neighbouring distinct periods of a customer
 view("cust_hist", """
 SELECT email, min(periodStart) AS first_period, count(*) AS n_periods,
-       CASE WHEN count(*) >= 2
-            THEN CAST(date_diff('day', min(periodStart), max(periodStart)) AS DOUBLE) / 7.0
-                 / (count(*) - 1) END AS avg_weeks
-FROM (SELECT DISTINCT email, periodStart FROM order_base
-      WHERE email IS NOT NULL AND periodStart IS NOT NULL)
+       CASE WHEN count(gap) > 0 THEN CAST(sum(gap) AS DOUBLE) / 7.0 / count(gap) END AS avg_weeks
+FROM (SELECT email, periodStart,
+             date_diff('day', lag(periodStart) OVER (PARTITION BY email ORDER BY periodStart), periodStart) AS gap
+      FROM (SELECT DISTINCT email, periodStart FROM order_base
+            WHERE email IS NOT NULL AND periodStart IS NOT NULL))
 GROUP BY email
 """)
 

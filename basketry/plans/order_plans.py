@@ -8,7 +8,7 @@ from basketry.operators import orders as O
 from basketry.operators import periods as P
 from basketry.plans.registry import register
 from basketry.schemas import require_columns
-from basketry.sources.adapters import landed_order_items
+from basketry.sources.adapters import landed_order_base, landed_order_items
 
 STATUS = "F"              # the preferred ("complete") status in this data
 THRESHOLD = 250_000.0     # order total threshold; every total exceeds 100 here
@@ -18,8 +18,12 @@ def _items(spark, sf):
     return landed_order_items(spark, sf)
 
 
+def _base(spark, sf):
+    return landed_order_base(spark, sf, STATUS)
+
+
 def _metrics(spark, sf):
-    return O.order_metrics_by_period_type(_items(spark, sf), STATUS, THRESHOLD)
+    return O.order_metrics_by_period_type(None, threshold=THRESHOLD, base=_base(spark, sf))
 
 
 @register("status_filter", """
@@ -83,41 +87,79 @@ def q_order_metrics(spark, sf):
     return _metrics(spark, sf)
 
 
-@register("order_kpis", """
+def _kpi_sql(disp: str, selected: str) -> str:
+    """KPIs over the rows ``disp``; ``selected`` gives the selector's periods."""
+    return f"""
+WITH shown AS ({disp}), chosen AS ({selected}),
+e AS (SELECT DISTINCT email FROM shown WHERE email IS NOT NULL),
+h AS (SELECT e.email, cust_hist.first_period, cust_hist.avg_weeks FROM e LEFT JOIN cust_hist USING (email))
 SELECT coalesce(CAST(sum(orderTotal) AS DOUBLE), 0.0) AS revenue,
        CAST(count(orderId) AS BIGINT) AS total_orders,
        CASE WHEN count(orderId) = 0 THEN 0.0
             ELSE coalesce(CAST(sum(orderTotal) AS DOUBLE), 0.0) / count(orderId) END AS aov,
        CASE WHEN count(orderId) = 0 THEN 0.0
             ELSE count_if(orderTotal > 250000) * 100.0 / count(orderId) END AS pct_orders_over,
-       (SELECT CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT email FROM disp WHERE email IS NOT NULL) e
-          JOIN cust_hist h USING (email)
-          WHERE h.first_period IN (SELECT periodStart FROM disp)) AS new_customers,
+       (SELECT CAST(count(*) AS BIGINT) FROM h WHERE first_period IN (SELECT periodStart FROM chosen)) AS new_customers,
        (SELECT CASE WHEN count(*) = 0 THEN 0.0
-                    ELSE count_if(h.first_period < (SELECT min(periodStart) FROM disp)) * 100.0
-                         / count(*) END
-          FROM (SELECT DISTINCT email FROM disp WHERE email IS NOT NULL) e
-          LEFT JOIN cust_hist h USING (email)) AS recurring_pct,
-       (SELECT CAST(sum(CAST(h.avg_weeks AS DECIMAL(38,9))) AS DOUBLE) / count(h.avg_weeks)
-          FROM (SELECT DISTINCT email FROM disp WHERE email IS NOT NULL) e
-          LEFT JOIN cust_hist h USING (email)) AS avg_weeks_between
-FROM disp
-""")
+                    ELSE count_if(first_period < (SELECT min(periodStart) FROM chosen)) * 100.0 / count(*) END
+          FROM h) AS recurring_pct,
+       (SELECT CAST(sum(CAST(avg_weeks AS DECIMAL(38,9))) AS DOUBLE) / count(avg_weeks) FROM h) AS avg_weeks_between
+FROM shown
+"""
+
+
+_ALL_PERIODS = "SELECT DISTINCT periodStart FROM order_base WHERE periodStart IS NOT NULL"
+
+
+@register("order_kpis", _kpi_sql("SELECT * FROM disp", _ALL_PERIODS))
 def q_order_kpis(spark, sf):
-    return O.order_kpis(_items(spark, sf), STATUS, THRESHOLD)
+    return O.order_kpis(None, threshold=THRESHOLD, base=_base(spark, sf))
+
+
+# a selection of periods and one of customer types
+SELECT_FROM = "1997-01-01"
+SELECT_TYPES = ["BUILDING", "MACHINERY"]
+_SELECTED = f"SELECT DISTINCT periodStart FROM order_base WHERE periodStart >= DATE '{SELECT_FROM}'"
+_SHOWN = f"""SELECT * FROM disp WHERE periodStart >= DATE '{SELECT_FROM}'
+  AND customerType IN ({", ".join(f"'{t}'" for t in SELECT_TYPES)})"""
+
 
+def _selected_periods(base):
+    return base.select("periodStart").where(F.col("periodStart") >= F.lit(SELECT_FROM).cast("date"))
 
-@register("new_customers_detail", """
+
+@register("order_kpis_selected", _kpi_sql(_SHOWN, _SELECTED))
+def q_order_kpis_selected(spark, sf):
+    base = _base(spark, sf)
+    return O.order_kpis(None, threshold=THRESHOLD, periods=_selected_periods(base), types=SELECT_TYPES, base=base)
+
+
+def _detail_sql(disp: str) -> str:
+    return f"""
 SELECT d.email, arg_min(d.customerName, d.orderId) AS name,
        d.customerType AS customer_type, d.periodStart AS first_period
-FROM disp d JOIN cust_hist h ON d.email = h.email AND h.first_period = d.periodStart
+FROM ({disp}) d JOIN cust_hist h ON d.email = h.email AND h.first_period = d.periodStart
 GROUP BY d.email, d.customerType, d.periodStart
-""")
+"""
+
+
+@register("new_customers_detail", _detail_sql("SELECT * FROM disp"))
 def q_new_customers_detail(spark, sf):
-    return O.new_customers_detail(_items(spark, sf), STATUS)
+    return O.new_customers_detail(None, base=_base(spark, sf))
+
 
+@register("new_customers_selected", _detail_sql(_SHOWN))
+def q_new_customers_selected(spark, sf):
+    base = _base(spark, sf)
+    return O.new_customers_detail(None, periods=_selected_periods(base), types=SELECT_TYPES, base=base)
 
-@register("metrics_grid")
+
+@register("metrics_grid", """
+SELECT strftime(period_start, '%m/%d/%y') AS period_start, customer_type, round_even(revenue, 2) AS revenue, total_orders,
+       round_even(aov, 2) AS aov, round_even(pct_orders_over, 1) AS pct_orders_over, new_customers,
+       round_even(recurring_pct, 1) AS recurring_pct, round_even(avg_weeks, 1) AS avg_weeks
+FROM order_metrics
+""")
 def q_metrics_grid(spark, sf):
     return O.metrics_grid(_metrics(spark, sf))
 
@@ -128,7 +170,7 @@ def q_metrics_grid(spark, sf):
 SELECT email, first_period FROM cust_hist
 """)
 def q_customer_first_order(spark, sf):
-    return O.customer_history(O.order_base(_items(spark, sf), STATUS)).select("email", "first_period")
+    return O.customer_history(_base(spark, sf)).select("email", "first_period")
 
 
 @register("recurring_customers", """
@@ -138,7 +180,7 @@ FROM order_base b JOIN cust_hist h ON b.email = h.email
 WHERE b.periodStart IS NOT NULL
 """)
 def q_recurring_customers(spark, sf):
-    base = O.order_base(_items(spark, sf), STATUS)
+    base = _base(spark, sf)
     hist = O.customer_history(base)
     return (base.where(F.col("periodStart").isNotNull() & F.col("email").isNotNull())
             .select("email", "periodStart").distinct()
@@ -151,7 +193,7 @@ def q_recurring_customers(spark, sf):
 SELECT email, CAST(n_periods AS BIGINT) AS n_periods, avg_weeks FROM cust_hist
 """)
 def q_avg_weeks(spark, sf):
-    return O.customer_history(O.order_base(_items(spark, sf), STATUS)) \
+    return O.customer_history(_base(spark, sf)) \
         .select("email", "n_periods", "avg_weeks")
 
 
@@ -161,12 +203,15 @@ SELECT b.orderId, b.email, b.periodStart, h.first_period,
 FROM order_base b LEFT JOIN cust_hist h ON b.email = h.email
 """)
 def q_customer_history_lookup(spark, sf):
-    base = O.order_base(_items(spark, sf), STATUS)
+    base = _base(spark, sf)
     hist = O.customer_history(base)
-    return (base.join(hist, "email", "left")
-            .select("orderId", "email", "periodStart", "first_period",
-                    F.coalesce(F.col("first_period") < F.col("periodStart"), F.lit(False))
-                    .alias("is_recurring"), "avg_weeks"))
+    # rows without an e-mail have no history: they stay out of the shuffle, where
+    # they would form one hot key
+    known = base.where(F.col("email").isNotNull()).join(hist, "email", "left")
+    rows = known.unionByName(base.where(F.col("email").isNull()), allowMissingColumns=True)
+    return rows.select("orderId", "email", "periodStart", "first_period",
+                       F.coalesce(F.col("first_period") < F.col("periodStart"), F.lit(False))
+                       .alias("is_recurring"), "avg_weeks")
 
 
 # -- comparisons (E4-E6) ----------------------------------------------------
@@ -253,7 +298,7 @@ FROM order_base WHERE periodStart IS NOT NULL
 
 @register("period_dimension", _PERIOD_DIM_SQL)
 def q_period_dimension(spark, sf):
-    return P.period_dimension(O.order_base(_items(spark, sf), STATUS))
+    return P.period_dimension(_base(spark, sf))
 
 
 SEL_YEARS = [1996, 1997]
@@ -274,7 +319,7 @@ WHERE periodStart IN (SELECT periodStart FROM sel)
   AND customerType IN ({", ".join(f"'{t}'" for t in SEL_TYPES)})
 """)
 def q_period_hierarchy_filter(spark, sf):
-    base = O.order_base(_items(spark, sf), STATUS)
+    base = _base(spark, sf)
     sel = P.period_hierarchy_filter(P.period_dimension(base), SEL_YEARS, SEL_MONTHS, SEL_WEEKS)
     return O.display_rows(base, sel, SEL_TYPES)
 

@@ -17,23 +17,15 @@ def _base(spark, sf):
     return P.product_base(landed_order_items(spark, sf))
 
 
-def _filtered(spark, sf):
-    return P.default_product_filter(_base(spark, sf))
-
-
-def _avail_default(spark, sf, with_selection=False):
-    """Availability of the default price level, producer cleaned, default selection."""
+def _avail_default(spark, sf):
+    """Availability of the default price level, producer cleaned."""
     landed_availability(spark, sf)
     path = landed_path(spark, "availability", sf)
-    levels = price_levels(spark, sf)
-    avail = P.product_base(availability_source(spark, path, levels, 0), "producer")
-    sel = P.default_selection(avail, "producer")
-    rows = P.default_product_filter(avail, "producer", selection=sel)
-    return (rows, sel) if with_selection else rows
+    return P.product_base(availability_source(spark, path, price_levels(spark, sf), 0), "producer")
 
 
 _PBASE = r"""
-SELECT orderId, periodStart, customerType, orderSubTotal, orderTotal, orderStatus, email,
+SELECT orderId, itemOrder, periodStart, customerType, orderSubTotal, orderTotal, orderStatus, email,
        customerId, customerName, locationName, qty, productName,
        regexp_replace(regexp_replace(coalesce(producerName, 'Unknown'), '^\s+', ''), '\s+$', '')
            AS producerName
@@ -41,12 +33,15 @@ FROM order_items
 """
 
 _PFILT = f"""
-WITH pbase AS ({_PBASE}),
-pf AS (SELECT * FROM pbase
+WITH pbase AS ({_PBASE})
+"""
+
+_DEFAULT = """
+SELECT * FROM pbase
        WHERE producerName IN (SELECT DISTINCT producerName FROM pbase WHERE producerName IS NOT NULL
                               ORDER BY producerName LIMIT 5)
          AND periodStart IN (SELECT DISTINCT periodStart FROM pbase WHERE periodStart IS NOT NULL
-                             ORDER BY periodStart DESC LIMIT 12))
+                             ORDER BY periodStart DESC LIMIT 12)
 """
 
 
@@ -55,33 +50,33 @@ def q_product_base(spark, sf):
     return _base(spark, sf)
 
 
-@register("default_product_filter", _PFILT + "SELECT * FROM pf")
+@register("default_product_filter", _PFILT + _DEFAULT)
 def q_default_product_filter(spark, sf):
-    return _filtered(spark, sf)
+    return P.default_product_filter(_base(spark, sf))
 
 
 @register("producer_trends", _PFILT + """
 SELECT periodStart, producerName, coalesce(sum(qty), 0.0) AS total_qty,
        CAST(count(DISTINCT orderId) AS BIGINT) AS num_orders,
        CAST(count(DISTINCT productName) AS BIGINT) AS num_products
-FROM pf WHERE periodStart IS NOT NULL GROUP BY 1, 2
+FROM pbase WHERE periodStart IS NOT NULL GROUP BY 1, 2
 """)
 def q_producer_trends(spark, sf):
-    return P.producer_trends(_filtered(spark, sf))
+    return P.producer_trends(_base(spark, sf))
 
 
 @register("producer_summary", _PFILT + """
 SELECT producerName, CAST(count(DISTINCT productName) AS BIGINT) AS products,
        coalesce(sum(qty), 0.0) AS total_units, avg(qty) AS avg_units_per_order,
        CAST(count(DISTINCT orderId) AS BIGINT) AS num_orders
-FROM pf GROUP BY 1
+FROM pbase GROUP BY 1
 """)
 def q_producer_summary(spark, sf):
-    return P.producer_summary(_filtered(spark, sf))
+    return P.producer_summary(_base(spark, sf))
 
 
 _TOP5 = """,
-tot AS (SELECT producerName, productName, coalesce(sum(qty), 0.0) AS units FROM pf
+tot AS (SELECT producerName, productName, coalesce(sum(qty), 0.0) AS units FROM pbase
         WHERE productName IS NOT NULL GROUP BY 1, 2),
 top5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY producerName
                                     ORDER BY units DESC, productName) AS rank FROM tot)
@@ -93,18 +88,18 @@ top5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY producerName
 SELECT producerName, productName, units, CAST(rank AS INTEGER) AS rank FROM top5
 """)
 def q_top5_products(spark, sf):
-    return P.top_products_per_producer(_filtered(spark, sf), TOP_K) \
+    return P.top_products_per_producer(_base(spark, sf), TOP_K) \
         .select("producerName", "productName", "units", F.col("rank").cast("int").alias("rank"))
 
 
 @register("product_trends_top5", _PFILT + _TOP5 + """
 SELECT p.producerName, p.periodStart, p.productName, coalesce(sum(p.qty), 0.0) AS total_qty
-FROM pf p JOIN top5 t ON p.producerName = t.producerName AND p.productName = t.productName
+FROM pbase p JOIN top5 t ON p.producerName = t.producerName AND p.productName = t.productName
 WHERE p.periodStart IS NOT NULL
 GROUP BY 1, 2, 3
 """)
 def q_product_trends_top5(spark, sf):
-    return P.product_trends_top(_filtered(spark, sf), TOP_K)
+    return P.product_trends_top(_base(spark, sf), TOP_K)
 
 
 @register("last_n_periods", """
@@ -123,18 +118,14 @@ WITH abase AS (
          regexp_replace(regexp_replace(coalesce(producer, 'Unknown'), '^\s+', ''), '\s+$', '')
              AS producer,
          productName, quantityListed, quantitySold, quantityAvailable
-  FROM availability WHERE priceLevel IN (SELECT id FROM price_levels WHERE "default")),
-af AS (SELECT * FROM abase
-       WHERE producer IN (SELECT DISTINCT producer FROM abase ORDER BY producer LIMIT 5)
-         AND periodStart IN (SELECT DISTINCT periodStart FROM abase WHERE periodStart IS NOT NULL
-                             ORDER BY periodStart DESC LIMIT 12))
+  FROM availability WHERE priceLevel IN (SELECT id FROM price_levels WHERE "default"))
 """
 
 
 @register("availability_trends", _AFILT + """
 SELECT periodStart, producer, sum(quantityListed) AS quantityListed,
        sum(quantityAvailable) AS quantityAvailable, sum(quantitySold) AS quantitySold
-FROM af GROUP BY 1, 2
+FROM abase WHERE periodStart IS NOT NULL GROUP BY 1, 2
 """)
 def q_availability_trends(spark, sf):
     return P.availability_trends(_avail_default(spark, sf))
@@ -144,27 +135,25 @@ def q_availability_trends(spark, sf):
 SELECT producer, CAST(count(DISTINCT productName) AS BIGINT) AS num_products,
        sum(quantityListed) AS quantityListed, sum(quantityAvailable) AS quantityAvailable,
        sum(quantitySold) AS quantitySold
-FROM af GROUP BY 1
+FROM abase GROUP BY 1
 """)
 def q_availability_summary(spark, sf):
     return P.availability_summary(_avail_default(spark, sf))
 
 
 @register("availability_by_product", _AFILT + """
-SELECT productName, sum(quantityListed) AS quantityListed,
+SELECT producer, productName, sum(quantityListed) AS quantityListed,
        sum(quantityAvailable) AS quantityAvailable, sum(quantitySold) AS quantitySold
-FROM af WHERE producer = (SELECT min(producer) FROM abase) AND productName IS NOT NULL
-GROUP BY 1
+FROM abase WHERE productName IS NOT NULL
+GROUP BY 1, 2
 """)
 def q_availability_by_product(spark, sf):
-    """Detail of the first selected producer (alphabetically)."""
-    af, (producers, _) = _avail_default(spark, sf, with_selection=True)
-    return P.availability_by_product(af, producers[0])
+    return P.availability_by_product(_avail_default(spark, sf))
 
 
 @register("availability_count_by_level", """
 SELECT p.id, p.name, p."default", CAST(count(a.priceLevel) AS BIGINT) AS rows
-FROM (SELECT * FROM price_levels ORDER BY id LIMIT 3) p
+FROM price_levels p
 LEFT JOIN availability a ON a.priceLevel = p.id
 GROUP BY 1, 2, 3
 """)

@@ -11,6 +11,7 @@ MONEY = T.DecimalType(18, 2)
 
 ORDER_ITEMS = T.StructType([
     T.StructField("orderId", T.LongType()),
+    T.StructField("itemOrder", T.LongType()),
     T.StructField("periodStart", T.DateType()),
     T.StructField("customerType", T.StringType()),
     T.StructField("orderSubTotal", MONEY),

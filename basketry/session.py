@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -43,25 +45,28 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset.
+    """Return the shared checkpoint folder, creating a local one only for local masters.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when nothing is configured (tests, local runs) a fresh folder
-    under the system temp directory is created and registered.
+    On a cluster ``spark.checkpoint.dir`` must name a folder that the driver
+    and all executors share; without it this fails rather than write where
+    executors can't read. Only a ``local`` master (tests, trial runs) gets a
+    fresh folder under the system temp directory.
     """
     try:
         sc = spark.sparkContext
     except Exception:                    # Spark Connect: no SparkContext on the client
         current = spark.conf.get("spark.checkpoint.dir", None)
-        return current or tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not current:
+            raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors") from None
+        return current
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return sc.getCheckpointDir() or current
-    local = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
+    if not current:
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
+        current = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    return sc.getCheckpointDir() or current
 
 
 def app_id(spark: SparkSession) -> str:
@@ -73,26 +78,44 @@ def app_id(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique path below the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new, unique path below the shared checkpoint folder, removed when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(remove_scratch, spark)
+    _SCRATCH.append(path)
+    return path
 
 
-def materialize(df, name: str = "intermediate", columnar: bool = True):
-    """Compute ``df`` once and cut its lineage with a written Parquet table.
+_SCRATCH: list[str] = []
 
-    Used where one intermediate feeds several branches of a plan (Catalyst
-    prunes each branch differently, so their shuffles cannot be reused).
-    The table is written below the shared checkpoint folder, so it survives
-    the loss of executors, and it is columnar: each branch reads only the
-    columns it needs, with its filters pushed into the scan.
-    ``localCheckpoint`` is never used.
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove every scratch path of this application (through Hadoop's file systems)."""
+    paths, _SCRATCH[:] = _SCRATCH[:], []
+    try:
+        jvm = spark._jvm
+        conf = jvm.org.apache.hadoop.conf.Configuration()
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:                    # the JVM is gone: nothing can be removed any more
+        pass
+
+
+def input_state(spark: SparkSession, folder: str) -> tuple:
+    """(path, size, modification time) of every file below ``folder``.
+
+    Tables derived from the folder are kept under this key, so changed input
+    is noticed.
     """
-    spark = df.sparkSession
-    if not columnar:
-        # small, bounded results: a reliable checkpoint has less file overhead
-        ensure_checkpoint_dir(spark)
-        return df.checkpoint(eager=True)
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    try:
+        jvm = spark._jvm
+    except Exception:                    # Spark Connect
+        return ()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(path, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))

@@ -6,11 +6,10 @@ schema with joins and aggregates only, so their cost grows with the data.
 ``FIXTURES.md`` documents every column; DuckDB builds the same views in
 ``basketry.plans.oracle_views``.
 
-Join strategy: region and nation have a fixed, tiny size and are broadcast
-explicitly. Customer, part and supplier grow with the data, so the choice is
-left to Spark, which broadcasts them only under
+Join strategy: no hints. Spark broadcasts a side only under
 ``spark.sql.autoBroadcastJoinThreshold`` (a checked size) and otherwise uses a
-shuffle join, with AQE splitting skewed partitions.
+shuffle join, with AQE splitting skewed partitions. All joins are outer, so no
+order, line or customer is lost where a key has no partner.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions.cleaning import week_start
-from basketry.session import app_id
+from basketry.session import app_id, input_state, scratch_path
 from basketry.sources.tables import read_table
 
 # Fixed values of the fixture design (see FIXTURES.md).
@@ -47,7 +46,8 @@ def _producer(s_suppkey: F.Column, s_name: F.Column) -> F.Column:
 
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order item; order money only on one row of each order.
+    """One row per order item, and one per order without items; order money only on
+    one row of each order. Items whose order, part, supplier or customer is missing stay.
 
     The per-order subtotal and the carrier row (the largest line tuple) come
     from one partial aggregate on ``l_orderkey`` (map-side combine, so a huge
@@ -69,19 +69,23 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     # product / producer names onto the still narrow line rows, so the line
     # items are shuffled three times (part, supplier, order key), never by
     # customer key with every column attached
-    ocust = (orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-             .join(F.broadcast(nation.select("n_nationkey", "n_name")),
-                   F.col("c_nationkey") == F.col("n_nationkey"))
+    ocust = (orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+             .join(nation.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
              .select("o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice",
                      "c_custkey", "c_name", "c_mktsegment", "n_name"))
-    lines = (li.join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-             .join(supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey")))
-    rows = (lines.join(per_order, "l_orderkey")
-            .join(ocust, F.col("l_orderkey") == F.col("o_orderkey")))
-    carrier = line == F.col("_carrier")
+    lines = (li.join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"), "left")
+             .join(supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"), "left"))
+    # every line, and every order without one: two joins that adaptive execution
+    # can split where one order is hot (a full outer join can't be split)
+    with_lines = (lines.join(per_order, "l_orderkey", "left")
+                  .join(ocust, F.col("l_orderkey") == F.col("o_orderkey"), "left"))
+    without = ocust.join(per_order.select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
+    rows = with_lines.unionByName(without, allowMissingColumns=True)
+    carrier = F.col("l_orderkey").isNull() | (line == F.col("_carrier"))
     ck = F.col("c_custkey")
     return rows.select(
-        F.col("o_orderkey").alias("orderId"),
+        F.coalesce("o_orderkey", "l_orderkey").alias("orderId"),
+        F.col("l_linenumber").cast("long").alias("itemOrder"),
         F.when(F.col("o_orderkey") % NULL_PERIOD_EVERY == 0, F.lit(None).cast("date"))
          .otherwise(week_start("o_orderdate")).alias("periodStart"),
         F.when(ck % PADDED_TYPE_EVERY == 0,
@@ -117,9 +121,9 @@ def customers(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame
                  F.sum(F.col("o_totalprice").cast(MONEY)).alias("_sales"),
                  F.min("o_orderdate").alias("_first"),
                  F.max("o_orderdate").alias("_last")))
-    geo = (nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    geo = (nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
            .select("n_nationkey", "n_name", "r_name"))
-    c = (customer.join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = (customer.join(geo, F.col("c_nationkey") == F.col("n_nationkey"), "left")
          .join(stats, F.col("c_custkey") == F.col("o_custkey"), "left"))
     return c.select(
         F.col("c_custkey").alias("customerId"),
@@ -159,22 +163,22 @@ def availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     #    3) a second aggregate merges keys that share a name. Quantities are
     #    whole numbers, so the two-step sums are exact.
     by_key = (li.join(orders.select("o_orderkey", "o_orderdate"),
-                      F.col("l_orderkey") == F.col("o_orderkey"))
+                      F.col("l_orderkey") == F.col("o_orderkey"), "left")
               .groupBy(week_start("o_orderdate").alias("periodStart"), "l_partkey", "l_suppkey")
               .agg(F.sum("l_quantity").alias("_listed"),
                    F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))).alias("_sold")))
     named = (by_key
-             .join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+             .join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"), "left")
              .join(supplier.select("s_suppkey", "s_name", "s_nationkey"),
-                   F.col("l_suppkey") == F.col("s_suppkey"))
-             .join(F.broadcast(nation.select("n_nationkey", "n_regionkey")),
-                   F.col("s_nationkey") == F.col("n_nationkey")))
+                   F.col("l_suppkey") == F.col("s_suppkey"), "left")
+             .join(nation.select("n_nationkey", "n_regionkey"),
+                   F.col("s_nationkey") == F.col("n_nationkey"), "left"))
     return (named.groupBy(
                 F.col("n_regionkey").cast("int").alias("priceLevel"),
                 "periodStart",
                 _producer(F.col("s_suppkey"), F.col("s_name")).alias("producer"),
                 F.col("p_name").alias("productName"))
-            .agg(F.sum("_listed").alias("quantityListed"),
+            .agg(F.coalesce(F.sum("_listed"), F.lit(0.0)).alias("quantityListed"),
                  F.coalesce(F.sum("_sold"), F.lit(0.0)).alias("quantitySold"))
             .withColumn("quantityAvailable", F.col("quantityListed") - F.col("quantitySold")))
 
@@ -191,12 +195,25 @@ def availability(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LANDED: dict[tuple, str] = {}
 
 
-def _landed(spark: SparkSession, name: str, sf_dir: str, build, partition_by=None) -> DataFrame:
-    from basketry.session import scratch_path
-    key = (app_id(spark), name, sf_dir)
+def _key(spark: SparkSession, name: str, sf_dir: str) -> tuple:
+    return app_id(spark), name, sf_dir, input_state(spark, sf_dir)
+
+
+def landed(spark: SparkSession, name: str, sf_dir: str, build, partition_by: list[str] | None = None,
+           cluster_by: list[str] | None = None) -> DataFrame:
+    """The table ``build(spark, sf_dir)``, written once for this application and input.
+
+    ``cluster_by`` range-partitions and sorts the rows before writing, so that
+    a filter on the first column skips files and row groups; the further
+    columns split a value that is very frequent.
+    """
+    key = _key(spark, name, sf_dir)
     if key not in _LANDED:
         path = scratch_path(spark, f"adapter-{name}")
-        w = build(spark, sf_dir).write.mode("overwrite")
+        df = build(spark, sf_dir)
+        if cluster_by:
+            df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
+        w = df.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(path)
@@ -205,17 +222,31 @@ def _landed(spark: SparkSession, name: str, sf_dir: str, build, partition_by=Non
 
 
 def landed_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _landed(spark, "order_items", sf_dir, order_items)
+    """Order items clustered by period, for the date filters."""
+    return landed(spark, "order_items", sf_dir, order_items, cluster_by=["periodStart", "orderId"])
+
+
+def landed_order_base(spark: SparkSession, sf_dir: str, status: str = "F") -> DataFrame:
+    """Order-level rows of one status, collapsed once and read by every order query."""
+    from basketry.operators.orders import order_base
+    return landed(spark, f"order_base-{status}", sf_dir,
+                  lambda s, d: order_base(landed_order_items(s, d), status), cluster_by=["periodStart", "orderId"])
 
 
 def landed_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _landed(spark, "customers", sf_dir, customers)
+    return landed(spark, "customers", sf_dir, customers)
+
+
+def landed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with recency, age and segment, computed once and read by every segment query."""
+    from basketry.operators.customers import segment_customers
+    return landed(spark, "segments", sf_dir, lambda s, d: segment_customers(landed_customers(s, d)))
 
 
 def landed_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Availability partitioned by price level (one folder per level)."""
-    return _landed(spark, "availability", sf_dir, availability, ["priceLevel"])
+    return landed(spark, "availability", sf_dir, availability, ["priceLevel"])
 
 
 def landed_path(spark: SparkSession, name: str, sf_dir: str) -> str:
-    return _LANDED[(app_id(spark), name, sf_dir)]
+    return _LANDED[_key(spark, name, sf_dir)]

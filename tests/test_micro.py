@@ -327,3 +327,55 @@ def test_clv_histogram_single_value(spark):
                              AS_OF).withColumn("segment", C.F.lit("X"))
     hist = C.clv_histogram(C.customer_clv(seg, 12)).collect()
     assert [(r.bin, r.customers) for r in hist] == [(1, 4)]
+
+
+ITEM = ("orderId long, periodStart string, customerType string, orderSubTotal double, orderTotal double, "
+        "orderStatus string, email string, customerName string")
+
+
+def test_kpis_take_periods_from_the_selector_not_from_the_type(spark):
+    rows = [(1, "2024-01-01", "A", 1.0, 200.0, "F", "x@x", "X"), (2, "2024-01-08", "B", 1.0, 300.0, "F", "x@x", "X")]
+    items = spark.createDataFrame(rows, ITEM)
+    kpi = O.order_kpis(items, "F", types=["B"]).first()
+    assert (kpi.revenue, kpi.new_customers, kpi.recurring_pct) == (300.0, 1, 0.0)
+    later = spark.createDataFrame([("2024-01-08",)], "p string").selectExpr("cast(p as date) as periodStart")
+    kpi = O.order_kpis(items, "F", types=["B"], periods=later).first()
+    assert (kpi.new_customers, kpi.recurring_pct) == (0, 100.0)
+
+
+def test_kpis_and_detail_without_optional_columns(spark):
+    items = spark.createDataFrame([(1, "2024-01-01", "A", 1.0, 200.0, "F", "x@x", "X")], ITEM)
+    kpi = O.order_kpis(items.drop("email"), "F").first()
+    assert (kpi.total_orders, kpi.new_customers, kpi.recurring_pct, kpi.avg_weeks_between) == (1, 0, 0.0, None)
+    assert O.new_customers_detail(items.drop("email"), "F").collect() == []
+    assert [r.name for r in O.new_customers_detail(items.drop("customerName"), "F").collect()] == [""]
+
+
+def test_first_non_null_keeps_the_fields_of_the_earlier_row(spark):
+    df = spark.createDataFrame([(1, 1, "2024-01-01", "A", None, 5.0, "F"), (1, 2, "2024-01-08", "B", 2.0, 9.0, "F")],
+                               "orderId long, itemOrder long, periodStart string, customerType string, "
+                               "orderSubTotal double, orderTotal double, orderStatus string")
+    row = O.orders_at_order_level(df.repartition(2)).first()
+    assert (row.periodStart, row.customerType, row.orderSubTotal, row.orderTotal) == ("2024-01-01", "A", 2.0, 5.0)
+
+
+def test_text_periods_are_parsed(spark):
+    rows = [(1, "bad", "A", 1.0, 2.0, "F", "x@x", "X"), (2, "2024-01-01", "A", 1.0, 2.0, "F", "x@x", "X")]
+    got = {str(r.periodStart) for r in O.aov_by_type_period(spark.createDataFrame(rows, ITEM)).collect()}
+    assert got == {"None", "2024-01-01"}
+
+
+def test_offsets_are_converted_to_utc(spark):
+    df = spark.createDataFrame([(1, "1996-06-29T23:30:00-05:00", 1)], "customerId long, lastOrder string, totalOrders long")
+    assert C.customer_recency(df).first().days_since_last_order == -1
+
+
+def test_availability_of_null_quantities_is_zero(spark):
+    df = spark.createDataFrame([("p", "x", None, None, None)], "producer string, productName string, quantityListed double, "
+                               "quantityAvailable double, quantitySold double")
+    assert tuple(PR.availability_by_product(df).first())[2:] == (0.0, 0.0, 0.0)
+
+
+def test_bad_product_dates_are_null(spark):
+    df = spark.createDataFrame([("bad", "p"), ("2024-01-01", "p")], "periodStart string, producerName string")
+    assert sorted(str(r.periodStart) for r in PR.product_base(df).collect()) == ["2024-01-01", "None"]
