@@ -17,7 +17,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.cleaning import to_number
@@ -49,6 +49,7 @@ MIN_PER_CLASS = 10
 MAX_FOLDS = 5
 DAYS_PER_MONTH_ML = 30
 FIT_THREADS = 12          # concurrent model fits submitted from the driver
+MAX_DEPTH = 30            # MLlib's deepest; the trees are meant to be unlimited
 
 
 def customer_features(seg: DataFrame) -> DataFrame:
@@ -108,23 +109,53 @@ class _Prepared:
     data: DataFrame | None
     counts: dict[int, int]
     folds: int
+    per_fold: dict[tuple[int, int], int] = field(default_factory=dict)
+
+
+SLICES = 256              # hash slices a class is numbered in
+
+
+def stratified_number(df: DataFrame, label: str, keys: list[Column], seed: int) -> DataFrame:
+    """Add ``_number``: 0, 1, ... within each class, in the order of a seeded hash.
+
+    Rows are numbered inside (class, hash slice) and shifted by the sizes of
+    the class's earlier slices, so no task sorts a whole class. Taking the
+    number modulo k deals each class evenly to k folds.
+    """
+    h = F.xxhash64(*keys, F.lit(seed))
+    rows = df.withColumn("_hash", h).withColumn("_slice", F.pmod("_hash", F.lit(SLICES)))
+    sizes = rows.groupBy(label, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(label).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(F.col(label).alias("_of"), F.col("_slice").alias("_at"),
+                         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy(label, "_slice").orderBy("_hash", *keys)
+    return (rows.withColumn("_in", F.row_number().over(inside) - 1)
+            .join(shift, F.col(label).eqNullSafe(F.col("_of")) & (F.col("_slice") == F.col("_at")))
+            .withColumn("_number", F.col("_shift") + F.col("_in"))
+            .drop("_hash", "_slice", "_in", "_of", "_at", "_shift"))
 
 
 def _prepare(labeled: DataFrame, key: str, seed: int) -> _Prepared:
-    """Class counts, balanced weights and hashed fold ids; persisted for fitting."""
+    """Class counts and stratified fold ids; persisted for fitting."""
     counts = class_counts(labeled)
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     if n0 < MIN_PER_CLASS or n1 < MIN_PER_CLASS:
         return _Prepared(None, counts, 0)
     n, k = n0 + n1, min(MAX_FOLDS, n0, n1)
     assembler = VectorAssembler(inputCols=ML_FEATURES, outputCol="features")
-    data = assembler.transform(labeled.select(key, "label", *ML_FEATURES)).withColumns({
-        "weight": F.when(F.col("label") == 1, F.lit(n / (2.0 * n1))).otherwise(F.lit(n / (2.0 * n0))),
-        "fold": F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)),
-    }).select(key, "label", "features", "weight", "fold")
+    data = (assembler.transform(stratified_number(labeled.select(key, "label", *ML_FEATURES), "label", [F.col(key)], seed))
+            .withColumn("fold", F.col("_number") % k).select(key, "label", "features", "fold"))
     data.persist(StorageLevel.MEMORY_AND_DISK)
-    data.count()            # fill the cache once, before concurrent fits read it
-    return _Prepared(data, counts, k)
+    # fills the cache once, before concurrent fits read it
+    per_fold = {(r["fold"], r["label"]): r["n"] for r in
+                data.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return _Prepared(data, counts, k, per_fold)
+
+
+def balanced(data: DataFrame, n0: int, n1: int) -> DataFrame:
+    """Add the class weights n / (2 * n_class) of the rows that are trained on."""
+    n = n0 + n1
+    return data.withColumn("weight", F.when(F.col("label") == 1, F.lit(n / (2.0 * n1))).otherwise(F.lit(n / (2.0 * n0))))
 
 
 def _fit_all(prepared: list[_Prepared], num_trees: int, max_depth: int, seed: int,
@@ -139,10 +170,12 @@ def _fit_all(prepared: list[_Prepared], num_trees: int, max_depth: int, seed: in
                                        metricName="areaUnderROC")
 
     def full(p: _Prepared):
-        return _forest(num_trees, max_depth, seed, True).fit(p.data)
+        return _forest(num_trees, max_depth, seed, True).fit(balanced(p.data, p.counts[0], p.counts[1]))
 
     def fold(p: _Prepared, i: int):
-        m = _forest(num_trees, max_depth, seed, True).fit(p.data.where(F.col("fold") != i))
+        n0, n1 = (p.counts[c] - p.per_fold.get((i, c), 0) for c in (0, 1))
+        train = balanced(p.data.where(F.col("fold") != i), n0, n1)
+        m = _forest(num_trees, max_depth, seed, True).fit(train)
         return ev.evaluate(m.transform(p.data.where(F.col("fold") == i)))
 
     jobs = {}
@@ -169,12 +202,12 @@ def _fit_all(prepared: list[_Prepared], num_trees: int, max_depth: int, seed: in
 
 
 def train_binary(labeled: DataFrame, key: str = "customerId", num_trees: int = 300,
-                 max_depth: int = 10, seed: int = 42, cross_validate: bool = True) -> TrainedModel:
+                 max_depth: int = MAX_DEPTH, seed: int = 42, cross_validate: bool = True) -> TrainedModel:
     """Balanced random forest; mean ROC-AUC over up to five folds.
 
     Trains only with at least ``MIN_PER_CLASS`` rows in each class. Class
-    weights are ``n / (2 * n_class)``. Folds come from a hash of the key, so
-    each class is split evenly without a per-class window or shuffle.
+    weights are ``n / (2 * n_class)`` of the rows each fit sees. Every class is
+    dealt evenly to the folds.
     """
     return _fit_all([_prepare(labeled, key, seed)], num_trees, max_depth, seed, cross_validate)[0]
 
@@ -198,7 +231,7 @@ class MlResult:
     upgrade: TrainedModel
 
 
-def run_customer_ml(seg: DataFrame, num_trees: int = 300, max_depth: int = 10, seed: int = 42,
+def run_customer_ml(seg: DataFrame, num_trees: int = 300, max_depth: int = MAX_DEPTH, seed: int = 42,
                     cross_validate: bool = True) -> MlResult:
     feat = customer_features(seg)
     prepared = [_prepare(churn_labels(feat), "customerId", seed),
@@ -257,19 +290,22 @@ def score_scatter(scored: DataFrame) -> DataFrame:
 
 def classification_report(df: DataFrame, target: str, features: list[str] | None = None,
                           key: str | None = None, test_fraction: float = 0.2, seed: int = 42,
-                          num_trees: int = 100, max_depth: int = 10) -> DataFrame:
+                          num_trees: int = 100, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Train a forest on ~80 % of rows, report per-class precision / recall / F1 /
     support on the rest, plus accuracy and macro / weighted averages.
 
-    The split hashes ``key`` (or all feature values) with the seed: every class
-    is split in the same proportion without a per-class sort.
+    The split is stratified: of each class every ``1 / test_fraction``-th row, in
+    the order of a seeded hash of ``key`` (or of all feature values), is tested.
+    Classes that are only predicted or only tested are listed with what they have.
     """
     features = features or [c for c in df.columns if c != target and c != key]
     hash_cols = [F.col(key)] if key else [F.col(c) for c in features]
     data = df.select(*([key] if key else []), target, *[F.col(c).cast("double").alias(c) for c in features]) \
         .dropna(subset=[target]).fillna(0.0, subset=features)
-    data = data.withColumn("_test", F.pmod(F.xxhash64(*hash_cols, F.lit(seed)), F.lit(1000))
-                           < F.lit(int(test_fraction * 1000)))
+    step = max(2, round(1 / test_fraction))
+    data = (stratified_number(data, target, hash_cols, seed).withColumn("_test", F.col("_number") % step == step - 1)
+            .drop("_number"))
+    data.persist(StorageLevel.MEMORY_AND_DISK)
     indexer = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc",
                             handleInvalid="keep")
     assembler = VectorAssembler(inputCols=features, outputCol="features")
@@ -277,23 +313,30 @@ def classification_report(df: DataFrame, target: str, features: list[str] | None
                                 maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed)
     model = Pipeline(stages=[indexer, assembler, rf]).fit(data.where(~F.col("_test")))
     pred = model.transform(data.where(F.col("_test")))
-    classes = model.stages[0].labels
-    names = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(float(i)), F.lit(c))])
-    cm = pred.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
-    per_true = cm.groupBy("label").agg(F.sum("n").alias("support"),
-                                       F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n"))
-                                             .otherwise(0)).alias("tp"))
-    per_pred = cm.groupBy(F.col("prediction").alias("label")).agg(F.sum("n").alias("predicted"))
-    per = (per_true.join(per_pred, "label", "full_outer")
-           .select(names[F.col("label")].alias("class"),
-                   F.coalesce("tp", F.lit(0)).alias("tp"),
-                   F.coalesce("support", F.lit(0)).alias("support"),
-                   F.coalesce("predicted", F.lit(0)).alias("predicted"))
-           .where(F.col("support") > 0))
+    names = F.array(*[F.lit(c) for c in model.stages[0].labels])
+    cm = pred.groupBy(F.col(target).cast("string").alias("actual"),
+                      F.get(names, F.col("prediction").cast("int")).alias("predicted")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    return report_from_counts(cm)
+
+
+def report_from_counts(cm: DataFrame) -> DataFrame:
+    """Precision, recall, F1 and support from (actual, predicted, n), with averages.
+
+    A class that is never predicted has precision 0, one that never occurs
+    recall 0; both count in the macro average.
+    """
+    hit = F.col("actual") == F.col("predicted")
+    per_true = cm.groupBy(F.col("actual").alias("class")).agg(
+        F.sum("n").alias("support"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("tp"))
+    per_pred = cm.groupBy(F.col("predicted").alias("class")).agg(F.sum("n").alias("predicted"))
+    per = (per_true.join(per_pred, "class", "full_outer")
+           .select("class", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "support", "predicted")]))
     per = per.select("class", "support",
                      F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted"))
                      .otherwise(0.0).alias("precision"),
-                     (F.col("tp") / F.col("support")).alias("recall"), "tp")
+                     F.when(F.col("support") > 0, F.col("tp") / F.col("support"))
+                     .otherwise(0.0).alias("recall"), "tp")
     per = per.withColumn("f1_score", F.when(F.col("precision") + F.col("recall") > 0,
                                             2 * F.col("precision") * F.col("recall")
                                             / (F.col("precision") + F.col("recall"))).otherwise(0.0))

@@ -7,18 +7,16 @@ are checked by properties in the tests instead (rows-only here).
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from basketry.operators import ml as M
-from basketry.operators.customers import segment_customers
 from basketry.plans.registry import register
-from basketry.sources.adapters import landed_customers
+from basketry.session import app_id, input_state
+from basketry.sources.adapters import landed_segments
 
-# Forest size for the registered queries (the library default is 300 trees).
-QUERY_TREES = 50
-QUERY_DEPTH = 10
+QUERY_TREES = 300
+QUERY_DEPTH = M.MAX_DEPTH
+REPORT_TREES = 100
 
 _FEAT_SQL = """
 SELECT customerId, segment, totalOrders, totalSales,
@@ -39,15 +37,20 @@ _FEATS = "customerId, segment, " + ", ".join(M.ML_FEATURES)
 
 
 def _feat(spark, sf):
-    return M.customer_features(segment_customers(landed_customers(spark, sf))).select(
+    return M.customer_features(landed_segments(spark, sf)).select(
         "customerId", "segment", *M.ML_FEATURES)
 
 
-@lru_cache(maxsize=4)
+_TRAINED: dict[tuple, M.MlResult] = {}
+
+
 def _ml(spark, sf):
-    """One training run per session and data folder, shared by the ML keys."""
-    seg = segment_customers(landed_customers(spark, sf))
-    return M.run_customer_ml(seg, num_trees=QUERY_TREES, max_depth=QUERY_DEPTH)
+    """One training run per application and input, shared by the ML keys."""
+    key = app_id(spark), sf, input_state(spark, sf)
+    if key not in _TRAINED:
+        _TRAINED.clear()                 # models of a stopped session or of former input
+        _TRAINED[key] = M.run_customer_ml(landed_segments(spark, sf), num_trees=QUERY_TREES, max_depth=QUERY_DEPTH)
+    return _TRAINED[key]
 
 
 @register("customer_features", f"SELECT {_FEATS} FROM ({_FEAT_SQL})")
@@ -111,4 +114,4 @@ def q_classification_report(spark, sf):
     """Segment predicted from the customer features (80/20 hashed split)."""
     feat = _feat(spark, sf)
     return M.classification_report(feat, "segment", M.ML_FEATURES, key="customerId",
-                                   num_trees=QUERY_TREES, max_depth=QUERY_DEPTH)
+                                   num_trees=REPORT_TREES, max_depth=QUERY_DEPTH)

@@ -58,6 +58,26 @@ def test_untrained_below_ten_per_class(spark):
     assert res10.churn.model is not None
 
 
+def test_every_fold_gets_its_share_of_each_class(spark):
+    df = spark.range(60).withColumn("label", (F.col("id") % 6 == 0).cast("int"))        # 10 positives
+    numbered = M.stratified_number(df, "label", [F.col("id")], 42)
+    for label, n in ((0, 50), (1, 10)):
+        rows = numbered.where(F.col("label") == label)
+        assert sorted(r["_number"] for r in rows.collect()) == list(range(n))
+        folds = {r["fold"]: r["count"] for r in rows.groupBy((F.col("_number") % 5).alias("fold")).count().collect()}
+        assert folds == {k: n // 5 for k in range(5)}
+    again = M.stratified_number(df.repartition(7), "label", [F.col("id")], 42)
+    assert again.exceptAll(numbered).count() == 0
+
+
+def test_report_lists_classes_without_support_or_prediction(spark):
+    cm = spark.createDataFrame([("a", "a", 3), ("a", "c", 1), ("b", "a", 2)], "actual string, predicted string, n long")
+    got = {r["class"]: tuple(r)[1:] for r in M.report_from_counts(cm).collect()}
+    assert got["a"] == (pytest.approx(0.6), 0.75, pytest.approx(2 / 3), 4)
+    assert got["b"] == (0.0, 0.0, 0.0, 2) and got["c"] == (0.0, 0.0, 0.0, 0)
+    assert got["accuracy"][0] == 0.5 and got["macro avg"][0] == pytest.approx(0.2) and got["accuracy"][3] == 6
+
+
 def test_classification_report_shape(spark):
     seg = segment_customers(landed_customers(spark, SF01))
     feat = M.customer_features(seg)
