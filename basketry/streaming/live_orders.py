@@ -1,15 +1,14 @@
-"""Incremental ingest of order-item files and refresh of the period metrics.
-
-The reference's "live" mode re-fetches two years of orders and recomputes
-everything on a button press. Here new order-item files that land in a
-folder are picked up by a Structured Streaming file source; each micro-batch
-is appended to the order-item table and the per-(period, customer type)
-metrics are recomputed from the whole table and replaced atomically.
-
-Exactly-once: the stream's checkpoint (in the shared checkpoint folder)
-records which files were consumed; a replayed batch rewrites the same
-batch-numbered folder of the item table and recomputes the same metrics,
-so a retry after executor or driver loss gives the same result.
+"""Ingest of new order-item files with Structured Streaming, and a refresh of the period metrics.
+
+New order-item files that land in a folder are picked up by a file source;
+each micro-batch is added to the order-item table. The metrics are then
+recomputed from the whole table (a customer's history reaches back over all
+of it) and written as a new version; readers take the newest one.
+
+The stream's checkpoint (in the shared folder) records which files were
+consumed; a replayed batch rewrites the same batch-numbered folder of the item
+table and the same version of the metrics, so a retry after the loss of an
+executor or the driver gives the same result.
 """
 
 from __future__ import annotations
