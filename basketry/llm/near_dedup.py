@@ -85,7 +85,6 @@ class MinMax:
         rng = np.random.default_rng(c.seed)
         self.c = c
         self.a = rng.integers(0, 2**63, c.hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 2**63, c.hashes, dtype=np.uint64)
         self.band = mix64(np.arange(1, c.bands + 1, dtype=np.uint64))
 
     def signature(self, values: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
@@ -93,9 +92,9 @@ class MinMax:
         low = np.full(self.c.hashes, np.iinfo(np.uint64).max, dtype=np.uint64)
         high = np.zeros(self.c.hashes, dtype=np.uint64)
         for at in range(0, len(values), block):
-            y = values[at:at + block, None] * self.a + self.b
-            np.minimum(low, y.min(axis=0), out=low)
-            np.maximum(high, y.max(axis=0), out=high)
+            y = self.a[:, None] * values[None, at:at + block]
+            np.minimum(low, y.min(axis=1), out=low)
+            np.maximum(high, y.max(axis=1), out=high)
         return low, high
 
     def keys(self, values: np.ndarray) -> np.ndarray:
@@ -135,7 +134,8 @@ def full_sets(text_col: str, c: NearConfig) -> Column:
                 [pa.array([set_digest(s) for s in sets], type=pa.binary()),
                  pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["digest", "items"])
 
-    return compute(F.col(text_col))
+    # else the optimizer moves a filter on the result, and the function with it, below the join
+    return compute.asNondeterministic()(F.col(text_col))
 
 
 def common_items(a: str, b: str) -> Column:
