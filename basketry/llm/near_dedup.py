@@ -10,17 +10,20 @@ probability 6e-7.
 
 Documents with the same set are one node. Buckets are not expanded into all
 pairs. Links are sought in three steps, each confirming candidates on the full
-sets and joining components:
+sets and joining components; the centre of a bucket is its node that meets
+most others over all its buckets:
 
-1. every node against the smallest node that it shares a bucket with;
-2. across components only, every node against the smallest node of each bucket;
-3. across components only, the remaining pairs of each bucket.
+1. every node against the most central of its buckets' centres;
+2. across components only, every node against the centre of each bucket;
+3. across components only, the remaining pairs of each bucket, where one side
+   is outside the bucket's largest component.
 
 A pair whose ends are already in one component needs no check, so a large
 group of near copies costs a few checks a copy. Steps 2 and 3 also leave out
-pairs that can't be linked: sizes too different, or (as Jaccard distance is a
-metric) distances to the same checked node that differ by more than the
-threshold allows. No pair is left out that could be linked.
+pairs that can't be linked: sizes too different, or a bitmap filter (Bloom
+bits of both sets: no more items can be common than bits are, plus the
+smaller number of items that share bits). No pair is left out that could be
+linked.
 
 Defined cases: a null or empty text, or one without words, has an empty set and
 is linked with nothing; a text with fewer words than a shingle is one shingle;
@@ -53,6 +56,7 @@ class NearConfig:
     percent: int = 80
     hashes: int = 90
     rows: int = 5
+    bitmap_words: int = 32          # 64 bits each
     seed: int = 20240501
 
     @property
@@ -123,21 +127,46 @@ def signatures(text_col: str | Column, c: NearConfig) -> Column:
     return compute(F.col(text_col) if isinstance(text_col, str) else text_col)
 
 
+def bitmap(values: np.ndarray, words: int) -> np.ndarray:
+    """``words`` 64-bit words with the bit of every item set."""
+    bits = np.zeros(64 * words, dtype=bool)
+    bits[((values >> np.uint64(24)) % np.uint64(64 * words)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def full_sets(text_col: str, c: NearConfig) -> Column:
-    """Struct of digest and items (the sorted set as little-endian 64-bit integers)."""
-    @F.arrow_udf("struct<digest:binary,items:binary>")
+    """Struct of digest, items (the sorted set as little-endian 64-bit integers) and the words of its bitmap."""
+    words = [f"b{k}" for k in range(c.bitmap_words)]
+
+    @F.arrow_udf("struct<digest:binary,items:binary," + ",".join(f"{w}:long" for w in words) + ">")
     def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = WordHashes()
         for texts in batches:
             sets = [shingle_set(t, c.shingle, known) for t in texts.to_pylist()]
+            bits = np.array([bitmap(s, c.bitmap_words) for s in sets], dtype=np.int64).reshape(len(sets), len(words))
             yield pa.StructArray.from_arrays(
                 [pa.array([set_digest(s) for s in sets], type=pa.binary()),
-                 pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["digest", "items"])
+                 pa.array([s.tobytes() for s in sets], type=pa.binary()),
+                 *[pa.array(bits[:, k], type=pa.int64()) for k in range(len(words))]], names=["digest", "items", *words])
 
     # else the optimizer moves a filter on the result, and the function with it, below the join
     return compute.asNondeterministic()(F.col(text_col))
 
 
+def bits_fit(x: str, y: str, c: NearConfig) -> Column:
+    """Whether the bitmaps of nodes ``x`` and ``y`` leave a link possible.
+
+    A common item sets a common bit; of the items beyond the first on a bit
+    (n less the bits set) at most the smaller number can be common.
+    """
+    def ones(of):
+        return sum((F.bit_count(of(f"b{k}")) for k in range(1, c.bitmap_words)), F.bit_count(of("b0")))
+
+    common = ones(lambda b: F.col(f"{x}.{b}").bitwiseAND(F.col(f"{y}.{b}"))) + F.least(F.col(f"{x}.beyond"),
+                                                                                        F.col(f"{y}.beyond"))
+    return 100 * common >= c.percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - common)
+
+
 def common_items(a: str, b: str) -> Column:
     """Size of the intersection of two sorted sets."""
     @F.arrow_udf("long")
@@ -171,70 +200,71 @@ def sizes_fit(n_a: Column, n_b: Column, c: NearConfig) -> Column:
 def node_components(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, c: NearConfig) -> DataFrame:
     """(node, root) of all nodes that have a link. ``nodes``: node, id, digest, n, keys."""
     buckets = nodes.select("node", "n", F.explode("keys").alias("bucket"))
-    shared = (buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members"))
-              .where("members > 1").select("bucket", "pivot"))
-    members = cut(buckets.join(shared, "bucket"))
-    involved = cut(members.select("node").distinct().join(nodes.select("node", "id", "digest", "n"), "node"))
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = cut(buckets.join(shared, "bucket"))
+    # how many others a node meets, and the centre of each bucket
+    weight = met.groupBy("node").agg(F.sum("members").alias("weight"))
+    centres = met.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("centre"))
+    members = cut(met.select("node", "n", "bucket").join(centres, "bucket"))
+    involved = cut(weight.select("node").join(nodes.select("node", "id", "digest", "n"), "node"))
     size = involved.select("node", "n")
 
     # the full sets of candidates, from the texts
-    wanted = involved.select(F.col("id").alias("__id"), F.col("node").alias("__node"), F.col("digest").alias("__digest"))
+    wanted = involved.select(F.col("id").alias("__id"), F.col("node").alias("__node"), F.col("digest").alias("__digest"),
+                             F.col("n").alias("__n"))
     if involved.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
+    words = [f"b{k}" for k in range(c.bitmap_words)]
+    beyond = F.col("__n") - sum((F.bit_count(F.col(f"s.{w}")) for w in words[1:]), F.bit_count(F.col("s.b0")))
     sets = cut(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
                .join(wanted, F.col("id").eqNullSafe(F.col("__id")))
-               .select("__node", "__digest", full_sets("text", c).alias("s"))
+               .select("__node", "__digest", "__n", full_sets("text", c).alias("s"))
                .where(F.col("s.digest") == F.col("__digest"))
-               .select(F.col("__node").alias("node"), F.col("s.items").alias("items")).dropDuplicates(["node"]))
+               .select(F.col("__node").alias("node"), F.col("s.items").alias("items"),
+                       *[F.col(f"s.{w}").alias(w) for w in words], beyond.alias("beyond")).dropDuplicates(["node"]))
 
-    # step 1: the smallest node met in any bucket
-    first = (members.groupBy("node").agg(F.min("pivot").alias("b"), F.first("n").alias("n_a")).where("node <> b")
-             .select(F.col("node").alias("a"), "b", "n_a"))
+    # step 1: the most central node met in any bucket
+    first = (members.groupBy("node").agg(F.max("centre").alias("centre"), F.first("n").alias("n_a"))
+             .select(F.col("node").alias("a"), F.col("centre.node").alias("b"), "n_a").where("a <> b"))
     first = first.join(size.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
     checked = confirm(first.where(sizes_fit(F.col("n_a"), F.col("n_b"), c)), sets)
     edges = cut(checked.where(linked(c)).select("a", "b"))
     roots = connected_components(edges)
 
-    # distance of each node to the one it was checked against (a lower bound where sizes ruled it out)
-    distance = 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
-    near = checked.select(F.col("a").alias("node"), F.col("b").alias("anchor"), distance.alias("distance"))
-    slack = 1 - c.percent / 100 + 1e-9
-
-    def labelled(roots: DataFrame) -> DataFrame:
-        table = (involved.select("node", "n").join(roots, "node", "left").join(near, "node", "left")
-                 .select("node", F.coalesce("root", "node").alias("root"), F.coalesce("anchor", "node").alias("anchor"),
-                         F.coalesce("distance", F.lit(0.0)).alias("distance")))
-        return cut(table)
-
-    def crossing(a: str, b: str) -> Column:
-        return ((F.col(f"{a}.root") != F.col(f"{b}.root")) & sizes_fit(F.col(f"{a}.n"), F.col(f"{b}.n"), c)
-                & ((F.col(f"{a}.anchor") != F.col(f"{b}.anchor"))
-                   | (F.abs(F.col(f"{a}.distance") - F.col(f"{b}.distance")) <= slack)))
-
-    def open_buckets(labels: DataFrame) -> DataFrame:
-        """Members, with labels, of the buckets that hold more than one component."""
-        rows = members.join(labels, "node")
+    def open_buckets(roots: DataFrame) -> DataFrame:
+        """Members, with root and bitmap, of the buckets that hold more than one component."""
+        rows = (members.select("node", "n", "bucket", F.col("centre.node").alias("centre")).join(roots, "node", "left")
+                .withColumn("root", F.coalesce("root", "node")))
         several = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-        return cut(rows.join(several.select("bucket"), "bucket", "left_semi"))
-
-    # step 2: the smallest node of each bucket, across components
-    rows = open_buckets(labelled(roots))
-    pivots = rows.where("node = pivot")
-    star = (rows.alias("x").join(pivots.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & crossing("x", "y"))
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"),
-                    F.col("y.n").alias("n_b")).distinct())
-    star = star.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        rows = rows.join(several.select("bucket"), "bucket", "left_semi")
+        return cut(rows.join(sets.drop("items"), "node"))
+
+    def pairs(x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
+        """Distinct candidate pairs (a, b, n_a, n_b) of rows of x and y in one bucket, across components."""
+        fit = ((F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root"))
+               & sizes_fit(F.col("x.n"), F.col("y.n"), c) & bits_fit("x", "y", c) & more)
+        return (x.alias("x").join(y.alias("y"), fit)
+                .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"),
+                        F.col("y.n").alias("n_b")).distinct())
+
+    def without(new: DataFrame, old: DataFrame) -> DataFrame:
+        return new.join(old.select("a", "b"), ["a", "b"], "left_anti")
+
+    # step 2: the centre of each bucket, across components
+    rows = open_buckets(roots)
+    star = without(pairs(rows, rows.where("node = centre"), F.lit(True)), checked)
     again = confirm(star, sets)
     edges = cut(edges.union(again.where(linked(c)).select("a", "b")))
     roots = connected_components(edges)
 
-    # step 3: what is left of each bucket, across components
-    rows = open_buckets(labelled(roots)).where("node <> pivot")
-    rest = (rows.alias("x").join(rows.alias("y"), (F.col("x.bucket") == F.col("y.bucket"))
-                                 & (F.col("x.node") > F.col("y.node")) & crossing("x", "y"))
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"),
-                    F.col("y.n").alias("n_b")).distinct())
-    rest = rest.join(checked.select("a", "b").union(again.select("a", "b")), ["a", "b"], "left_anti")
+    # step 3: what is left of each bucket, across components; both sides of a pair
+    # can't be in the bucket's largest component, so one side is read without it
+    rows = open_buckets(roots).where("node <> centre")
+    largest = (rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+               .agg(F.max(F.struct("n", "root")).alias("largest")).select("bucket", F.col("largest.root").alias("main")))
+    rows = rows.join(largest, "bucket").withColumn("outside", F.col("root") != F.col("main"))
+    once = ~F.col("y.outside") | (F.col("x.node") > F.col("y.node"))
+    rest = without(without(pairs(rows.where("outside"), rows, once), checked), again)
     last = confirm(rest, sets).where(linked(c)).select("a", "b")
     return connected_components(edges.union(last))
 
