@@ -19,7 +19,8 @@ rows that repeat are treated alike; ties go to the language with more training
 documents, then to the smaller code point; a text whose n-grams are all
 unknown gets the most frequent language with score 0; without training rows
 everything is ``und``; an empty table gives an empty result; other columns are
-ignored whatever their names.
+ignored in training and kept in prediction, but one named ``prediction`` is
+replaced.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ another, so nothing is shuffled.
 Defined cases: a null text stays null and an empty one empty; text without
 values stays as it is; a candidate that fails validation stays as it is;
 rows that repeat are each treated alike; an empty table gives an empty
-result; other columns are kept by ``pseudonymise`` whatever their names.
+result; other columns are kept by ``pseudonymise`` whatever their names, but a
+column with the name of the kinds column is replaced by it.
 """
 
 from __future__ import annotations

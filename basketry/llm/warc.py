@@ -46,7 +46,7 @@ def record_id(page_id: Column) -> Column:
 
 def decide(pages: DataFrame, min_payload: int) -> DataFrame:
     """Add payload, its size and digest, and the response a revisit refers to."""
-    rows = (pages.withColumn("payload", text_or_empty("html"))
+    rows = (pages.select("page_id", "url", "captured_at", text_or_empty("html").alias("payload"))
             .withColumn("payload_bytes", F.octet_length("payload").cast("long"))
             .withColumn("payload_digest", F.sha2("payload", 256)))
     # equal payloads are reduced to (digest, smallest id) before they meet; only groups of two or more go on
