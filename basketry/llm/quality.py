@@ -14,8 +14,9 @@ a sum of one constant a rule, applied where the document is read.
 
 EM starts from rules that are right more often than not and stays on that
 side: in every step a good vote is kept at least as likely in good texts as in
-bad ones and a bad vote the other way round, so the classes cannot swap. Counts
-are smoothed, so a rule that never votes is harmless.
+bad ones and a bad vote the other way round, so the classes cannot swap. The
+starting belief counts like a few documents of each class, so that small tables
+and rules that never vote are harmless.
 
 Defined cases: a null or empty text has no words and every feature 0, and is
 rejected by the base rule; rows that repeat are judged alike and each counts;
@@ -135,23 +136,32 @@ class Model:
     weights: tuple[dict[int, float], ...]
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.8, accuracy: float = 0.9,
-        rounds: int = 100, smoothing: float = 1.0) -> Model:
-    """EM on vote patterns (rows of -1, 0, 1) and how many documents have each."""
+# Belief before any data, as P(bad vote, abstention, good vote): a good text gets good votes from
+# nearly all rules; a bad one is caught by a few of them and looks normal to the others.
+IN_GOOD = (0.005, 0.025, 0.97)
+IN_BAD = (0.2, 0.05, 0.75)
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.8, rounds: int = 100,
+        belief: float = 30.0) -> Model:
+    """EM on vote patterns (rows of -1, 0, 1) and how many documents have each.
+
+    The belief before any data counts like ``belief`` documents of each class,
+    which matters only in small tables.
+    """
     r = patterns.shape[1]
-    # P(bad vote, abstention, good vote) of each rule, in good and in bad texts
-    good = np.tile([(1 - accuracy) / 2, (1 - accuracy) / 2, accuracy], (r, 1))
-    bad = np.tile([accuracy / 2, accuracy / 2, 1 - accuracy], (r, 1))
-    which = patterns.T + 1
+    good, bad = (np.tile(np.array(x), (r, 1)) for x in (IN_GOOD, IN_BAD))      # of each rule
+    believed = good.copy(), bad.copy()
+    start, which = prior, patterns.T + 1
     total = max(counts.sum(), 1)
     for _ in range(rounds if len(counts) else 0):
         odds = math.log(prior / (1 - prior)) + sum(np.log(good[k] / bad[k])[which[k]] for k in range(r))
         p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         before = prior
-        prior = float(np.clip((counts * p).sum() / total, 0.5, 0.99))
+        prior = float(np.clip(((counts * p).sum() + belief * start) / (total + belief), 0.5, 0.99))
         for k in range(r):
-            for table, w in ((good, counts * p), (bad, counts * (1 - p))):
-                seen = np.bincount(which[k], weights=w, minlength=3) + smoothing
+            for table, w, at_first in ((good, counts * p, believed[0]), (bad, counts * (1 - p), believed[1])):
+                seen = np.bincount(which[k], weights=w, minlength=3) + belief * at_first[k]
                 table[k] = seen / seen.sum()
             # a good vote never speaks for bad, nor a bad vote for good
             for v, (more, less) in ((2, (good, bad)), (0, (bad, good))):
