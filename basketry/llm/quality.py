@@ -142,7 +142,7 @@ IN_GOOD = (0.005, 0.025, 0.97)
 IN_BAD = (0.2, 0.05, 0.75)
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.8, rounds: int = 100,
+def fit(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.8, rounds: int = 500,
         belief: float = 30.0) -> Model:
     """EM on vote patterns (rows of -1, 0, 1) and how many documents have each.
 
@@ -158,7 +158,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.8, rounds: in
         odds = math.log(prior / (1 - prior)) + sum(np.log(good[k] / bad[k])[which[k]] for k in range(r))
         p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         before = prior
-        prior = float(np.clip(((counts * p).sum() + belief * start) / (total + belief), 0.5, 0.99))
+        prior = float(np.clip(((counts * p).sum() + belief * start) / (total + belief), 0.05, 0.99))
         for k in range(r):
             for table, w, at_first in ((good, counts * p, believed[0]), (bad, counts * (1 - p), believed[1])):
                 seen = np.bincount(which[k], weights=w, minlength=3) + belief * at_first[k]
