@@ -41,18 +41,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ascii_lower(text: str) -> str:
-    """Lower-case A-Z only."""
-    return text.translate(_LOWER)
-
-
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
-
 class WordHashes(dict):
     """64-bit hashes of words (UTF-8 bytes), remembered up to ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 60_000):
         super().__init__()
         self.limit = limit
 
