@@ -43,8 +43,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import WordHashes, ascii_lower, cut, mix64, text_or_empty
-from basketry.llm.components import connected_components
+from basketry.llm.common import WordHashes, cut, mix64, text_or_empty
+from basketry.llm.components import follow_parents, merge_components
 
 BROADCAST_IDS = 200_000
 
@@ -66,7 +66,7 @@ class NearConfig:
 
 def shingle_set(text: str | None, n: int, known: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's n-word shingles (A-Z lower-cased)."""
-    words = ascii_lower(text).encode().split() if text else []
+    words = text.encode().lower().split() if text else []       # bytes: A-Z and ASCII white space only
     if not words:
         return np.zeros(0, dtype=np.uint64)
     w = known.of(words)
@@ -198,7 +198,7 @@ def sizes_fit(n_a: Column, n_b: Column, c: NearConfig) -> Column:
 
 
 def node_components(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, c: NearConfig) -> DataFrame:
-    """(node, root) of all nodes that have a link. ``nodes``: node, id, digest, n, keys."""
+    """(node, root) of the nodes linked to another, but for the roots. ``nodes``: node, id, digest, n, keys."""
     buckets = nodes.select("node", "n", F.explode("keys").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = cut(buckets.join(shared, "bucket"))
@@ -227,9 +227,9 @@ def node_components(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str,
     first = (members.groupBy("node").agg(F.max("centre").alias("centre"), F.first("n").alias("n_a"))
              .select(F.col("node").alias("a"), F.col("centre.node").alias("b"), "n_a").where("a <> b"))
     first = first.join(size.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-    checked = confirm(first.where(sizes_fit(F.col("n_a"), F.col("n_b"), c)), sets)
-    edges = cut(checked.where(linked(c)).select("a", "b"))
-    roots = connected_components(edges)
+    checked = confirm(first.where(sizes_fit(F.col("n_a"), F.col("n_b"), c)), sets).where(linked(c))
+    # each link leads to a more central node, so the links are a forest
+    roots = follow_parents(checked.select(F.col("a").alias("node"), F.col("b").alias("parent")))
 
     def open_buckets(roots: DataFrame) -> DataFrame:
         """Members, with root and bitmap, of the buckets that hold more than one component."""
@@ -247,15 +247,10 @@ def node_components(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str,
                 .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"),
                         F.col("y.n").alias("n_b")).distinct())
 
-    def without(new: DataFrame, old: DataFrame) -> DataFrame:
-        return new.join(old.select("a", "b"), ["a", "b"], "left_anti")
-
     # step 2: the centre of each bucket, across components
     rows = open_buckets(roots)
-    star = without(pairs(rows, rows.where("node = centre"), F.lit(True)), checked)
-    again = confirm(star, sets)
-    edges = cut(edges.union(again.where(linked(c)).select("a", "b")))
-    roots = connected_components(edges)
+    star = pairs(rows, rows.where("node = centre"), F.lit(True))
+    roots = merge_components(roots, confirm(star, sets).where(linked(c)))
 
     # step 3: what is left of each bucket, across components; both sides of a pair
     # can't be in the bucket's largest component, so one side is read without it
@@ -264,9 +259,8 @@ def node_components(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str,
                .agg(F.max(F.struct("n", "root")).alias("largest")).select("bucket", F.col("largest.root").alias("main")))
     rows = rows.join(largest, "bucket").withColumn("outside", F.col("root") != F.col("main"))
     once = ~F.col("y.outside") | (F.col("x.node") > F.col("y.node"))
-    rest = without(without(pairs(rows.where("outside"), rows, once), checked), again)
-    last = confirm(rest, sets).where(linked(c)).select("a", "b")
-    return connected_components(edges.union(last))
+    rest = pairs(rows.where("outside"), rows, once)
+    return merge_components(roots, confirm(rest, sets).where(linked(c)))
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",

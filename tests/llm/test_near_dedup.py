@@ -86,7 +86,18 @@ def test_components_of_long_paths(spark):
     edges = [(k, k + 1) for k in range(0, 300)] + [(1000, 1001), (1005, 1001), (2000, 2000)]
     df = spark.createDataFrame(random.Random(1).sample(edges, len(edges)), "a long, b long")
     roots = {r["node"]: r["root"] for r in components.connected_components(df).collect()}
-    assert all(roots[k] == 0 for k in range(301)) and roots[1005] == 1000 and 2000 not in roots
+    assert roots == {k: 0 for k in range(1, 301)} | {1001: 1000, 1005: 1000}
+
+
+def test_forests_and_merged_components(spark):
+    parents = spark.createDataFrame([(k, k // 2) for k in range(1, 200)] + [(1001, 1000)], "node long, parent long") \
+        .where("node <> 1")
+    roots = components.follow_parents(parents)
+    assert {r["node"]: r["root"] for r in roots.collect()} == {k: 1 for k in range(2, 200)} | {1001: 1000}
+    more = spark.createDataFrame([(150, 1001), (3000, 3001), (5, 6)], "a long, b long")
+    got = {r["node"]: r["root"] for r in components.merge_components(roots, more).collect()}
+    assert got == {k: 1 for k in range(2, 200)} | {1000: 1, 1001: 1, 3001: 3000}
+    assert components.merge_components(roots, more.where("a = 5")).exceptAll(roots).isEmpty()
 
 
 def test_empty(spark):
