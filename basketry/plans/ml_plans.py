@@ -7,12 +7,11 @@ are checked by properties in the tests instead (rows-only here).
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from basketry.operators import ml as M
 from basketry.plans.registry import register
-from basketry.session import app_id, input_state
-from basketry.sources.adapters import landed_segments
+from basketry.session import app_id
+from basketry.sources.adapters import landed_segments, star_state
 
 QUERY_TREES = 300
 QUERY_DEPTH = M.MAX_DEPTH
@@ -46,7 +45,7 @@ _TRAINED: dict[tuple, M.MlResult] = {}
 
 def _ml(spark, sf):
     """One training run per application and input, shared by the ML keys."""
-    key = app_id(spark), sf, input_state(spark, sf)
+    key = app_id(spark), sf, star_state(spark, sf)
     if key not in _TRAINED:
         _TRAINED.clear()                 # models of a stopped session or of former input
         _TRAINED[key] = M.run_customer_ml(landed_segments(spark, sf), num_trees=QUERY_TREES, max_depth=QUERY_DEPTH)

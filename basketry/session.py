@@ -102,20 +102,22 @@ def remove_scratch(spark: SparkSession) -> None:
         pass
 
 
-def input_state(spark: SparkSession, folder: str) -> tuple:
-    """(path, size, modification time) of every file below ``folder``.
+def input_state(spark: SparkSession, paths: list[str]) -> tuple:
+    """(path, size, modification time) of every file at or below ``paths``.
 
-    Tables derived from the folder are kept under this key, so changed input
+    Tables derived from those files are kept under this key, so changed input
     is noticed.
     """
     try:
         jvm = spark._jvm
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
     except Exception:                    # Spark Connect
         return ()
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(path, True)
     out = []
-    while files.hasNext():
-        f = files.next()
-        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        files = path.getFileSystem(conf).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
     return tuple(sorted(out))

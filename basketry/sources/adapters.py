@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.cleaning import week_start
 from basketry.session import app_id, input_state, scratch_path
-from basketry.sources.tables import read_table
+from basketry.sources.tables import read_table, table_path
 
 # Fixed values of the fixture design (see FIXTURES.md).
 AS_OF = "1996-06-30 00:00:00"
@@ -195,8 +195,16 @@ def availability(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LANDED: dict[tuple, str] = {}
 
 
+STAR_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+def star_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """State of the files that the adapter tables are derived from."""
+    return input_state(spark, [table_path(sf_dir, t) for t in STAR_TABLES])
+
+
 def _key(spark: SparkSession, name: str, sf_dir: str) -> tuple:
-    return app_id(spark), name, sf_dir, input_state(spark, sf_dir)
+    return app_id(spark), name, sf_dir, star_state(spark, sf_dir)
 
 
 def landed(spark: SparkSession, name: str, sf_dir: str, build, partition_by: list[str] | None = None,
