@@ -48,7 +48,8 @@ UPGRADE_POSITIVE = ["Champions", "Loyal"]
 MIN_PER_CLASS = 10
 MAX_FOLDS = 5
 DAYS_PER_MONTH_ML = 30
-FIT_THREADS = 12          # concurrent model fits submitted from the driver
+FIT_THREADS = 2           # concurrent model fits submitted from the driver; each holds its statistics
+FIT_MEMORY_MB = 64        # split statistics of a fit at a time
 MAX_DEPTH = 30            # MLlib's deepest; the trees are meant to be unlimited
 
 
@@ -98,7 +99,8 @@ class TrainedModel:
 
 def _forest(num_trees: int, max_depth: int, seed: int, weighted: bool) -> RandomForestClassifier:
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees,
-                                maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed)
+                                maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed,
+                                maxMemoryInMB=FIT_MEMORY_MB)
     if weighted:
         rf = rf.setWeightCol("weight")
     return rf
@@ -310,7 +312,8 @@ def classification_report(df: DataFrame, target: str, features: list[str] | None
                             handleInvalid="keep")
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees,
-                                maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed)
+                                maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed,
+                                maxMemoryInMB=FIT_MEMORY_MB)
     model = Pipeline(stages=[indexer, assembler, rf]).fit(data.where(~F.col("_test")))
     pred = model.transform(data.where(F.col("_test")))
     names = F.array(*[F.lit(c) for c in model.stages[0].labels])
