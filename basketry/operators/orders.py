@@ -314,15 +314,17 @@ def new_customers_detail(items: DataFrame | None, status: str | None = "F",
         .orderBy("first_period", "customer_type", "email")
 
 
+def _round_even(c: str, digits: int) -> Column:
+    """numpy's rounding: scale, round half to even, scale back."""
+    unit = F.lit(10.0 ** digits)
+    return (F.rint(F.col(c) * unit) / unit).alias(c)
+
+
 def metrics_grid(metrics: DataFrame) -> DataFrame:
     """Presentation copy: MM/dd/yy dates, 2-digit money, 1-digit percentages
     (half-even rounding like numpy)."""
     return metrics.orderBy("period_start", "customer_type").select(
         F.date_format("period_start", "MM/dd/yy").alias("period_start"),
-        "customer_type",
-        F.bround("revenue", 2).alias("revenue"), "total_orders",
-        F.bround("aov", 2).alias("aov"),
-        F.bround("pct_orders_over", 1).alias("pct_orders_over"),
-        "new_customers",
-        F.bround("recurring_pct", 1).alias("recurring_pct"),
-        F.bround("avg_weeks", 1).alias("avg_weeks"))
+        "customer_type", _round_even("revenue", 2), "total_orders", _round_even("aov", 2),
+        _round_even("pct_orders_over", 1), "new_customers", _round_even("recurring_pct", 1),
+        _round_even("avg_weeks", 1))
