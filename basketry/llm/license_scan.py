@@ -1,13 +1,18 @@
 """License scans: base phrases by position, and an exact containment join with templates.
 
 Base labels are found where a phrase's words stand consecutively. The method
-adds labels by an exact set-similarity join: a block (a line of a document)
-matches a template if it holds at least ``threshold`` of the template's
-distinct words. Words are ordered by their frequency over all documents,
+adds labels by an exact set-similarity join: a block matches a template if it
+holds at least ``threshold`` of the template's distinct words. A block is a
+part between separators (a line by default) or, with ``block_separator`` None,
+any run of consecutive words across line breaks that is at most 1 / threshold
+times as long as the template, so a notice may be wrapped and the words of a
+long line must stand together. Words are ordered by their frequency over all documents,
 rarest first. A matching block must hold a word of the template's prefix (its
 first n - ceil(threshold * n) + 1 words), must be long enough (length filter)
 and, from the first common word on, both sides must have enough words left
-(positional filter); what passes is counted exactly. No match is missed.
+(positional filter); what passes is counted exactly. No match is missed. Runs
+are made only around the places of prefix words, of documents that hold enough
+words of a template, and count the words from the prefix word on in that order.
 
 All of it is DataFrame expressions. A document's text is read once: only its
 blocks' template words, a few strings, go on. The templates are a parameter;
@@ -71,20 +76,23 @@ class Template:
     label: str
     words: tuple[str, ...]       # distinct
     needed: int                  # ceil(threshold * number of words)
+    window: int                  # most words of a run: ceil(number of words, with repeats / threshold)
 
 
-def template_words(text: str) -> tuple[str, ...]:
+def template_words(text: str) -> list[str]:
     import re
-    return tuple(dict.fromkeys(re.findall(LICENSE_WORD, text.translate(str.maketrans(UPPER, LOWER)))))
+    return re.findall(LICENSE_WORD, text.translate(str.maketrans(UPPER, LOWER)))
 
 
 def make_templates(texts: list[tuple[str, str]], threshold: float) -> list[Template]:
     """Templates with the number of words that a block must hold of each."""
     out = []
     for label, text in texts:
-        words = template_words(text)
+        every = template_words(text)
+        words = tuple(dict.fromkeys(every))
         if words:
-            out.append(Template(label, words, math.ceil(threshold * len(words) - 1e-9)))
+            out.append(Template(label, words, math.ceil(threshold * len(words) - 1e-9),
+                                math.ceil(len(every) / threshold - 1e-9)))
     return out
 
 
@@ -112,9 +120,20 @@ def phrase_starts(lower: Column, words: Column, phrase: str) -> Column:
                   F.filter(F.sequence(F.lit(0), F.size(words) - len(parts)), at)).otherwise(none)
 
 
-def scan(df: DataFrame, templates: list[Template], id_col: str, text_col: str, block_separator: str) -> DataFrame:
-    """One narrow row per document: base places, and of each long enough block its template words."""
-    vocabulary = F.array(*[F.lit(w) for w in sorted({w for t in templates for w in t.words})])
+def literals(words) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def scan(df: DataFrame, templates: list[Template], id_col: str, text_col: str,
+         block_separator: str | None) -> DataFrame:
+    """One narrow row per document: base places, and of each long enough block its template words.
+
+    Without a separator ``hits`` has the template words (at, word) of documents
+    that hold enough words of some template, in the place of blocks.
+    """
+    vocabulary = literals(sorted({w for t in templates for w in t.words}))
+    if block_separator is None:
+        return scan_runs(df, templates, id_col, text_col, vocabulary)
     least = min((t.needed for t in templates), default=1)
     lines = (df.select(F.col(id_col).alias("id"), lowered(text_col).alias("lower"))
              .withColumn("block_words", F.transform(F.split("lower", block_separator),
@@ -130,6 +149,22 @@ def scan(df: DataFrame, templates: list[Template], id_col: str, text_col: str, b
                       F.filter("hits", lambda h: F.size(h) >= least).alias("blocks"))
 
 
+def scan_runs(df: DataFrame, templates: list[Template], id_col: str, text_col: str, vocabulary: Column) -> DataFrame:
+    texts = (df.select(F.col(id_col).alias("id"), lowered(text_col).alias("lower"))
+             .withColumn("words", F.regexp_extract_all("lower", F.lit(LICENSE_WORD), F.lit(0))))
+    seen = F.array_intersect("words", vocabulary) if templates else F.array().cast("array<string>")
+    out = texts.select("id", "words", F.size("words").cast("long").alias("n_words"),
+                       *[phrase_starts(F.col("lower"), F.col("words"), p).alias(f"at_{k}")
+                         for k, p in enumerate(PHRASES)], seen.alias("seen"))
+    hits = F.array().cast("array<struct<at:int,word:string>>")
+    if templates:
+        sizes = F.array(*[F.struct(literals(t.words).alias("words"), F.lit(t.needed).alias("needed")) for t in templates])
+        enough = F.exists(sizes, lambda t: F.size(F.array_intersect(F.col("seen"), t["words"])) >= t["needed"])
+        places = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+        hits = F.when(enough, F.filter(places, lambda h: F.array_contains(vocabulary, h["word"]))).otherwise(hits)
+    return out.select("id", "n_words", *[f"at_{k}" for k in range(len(PHRASES))], "seen", hits.alias("hits"))
+
+
 def frequency_order(rows: DataFrame, templates: list[Template]) -> dict[str, int]:
     """Position of every template word in the global order, rarest first (documents that hold it)."""
     counts = {r["word"]: r["n"] for r in rows.select(F.explode("seen").alias("word")).groupBy("word")
@@ -173,9 +208,51 @@ def containment_join(blocks: DataFrame, templates: list[Template], order: dict[s
             .select("row", "label", (F.col("common") / F.col("length")).alias("score")))
 
 
+def runs_join(rows: DataFrame, templates: list[Template], order: dict[str, int]) -> DataFrame:
+    """(row, label, score) of every place where a run of words and a template meet the threshold.
+
+    ``rows`` has ``row`` and ``hits``, the document's template words by place.
+    """
+    spark = rows.sparkSession
+    prefixes = []
+    for template in templates:
+        ordered = sorted(template.words, key=order.__getitem__)
+        prefixes += [(w, template.label, len(ordered), template.needed, template.window, ordered[p:])
+                     for p, w in enumerate(ordered[:len(ordered) - template.needed + 1])]
+    index = spark.createDataFrame(
+        prefixes, "word string, label string, length int, needed int, window int, rest array<string>")
+    if len(prefixes) <= BROADCAST_PREFIXES:
+        index = F.broadcast(index)
+
+    # around each prefix word the hits that any run through it can reach
+    reach = max(t.window for t in templates) - 1
+    starters = literals(sorted({p[0] for p in prefixes}))
+    places = F.filter(F.sequence(F.lit(0), F.size("hits") - 1),
+                      lambda j: F.array_contains(starters, F.get("hits", j)["word"]))
+    probe = F.transform(places, lambda j: F.struct(
+        F.get("hits", j)["at"].alias("at"), F.get("hits", j)["word"].alias("word"),
+        F.slice("hits", F.greatest(j + 1 - reach, F.lit(1)), F.lit(2 * reach + 1)).alias("near")))
+    probes = rows.where(F.size("hits") > 0).select("row", F.explode(probe).alias("p")).select("row", "p.*")
+
+    def distinct(hits):
+        return F.size(F.array_distinct(F.transform(hits, lambda h: h["word"])))
+
+    # a match is counted at its rarest common word: the others come later in the order
+    candidates = (probes.join(index, "word")
+                  .withColumn("near", F.filter("near", lambda h: (F.abs(h["at"] - F.col("at")) < F.col("window"))
+                                               & F.array_contains(F.col("rest"), h["word"])))
+                  .where(distinct(F.col("near")) >= F.col("needed")))
+    # it is enough to begin runs at hits
+    common = F.array_max(F.transform(
+        F.filter("near", lambda s: s["at"] <= F.col("at")),
+        lambda s: distinct(F.filter("near", lambda h: h["at"].between(s["at"], s["at"] + F.col("window") - 1)))))
+    return (candidates.withColumn("common", common).where(F.col("common") >= F.col("needed"))
+            .select("row", "label", (F.col("common") / F.col("length")).alias("score")))
+
+
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.9,
-                  block_separator: str = "\n") -> DataFrame:
+                  block_separator: str | None = "\n") -> DataFrame:
     """One row per row of ``df``: id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     made = make_templates(templates, threshold)
     rows = cut(scan(df, made, id_col, text_col, block_separator).withColumn("row", F.monotonically_increasing_id()))
@@ -187,8 +264,12 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       F.array_max(places).cast("long").alias("last_word"),
                       F.array_sort(F.array_distinct(base)).alias("base"))
     if made:
-        blocks = rows.select("row", F.explode("blocks").alias("words"))
-        found = containment_join(blocks, made, frequency_order(rows, made)).groupBy("row").agg(
+        order = frequency_order(rows, made)
+        if block_separator is None:
+            matches = runs_join(rows, made, order)
+        else:
+            matches = containment_join(rows.select("row", F.explode("blocks").alias("words")), made, order)
+        found = matches.groupBy("row").agg(
             F.collect_set("label").alias("more"), F.max("score").alias("found_score"))
         out = out.join(found, "row", "left")
     else:

@@ -85,7 +85,7 @@ def op7_pii(spark, sf_dir):
 @query
 def op8_license_scan(spark, sf_dir):
     """License labels of every document, by phrase and by containment of notices."""
-    out = license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+    out = license_scan.scan_licenses(read_table(spark, sf_dir, "documents"), block_separator=None)
     return out.withColumnRenamed("id", "doc_id")
 
 

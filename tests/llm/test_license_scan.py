@@ -2,6 +2,7 @@ import math
 import re
 
 from basketry.llm import license_scan as ls
+from basketry.llm.queries import QUERIES
 from tests.llm.fixtures import awkward, awkward_texts, empty, texts_only
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -62,3 +63,62 @@ def test_awkward_documents_equal_brute_force(spark):
 def test_no_templates_and_empty(spark):
     assert got(texts_only(spark, NOTICES), [], 0.9) == brute(NOTICES, [], 0.9)
     assert ls.scan_licenses(empty(spark)).count() == 0
+
+
+def brute_runs(rows, templates, threshold):
+    """(id, labels, score) by every run of consecutive words of every document."""
+    out = []
+    for i, t, _ in rows:
+        words = WORD.findall(lower(t))
+        labels = set(filter(None, brute([(i, t, "")], [], threshold)[0][5].split(",")))
+        best = 1.0 if labels else 0.0
+        for label, text in templates:
+            every = WORD.findall(lower(text))
+            need, size = set(every), math.ceil(len(every) / threshold - 1e-9)
+            common = max((len(need & set(words[k:k + size])) for k in range(len(words))), default=0)
+            if common >= math.ceil(threshold * len(need) - 1e-9):
+                labels.add(label)
+                best = max(best, common / len(need))
+        out.append((str(i), ",".join(sorted(labels)), best))
+    return sorted(out)
+
+
+def got_runs(df, templates, threshold):
+    out = ls.scan_licenses(df, "doc_id", "text", templates, threshold, None)
+    return sorted((str(r["id"]), r["labels"], r["score"]) for r in out.collect())
+
+
+WRAPPED = [
+    (1, "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated "
+        "documentation files", "a"),
+    (2, " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General "
+        "Public License", "a"),
+    (3, "Redistribution and use in source and binary forms, with or without\n\nmodification, are permitted provided that the "
+        "following conditions are met", "a"),
+    (4, "released " + "x " * 40 + "under the " + "y " * 40 + "MIT and a license", "a"),
+    (5, "x " * 500 + "Released under the MIT\tLicense " + "y " * 500, "a"),
+    (6, "the the license " * 30 + "this is free and\r\nunencumbered software\n\nreleased into the public\ndomain", "a"),
+]
+
+
+def test_wrapped_notices_and_long_lines(spark):
+    labels = {i: label for i, label, _ in got_runs(texts_only(spark, WRAPPED), ls.TEMPLATES, 0.9)}
+    assert labels == {"1": "mit", "2": "gpl", "3": "bsd", "4": "", "5": "mit", "6": "unlicense"}
+    for threshold in (0.5, 0.8, 0.9, 1.0):
+        for rows in (WRAPPED, NOTICES):
+            assert got_runs(texts_only(spark, rows), ls.TEMPLATES, threshold) == brute_runs(rows, ls.TEMPLATES, threshold)
+
+
+def test_runs_of_awkward_documents_equal_brute_force(spark):
+    templates = [("prose", "w1 w2 w3 w4 w5 w6 w7 w8"), ("pair", "one two"), ("again", "a b a c"), ("none", "...")]
+    for threshold in (0.3, 0.7):
+        want = brute_runs(awkward_texts(), templates[:3], threshold)
+        assert got_runs(awkward(spark), templates, threshold) == want
+    assert ls.scan_licenses(empty(spark), block_separator=None).count() == 0
+    assert got_runs(texts_only(spark, NOTICES), [], 0.9) == brute_runs(NOTICES, [], 0.9)
+
+
+def test_query_finds_wrapped_notices(spark, tmp_path):
+    texts_only(spark, WRAPPED).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["op8_license_scan"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["labels"] for r in rows} == {1: "mit", 2: "gpl", 3: "bsd", 4: "", 5: "mit", 6: "unlicense"}
