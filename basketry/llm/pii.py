@@ -12,10 +12,23 @@ linked).
 
   kind    halves                                      stays
   card    all digits but the last, split in two       length, separators, valid check digit
-  phone   the last ten digits, 5 + 5                  country code, layout
+  phone   the last ten digits after the country code  country code, layout
   ssn     898 areas x 99 * 9,999 numbers              layout, valid ranges
   ipv4    two octets each                             dotted form
   date    day in a 400-year cycle, 189 x 773          layout, valid date, 1800 to 2199
+          day-first with slashes: its days from the   the same, and a day from the 13th on
+          13th on, 9 x 9833
+
+Phones: + and 8 to 15 digits in any grouping, or 3-3-4 digits with equal
+separators, parentheses or a leading 1. Cards: 13 to 19 digits together, 4-4-4-4,
+4-6-5 and 4-6-4. Dates: year first with - or /, month first with /, day first
+with . (and with / if it can't be month first), of one or two digits; equal
+dates stay linked over layouts, but for day-first slash dates, which are linked
+among themselves. Left out: national phones in other groupings and without
+separators, cards in other groupings, dates with two-digit years, month names,
+or day or month first with -; social security numbers without separators;
+IPv6. A number that only looks like a phone (3-3-4 digits, + and 8 digits) is
+replaced too.
 
 All of it is DataFrame expressions: one pattern cuts a text at its candidates,
 candidates are replaced, and the parts are put together again. No row meets
@@ -41,11 +54,15 @@ SHAPES = {
     "secret": r"(?i:(?:token|secret|password|api[_\-]?key)\s{0,4}[=:]\s{0,4}[\"'])[0-9A-Za-z_\-]{16,128}(?=[\"'])",
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .\-]?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)"
              r"|(?<![\p{L}\p{N}+])\+\d{1,3}[ .\-]\d{3}[ .\-]\d{3}[ .\-]\d{4}(?!\d)"
-             r"|(?<![\p{L}\p{N}(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
+             r"|(?<![\p{L}\p{N}+])\+[1-9](?:[ .\-]?\(?\d\)?){7,14}(?!\d)"
+             r"|(?<![\p{L}\p{N}(])\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)"
+             r"|(?<![\p{L}\p{N}+./\-])(?:1[ .\-])?(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3} \d{3} \d{4})"
+             r"(?![\p{L}\p{N}]|[./\-]\d)",
     "ipv4": r"(?<![\p{L}\p{N}.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\p{L}\p{N}]|\.\d)",
-    "date": r"(?<![\p{L}\p{N}./\-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\p{L}\p{N}]|[./\-]\d)",
+    "date": r"(?<![\p{L}\p{N}./\-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}"
+            r"|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\p{L}\p{N}]|[./\-]\d)",
     "ssn": r"(?<![\p{L}\p{N}.\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|[.\-]\d)",
-    "card": r"(?<![\p{L}\p{N}.\-])(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4})(?![\p{L}\p{N}]|[.\-]\d)",
+    "card": r"(?<![\p{L}\p{N}.\-])(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{4,5})(?![\p{L}\p{N}]|[.\-]\d)",
 }
 CANDIDATE = "|".join(f"(?:{shape})" for shape in SHAPES.values())
 # what every candidate holds: an at sign, a quoted value after = or :, or three digits in some grouping
@@ -54,7 +71,21 @@ HINT = r"@|[=:]\s{0,4}[\"']|\d[\d.\-/() ]{5}"
 KINDS = ("email", "secret", "phone", "ipv4", "date", "ssn", "card")
 CYCLE_DAYS = 146_097                                  # days of 400 years, 189 * 773
 CYCLE_START = "1800-01-01"
-DATE_FORMATS = (r"^\d{4}-", "yyyy-MM-dd"), (r"^\d{2}/", "MM/dd/yyyy"), (r"^\d{2}\.", "dd.MM.yyyy")
+LATE_DAYS = CYCLE_DAYS - 12 * 4800                     # those from the 13th on, 9 * 9833
+# of the shapes that fit a date the last one holds
+DATE_FORMATS = ((r"^\d{4}-", "yyyy-M-d"), (r"^\d{4}-\d\d-\d\d$", "yyyy-MM-dd"),
+                (r"^\d{4}/", "yyyy/M/d"), (r"^\d{4}/\d\d/\d\d$", "yyyy/MM/dd"),
+                (r"^\d{1,2}/", "M/d/yyyy"), (r"^\d\d/\d\d/", "MM/dd/yyyy"),
+                (r"^(1[3-9]|[23]\d)/", "d/M/yyyy"), (r"^(1[3-9]|[23]\d)/\d\d/", "dd/MM/yyyy"),
+                (r"^\d{1,2}\.", "d.M.yyyy"), (r"^\d\d\.\d\d\.", "dd.MM.yyyy"))
+DAY_FIRST_SLASH = r"^(1[3-9]|[23]\d)/"
+# country codes of one and of two digits; the others have three
+SHORT_CODES = r"^[17]", r"^(2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+
+
+def let(value: Column, of) -> Column:
+    """``of(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), of), 0)
 
 
 def keyed(key: str, kind: str, *parts: Column) -> Column:
@@ -127,9 +158,22 @@ def card_pseudonym(value: Column, key: str) -> Column:
     return lay(value, F.concat(body, check_digit(body)))
 
 
+def country_code_digits(value: Column) -> Column:
+    """Digits of the country code: those before the first separator, or by the plan if there is none."""
+    first = F.regexp_extract(value, r"^\+(\d+)", 1)
+    one, two = SHORT_CODES
+    by_plan = F.when(first.rlike(one), 1).when(first.rlike(two), 2).otherwise(3)
+    return F.when(F.length(first) <= 3, F.length(first)).otherwise(by_plan)
+
+
 def phone_pseudonym(value: Column, key: str) -> Column:
-    d = digits_of(value)
-    return lay(value, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), permute_digits(F.right(d, F.lit(10)), key, "phone")))
+    def of(d, code):
+        n = F.least(F.lit(10), F.length(d) - code).cast("int")
+        return let(F.right(d, n), lambda x: F.concat(F.substr(d, F.lit(1), F.length(d) - F.length(x)),
+                                                     permute_digits(x, key, "phone")))
+
+    parts = F.struct(digits_of(value).alias("digits"), country_code_digits(value).alias("code"))
+    return lay(value, let(parts, lambda s: of(s["digits"], s["code"])))
 
 
 def ssn_parts(value: Column) -> tuple[Column, Column, Column]:
@@ -182,10 +226,40 @@ def valid_date(value: Column) -> Column:
     return F.coalesce(day.between(0, CYCLE_DAYS - 1), F.lit(False))
 
 
+def permute_day(date: Column, key: str) -> Column:
+    """A date of the cycle, permuted among all of them."""
+    start = F.lit(CYCLE_START).cast("date")
+    new = let(F.datediff(date, start), lambda day: feistel(F.floor(day / 773), day % 773, F.lit(189).cast("long"),
+                                                           F.lit(773).cast("long"), key, "date"))
+    return let(new, lambda h: F.date_add(start, (h["left"] * 773 + h["right"]).cast("int")))
+
+
+def permute_late_day(date: Column, key: str) -> Column:
+    """A date of the cycle from the 13th of a month on, permuted among those."""
+    start = F.lit(CYCLE_START).cast("date")
+
+    def rank(d):                        # among late days; each month up to this one has 12 others
+        return F.datediff(d, start) - 12 * ((F.year(d) - 1800) * 12 + F.month(d))
+
+    def late_day(r):
+        # months have 18.4 late days on average; the one that holds a rank is at most one off
+        near = F.floor(r * 4800 / LATE_DAYS).cast("int")
+        months = F.filter(F.array(near - 1, near, near + 1), lambda m: F.datediff(F.add_months(start, m), start) - 12 * m <= r)
+        return F.date_add(start, (r + 12 * (F.array_max(months) + 1)).cast("int"))
+
+    new = let(let(date, rank), lambda r: feistel(F.floor(r / 9833), r % 9833, F.lit(9).cast("long"),
+                                                 F.lit(9833).cast("long"), key, "late date"))
+    return let(let(new, lambda h: h["left"] * 9833 + h["right"]), late_day)
+
+
 def date_pseudonym(value: Column, key: str) -> Column:
-    day = F.datediff(read_date(value), F.lit(CYCLE_START).cast("date"))
-    h = feistel(F.floor(day / 773), day % 773, F.lit(189).cast("long"), F.lit(773).cast("long"), key, "date")
-    new = F.date_add(F.lit(CYCLE_START).cast("date"), (h["left"] * 773 + h["right"]).cast("int"))
+    new = let(read_date(value), lambda d: F.when(value.rlike(DAY_FIRST_SLASH), permute_late_day(d, key))
+              .otherwise(permute_day(d, key)))
+    return let(new, lambda d: write_date(value, d))
+
+
+def write_date(value: Column, new: Column) -> Column:
+    """``new`` in the layout of ``value``."""
     out = F.lit(None).cast("string")
     for shape, form in DATE_FORMATS:
         out = F.when(value.rlike(shape), F.date_format(new, form)).otherwise(out)
@@ -210,9 +284,9 @@ def kind_of(value: Column) -> Column:
     """The kind of a candidate if it is valid, else null."""
     return (F.when(value.contains("@"), F.lit("email"))
             .when(value.rlike("[\"']"), F.lit("secret"))
-            .when(value.rlike(r"^\+|\("), F.lit("phone"))
+            .when(value.rlike(r"^\+|\(|^(1[ .\-])?\d{3}([ .\-])\d{3}\2\d{4}$"), F.lit("phone"))
             .when(value.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(valid_ipv4(value), F.lit("ipv4")))
-            .when(value.rlike(r"^(\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})$"),
+            .when(value.rlike(r"^(\d{4}([/\-])\d\d?\2\d\d?|\d\d?([/.])\d\d?\3\d{4})$"),
                   F.when(valid_date(value), F.lit("date")))
             .when(value.rlike(r"^\d{3}-\d\d-\d{4}$"), F.when(valid_ssn(value), F.lit("ssn")))
             .otherwise(F.when(valid_card(value), F.lit("card"))))

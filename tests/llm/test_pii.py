@@ -80,3 +80,60 @@ def test_awkward_documents(spark):
     same = docs.select("doc_id", "text").exceptAll(out.select("doc_id", "text")).count()
     assert same == 0
     assert pii.pseudonymise(empty(spark), "k").count() == 0
+
+
+MORE = {"phone": ["555-123-4567", "555.123.4567", "555 123 4567", "1-555-123-4567", "+15551234567", "+44 20 7946 0958",
+                  "+442079460958", "+33 1 23 45 67 89", "+49 30 1234567", "+45 12 34 56 78", "+44 (0)20 7946 0958",
+                  "(212) 555.0123"],
+        "card": [f"{c[:4]}{sep}{c[4:10]}{sep}{c[10:]}" for c in (make_card("37828224631000"), make_card("3056930902590"))
+                 for sep in " -"],
+        "date": ["31/12/1999", "05/12/1999", "7/3/2021", "25/3/2021", "7.3.2021", "1999/12/31", "1999/7/3", "2021-7-3"]}
+
+
+def date_of(v):
+    a, b, c = (int(x) for x in re.split(r"\D", v))
+    if a > 31:
+        return dt.date(a, b, c)
+    return dt.date(c, b, a) if "." in v or a > 12 else dt.date(c, a, b)
+
+
+def test_other_layouts_are_replaced_in_their_layout(spark):
+    for kind, values in MORE.items():
+        out, kinds = run(spark, [f"before {v}, after" for v in values])
+        for v, o, k in zip(values, out, kinds):
+            new = o.removeprefix("before ").removesuffix(", after")
+            assert k == [kind] and new != v, (v, o, k)
+            if kind == "date":
+                date_of(new)
+                assert re.sub(r"\d+", "9", new) == re.sub(r"\d+", "9", v)
+                if not re.search(r"\b\d\b", v):
+                    assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", v)
+                assert (int(re.split(r"\D", new)[0]) > 12) == (int(re.split(r"\D", v)[0]) > 12) or "/" not in v[:3]
+            else:
+                assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", v)
+            if kind == "card":
+                assert luhn(new)
+
+
+def test_other_layouts_that_fail_validation_stay(spark):
+    texts = ["3782 822463 10006", "31/02/1999", "32/12/1999", "13.13.2021", "1999/13/01", "2021-2-30", "x555-123-4567",
+             "555-123-45678", "555-123.4567", "+1234567", "10.555.123.4567", "3/4/21"]
+    out, kinds = run(spark, texts)
+    assert out == texts and not any(kinds)
+
+
+def test_equal_phones_and_dates_stay_linked_over_layouts(spark):
+    out, _ = run(spark, ["+44 20 7946 0958", "+442079460958", "555-123-4567", "+1 (555) 123-4567", "+1 555 123 4567 2024",
+                         "7/3/2021", "2021-07-03", "3.7.2021"])
+    digits = [re.sub(r"\D", "", o) for o in out]
+    assert digits[0] == digits[1] and digits[0].startswith("44")
+    assert digits[3] == "1" + digits[2] and digits[4] == digits[3] + "2024"
+    assert len({date_of(o) for o in out[5:]}) == 1
+
+
+def test_late_days_are_permuted_among_themselves(spark):
+    start = F.lit(pii.CYCLE_START).cast("date")
+    days = spark.range(pii.CYCLE_DAYS).select(F.date_add(start, F.col("id").cast("int")).alias("d")).where("day(d) > 12")
+    new = days.select(pii.permute_late_day(F.col("d"), "k").alias("d"))
+    assert days.count() == pii.LATE_DAYS
+    assert new.distinct().count() == pii.LATE_DAYS and new.exceptAll(days).count() == 0
