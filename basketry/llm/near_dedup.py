@@ -265,7 +265,10 @@ def node_components(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str,
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 config: NearConfig = NearConfig()) -> DataFrame:
-    """One row per row of ``df``: id, n_shingles, component_id, kept, text_key (a hash of the text)."""
+    """One row per row of ``df``: id, n_shingles, component_id, kept, text_key (a hash of the text), root.
+
+    Rows of one component have the same ``root``; it is null for a row alone in its own.
+    """
     rows = cut(df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("text_key"),
                          signatures(text_col, config).alias("s")).select("id", "text_key", "s.*"))
     nodes = cut(rows.where(F.col("digest").isNotNull()).groupBy("digest")
@@ -277,9 +280,9 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           .withColumn("root", F.coalesce("root", "node")))
     least = of.groupBy("root").agg(F.min("id").alias("component_id"), F.sum("copies").alias("size"))
     # a document alone in its component needs no lookup
-    named = of.join(least.where("size > 1"), "root").select("digest", "component_id")
+    named = of.join(least.where("size > 1"), "root").select("digest", "component_id", "root")
     out = rows.select("id", "text_key", F.col("n").alias("n_shingles"), "digest").join(
         named.withColumn("grouped", F.lit(True)), "digest", "left")
     component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("id"))
     return out.select("id", "n_shingles", component.alias("component_id"),
-                      F.col("id").eqNullSafe(component).alias("kept"), "text_key")
+                      F.col("id").eqNullSafe(component).alias("kept"), "text_key", "root")

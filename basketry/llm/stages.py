@@ -33,21 +33,48 @@ def without(docs: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
     return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")
 
 
+def once(docs: DataFrame, tied: DataFrame, key: Column) -> DataFrame:
+    """``docs`` with one row of those that share an (id, key) of ``tied``: the smallest by its columns.
+
+    Only those rows are grouped, map-side first, so many copies of one are few rows to shuffle.
+    """
+    tied = cut(tied.select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct())
+    n = tied.count()
+    if n == 0:
+        return docs
+    if n <= BROADCAST_ROWS:
+        tied = F.broadcast(tied)
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (key == F.col("__key"))
+    one = (docs.join(tied, same).groupBy("__id", "__key").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+           .select("__row.*"))
+    return docs.join(tied, same, "left_anti").unionByName(one)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or are probably bad by the rules' votes go."""
     return quality.filter_documents(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts only the document with the largest id stays."""
-    dropped = exact_dedup.dedup_documents(docs).where(~F.col("kept")).select("id", F.col("digest").alias("key"))
-    return without(docs, dropped, F.unhex(F.sha2(text_or_empty("text"), 256)))
+    """Of equal texts only one row stays, of the document with the largest id."""
+    seen = exact_dedup.dedup_documents(docs).groupBy("id", F.col("digest").alias("key"), "kept").agg(
+        F.count(F.lit(1)).alias("n"))
+    several = cut(seen.where("not kept or n > 1"))
+    key = F.unhex(F.sha2(text_or_empty("text"), 256))
+    return once(without(docs, several.where("not kept"), key), several.where("kept"), key)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id stays."""
-    dropped = near_dedup.near_groups(docs).where(~F.col("kept")).select("id", F.col("text_key").alias("key"))
-    return without(docs, dropped, F.xxhash64(text_or_empty("text")))
+    """Of each component of near duplicates one row stays, of the document with the smallest id.
+
+    Of several texts under that id, or without any id, the one with the smallest hash stays.
+    """
+    seen = cut(near_dedup.near_groups(docs).where("root is not null")
+               .groupBy("root", "id", F.col("text_key").alias("key"), "kept").agg(F.count(F.lit(1)).alias("n")))
+    best = seen.where("kept").groupBy("root").agg(F.min("key").alias("best"))
+    seen = seen.join(best, "root").withColumn("stays", F.col("kept") & (F.col("key") == F.col("best")))
+    key = F.xxhash64(text_or_empty("text"))
+    return once(without(docs, seen.where("not stays"), key), seen.where("stays and n > 1"), key)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

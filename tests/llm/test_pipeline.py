@@ -3,7 +3,7 @@ from collections import Counter
 import corpus_pipeline
 from basketry.llm import exact_dedup, mixing, quality
 from tests.llm import test_exact_dedup, test_near_dedup
-from tests.llm.fixtures import awkward, awkward_texts
+from tests.llm.fixtures import awkward, awkward_texts, texts_only
 
 
 def test_stages_agree_with_brute_force(spark):
@@ -46,3 +46,27 @@ def test_run_keeps_clean_documents(spark, sf_dir):
     pieces = corpus_pipeline.run(spark, sf_dir)
     assert pieces.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert pieces.count() > 0 and pieces.where("length < 1 or offset + length > 2048").count() == 0
+
+
+def test_one_row_of_equal_or_near_texts_stays(spark):
+    """Rows that repeat (id, text), groups without ids, and near copies under one id."""
+    stage = dict(corpus_pipeline.STAGES)
+    long = [" ".join(f"{p}{k}" for k in range(200)) for p in "abc"]
+    rows = [(1, "twice", "x"), (1, "twice", "y"), (1, "twice", "y"), (2, "once", "x"), (None, "no id", "x"), (None, "no id", "x"),
+            (None, None, "x"), (None, "", "x"), (3, long[0], "x"), (3, long[0] + " more", "x"), (4, long[0] + " and more", "x"),
+            (None, long[1], "x"), (None, long[1] + " more", "x"), (None, long[2], "x"), (None, long[2] + " more", "x"),
+            (5, long[2] + " and more", "x"), (None, "alone", "x"), (1, "another text", "x")]
+    docs = texts_only(spark, rows).repartition(4)
+    out = stage["exact_dedup"](spark, docs, "")
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"] or "") for r in out.collect())
+    assert got == Counter({(i, t or "") for i, t, _ in rows})
+    assert [r["source"] for r in out.where("text = 'twice'").collect()] == ["x"]
+
+    for given in (out, docs):
+        near = stage["near_dedup"](spark, given, "")
+        assert near.columns == docs.columns
+        left = Counter(" ".join((r["text"] or "").split()[:1]) for r in near.collect())
+        empty = 1 if given is out else 2             # empty sets are linked with nothing
+        assert left == {"twice": 1, "once": 1, "no": 1, "": empty, "a0": 1, "b0": 1, "c0": 1, "alone": 1, "another": 1}
+        assert [r["doc_id"] for r in near.where("text like 'c0%'").collect()] == [5]
