@@ -133,3 +133,51 @@ FROM w LEFT JOIN base USING (r) LEFT JOIN found USING (r)
 
 
 ORACLES["op8_license_scan"] = _license_sql()
+
+ORACLES["op11_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i)),
+p AS (
+  SELECT *, row_number() OVER w AS k, lag(role) OVER w IS DISTINCT FROM role AS head,
+         regexp_replace(role, '([<\[])(\\*)(@)', '\1\\\2\3', 'g') AS e_role,
+         regexp_replace(text, '([<\[])(\\*)(@)', '\1\\\2\3', 'g') AS e_text
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(e_text) + CASE WHEN head THEN length('<|im_start|><|im_sep|><|im_end|>') + length(e_role)
+                            ELSE length('<|im_more|>') END)::BIGINT AS formatted_chars
+FROM p GROUP BY conv_id
+""".replace("@", r"\|im_(?:start|sep|more|end)\|>|/?s>|/?INST\]|/?SYS>>|\|endoftext\|>|\|begin_of_text\|>|\|end_of_text\|>"
+                 r"|\|start_header_id\|>|\|end_header_id\|>|\|eot_id\|>")
+
+ORACLES["op13_ranked_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY r, term),
+c AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM t, c GROUP BY term),
+i AS (SELECT DISTINCT item_id, text FROM benchmark),
+q AS (
+  SELECT item_id, text, term, count(*) AS times
+  FROM (SELECT item_id, text,
+               unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i)
+  GROUP BY item_id, text, term),
+s AS (
+  SELECT q.item_id, q.text, d.doc_id, d.r,
+         sum(q.times * w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * (100 - 75 + (75 * len(d.terms) * c.n_docs) // c.n_terms))))
+           ::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN t USING (term) JOIN d USING (r), c
+  GROUP BY q.item_id, q.text, d.doc_id, d.r)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM s WHERE score > 0)
+WHERE rank <= 10
+"""

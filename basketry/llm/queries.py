@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import exact_dedup, langid, license_scan, mixing, near_dedup, packing, pii, quality, substring_dedup, warc
+from basketry.llm import (chat_format, exact_dedup, langid, lexical_search, license_scan, mixing, near_dedup, packing, pii,
+                          quality, substring_dedup, warc)
 from basketry.llm.common import bounded_batches
 from basketry.llm.stages import tokenizer_path
 from basketry.session import scratch_path
@@ -106,3 +107,30 @@ def op10_exact_dedup(spark, sf_dir):
     out = exact_dedup.dedup_documents(read_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept",
                       F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+CONTROL_CHAT = "</s>[INST] ok [/INST]"      # fixed value: both turns of conversation -7
+
+
+@query
+def op11_chat_format(spark, sf_dir):
+    """Every conversation and one of control strings, formatted, and its turns and learnt texts read back."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                    F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                    F.lit(CONTROL_CHAT).alias("text"))
+    chats = chat_format.format_chats(turns.unionByName(control))
+    read = chats.select("conv_id", chat_format.read_turns(F.col("text")).alias("turns"),
+                        F.array_join(chat_format.read_loss(F.col("text"), F.col("loss")), "").alias("learnt"),
+                        F.char_length("text").cast("long").alias("formatted_chars"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"),
+                       F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+                       F.char_length("learnt").cast("long").alias("loss_chars"),
+                       F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query
+def op13_ranked_search(spark, sf_dir):
+    """Every benchmark item's ten best documents."""
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

@@ -17,6 +17,8 @@ COLUMNS = {
     "op8_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score",
     "op9_warc": "page_id payload_bytes payload_digest record_type refers_to",
     "op10_exact_dedup": "doc_id keep_id group_size kept text_sha256",
+    "op11_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
+    "op13_ranked_search": "item_id rank doc_id score",
 }
 
 
@@ -32,5 +34,5 @@ def test_query(spark, sf_dir, con, key):
     assert res["status"] in ("match", "rows-only"), res
 
 
-def test_all_ten_are_registered():
+def test_all_are_registered():
     assert list(QUERIES) == list(COLUMNS) and set(ORACLES) <= set(QUERIES)
