@@ -152,6 +152,51 @@ FROM p GROUP BY conv_id
 """.replace("@", r"\|im_(?:start|sep|more|end)\|>|/?s>|/?INST\]|/?SYS>>|\|endoftext\|>|\|begin_of_text\|>|\|end_of_text\|>"
                  r"|\|start_header_id\|>|\|end_header_id\|>|\|eot_id\|>")
 
+ORACLES["op12_prefix_trie"] = r"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                            md5(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')))
+           - 1 AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+-- crc32 of the decimal id, bit by bit
+h AS (
+  SELECT conv_id, xor(list_reduce(
+           list_concat([4294967295::BIGINT], list_transform(range(1, length(conv_id::VARCHAR) + 1),
+                                                            lambda i: ascii(substr(conv_id::VARCHAR, i::INTEGER, 1))::BIGINT)),
+           lambda c, x: list_reduce(list_concat([xor(c, x)], range(8)),
+                                    lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)),
+         4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM o)),
+k AS (SELECT h.*, least(h.h, (SELECT count(*) FROM o WHERE o.conv_id = h.conv_id - h.conv_id % 20)) AS k FROM h),
+t AS (
+  SELECT k.conv_id, o.p, o.role, o.text FROM k JOIN o ON o.conv_id = k.conv_id - k.conv_id % 20 AND o.p < k.k
+  UNION ALL
+  SELECT k.conv_id, o.p - k.h + k.k, o.role, o.text FROM k JOIN o USING (conv_id) WHERE o.p >= k.h),
+-- the path to a node: one digest a turn, behind one another; the root's is empty
+s AS (
+  SELECT conv_id, p + 1 AS depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+         string_agg(md5(length(role)::VARCHAR || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY p) AS path
+  FROM t
+  UNION ALL SELECT conv_id, 0, 0, '' FROM k),
+last AS (SELECT conv_id, max(depth) AS depth FROM s GROUP BY conv_id),
+n AS (
+  SELECT path, any_value(s.depth) AS depth, min(s.conv_id) AS conv_id, count(*) AS n, any_value(words) AS words,
+         sha256(coalesce(string_agg(s.conv_id::VARCHAR, ',' ORDER BY s.conv_id) FILTER (WHERE last.depth = s.depth), ''))
+           AS ends_sha256
+  FROM s JOIN last USING (conv_id) GROUP BY path),
+c AS (SELECT left(path, length(path) - 32) AS path, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM n LEFT JOIN c USING (path)),
+sub AS (
+  SELECT x.path, sum((m.n_children = 0)::INTEGER) AS n_leaves, sum((m.n - 1) * m.words) AS saved
+  FROM m JOIN (SELECT DISTINCT s.path AS below, x.path FROM s JOIN s x ON x.conv_id = s.conv_id AND x.depth <= s.depth) x
+    ON m.path = x.below
+  GROUP BY x.path)
+SELECT m.conv_id, m.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, m.n AS n_convs, m.n_children,
+       sub.n_leaves::BIGINT AS n_leaves, sub.saved::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN sub USING (path) LEFT JOIN m u ON m.depth > 0 AND u.path = left(m.path, length(m.path) - 32)
+"""
+
 ORACLES["op13_ranked_search"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,

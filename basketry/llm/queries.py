@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm import (chat_format, exact_dedup, langid, lexical_search, license_scan, mixing, near_dedup, packing, pii,
-                          quality, substring_dedup, warc)
+                          prefix_trie, quality, substring_dedup, warc)
 from basketry.llm.common import bounded_batches
 from basketry.llm.stages import tokenizer_path
 from basketry.session import scratch_path
@@ -130,6 +130,13 @@ def op11_chat_format(spark, sf_dir):
                        F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars")
 
 
+@query
+def op12_prefix_trie(spark, sf_dir):
+    """Every distinct prefix of the conversations, rebuilt to share their first turns."""
+    numbered = prefix_trie.number_turns(read_table(spark, sf_dir, "conversations"))
+    return prefix_trie.build_trie(*prefix_trie.share_heads(numbered))
+
+
 @query
 def op13_ranked_search(spark, sf_dir):
     """Every benchmark item's ten best documents."""

@@ -18,6 +18,7 @@ COLUMNS = {
     "op9_warc": "page_id payload_bytes payload_digest record_type refers_to",
     "op10_exact_dedup": "doc_id keep_id group_size kept text_sha256",
     "op11_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
+    "op12_prefix_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
     "op13_ranked_search": "item_id rank doc_id score",
 }
 
