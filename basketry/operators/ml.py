@@ -1,26 +1,23 @@
 """Churn-risk and upgrade-potential scoring with distributed random forests.
 
-Features are DataFrame expressions; training, cross-validation and scoring
-run in Spark MLlib, so neither the training set nor the scored customers pass
-through the driver. Only per-class counts, fold metrics and the seven
-feature importances (a handful of numbers) are collected.
+Features and labels are DataFrame expressions. Forests are fitted on bounded,
+seeded samples of the labelled rows and kept as node tables (``forests``);
+cross-validation scores every labelled row by the forest that has not seen its
+fold, and the area under the ROC curve is exact (``exact_auc``). Only class
+counts, node tables and one figure a fold reach the driver.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.auc import exact_auc
 from basketry.functions.cleaning import to_number
+from basketry.operators.forests import MAX_DEPTH, Forest, ForestConfig, fit_groups, probabilities
+from basketry.session import ensure_checkpoint_dir
 
 # Model features in order, and their display labels.
 ML_FEATURES = [
@@ -48,9 +45,6 @@ UPGRADE_POSITIVE = ["Champions", "Loyal"]
 MIN_PER_CLASS = 10
 MAX_FOLDS = 5
 DAYS_PER_MONTH_ML = 30
-FIT_THREADS = 2           # concurrent model fits submitted from the driver; each holds its statistics
-FIT_MEMORY_MB = 64        # split statistics of a fit at a time
-MAX_DEPTH = 30            # MLlib's deepest; the trees are meant to be unlimited
 
 
 def customer_features(seg: DataFrame) -> DataFrame:
@@ -91,27 +85,17 @@ def class_counts(labeled: DataFrame) -> dict[int, int]:
 
 @dataclass
 class TrainedModel:
-    model: object | None
+    model: Forest | None
     auc: float | None
     importances: list[float] | None
     counts: dict[int, int] = field(default_factory=dict)
 
 
-def _forest(num_trees: int, max_depth: int, seed: int, weighted: bool) -> RandomForestClassifier:
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees,
-                                maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed,
-                                maxMemoryInMB=FIT_MEMORY_MB)
-    if weighted:
-        rf = rf.setWeightCol("weight")
-    return rf
-
-
 @dataclass
 class _Prepared:
     data: DataFrame | None
     counts: dict[int, int]
     folds: int
-    per_fold: dict[tuple[int, int], int] = field(default_factory=dict)
 
 
 SLICES = 256              # hash slices a class is numbered in
@@ -138,20 +122,14 @@ def stratified_number(df: DataFrame, label: str, keys: list[Column], seed: int)
 
 
 def _prepare(labeled: DataFrame, key: str, seed: int) -> _Prepared:
-    """Class counts and stratified fold ids; persisted for fitting."""
+    """Class counts and the labelled rows, numbered in each class, as a table in the shared folder."""
     counts = class_counts(labeled)
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     if n0 < MIN_PER_CLASS or n1 < MIN_PER_CLASS:
         return _Prepared(None, counts, 0)
-    n, k = n0 + n1, min(MAX_FOLDS, n0, n1)
-    assembler = VectorAssembler(inputCols=ML_FEATURES, outputCol="features")
-    data = (assembler.transform(stratified_number(labeled.select(key, "label", *ML_FEATURES), "label", [F.col(key)], seed))
-            .withColumn("fold", F.col("_number") % k).select(key, "label", "features", "fold"))
-    data.persist(StorageLevel.MEMORY_AND_DISK)
-    # fills the cache once, before concurrent fits read it
-    per_fold = {(r["fold"], r["label"]): r["n"] for r in
-                data.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return _Prepared(data, counts, k, per_fold)
+    ensure_checkpoint_dir(labeled.sparkSession)
+    data = stratified_number(labeled.select(key, "label", *ML_FEATURES), "label", [F.col(key)], seed)
+    return _Prepared(data.checkpoint(eager=True), counts, min(MAX_FOLDS, n0, n1))
 
 
 def balanced(data: DataFrame, n0: int, n1: int) -> DataFrame:
@@ -160,70 +138,73 @@ def balanced(data: DataFrame, n0: int, n1: int) -> DataFrame:
     return data.withColumn("weight", F.when(F.col("label") == 1, F.lit(n / (2.0 * n1))).otherwise(F.lit(n / (2.0 * n0))))
 
 
-def _fit_all(prepared: list[_Prepared], num_trees: int, max_depth: int, seed: int,
-             cross_validate: bool) -> list[TrainedModel]:
-    """Fit every full model and every cross-validation fold concurrently.
+def _training_rows(p: _Prepared, fold: int | None) -> tuple[DataFrame, dict[int, int]]:
+    """The rows to train on, without a fold, with their ``_index`` in the class, and their number by class.
 
-    Each fit is a chain of small Spark jobs (one per tree level); submitting
-    them from several driver threads lets the scheduler run them side by
-    side instead of leaving executors idle between levels.
+    A row's fold is its number modulo the number of folds, so its index among
+    the rows outside a fold follows from its number alone.
     """
-    ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability",
-                                       metricName="areaUnderROC")
-
-    def full(p: _Prepared):
-        return _forest(num_trees, max_depth, seed, True).fit(balanced(p.data, p.counts[0], p.counts[1]))
-
-    def fold(p: _Prepared, i: int):
-        n0, n1 = (p.counts[c] - p.per_fold.get((i, c), 0) for c in (0, 1))
-        train = balanced(p.data.where(F.col("fold") != i), n0, n1)
-        m = _forest(num_trees, max_depth, seed, True).fit(train)
-        return ev.evaluate(m.transform(p.data.where(F.col("fold") == i)))
-
+    number, k = F.col("_number"), p.folds
+    if fold is None:
+        sizes, rows, index = p.counts, p.data, number
+    else:
+        sizes = {c: n - (n - fold + k - 1) // k for c, n in p.counts.items()}
+        rows = p.data.where(number % k != fold)
+        index = number - F.floor((number - fold + k - 1) / k)
+    return balanced(rows, sizes[0], sizes[1]).withColumn("_index", index.cast("long")), sizes
+
+
+def _fit_all(prepared: list[_Prepared], config: ForestConfig, cross_validate: bool) -> list[TrainedModel]:
+    """Fit every full model and every cross-validation fold side by side; score the folds in one pass a model."""
     jobs = {}
-    with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
-        for j, p in enumerate(prepared):
-            if p.data is None:
-                continue
-            jobs[(j, "full")] = pool.submit(full, p)
-            if cross_validate:
-                for i in range(p.folds):
-                    jobs[(j, i)] = pool.submit(fold, p, i)
-        done = {k: f.result() for k, f in jobs.items()}
+    for j, p in enumerate(prepared):
+        if p.data is not None:
+            for fold in [None, *range(p.folds if cross_validate else 0)]:
+                jobs[j, fold] = _training_rows(p, fold)
+    if not jobs:
+        return [TrainedModel(None, None, None, p.counts) for p in prepared]
+    spark = next(iter(jobs.values()))[0].sparkSession
+    forests = fit_groups(spark, jobs, ML_FEATURES, config, weighted=True)
     out = []
     for j, p in enumerate(prepared):
         if p.data is None:
             out.append(TrainedModel(None, None, None, p.counts))
             continue
-        model = done[(j, "full")]
-        scores = [done[(j, i)] for i in range(p.folds)] if cross_validate else []
-        auc = float(sum(scores) / len(scores)) if scores else None
-        out.append(TrainedModel(model, auc, list(model.featureImportances.toArray()), p.counts))
-        p.data.unpersist()
+        auc = None
+        if cross_validate:
+            scored = out_of_fold(p, [forests[j, i] for i in range(p.folds)])
+            areas = exact_auc(scored, "label", "score", ["fold"]).orderBy("fold").collect()     # one row a fold
+            auc = sum(r["roc_auc"] for r in areas) / len(areas)
+        model = forests[j, None]
+        out.append(TrainedModel(model, auc, model.importances(len(ML_FEATURES)), p.counts))
     return out
 
 
+def out_of_fold(p: _Prepared, forests: list[Forest]) -> DataFrame:
+    """Every labelled row with its fold and P(class 1) by the forest that was fitted without that fold."""
+    rows = p.data.withColumn("fold", (F.col("_number") % p.folds).cast("int"))
+    p1 = probabilities(rows.sparkSession, forests, ML_FEATURES, F.col("fold"))[1]
+    return rows.select("fold", "label", p1.alias("score"))
+
+
 def train_binary(labeled: DataFrame, key: str = "customerId", num_trees: int = 300,
                  max_depth: int = MAX_DEPTH, seed: int = 42, cross_validate: bool = True) -> TrainedModel:
     """Balanced random forest; mean ROC-AUC over up to five folds.
 
     Trains only with at least ``MIN_PER_CLASS`` rows in each class. Class
-    weights are ``n / (2 * n_class)`` of the rows each fit sees. Every class is
-    dealt evenly to the folds.
+    weights are ``n / (2 * n_class)`` of the rows each fit is drawn from. Every
+    class is dealt evenly to the folds.
     """
-    return _fit_all([_prepare(labeled, key, seed)], num_trees, max_depth, seed, cross_validate)[0]
+    config = ForestConfig(num_trees=num_trees, max_depth=max_depth, seed=seed)
+    return _fit_all([_prepare(labeled, key, seed)], config, cross_validate)[0]
 
 
 def score(feat: DataFrame, trained: TrainedModel, out_col: str) -> DataFrame:
     """P(class 1) x 100 rounded half-even to one decimal; null when untrained."""
     if trained.model is None:
         return feat.withColumn(out_col, F.lit(None).cast("double"))
-    assembler = VectorAssembler(inputCols=ML_FEATURES, outputCol="_features")
-    scored = trained.model.transform(
-        assembler.transform(feat).withColumnRenamed("_features", "features"))
-    p1 = vector_to_array("probability")[1]
-    keep = feat.columns
-    return scored.select(*keep, F.bround(p1 * 100.0, 1).alias(out_col))
+    p1 = probabilities(feat.sparkSession, [trained.model], ML_FEATURES)[1]
+    return feat.withColumn(out_col, F.bround(p1 * 100.0, 1))
 
 
 @dataclass
@@ -238,7 +219,8 @@ def run_customer_ml(seg: DataFrame, num_trees: int = 300, max_depth: int = MAX_D
     feat = customer_features(seg)
     prepared = [_prepare(churn_labels(feat), "customerId", seed),
                 _prepare(upgrade_labels(feat), "customerId", seed)]
-    churn, upgrade = _fit_all(prepared, num_trees, max_depth, seed, cross_validate)
+    config = ForestConfig(num_trees=num_trees, max_depth=max_depth, seed=seed)
+    churn, upgrade = _fit_all(prepared, config, cross_validate)
     scored = score(score(feat, churn, "churn_risk_score"), upgrade, "upgrade_potential_score")
     return MlResult(scored, churn, upgrade)
 
@@ -260,6 +242,16 @@ def model_auc_frame(spark: SparkSession, res: MlResult) -> DataFrame:
                                        "n_positive long, trained boolean")
 
 
+def feature_auc(labeled: dict[str, DataFrame]) -> DataFrame:
+    """model, feature, roc_auc, n_negative, n_positive: every feature taken as a score of its own."""
+    rows = None
+    for model, df in labeled.items():
+        values = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in ML_FEATURES])
+        part = df.select(F.lit(model).alias("model"), "label", F.inline(values))
+        rows = part if rows is None else rows.union(part)
+    return exact_auc(rows, "label", "value", ["model", "feature"])
+
+
 WINBACK_EXCLUDE = ["Lost", "Never Ordered"]
 UPSELL_EXCLUDE = ["Champions", "Loyal", "Lost", "Never Ordered"]
 TOP_COLUMNS = ["customerId", "fullName", "email", "custType", "segment", "churn_risk_score",
@@ -305,20 +297,23 @@ def classification_report(df: DataFrame, target: str, features: list[str] | None
     data = df.select(*([key] if key else []), target, *[F.col(c).cast("double").alias(c) for c in features]) \
         .dropna(subset=[target]).fillna(0.0, subset=features)
     step = max(2, round(1 / test_fraction))
+    ensure_checkpoint_dir(df.sparkSession)
     data = (stratified_number(data, target, hash_cols, seed).withColumn("_test", F.col("_number") % step == step - 1)
-            .drop("_number"))
-    data.persist(StorageLevel.MEMORY_AND_DISK)
-    indexer = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc",
-                            handleInvalid="keep")
-    assembler = VectorAssembler(inputCols=features, outputCol="features")
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees,
-                                maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed,
-                                maxMemoryInMB=FIT_MEMORY_MB)
-    model = Pipeline(stages=[indexer, assembler, rf]).fit(data.where(~F.col("_test")))
-    pred = model.transform(data.where(F.col("_test")))
-    names = F.array(*[F.lit(c) for c in model.stages[0].labels])
-    cm = pred.groupBy(F.col(target).cast("string").alias("actual"),
-                      F.get(names, F.col("prediction").cast("int")).alias("predicted")) \
+            .withColumn("_index", F.col("_number") - F.floor((F.col("_number") + 1) / step)).checkpoint(eager=True))
+    sizes = {r[target]: r["n"] for r in data.where(~F.col("_test")).groupBy(target)
+             .agg(F.count(F.lit(1)).alias("n")).collect()}            # one row a class
+    names = sorted(sizes, key=str)
+    if not names:
+        return report_from_counts(df.sparkSession.createDataFrame([], "actual string, predicted string, n long"))
+    code = F.element_at(F.create_map(*[F.lit(x) for k, c in enumerate(names) for x in (c, k)]), F.col(target))
+    train = data.where(~F.col("_test")).withColumn("label", code.cast("int"))
+    config = ForestConfig(num_trees=num_trees, max_depth=max_depth, seed=seed)
+    forest = fit_groups(df.sparkSession, {0: (train, {k: sizes[c] for k, c in enumerate(names)})}, features, config,
+                        weighted=False)[0]
+    p = probabilities(df.sparkSession, [forest], features)
+    tested = data.where("_test").withColumn("_p", p)
+    predicted = F.get(F.array(*[F.lit(str(c)) for c in names]), F.array_position("_p", F.array_max("_p")).cast("int") - 1)
+    cm = tested.groupBy(F.col(target).cast("string").alias("actual"), predicted.alias("predicted")) \
         .agg(F.count(F.lit(1)).alias("n"))
     return report_from_counts(cm)
 

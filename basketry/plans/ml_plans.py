@@ -88,6 +88,36 @@ def q_model_auc(spark, sf):
     return M.model_auc_frame(spark, _ml(spark, sf))
 
 
+_UNPIVOT = " UNION ALL ".join(f"SELECT model, label, '{f}' AS feature, {f} AS value FROM l" for f in M.ML_FEATURES)
+
+
+@register("feature_auc", f"""
+WITH f AS ({_FEAT_SQL}),
+l AS (
+  SELECT 'churn' AS model, CAST(segment IN ('Lost', 'At-Risk') AS INTEGER) AS label, * FROM f
+  WHERE segment IN ('Champions', 'Loyal', 'Regular', 'Lost', 'At-Risk')
+  UNION ALL
+  SELECT 'upgrade', CAST(segment IN ('Champions', 'Loyal') AS INTEGER), * FROM f
+  WHERE segment IN ('Champions', 'Loyal', 'Regular', 'Occasional')),
+u AS ({_UNPIVOT}),
+r AS (
+  SELECT *, rank() OVER (PARTITION BY model, feature ORDER BY value)
+            + (count(*) OVER (PARTITION BY model, feature, value) - 1) / 2.0 AS mean_rank
+  FROM u WHERE value IS NOT NULL),
+s AS (
+  SELECT model, feature, sum(CASE WHEN label = 1 THEN mean_rank END) AS ranks,
+         CAST(sum(label) AS BIGINT) AS p, CAST(sum(1 - label) AS BIGINT) AS n
+  FROM r GROUP BY model, feature)
+SELECT model, feature, CASE WHEN p > 0 AND n > 0 THEN (ranks - p * (p + 1) / 2.0) / (CAST(p AS DOUBLE) * n) END AS roc_auc,
+       n AS n_negative, p AS n_positive
+FROM s
+""")
+def q_feature_auc(spark, sf):
+    """How well each feature alone ranks the labelled customers: the exact area under its ROC curve."""
+    feat = _feat(spark, sf)
+    return M.feature_auc({"churn": M.churn_labels(feat), "upgrade": M.upgrade_labels(feat)})
+
+
 @register("feature_importances")
 def q_feature_importances(spark, sf):
     return M.importances_frame(spark, _ml(spark, sf))
