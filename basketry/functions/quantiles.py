@@ -9,20 +9,20 @@ not hold on a very large table.
 Here the needed order statistics are found by narrowing, for all requested
 columns and ranks at once, in one way at every size:
 
-1. ``percentile_approx`` (a fixed-size sketch merged map-side) estimates each
-   wanted rank and brackets it by two values whose rank error is bounded by
-   the accuracy.
-2. One counting pass measures the rows below the bracket, between its values
-   and the tie block on each of them. A rank on a tie block is answered at
-   once (heavy ties never stall the search, and columns shorter than the
-   accuracy end in the first round); otherwise only the rows strictly between
-   two of the values (about ``2 n / accuracy``) are searched again.
-3. Where a sketch misses, the bracket is widened up to the smallest and largest
-   value, which cannot miss. Every round takes at least its end values out of
-   the space, so the search ends.
-
-Every round is two Spark jobs whatever the number of columns, no task keeps
-more than the sketches, and only a handful of numbers ever reach the driver.
+1. A column's open ranks lie in a few disjoint intervals of values, at first in
+   one. Their values together are the column's space, and one
+   ``percentile_approx`` sketch a column (fixed size, merged map-side) estimates
+   all its ranks in it, each with a margin of the sketch's error on both sides.
+2. One counting pass measures the rows on each of these values and between
+   them. A rank on a value is answered at once (heavy ties never stall the
+   search, and columns shorter than the accuracy end in the first round);
+   otherwise the rows between two neighbouring values (about ``2 n / accuracy``)
+   are the rank's next interval.
+
+The counts are exact, so a sketch that misses costs a round and no more; every
+round takes its values out of the space, so the search ends. A round is two
+Spark jobs whatever the number of columns and ranks, no task keeps more than
+the sketches, and only a handful of numbers ever reach the driver.
 """
 
 from __future__ import annotations
@@ -42,76 +42,118 @@ def _value(column: str) -> Column:
     return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
 
 
+Interval = tuple[float | None, float | None]      # lo < x < hi (None: open)
+
+
 @dataclass
 class _Search:
-    column: str
-    rank: int                       # wanted rank inside the current space
-    n: int                          # values in the current space
-    lo: float | None = None         # current space: lo < x < hi (None = open)
-    hi: float | None = None
-    eps: float = 0.0
+    rank: int                       # wanted rank inside the interval
+    at: Interval = (None, None)
     value: float | None = None
     done: bool = False
 
+
+@dataclass
+class _Space:
+    """The open searches of a column and the sizes of their intervals."""
+
+    column: str
+    searches: list[_Search]
+    sizes: dict[Interval, int]
+
+    def intervals(self) -> list[Interval]:
+        open_ = {s.at for s in self.searches if not s.done}
+        return sorted(open_, key=lambda i: -math.inf if i[0] is None else i[0])
+
     def inside(self) -> Column:
-        v = _value(self.column)
-        cond = v.isNotNull()
-        if self.lo is not None:
-            cond = cond & (v > F.lit(self.lo))
-        if self.hi is not None:
-            cond = cond & (v < F.lit(self.hi))
+        """Whether the column's value is in one of the intervals."""
+        v, cond = _value(self.column), F.lit(False)
+        for lo, hi in self.intervals():
+            one = v.isNotNull()
+            if lo is not None:
+                one = one & (v > F.lit(lo))
+            if hi is not None:
+                one = one & (v < F.lit(hi))
+            cond = cond | one
         return cond
 
-
-def _narrow_round(df: DataFrame, searches: list[_Search], accuracy: int) -> None:
-    """One sketch pass and one counting pass for every open search."""
-    sketch = []
-    for i, s in enumerate(searches):
-        p = (s.rank + 0.5) / s.n          # the smallest value with this share of rows has the rank
-        probs = [max(0.0, p - s.eps), p, min(1.0, p + s.eps)]
-        inside = F.when(s.inside(), _value(s.column))
-        sketch += [F.percentile_approx(inside, probs, accuracy).alias(f"b{i}"),
-                   F.min(inside).alias(f"min{i}"), F.max(inside).alias(f"max{i}")]
-    found = df.agg(*sketch).first()
-    points, counts = [], []
-    for i, s in enumerate(searches):
-        b = [*found[f"b{i}"]]
-        if s.eps >= 0.5:
-            b += [found[f"min{i}"], found[f"max{i}"]]
-        points.append(sorted(set(b)))
-        v, inside = _value(s.column), s.inside()
-        counts.append(F.count_if(inside & (v < points[i][0])).alias(f"below{i}"))
-        for k, x in enumerate(points[i]):
-            counts.append(F.count_if(inside & (v == x)).alias(f"on{i}_{k}"))
-            if k + 1 < len(points[i]):
-                counts.append(F.count_if(inside & (v > x) & (v < points[i][k + 1])).alias(f"to{i}_{k}"))
-    c = df.agg(*counts).first()
-    for i, s in enumerate(searches):
-        at = s.rank - c[f"below{i}"]
-        hit = False
-        for k, x in enumerate(points[i] if at >= 0 else []):
-            if at < c[f"on{i}_{k}"]:
-                s.value, s.done, hit = x, True, True
-                break
-            at -= c[f"on{i}_{k}"]
-            if k + 1 < len(points[i]):
-                if at < c[f"to{i}_{k}"]:
-                    s.lo, s.hi, s.n, s.rank, s.eps = x, points[i][k + 1], c[f"to{i}_{k}"], at, 1.0 / accuracy
-                    hit = True
+    def probabilities(self, accuracy: int) -> list[float]:
+        """Where the open ranks lie in the space, with the sketch's margin on both sides."""
+        before, total = {}, 0
+        for i in self.intervals():
+            before[i] = total
+            total += self.sizes[i]
+        out = set()
+        for s in self.searches:
+            if not s.done:
+                p = (before[s.at] + s.rank + 0.5) / total      # the smallest value with this share of rows has the rank
+                out |= {max(0.0, p - 1.0 / accuracy), p, min(1.0, p + 1.0 / accuracy)}
+        return sorted(out)
+
+    def narrow(self, points: list[float], on: list[int], between: list[int]) -> None:
+        """Answer the searches whose rank is on a point; give the others the interval their rank is in.
+
+        ``on`` counts the space's rows on each point, ``between`` those before
+        the first, between neighbours and behind the last.
+        """
+        before, total = {}, 0
+        for i in self.intervals():
+            before[i] = total
+            total += self.sizes[i]
+        sizes: dict[Interval, int] = {}
+        for s in self.searches:
+            if s.done:
+                continue
+            at = before[s.at] + s.rank
+            for k, gap in enumerate(between):
+                if at < gap:
+                    lo, hi = (points[k - 1] if k else None), (points[k] if k < len(points) else None)
+                    s.at, s.rank = (lo, hi), at
+                    sizes[s.at] = gap
+                    break
+                at -= gap
+                if at < on[k]:
+                    s.value, s.done = points[k], True
                     break
-                at -= c[f"to{i}_{k}"]
-        if not hit:
-            s.eps *= 8                   # the sketch missed: widen and retry
+                at -= on[k]
+        self.sizes = sizes
+
+
+def _narrow_round(df: DataFrame, spaces: list[_Space], accuracy: int) -> None:
+    """One sketch and one counting pass over all columns with open searches."""
+    found = df.agg(*[F.percentile_approx(F.when(s.inside(), _value(s.column)), s.probabilities(accuracy), accuracy)
+                     .alias(f"p{i}") for i, s in enumerate(spaces)]).first()
+    points = []
+    for i, s in enumerate(spaces):
+        # the ends of intervals are points as well, so nothing between two points is in two intervals
+        ends = {x for interval in s.intervals() for x in interval if x is not None}
+        points.append(sorted({*found[f"p{i}"]} | ends))
+    values = df.select(*[F.when(s.inside(), _value(s.column)).alias(f"v{i}") for i, s in enumerate(spaces)])
+    cells = [F.struct(F.lit(i).alias("space"), _cell(F.col(f"v{i}"), x, 0, len(x)).alias("cell")) for i, x in enumerate(points)]
+    counted = (values.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where(F.col("cell").isNotNull())
+               .groupBy("space", "cell").agg(F.count(F.lit(1)).alias("n")).collect())     # a few cells a rank
+    n = {(r["space"], r["cell"]): r["n"] for r in counted}
+    for i, s in enumerate(spaces):
+        k = len(points[i])
+        s.narrow(points[i], [n.get((i, 2 * j + 1), 0) for j in range(k)], [n.get((i, 2 * j), 0) for j in range(k + 1)])
+
+
+def _cell(v: Column, points: list[float], first: int, end: int) -> Column:
+    """2 k + 1 for a value on point k, 2 k for one before it and behind the point before; by bisection."""
+    if first == end:
+        return F.when(v.isNotNull(), F.lit(2 * first))
+    mid = (first + end) // 2
+    return (F.when(v < F.lit(points[mid]), _cell(v, points, first, mid))
+            .when(v == F.lit(points[mid]), F.lit(2 * mid + 1)).otherwise(_cell(v, points, mid + 1, end)))
 
 
 def _order_statistics(df: DataFrame, wanted: dict[str, tuple[int, list[int]]],
                       accuracy: int) -> dict[str, dict[int, float]]:
     """``{column: (n, ranks)}`` -> ``{column: {rank: value}}`` (0-based ranks)."""
-    searches = {(c, r): _Search(c, r, n, eps=1.0 / accuracy)
-                for c, (n, ranks) in wanted.items() for r in ranks}
-    while todo := [s for s in searches.values() if not s.done]:
-        _narrow_round(df, todo, accuracy)
-    return {c: {r: searches[(c, r)].value for r in ranks} for c, (_, ranks) in wanted.items()}
+    spaces = {c: _Space(c, [_Search(r) for r in ranks], {(None, None): n}) for c, (n, ranks) in wanted.items()}
+    while open_ := [s for s in spaces.values() if s.intervals()]:
+        _narrow_round(df, open_, accuracy)
+    return {c: {r: s.value for r, s in zip(ranks, spaces[c].searches)} for c, (_, ranks) in wanted.items()}
 
 
 def _between(a: float, b: float, t: Fraction) -> float:
@@ -125,15 +167,16 @@ def _between(a: float, b: float, t: Fraction) -> float:
 
 
 def exact_quantiles_multi(df: DataFrame, spec: dict[str, list[float]], *,
-                          accuracy: int = ACCURACY
+                          accuracy: int = ACCURACY, counts: dict[str, int] | None = None
                           ) -> tuple[dict[str, list[float | None]], dict[str, int]]:
-    """Quantiles of several columns: one counting pass, then the shared search.
+    """Quantiles of several columns: one counting pass (unless ``counts`` are given), then the shared search.
 
     Returns ``({column: [quantile per probability]}, {column: non-null count})``.
     """
     cols = list(spec)
-    row = df.agg(*[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    counts = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
+    if counts is None:
+        row = df.agg(*[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+        counts = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
     plan, wanted = {}, {}
     for c in cols:
         n = counts[c]

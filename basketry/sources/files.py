@@ -174,7 +174,7 @@ def describe_types(df: DataFrame) -> DataFrame:
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType)
-_LIMB = 10 ** 9
+_LIMB = 2 ** 32
 
 
 def _scale(t: T.DataType) -> int | None:
@@ -187,13 +187,14 @@ def _scale(t: T.DataType) -> int | None:
 def _exact_sums(x: Column, scale: int, i: int) -> list[Column]:
     """Sums that give the exact sum and sum of squares of a column's unscaled values.
 
-    A value is split as high * 10^9 + low, so that the squares of any 64-bit
-    number add up inside decimal(38) for 10^17 rows.
+    A 64-bit value is split as high * 2^32 + low with low from -2^31 to 2^31 - 1,
+    so that the products fit 64 bits and only their sums are decimals.
     """
-    whole = (x * F.lit(10 ** scale)).cast("decimal(20,0)") if scale else x.cast("decimal(20,0)")
-    high = F.floor(whole / F.lit(_LIMB)).cast("decimal(12,0)")
-    low = (whole - high * F.lit(_LIMB)).cast("decimal(10,0)")
-    return [F.sum(a.cast("decimal(38,0)")).alias(f"{n}{i}") for n, a in
+    whole = (x * F.lit(10 ** scale)).cast("long") if scale else x.cast("long")
+    carry = F.shiftright(whole, 31).bitwiseAND(F.lit(1))
+    high = F.shiftright(whole, 32) + carry
+    low = whole.bitwiseAND(F.lit(_LIMB - 1)) - carry * F.lit(_LIMB)
+    return [F.sum(a.cast("decimal(20,0)")).alias(f"{n}{i}") for n, a in
             (("h", high), ("l", low), ("hh", high * high), ("hl", high * low), ("ll", low * low))]
 
 
@@ -228,7 +229,6 @@ def describe_all(df: DataFrame) -> DataFrame:
     other = [f for f in df.schema.fields if not isinstance(f.dataType, _NUMERIC)]
     parts = []
     if num:
-        q, _ = exact_quantiles_multi(df, {c: [0.25, 0.5, 0.75] for c in num})
         types = {f.name: f.dataType for f in df.schema.fields}
         aggs = []
         for i, c in enumerate(num):
@@ -239,6 +239,8 @@ def describe_all(df: DataFrame) -> DataFrame:
             aggs += [F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}")] if scale is None else \
                 _exact_sums(raw, scale, i)
         row = df.agg(*aggs).first()              # a few numbers a column
+        q, _ = exact_quantiles_multi(df, {c: [0.25, 0.5, 0.75] for c in num},
+                                     counts={c: row[f"c{i}"] for i, c in enumerate(num)})
         rows = []
         for i, c in enumerate(num):
             scale = _scale(types[c])
