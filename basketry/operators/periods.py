@@ -12,7 +12,7 @@ from basketry.functions.cleaning import as_of_literal, pct_change
 COMPARISON_METRICS = ["revenue", "total_orders", "aov", "pct_orders_over",
                       "new_customers", "recurring_pct"]
 MONEY_METRICS = ("revenue",)   # summed as exact decimals, so the result is order-free
-RATIO_METRICS = ("aov", "pct_orders_over", "recurring_pct")   # fixed point, 6 decimals
+RATIO_METRICS = ("aov", "pct_orders_over", "recurring_pct")   # summed in the order of period and type
 
 
 def rolling_date_window(df: DataFrame, column: str, last_days: int | None = None,
@@ -96,13 +96,13 @@ def _spine(freq: str, lo: Column, hi: Column) -> Column:
 
 
 def _sum_metric(c: str) -> Column:
-    """Sums that do not depend on row order: money as decimal(38,2), ratios
-    in fixed point with 6 decimals (a unit both Spark and DuckDB convert
-    doubles to identically), counts as integers."""
+    """Sums that do not depend on row order: money as decimal(38,2), counts as integers,
+    ratios one by one in the order of the bin's sorted rows."""
     if c in MONEY_METRICS:
         return F.sum(F.col(c).cast("decimal(38,2)")).cast("double")
     if c in RATIO_METRICS:
-        return F.sum(F.col(c).cast("decimal(38,6)")).cast("double")
+        rows = F.sort_array(F.collect_list("_row"))          # one row a period and type of the bin
+        return F.aggregate(rows, F.lit(0.0), lambda s, r: s + F.coalesce(r[c], F.lit(0.0)))
     return F.sum(c)
 
 
@@ -114,28 +114,32 @@ def period_comparison(metrics: DataFrame, freq: str,
 
     Like the pandas resample, ratio metrics are summed as well; with
     ``recompute_ratios`` the AOV is recomputed as revenue / orders per bin.
-    The calendar spine is generated from the min / max label only; the
-    previous bin is found with an equi-join on the computed previous label,
-    so no global window (single partition) is needed.
+    The metrics are read once: the bins are folded into one map by label, and
+    the calendar between the first and last of them looks up each label and the
+    one before. What is brought together for that is a row a calendar bin (5,200
+    weeks a century), so there is neither a join nor a window.
     """
-    lab = _label(freq, F.col("period_start"))
-    # one row per calendar bin, read by the spine, the join and its shift; the
-    # exchange below it is planned once and reused
-    binned = metrics.groupBy(lab.alias("period_label")).agg(*[_sum_metric(c).alias(c) for c in metric_cols])
-    spine = (binned.agg(F.min("period_label").alias("lo"), F.max("period_label").alias("hi"))
-             .select(F.explode(_spine(freq, F.col("lo"), F.col("hi"))).alias("period_label")))
-    filled = spine.join(binned, "period_label", "left").select(
-        "period_label",
-        *[F.coalesce(F.col(c), F.lit(0).cast(binned.schema[c].dataType)).alias(c)
-          for c in metric_cols])
+    order = [c for c in ("period_start", "customer_type") if c in metrics.columns]
+    ratios = [c for c in metric_cols if c in RATIO_METRICS]
+    rows = metrics.withColumn("_label", _label(freq, F.col("period_start"))).where(F.col("_label").isNotNull())
+    rows = rows.withColumn("_row", F.struct(*order, *ratios))
+    binned = rows.groupBy("_label").agg(*[_sum_metric(c).alias(c) for c in metric_cols])
     if recompute_ratios and {"revenue", "total_orders", "aov"} <= set(metric_cols):
-        filled = filled.withColumn(
+        binned = binned.withColumn(
             "aov", F.when(F.col("total_orders") == 0, F.lit(0.0))
             .otherwise(F.col("revenue") / F.col("total_orders")))
-    prev = filled.select(F.col("period_label").alias("_cur_label"),
-                         *[F.col(c).alias(f"_prev_{c}") for c in metric_cols])
-    joined = filled.join(prev, _previous(freq, F.col("period_label")) == F.col("_cur_label"), "left")
-    return joined.select(
+    types = {f.name: f.dataType for f in binned.schema.fields}
+    bins = F.map_from_entries(F.collect_list(F.struct("_label", F.struct(*metric_cols))))
+    calendar = binned.agg(bins.alias("bins"), F.min("_label").alias("lo"), F.max("_label").alias("hi"))
+    labels = F.transform(_spine(freq, F.col("lo"), F.col("hi")), lambda d: F.struct(
+        d.alias("period_label"), (d > F.col("lo")).alias("_has_previous"), F.try_element_at("bins", d).alias("_now"),
+        F.try_element_at("bins", _previous(freq, d)).alias("_before")))
+    zero = {c: F.lit(0).cast(types[c]) for c in metric_cols}
+    filled = calendar.where(F.col("lo").isNotNull()).select(F.inline(labels)).select(
+        "period_label", *[F.coalesce(F.col(f"_now.{c}"), zero[c]).alias(c) for c in metric_cols],
+        *[F.when(F.col("_has_previous"), F.coalesce(F.col(f"_before.{c}"), zero[c])).cast("double").alias(f"_prev_{c}")
+          for c in metric_cols])
+    return filled.select(
         "period_label", *metric_cols,
-        *[pct_change(F.col(c).cast("double"), F.col(f"_prev_{c}").cast("double")).alias(f"{c}_pct")
+        *[pct_change(F.col(c).cast("double"), F.col(f"_prev_{c}")).alias(f"{c}_pct")
           for c in metric_cols]).orderBy("period_label")

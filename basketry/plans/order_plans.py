@@ -218,8 +218,9 @@ def q_customer_history_lookup(spark, sf):
 
 def _comparison_sql(label: str, prev: str, spine: str) -> str:
     cols = ["revenue", "total_orders", "aov", "pct_orders_over", "new_customers", "recurring_pct"]
-    prec = {"revenue": 2, "aov": 6, "pct_orders_over": 6, "recurring_pct": 6}
-    sums = ", ".join(f"CAST(sum(CAST({c} AS DECIMAL(38,{prec[c]}))) AS DOUBLE) AS {c}" if c in prec
+    # ratios are added up in a fixed order, as doubles
+    sums = ", ".join("CAST(sum(CAST(revenue AS DECIMAL(38,2))) AS DOUBLE) AS revenue" if c == "revenue"
+                     else f"sum({c} ORDER BY period_start, customer_type) AS {c}" if c in P.RATIO_METRICS
                      else f"CAST(sum({c}) AS BIGINT) AS {c}" for c in cols)
     fill = ", ".join(f"coalesce(b.{c}, 0) AS {c}" for c in cols)
     pct = ", ".join(
