@@ -31,9 +31,11 @@ import math
 from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.session import ensure_checkpoint_dir
+
 ACCURACY = 10_000
 
 
@@ -205,3 +207,47 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], *,
     """
     out, _ = exact_quantiles_multi(df, {column: list(probs)}, accuracy=accuracy)
     return out[column]
+
+
+def grouped_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The ``keys`` and the exact median of every column, one row per group.
+
+    Equal values of a group are folded into one block (map-side combined), the
+    blocks are range-partitioned by (group, column, value), every partition
+    counts its own part of each group, and the counts of the parts before it
+    shift its ranks. So a group with a third of all rows is spread over many
+    tasks, and none holds a group's values. Nulls are skipped, NaN ranks above
+    every number; a group without values has a null median; null keys are a group.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    own = [F.col(k).alias(n) for k, n in zip(keys, names)]
+    values = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])
+    groups = [*names, "_c"]
+    blocks = (df.select(*own, F.inline(values)).groupBy(*groups, "_v")
+              .agg(F.count(F.lit(1)).alias("_n")))
+    ensure_checkpoint_dir(df.sparkSession)
+    blocks = (blocks.repartitionByRange(*groups, "_v").withColumn("_part", F.spark_partition_id())
+              .checkpoint(eager=True))
+    rows = F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)
+    parts = blocks.groupBy(*groups, "_part").agg(F.sum(rows).alias("_rows"))
+    whole, earlier = Window.partitionBy(*groups), Window.partitionBy(*groups).orderBy("_part")
+    parts = parts.select(*[F.col(g).alias(f"{g}s") for g in groups], F.col("_part").alias("_at"),
+                         (F.sum("_rows").over(earlier) - F.col("_rows")).alias("_shift"),
+                         F.sum("_rows").over(whole).alias("_total"))
+    same = F.col("_part") == F.col("_at")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"{g}s"))
+    inside = Window.partitionBy(*groups, "_part").orderBy(F.col("_v").asc_nulls_last())
+    end = F.col("_shift") + F.sum(rows).over(inside)
+    ranked = blocks.join(parts, same).select(*groups, "_v", "_total", end.alias("_end"), (end - rows).alias("_start"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col("_v")))
+
+    low, high = F.expr("(_total - 1) div 2"), F.expr("_total div 2")
+    two = ranked.groupBy(*groups).agg(at(low).alias("_low"), at(high).alias("_high"))
+    middle = F.when(F.col("_low") == F.col("_high"), F.col("_low")) \
+        .otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * 0.5)
+    return two.withColumn("_m", middle).groupBy(*names).agg(
+        *[F.max(F.when(F.col("_c") == i, F.col("_m"))).alias(c) for i, c in enumerate(columns)]) \
+        .select(*[F.col(n).alias(k) for n, k in zip(names, keys)], *columns)

@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Column
 from pyspark.sql import functions as F
 
+from basketry.functions.quantiles import grouped_medians
 from basketry.functions.cleaning import safe_ratio, strip_ws, to_timestamp_lenient
 from basketry.schemas import require_columns
 
@@ -65,7 +66,6 @@ _AGG_FUNCS = {
     "count": F.count,
     "nunique": F.countDistinct,
     "first": lambda c: _first_non_null(c, _ROW),
-    "median": F.median,
     "std": F.stddev_samp,
 }
 
@@ -76,25 +76,36 @@ def aggregate_orders(df: DataFrame, group_by: Iterable[str],
 
     A single function keeps the column name; several give ``column_fn``.
     Null group keys are dropped, as pandas ``groupby`` does by default.
-    Money columns (decimal) are summed exactly and returned as double.
+    Money columns (decimal) are summed exactly and returned as double. Medians
+    are exact and found by ranks, so that no group's values are held in one place.
     """
     keys = list(group_by)
     metrics = metrics or {"orderTotal": "sum", "qty": "sum"}
     require_columns(df, keys + list(metrics))
     df = with_row_order(df)
-    aggs = []
+    df = df.dropna(subset=keys)
+    aggs, names, medians = [], [], {}
     for c, fns in metrics.items():
         many = isinstance(fns, (list, tuple))
         for fn in (fns if many else [fns]):
             name = f"{c}_{fn}" if many else c
+            names.append(name)
+            if fn == "median":
+                medians[name] = c
+                continue
             expr = _AGG_FUNCS[fn](c)
-            if fn in ("sum", "mean", "median", "std") and dict(df.dtypes)[c].startswith("decimal"):
+            if fn in ("sum", "mean", "std") and dict(df.dtypes)[c].startswith("decimal"):
                 expr = (_money_sum(c) if fn == "sum" else
                         _money_mean(c) if fn == "mean" else expr.cast("double"))
             if fn in ("count", "nunique"):
                 expr = expr.cast("long")
             aggs.append(expr.alias(name))
-    return df.dropna(subset=keys).groupBy(*keys).agg(*aggs)
+    out = df.groupBy(*keys).agg(*aggs) if aggs else None
+    if medians:
+        found = grouped_medians(df, keys, sorted(set(medians.values())))
+        found = found.select(*keys, *[F.col(c).alias(name) for name, c in medians.items()])
+        out = found if out is None else out.join(found, keys)
+    return out.select(*keys, *names)
 
 
 _ROW = "_row_order"
