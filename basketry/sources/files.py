@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from basketry.functions.quantiles import exact_quantiles_multi
 from basketry.schemas import require_columns
 from basketry.session import app_id, scratch_path
+from basketry.sources.csv_ranges import read_text_columns
 
 # RFC 4180: quotes are doubled, a quoted value may hold separators and line ends.
 # An empty field is null, a quoted empty one is the empty string.
@@ -38,17 +39,20 @@ def csv_sink(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-def csv_scan(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def csv_scan(spark: SparkSession, path: str, schema: T.StructType | None = None, ranges: bool = True) -> DataFrame:
     """Read headered CSV files; with no schema the types are inferred (one extra pass).
 
     With a schema the columns are found by their names in the header, in any
     order; a value that doesn't parse is null, a missing column an error.
-    Values may hold line ends, so one file is read by one task: large inputs
-    should come as many files.
+    Values may hold line ends; files are still read in ranges (``csv_ranges``),
+    so a large file takes many tasks. ``ranges=False`` reads each file in one
+    task, by Spark's multi-line parser.
     """
     if schema is None:
         return spark.read.options(**CSV_READ).option("inferSchema", "true").csv(path)
     text = require_columns(spark.read.options(**CSV_READ).csv(path), schema.names)
+    if ranges:
+        text = read_text_columns(spark, path, text.columns, CSV_READ)
     return text.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
