@@ -18,20 +18,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-RECORDS = "file string, block long, place int, first boolean, record string"
+RECORDS = "file long, block long, place int, first boolean, record string"
 WHOLE, LEADING, TAIL = 0, 1, 2        # a record, the end of one from an earlier block, the start of one that goes on
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
-def start_parities(lines: DataFrame) -> dict[tuple[str, int], int]:
+def start_parities(lines: DataFrame) -> dict[tuple[int, int], int]:
     """Whether a block starts inside a quoted value: 1 or 0 for every (file, block)."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
     own = lines.groupBy("file", "block").agg((F.sum(quotes) % 2).alias("odd"))
@@ -40,42 +42,47 @@ def start_parities(lines: DataFrame) -> dict[tuple[str, int], int]:
     return {(r["file"], r["block"]): r["start"] for r in start.collect()}        # one row a block
 
 
-def cut_records(spark: SparkSession, lines: DataFrame, parities: dict[tuple[str, int], int]) -> DataFrame:
+def cut_records(spark: SparkSession, lines: DataFrame, parities: dict[tuple[int, int], int]) -> DataFrame:
     """(file, block, place, first, record): whole records, and the fragments of those that cross blocks."""
     shared = spark.sparkContext.broadcast(parities)
 
+    def rows(key: tuple[int, int], place: list[int], first: list[bool], records: list[str]) -> pa.RecordBatch:
+        n = len(records)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, key[0])), pa.array(np.full(n, key[1])), pa.array(place, pa.int32()),
+             pa.array(first, pa.bool_()), pa.array(records, pa.string())], names=["file", "block", "place", "first", "record"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = shared.value
-        out: list[tuple] = []
         key, odd, held, place, first = None, 0, [], WHOLE, False
-
-        def batch() -> pa.RecordBatch:
-            cols = list(zip(*out)) or [()] * 5
-            out.clear()
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
-                                              names=["file", "block", "place", "first", "record"])
-
-        def rest() -> None:
-            if held:                                   # the block ends inside a value
-                out.append((*key, LEADING if place == LEADING else TAIL, first, "\n".join(held)))
-
         for b in batches:
-            for file, block, line in zip(*(b.column(k).to_pylist() for k in range(3))):
-                if (file, block) != key:
-                    rest()
-                    key, odd, held = (file, block), start[file, block], []
-                    place, first = (LEADING if odd else WHOLE), block == 0
-                odd ^= line.count('"') & 1
-                held.append(line)
-                if not odd:
-                    record = "\n".join(held)
-                    out.append((file, block, place, first, record[:-1] if record.endswith("\r") else record))
-                    held, place, first = [], WHOLE, False
-            yield batch()
-        rest()
-        if out:
-            yield batch()
+            file, block = b.column(0).to_numpy(), b.column(1).to_numpy()
+            changes = np.flatnonzero((np.diff(file) != 0) | (np.diff(block) != 0)) + 1
+            bounds = [0, *changes.tolist(), len(file)]
+            for i, j in zip(bounds, bounds[1:]):
+                if i == j:
+                    continue
+                if (int(file[i]), int(block[i])) != key:
+                    if held:                                       # the last block ended inside a value
+                        yield rows(key, [LEADING if place == LEADING else TAIL], [first], ["\n".join(held)])
+                    key, held = (int(file[i]), int(block[i])), []
+                    odd = start[key]
+                    place, first = (LEADING if odd else WHOLE), key[1] == 0
+                lines_ = b.column(2).slice(i, j - i)
+                after = (odd + np.cumsum(pc.count_substring(lines_, '"').to_numpy())) & 1
+                ends = np.flatnonzero(after == 0).tolist()
+                odd, text = int(after[-1]), lines_.to_pylist()
+                if not ends:
+                    held += text
+                    continue
+                records = ["\n".join([*held, *text[:ends[0] + 1]])]
+                records += [text[e] if e == s + 1 else "\n".join(text[s + 1:e + 1]) for s, e in zip(ends, ends[1:])]
+                records = [r[:-1] if r.endswith("\r") else r for r in records]
+                more = len(records) - 1
+                yield rows(key, [place] + [WHOLE] * more, [first] + [False] * more, records)
+                held, place, first = text[ends[-1] + 1:], WHOLE, False
+        if held:
+            yield rows(key, [LEADING if place == LEADING else TAIL], [first], ["\n".join(held)])
 
     return lines.mapInArrow(cut, RECORDS)
 
