@@ -42,8 +42,12 @@ def start_parities(lines: DataFrame) -> dict[tuple[int, int], int]:
     return {(r["file"], r["block"]): r["start"] for r in start.collect()}        # one row a block
 
 
-def cut_records(spark: SparkSession, lines: DataFrame, parities: dict[tuple[int, int], int]) -> DataFrame:
-    """(file, block, place, first, record): whole records, and the fragments of those that cross blocks."""
+def cut_records(spark: SparkSession, lines: DataFrame, parities: dict[tuple[int, int], int], whole: bool) -> DataFrame:
+    """(file, block, place, first, record): the whole records, or the fragments of those that cross blocks.
+
+    Fragments are looked for in a pass of their own that only counts quotes and
+    takes the text at the ends of blocks.
+    """
     shared = spark.sparkContext.broadcast(parities)
 
     def rows(key: tuple[int, int], place: list[int], first: list[bool], records: list[str]) -> pa.RecordBatch:
@@ -63,7 +67,7 @@ def cut_records(spark: SparkSession, lines: DataFrame, parities: dict[tuple[int,
                 if i == j:
                     continue
                 if (int(file[i]), int(block[i])) != key:
-                    if held:                                       # the last block ended inside a value
+                    if held and not whole:                         # the last block ended inside a value
                         yield rows(key, [LEADING if place == LEADING else TAIL], [first], ["\n".join(held)])
                     key, held = (int(file[i]), int(block[i])), []
                     odd = start[key]
@@ -71,17 +75,25 @@ def cut_records(spark: SparkSession, lines: DataFrame, parities: dict[tuple[int,
                 lines_ = b.column(2).slice(i, j - i)
                 after = (odd + np.cumsum(pc.count_substring(lines_, '"').to_numpy())) & 1
                 ends = np.flatnonzero(after == 0).tolist()
-                odd, text = int(after[-1]), lines_.to_pylist()
+                odd = int(after[-1])
+                if not whole:
+                    if ends and place == LEADING:
+                        yield rows(key, [place], [first], ["\n".join([*held, *lines_[:ends[0] + 1].to_pylist()])])
+                    if ends:
+                        held, place, first = [], WHOLE, False
+                    held += lines_[ends[-1] + 1 if ends else 0:].to_pylist()
+                    continue
+                text = lines_.to_pylist()
                 if not ends:
                     held += text
                     continue
                 records = ["\n".join([*held, *text[:ends[0] + 1]])]
                 records += [text[e] if e == s + 1 else "\n".join(text[s + 1:e + 1]) for s, e in zip(ends, ends[1:])]
-                records = [r[:-1] if r.endswith("\r") else r for r in records]
-                more = len(records) - 1
-                yield rows(key, [place] + [WHOLE] * more, [first] + [False] * more, records)
+                if place == LEADING:
+                    del records[0]
+                yield rows(key, [WHOLE] * len(records), [first] + [False] * (len(records) - 1) if records else [], records)
                 held, place, first = text[ends[-1] + 1:], WHOLE, False
-        if held:
+        if held and not whole:
             yield rows(key, [LEADING if place == LEADING else TAIL], [first], ["\n".join(held)])
 
     return lines.mapInArrow(cut, RECORDS)
@@ -90,14 +102,15 @@ def cut_records(spark: SparkSession, lines: DataFrame, parities: dict[tuple[int,
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(record, first): every record of the files; ``first`` marks the first of each file."""
     lines = _lines(spark, path)
-    records = cut_records(spark, lines, start_parities(lines))
-    whole = records.where(F.col("place") == WHOLE).select("record", "first")
-    parts = records.where(F.col("place") != WHOLE)
+    parities = start_parities(lines)
+    whole = cut_records(spark, lines, parities, True).select("record", "first")
+    parts = cut_records(spark, lines, parities, False)
     order = Window.partitionBy("file").orderBy("block", "place")
     joined = (parts.withColumn("n", F.sum((F.col("place") == TAIL).cast("int")).over(order)).groupBy("file", "n")
               .agg(F.array_join(F.sort_array(F.collect_list(F.struct("block", "place", "record")))["record"], "\n").alias("record"),
                    F.max("first").alias("first")))
-    return whole.union(joined.select("record", "first"))
+    records = whole.union(joined.select("record", "first"))
+    return records.select(F.rtrim("record", F.lit("\r")).alias("record"), "first")
 
 
 def read_text_columns(spark: SparkSession, path: str, names: list[str], options: dict[str, str]) -> DataFrame:
