@@ -37,6 +37,8 @@ HEADLINE = [
     "churn_score",
     "ml_training",
     "adapters_landing",
+    "order_base_build",
+    "segments_build",
 ]
 
 
@@ -58,6 +60,16 @@ def _special(key, spark, sf_dir):
         for p in parts[:-1]:
             p.write.format("noop").mode("overwrite").save()
         return parts[-1]
+    if key == "order_base_build":
+        # the order-level table that the order queries read
+        from basketry.operators.orders import order_base
+        from basketry.sources.adapters import landed_order_items
+        return order_base(landed_order_items(spark, sf_dir), "F")
+    if key == "segments_build":
+        # quantiles and classification of every customer, which the segment queries read
+        from basketry.operators.customers import segment_customers
+        from basketry.sources.adapters import landed_customers
+        return segment_customers(landed_customers(spark, sf_dir))
     return None
 
 
