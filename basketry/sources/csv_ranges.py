@@ -21,11 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RECORDS = "file long, block long, place int, first boolean, record string"
-WHOLE, LEADING, TAIL = 0, 1, 2        # a record, the end of one from an earlier block, the start of one that goes on
+RECORDS = "file long, owner long, block long, first boolean, record string"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -33,32 +32,44 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
         F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
-def start_parities(lines: DataFrame) -> dict[tuple[int, int], int]:
-    """Whether a block starts inside a quoted value: 1 or 0 for every (file, block)."""
+def block_starts(lines: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
+    """Of every (file, block): whether it starts inside a quoted value (1 or 0), and in which block that record began."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    own = lines.groupBy("file", "block").agg((F.sum(quotes) % 2).alias("odd"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    start = own.select("file", "block", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).cast("int").alias("start"))
-    return {(r["file"], r["block"]): r["start"] for r in start.collect()}        # one row a block
-
-
-def cut_records(spark: SparkSession, lines: DataFrame, parities: dict[tuple[int, int], int], whole: bool) -> DataFrame:
-    """(file, block, place, first, record): the whole records, or the fragments of those that cross blocks.
+    flips = lines.groupBy("file", "block").agg(F.count_if(quotes % 2 == 1).alias("n"))
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    before = None
+    for file, block, n in sorted(tuple(r) for r in flips.collect()):        # one row a block
+        if before is None or before[0] != file:
+            start, owner = 0, block
+        else:
+            _, last, last_n = before
+            start, owner = out[file, last]
+            if not start or last_n:                 # the last block holds the start of the record it ends in
+                owner = last
+            start = (start + last_n) % 2
+        out[file, block] = start, owner
+        before = file, block, n
+    return out
+
+
+def cut_records(spark: SparkSession, lines: DataFrame, starts: dict[tuple[int, int], tuple[int, int]], whole: bool) -> DataFrame:
+    """(file, owner, block, first, record): the whole records, or the fragments of those that cross blocks.
 
     Fragments are looked for in a pass of their own that only counts quotes and
     takes the text at the ends of blocks.
     """
-    shared = spark.sparkContext.broadcast(parities)
+    shared = spark.sparkContext.broadcast(starts)
 
-    def rows(key: tuple[int, int], place: list[int], first: list[bool], records: list[str]) -> pa.RecordBatch:
+    def rows(key: tuple[int, int], owner: int, first: bool, records: list[str]) -> pa.RecordBatch:
         n = len(records)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, key[0])), pa.array(np.full(n, key[1])), pa.array(place, pa.int32()),
-             pa.array(first, pa.bool_()), pa.array(records, pa.string())], names=["file", "block", "place", "first", "record"])
+            [pa.array(np.full(n, x)) for x in (key[0], owner, key[1])]
+            + [pa.array([first and k == 0 for k in range(n)], pa.bool_()), pa.array(records, pa.string())],
+            names=["file", "owner", "block", "first", "record"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = shared.value
-        key, odd, held, place, first = None, 0, [], WHOLE, False
+        key, odd, held, leading, first = None, 0, [], False, False
         for b in batches:
             file, block = b.column(0).to_numpy(), b.column(1).to_numpy()
             changes = np.flatnonzero((np.diff(file) != 0) | (np.diff(block) != 0)) + 1
@@ -68,19 +79,19 @@ def cut_records(spark: SparkSession, lines: DataFrame, parities: dict[tuple[int,
                     continue
                 if (int(file[i]), int(block[i])) != key:
                     if held and not whole:                         # the last block ended inside a value
-                        yield rows(key, [LEADING if place == LEADING else TAIL], [first], ["\n".join(held)])
+                        yield rows(key, start[key][1] if leading else key[1], first, ["\n".join(held)])
                     key, held = (int(file[i]), int(block[i])), []
-                    odd = start[key]
-                    place, first = (LEADING if odd else WHOLE), key[1] == 0
+                    odd = start[key][0]
+                    leading, first = odd == 1, key[1] == 0
                 lines_ = b.column(2).slice(i, j - i)
                 after = (odd + np.cumsum(pc.count_substring(lines_, '"').to_numpy())) & 1
                 ends = np.flatnonzero(after == 0).tolist()
                 odd = int(after[-1])
                 if not whole:
-                    if ends and place == LEADING:
-                        yield rows(key, [place], [first], ["\n".join([*held, *lines_[:ends[0] + 1].to_pylist()])])
+                    if ends and leading:
+                        yield rows(key, start[key][1], first, ["\n".join([*held, *lines_[:ends[0] + 1].to_pylist()])])
                     if ends:
-                        held, place, first = [], WHOLE, False
+                        held, leading, first = [], False, False
                     held += lines_[ends[-1] + 1 if ends else 0:].to_pylist()
                     continue
                 text = lines_.to_pylist()
@@ -89,12 +100,12 @@ def cut_records(spark: SparkSession, lines: DataFrame, parities: dict[tuple[int,
                     continue
                 records = ["\n".join([*held, *text[:ends[0] + 1]])]
                 records += [text[e] if e == s + 1 else "\n".join(text[s + 1:e + 1]) for s, e in zip(ends, ends[1:])]
-                if place == LEADING:
+                if leading:
                     del records[0]
-                yield rows(key, [WHOLE] * len(records), [first] + [False] * (len(records) - 1) if records else [], records)
-                held, place, first = text[ends[-1] + 1:], WHOLE, False
+                yield rows(key, key[1], first, records)
+                held, leading, first = text[ends[-1] + 1:], False, False
         if held and not whole:
-            yield rows(key, [LEADING if place == LEADING else TAIL], [first], ["\n".join(held)])
+            yield rows(key, start[key][1] if leading else key[1], first, ["\n".join(held)])
 
     return lines.mapInArrow(cut, RECORDS)
 
@@ -102,12 +113,10 @@ def cut_records(spark: SparkSession, lines: DataFrame, parities: dict[tuple[int,
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(record, first): every record of the files; ``first`` marks the first of each file."""
     lines = _lines(spark, path)
-    parities = start_parities(lines)
-    whole = cut_records(spark, lines, parities, True).select("record", "first")
-    parts = cut_records(spark, lines, parities, False)
-    order = Window.partitionBy("file").orderBy("block", "place")
-    joined = (parts.withColumn("n", F.sum((F.col("place") == TAIL).cast("int")).over(order)).groupBy("file", "n")
-              .agg(F.array_join(F.sort_array(F.collect_list(F.struct("block", "place", "record")))["record"], "\n").alias("record"),
+    starts = block_starts(lines)
+    whole = cut_records(spark, lines, starts, True).select("record", "first")
+    joined = (cut_records(spark, lines, starts, False).groupBy("file", "owner")
+              .agg(F.array_join(F.sort_array(F.collect_list(F.struct("block", "record")))["record"], "\n").alias("record"),
                    F.max("first").alias("first")))
     records = whole.union(joined.select("record", "first"))
     return records.select(F.rtrim("record", F.lit("\r")).alias("record"), "first")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import types as T
 
 from basketry.sources import files as S
-from basketry.sources.csv_ranges import _lines, read_records, start_parities
+from basketry.sources.csv_ranges import _lines, block_starts, read_records
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("note", T.StringType())])
 
@@ -74,9 +74,9 @@ def test_parities_follow_the_quotes_before_a_block(spark, tmp_path, small_splits
     text = "a,b\n" + "".join(f'{k},"line one\nline ""two""\n{"z" * (k % 17)}"\n' for k in range(200))
     path.write_bytes(text.encode())
     small_splits(50)
-    parities = start_parities(_lines(spark, str(path)))
+    parities = block_starts(_lines(spark, str(path)))
     assert len(parities) > 20
-    for (_, block), odd in parities.items():
+    for (_, block), (odd, _) in parities.items():
         # a block begins with the line behind the first line end at or after its start
         begin = 0 if block == 0 else text.index("\n", block) + 1
         assert odd == text[:begin].count('"') % 2

@@ -9,7 +9,8 @@ from basketry.plans.registry import queries
 
 ML_KEYS = {"churn_score", "upgrade_score", "model_auc", "feature_importances", "top_winback",
            "top_upsell", "score_scatter", "classification_report"}
-WINDOW_KEYS = {"top5_products", "product_trends_top5"}
+# top-k inside salted slices; ranks inside range partitions
+WINDOW_KEYS = {"top5_products", "product_trends_top5", "feature_auc"}
 PUSHDOWN_KEYS = {"status_filter", "rolling_date_window", "orders_source", "customers_source",
                  "default_product_filter"}
 
