@@ -162,7 +162,12 @@ def segment_drilldown(seg: DataFrame, segment: str) -> DataFrame:
         sel.append(F.date_format(c, "yyyy-MM-dd").alias(c) if c in ("firstOrder", "lastOrder")
                    else F.col(c))
     out = out.select(*sel)
-    return out.orderBy(F.desc("totalSales")) if "totalSales" in cols else out
+    return out.orderBy(F.desc("totalSales"), *_tie(out)) if "totalSales" in cols else out
+
+
+def _tie(df: DataFrame) -> list[str]:
+    """Rows of equal value are listed by customer."""
+    return [c for c in ("customerId", "email") if c in df.columns][:1]
 
 
 CANDIDATE_COLUMNS = ["customerId", "fullName", "email", "custType", "totalOrders",
@@ -171,7 +176,7 @@ CANDIDATE_COLUMNS = ["customerId", "fullName", "email", "custType", "totalOrders
 
 def _candidates(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in CANDIDATE_COLUMNS if c in df.columns]) \
-        .orderBy(F.desc("totalSales"))
+        .orderBy(F.desc("totalSales"), *_tie(df))
 
 
 def lookalike_regular_to_loyal(seg: DataFrame) -> DataFrame:
@@ -362,4 +367,4 @@ CLV_COLUMNS = ["fullName", "email", "custType", "segment", "clv_tier", "historic
 
 def clv_table(clv: DataFrame) -> DataFrame:
     cols = [c for c in ["customerId"] + CLV_COLUMNS if c in clv.columns]
-    return clv.select(*cols).orderBy(F.desc("projected_clv"))
+    return clv.select(*cols).orderBy(F.desc("projected_clv"), *_tie(clv))

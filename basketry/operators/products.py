@@ -136,7 +136,7 @@ def availability_summary(avail: DataFrame) -> DataFrame:
     out = (avail.where(F.col(p).isNotNull()).groupBy(p)
            .agg(F.countDistinct("productName").cast("long").alias("num_products"),
                 *[_qty_sum(c) for c in qty]))
-    return out.orderBy(F.desc("quantitySold") if "quantitySold" in qty else F.desc(p))
+    return out.orderBy(*([F.desc("quantitySold")] if "quantitySold" in qty else []), F.desc(p))
 
 
 def availability_by_product(avail: DataFrame, producer: str | None = None) -> DataFrame:
