@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from basketry.functions.cleaning import (as_of_literal, floor_days_between, strip_ws,
                                          to_number, to_timestamp_lenient)
 from basketry.functions.quantiles import exact_quantiles, exact_quantiles_multi
+from basketry.operators.joins import split_join
 
 AS_OF = "1996-06-30 00:00:00"
 
@@ -210,8 +211,8 @@ def normalized_email(c: str | Column) -> Column:
 def segment_orders_semi_join(items: DataFrame, seg: DataFrame, segment: str) -> DataFrame:
     """Order item rows whose e-mail (stripped, lower case) belongs to the segment.
 
-    A left semi join on the normalised e-mail: only the distinct key set of
-    the segment is shuffled (or broadcast when AQE measures it small).
+    A left semi join on the normalised e-mail with the distinct key set of the
+    segment; e-mails with many orders are split off (``joins.split_join``).
     """
     def keyed(df: DataFrame) -> DataFrame:
         # a null e-mail matches only an empty one: null rows, which would be one
@@ -220,7 +221,7 @@ def segment_orders_semi_join(items: DataFrame, seg: DataFrame, segment: str) ->
 
     keys = (keyed(seg.where((F.col("segment") == segment) & F.col("email").isNotNull()))
             .select("_email_key").distinct())
-    known = keyed(items.where(F.col("email").isNotNull())).join(keys, "_email_key", "left_semi").drop("_email_key")
+    known = split_join(keyed(items.where(F.col("email").isNotNull())), keys, "_email_key", "left_semi").drop("_email_key")
     nameless = items.where(F.col("email").isNull())
     has_empty = keys.where(F.col("_email_key") == "").agg(F.count(F.lit(1)).alias("n"))
     return known.unionByName(nameless.withColumn("_n", has_empty.scalar()).where("_n > 0").drop("_n"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators import orders as O
 from basketry.operators import periods as P
+from basketry.operators.joins import split_join
 from basketry.plans.registry import register
 from basketry.schemas import require_columns
 from basketry.sources.adapters import landed_order_base, landed_order_items
@@ -205,10 +206,8 @@ FROM order_base b LEFT JOIN cust_hist h ON b.email = h.email
 def q_customer_history_lookup(spark, sf):
     base = _base(spark, sf)
     hist = O.customer_history(base)
-    # rows without an e-mail have no history: they stay out of the shuffle, where
-    # they would form one hot key
-    known = base.where(F.col("email").isNotNull()).join(hist, "email", "left")
-    rows = known.unionByName(base.where(F.col("email").isNull()), allowMissingColumns=True)
+    # one row an e-mail in the history: hot e-mails are split off, rows without one don't move
+    rows = split_join(base, hist, "email", "left")
     return rows.select("orderId", "email", "periodStart", "first_period",
                        F.coalesce(F.col("first_period") < F.col("periodStart"), F.lit(False))
                        .alias("is_recurring"), "avg_weeks")
