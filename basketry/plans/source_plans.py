@@ -15,6 +15,7 @@ from basketry.session import scratch_path
 from basketry.sources import files as S
 from basketry.sources.adapters import (landed_availability, landed_customers, landed_order_items,
                                        landed_path, price_levels)
+from basketry.sources.json_variant import read_variant_lines, variant_flatten
 
 _ITEM_COLS = ", ".join(f.name for f in ORDER_ITEMS.fields)
 
@@ -81,6 +82,40 @@ def q_json_flatten_events(spark, sf):
     return S.json_flatten(parsed)
 
 
+# The events as JSON lines whose "tags" are a list, one object, a number, null,
+# missing or empty, whose "user" is a number, an object or text; some lines are no JSON.
+# Plain SQL, so that both engines build the same text.
+_MIXED_EVENT = """
+CASE event_id % 7
+WHEN 0 THEN concat('{"id":', event_id, ',"user":', user_id, ',"tags":[', props, ',{"k":"', user_id, '"},null]}')
+WHEN 1 THEN concat('{"id":"e', event_id, '","user":{"id":', user_id, ',"kind":"', event_type, '"},"tags":', props, '}')
+WHEN 2 THEN concat('{"id":', event_id, ',"user":"', event_type, '","tags":', user_id, '}')
+WHEN 3 THEN concat('{"id":', event_id, ',"tags":[]}')
+WHEN 4 THEN concat('{"id":', event_id, ',"user":null}')
+WHEN 5 THEN concat('{"id":', event_id, ',"user":', user_id, ',"tags":[', user_id, ',[', event_id, '],{"k":', props, '}]}')
+ELSE concat('{"id":', event_id, ',"user":') END
+"""
+
+
+@register("json_flatten_mixed", f"""
+WITH j AS (SELECT CAST(line AS JSON) AS j FROM (SELECT {_MIXED_EVENT} AS line FROM events) WHERE json_valid(line)),
+e AS (SELECT j, unnest(CASE json_type(j, '$.tags') WHEN 'ARRAY' THEN json_extract(j, '$.tags[*]')
+                       WHEN 'NULL' THEN [] ELSE [json_extract(j, '$.tags')] END) AS e
+      FROM j WHERE json_type(j, '$.tags') IS NOT NULL)
+SELECT CASE WHEN json_type(e, '$.k') <> 'OBJECT' THEN e ->> '$.k' END AS k,
+       TRY_CAST(CASE WHEN json_type(e, '$.k') = 'OBJECT' THEN e ->> '$.k.k' END AS BIGINT) AS "k.k",
+       CASE WHEN json_type(e) NOT IN ('OBJECT', 'NULL') THEN e ->> '$' END AS "0",
+       j ->> '$.id' AS id, j ->> '$.user' AS "user", j ->> '$.user.kind' AS "user.kind"
+FROM e
+""")
+def q_json_flatten_mixed(spark, sf):
+    from basketry.sources.tables import read_table
+    path = scratch_path(spark, "json-mixed")
+    read_table(spark, sf, "events").select(F.expr(_MIXED_EVENT).alias("value")).write.text(path)
+    return variant_flatten(read_variant_lines(spark, path), record_path="tags",
+                           meta=["id", "user", ["user", "kind"]])
+
+
 @register("orders_source", f"""
 SELECT {_ITEM_COLS} FROM order_items
 WHERE periodStart >= DATE '1996-01-01' AND periodStart <= DATE '1997-12-31'
