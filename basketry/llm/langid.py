@@ -9,10 +9,12 @@ known rate of false positives, and the largest corrected share decides.
 Training takes the labelled rows it is given. Their n-grams are counted a
 language (partial counts in each task before the shuffle) on a bounded sample:
 about ``sample_per_language`` documents of each language, chosen by a hash of
-the id (a documented bound; prediction covers every row and whole texts). An
+the id, of the text where there is no id (a documented bound; prediction covers every row and whole texts). An
 n-gram enters a language's filter if it makes up at least ``min_share`` of
-that language's n-grams. The filter has a fixed number of cells, so what is
-sent to the tasks is bounded.
+that language's n-grams, so a language has at most ``1 / min_share`` of them.
+The number of cells follows the largest language's n-grams, ``cells_per_ngram``
+each, so no n-gram is left out and what is sent to the tasks stays bounded (64 MB for
+64 languages). The masks are put together in tasks, a range of cells each.
 
 Defined cases: a null text, or one without a letter, gets ``und`` and score 0;
 rows that repeat are treated alike; ties go to the language with more training
@@ -26,7 +28,7 @@ replaced.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -43,11 +45,16 @@ UNKNOWN = "und"
 class LangConfig:
     """n-gram length, filter size and training bounds."""
     n: int = 4
-    cells: int = 1 << 20
+    cells: int = 1 << 20            # at least
+    cells_per_ngram: int = 8
     hashes: int = 3
     sample_per_language: int = 2000
     min_share: float = 1e-6
-    max_ngrams: int = 200_000       # entries per language that a filter of this size holds well
+
+    def sized(self, ngrams: int) -> LangConfig:
+        """With cells enough (a power of two) for a language of that many n-grams."""
+        return replace(self, cells=max(self.cells, 1 << (self.cells_per_ngram * ngrams - 1).bit_length()) if ngrams
+                       else self.cells)
 
 
 def letters_only(text: str) -> np.ndarray:
@@ -88,9 +95,10 @@ def cells_of(hashes: np.ndarray, c: LangConfig) -> list[np.ndarray]:
 class LanguageFilters:
     """Bit-sliced filters: ``masks[word, cell]`` holds 64 languages' bits."""
 
-    def __init__(self, languages: list[str], entries: dict[str, np.ndarray], c: LangConfig):
+    def __init__(self, languages: list[str], entries: dict[str, np.ndarray], c: LangConfig,
+                 masks: np.ndarray | None = None):
         self.languages, self.c = languages, c
-        self.masks = np.zeros((-(-len(languages) // 64) or 1, c.cells), dtype=np.uint64)
+        self.masks = np.zeros((-(-len(languages) // 64) or 1, c.cells), dtype=np.uint64) if masks is None else masks
         for k, lang in enumerate(languages):
             for cell in cells_of(entries.get(lang, np.zeros(0, np.uint64)), c):
                 self.masks[k // 64][cell] |= np.uint64(1 << (k % 64))
@@ -118,45 +126,78 @@ class LanguageFilters:
         return self.languages[best], float(share[best])
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          config: LangConfig = LangConfig()) -> LanguageFilters:
-    """Filters of the languages in ``labelled`` (rows with a null label or text are left out)."""
+MASK_BLOCK = 4096           # cells a block of masks
+
+
+def known_ngrams(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                 config: LangConfig = LangConfig()) -> tuple[list[str], DataFrame]:
+    """The languages of ``labelled``, and rows (k, ngram): the n-grams of language number k."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang"))
              .agg(F.count(F.lit(1)).alias("n")).collect()}             # one row a language
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
     if not languages:
-        return LanguageFilters([], {}, config)
+        return [], labelled.sparkSession.createDataFrame([], "k int, ngram long")
     share = F.create_map(*[F.lit(x) for lang in languages
                            for x in (lang, min(1.0, config.sample_per_language / sizes[lang]))])
-    chance = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 12), 16, 10) \
+    number = F.create_map(*[F.lit(x) for k, lang in enumerate(languages) for x in (lang, k)])
+    chance = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col))), 1, 12), 16, 10) \
         .cast("double") / 2.0 ** 48
-    sample = rows.where(chance < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"),
+    sample = rows.where(chance < share[F.col(lang_col)]).select(number[F.col(lang_col)].alias("k"),
                                                                 F.col(text_col).alias("text"))
-    n, schema = config.n, "lang string, ngram long, n long"
+    n, schema = config.n, "k int, ngram long, n long"
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_lang: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            by_lang: dict[int, list[np.ndarray]] = {}
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 points = letters_only(text)
                 if points.any():
-                    by_lang.setdefault(lang, []).append(ngram_hashes(points, n))
-            for lang, parts in by_lang.items():
+                    by_lang.setdefault(k, []).append(ngram_hashes(points, n))
+            for k, parts in by_lang.items():
                 grams, c = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(
-                    {"lang": lang, "ngram": grams.view(np.int64), "n": c.astype(np.int64)}), preserve_index=False)
-
-    counts = cut(sample.mapInArrow(count, schema).groupBy("lang", "ngram").agg(F.sum("n").alias("n")))
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    least = F.create_map(*[F.lit(x) for lang in languages
-                           for x in (lang, max(2.0, config.min_share * totals.get(lang, 0)))])
-    entries = {}
-    for lang in languages:                                               # at most max_ngrams rows each
-        top = (counts.where((F.col("lang") == lang) & (F.col("n") >= least[F.col("lang")]))
-               .orderBy(F.desc("n"), "ngram").limit(config.max_ngrams).select("ngram").toPandas())
-        entries[lang] = top["ngram"].to_numpy(np.int64).view(np.uint64)
-    return LanguageFilters(languages, entries, config)
+                yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(grams), k, dtype=np.int32)),
+                                                  "ngram": grams.view(np.int64), "n": c.astype(np.int64)})
+
+    counts = cut(sample.mapInArrow(count, schema).groupBy("k", "ngram").agg(F.sum("n").alias("n")))
+    least = counts.groupBy("k").agg(F.greatest(F.lit(2.0), config.min_share * F.sum("n")).alias("least"))
+    return languages, counts.join(F.broadcast(least), "k").where("n >= least").select("k", "ngram")   # a row a language
+
+
+def filter_masks(known: DataFrame, languages: int, c: LangConfig) -> np.ndarray:
+    """``masks[word, cell]`` of rows (k, ngram): bits are or-ed in tasks, blocks of cells come to the driver."""
+    def to_cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            grams = np.ascontiguousarray(batch.column(1).to_numpy()).view(np.uint64)
+            bits = np.left_shift(np.uint64(1), (k % 64).astype(np.uint64)).view(np.int64)
+            for cell in cells_of(grams, c):
+                yield pa.RecordBatch.from_pydict({"word": pa.array((k // 64).astype(np.int32)), "cell": cell, "bits": bits})
+
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(MASK_BLOCK, dtype=np.int64)
+        out[rows["cell"].to_numpy() % MASK_BLOCK] = rows["bits"].to_numpy()
+        return pd.DataFrame({"word": rows["word"].iloc[:1], "block": rows["block"].iloc[:1], "masks": [out.tobytes()]})
+
+    cells = (known.mapInArrow(to_cells, "word int, cell long, bits long").groupBy("word", "cell")
+             .agg(F.bit_or("bits").alias("bits")).withColumn("block", F.floor(F.col("cell") / MASK_BLOCK)))
+    blocks = cells.groupBy("word", "block").applyInPandas(block, "word int, block long, masks binary")
+    masks = np.zeros((-(-languages // 64) or 1, c.cells), dtype=np.uint64)
+    for r in blocks.toLocalIterator():                                  # at most c.cells * 8 bytes for 64 languages
+        at = r["block"] * MASK_BLOCK
+        masks[r["word"], at:at + MASK_BLOCK] = np.frombuffer(r["masks"], dtype=np.uint64)[:c.cells - at]
+    return masks
+
+
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+          config: LangConfig = LangConfig()) -> LanguageFilters:
+    """Filters of the languages in ``labelled`` (rows with a null label or text are left out)."""
+    languages, known = known_ngrams(labelled, id_col, text_col, lang_col, config)
+    if not languages:
+        return LanguageFilters([], {}, config)
+    most = known.groupBy("k").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    sized = config.sized(most)
+    return LanguageFilters(languages, {}, sized, filter_masks(known, len(languages), sized))
 
 
 def predict(df: DataFrame, filters: LanguageFilters, text_col: str = "text") -> DataFrame:

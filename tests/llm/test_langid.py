@@ -44,3 +44,51 @@ def test_no_training_rows_and_empty(spark):
     assert filters.languages == []
     assert {r["prediction"]["lang"] for r in langid.predict(awkward(spark), filters).collect()} == {"und"}
     assert langid.predict(empty(spark), filters).count() == 0
+
+
+def test_masks_built_in_tasks_equal_those_of_one_process(spark):
+    rng = np.random.default_rng(4)
+    c = langid.LangConfig(cells=1 << 13)
+    grams = [rng.integers(0, 2**63, 300, dtype=np.uint64) for _ in range(130)]                   # three mask words
+    rows = spark.createDataFrame([(k, int(g.view(np.int64))) for k, gs in enumerate(grams) for g in gs], "k int, ngram long")
+    names = [f"l{k}" for k in range(130)]
+    want = langid.LanguageFilters(names, dict(zip(names, grams)), c).masks
+    assert (langid.filter_masks(rows.repartition(7), 130, c) == want).all()
+    assert not langid.filter_masks(rows.where("false"), 1, c).any()
+
+
+def test_cells_follow_the_ngrams():
+    c = langid.LangConfig()
+    assert c.sized(0) == c and c.sized(100).cells == 1 << 20
+    assert c.sized(1_000_000).cells == 1 << 23
+
+
+def test_predictions_against_sets(spark, sf_dir):
+    """The same decision with plain sets of n-grams in place of the filters, within their false positives."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    config = langid.LangConfig(cells=1 << 12, cells_per_ngram=4)          # small, so that false positives count
+    languages, known = langid.known_ngrams(docs, config=config)
+    sets = [set() for _ in languages]
+    for r in known.collect():
+        sets[r["k"]].add(r["ngram"])
+    filters = langid.train(docs, config=config)
+    assert filters.c.cells >= 4 * max(map(len, sets)) and filters.languages == languages
+    for r in langid.predict(docs.select("text"), filters).collect():
+        points = langid.letters_only(r["text"] or "")
+        if not points.any():
+            assert tuple(r["prediction"]) == ("und", 0.0)
+            continue
+        grams = langid.ngram_hashes(points, config.n).view(np.int64).tolist()
+        share = [sum(g in s for g in grams) / len(grams) for s in sets]
+        best = max(range(len(sets)), key=lambda k: (share[k], -k))
+        close = 5 / len(grams) ** 0.5                                     # of the corrected share
+        assert abs(r["prediction"]["score"] - max(share)) <= close
+        assert share[languages.index(r["prediction"]["lang"])] >= share[best] - 2 * close
+
+
+def test_rows_without_ids_are_sampled_one_by_one(spark):
+    docs = spark.createDataFrame([(None, f"some words of text number {k} in a row", "en") for k in range(400)],
+                                 "doc_id long, text string, lang string")
+    one = langid.LangConfig(sample_per_language=200)
+    languages, known = langid.known_ngrams(docs, config=one)
+    assert languages == ["en"] and not known.isEmpty()
