@@ -134,7 +134,7 @@ def bitmap(values: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def full_sets(text_col: str, c: NearConfig) -> Column:
+def full_sets(text_col: str | Column, c: NearConfig) -> Column:
     """Struct of digest, items (the sorted set as little-endian 64-bit integers) and the words of its bitmap."""
     words = [f"b{k}" for k in range(c.bitmap_words)]
 
@@ -150,7 +150,7 @@ def full_sets(text_col: str, c: NearConfig) -> Column:
                  *[pa.array(bits[:, k], type=pa.int64()) for k in range(len(words))]], names=["digest", "items", *words])
 
     # else the optimizer moves a filter on the result, and the function with it, below the join
-    return compute.asNondeterministic()(F.col(text_col))
+    return compute.asNondeterministic()(F.col(text_col) if isinstance(text_col, str) else text_col)
 
 
 def bits_fit(x: str, y: str, c: NearConfig) -> Column:
@@ -198,7 +198,10 @@ def sizes_fit(n_a: Column, n_b: Column, c: NearConfig) -> Column:
 
 
 def node_components(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, c: NearConfig) -> DataFrame:
-    """(node, root) of the nodes linked to another, but for the roots. ``nodes``: node, id, digest, n, keys."""
+    """(node, root) of the nodes linked to another, but for the roots.
+
+    ``nodes``: node, row (id and text_key of a row that holds the set), digest, n, keys.
+    """
     buckets = nodes.select("node", "n", F.explode("keys").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = cut(buckets.join(shared, "bucket"))
@@ -206,18 +209,19 @@ def node_components(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str,
     weight = met.groupBy("node").agg(F.sum("members").alias("weight"))
     centres = met.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("centre"))
     members = cut(met.select("node", "n", "bucket").join(centres, "bucket"))
-    involved = cut(weight.select("node").join(nodes.select("node", "id", "digest", "n"), "node"))
+    involved = cut(weight.select("node").join(nodes.select("node", "row", "digest", "n"), "node"))
     size = involved.select("node", "n")
 
-    # the full sets of candidates, from the texts
-    wanted = involved.select(F.col("id").alias("__id"), F.col("node").alias("__node"), F.col("digest").alias("__digest"),
-                             F.col("n").alias("__n"))
+    # the full sets of candidates, from the texts; the hash of the text keeps rows that share an id apart
+    wanted = involved.select(F.col("row.id").alias("__id"), F.col("row.text_key").alias("__text_key"),
+                             F.col("node").alias("__node"), F.col("digest").alias("__digest"), F.col("n").alias("__n"))
     if involved.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     words = [f"b{k}" for k in range(c.bitmap_words)]
     beyond = F.col("__n") - sum((F.bit_count(F.col(f"s.{w}")) for w in words[1:]), F.bit_count(F.col("s.b0")))
-    sets = cut(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-               .join(wanted, F.col("id").eqNullSafe(F.col("__id")))
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                      F.xxhash64(text_or_empty(text_col)).alias("text_key"))
+    sets = cut(texts.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__text_key")))
                .select("__node", "__digest", "__n", full_sets("text", c).alias("s"))
                .where(F.col("s.digest") == F.col("__digest"))
                .select(F.col("__node").alias("node"), F.col("s.items").alias("items"),
@@ -272,7 +276,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = cut(df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("text_key"),
                          signatures(text_col, config).alias("s")).select("id", "text_key", "s.*"))
     nodes = cut(rows.where(F.col("digest").isNotNull()).groupBy("digest")
-                .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"),
+                .agg(F.min("id").alias("id"), F.min(F.struct("id", "text_key")).alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"),
                      F.count(F.lit(1)).alias("copies"))
                 .withColumn("node", F.monotonically_increasing_id()))
     roots = node_components(nodes, df, id_col, text_col, config)

@@ -69,6 +69,42 @@ def test_same_text_under_one_id_and_two(spark):
     assert got(texts_only(spark, rows), 2) == brute(rows, 2)
 
 
+def test_many_texts_under_one_id(spark):
+    """Near copies and strangers that share a null or repeated id: each set is read from its own text only."""
+    rng = random.Random(3)
+    words = prose(rng, 100).split()
+    rows = []
+    for k in range(200):
+        copy = [*words]
+        for at in rng.sample(range(100), rng.randrange(0, 8)):
+            copy[at] = f"g{k}_{at}"
+        rows.append((None if k % 2 else 77, " ".join(copy), "a"))
+    rows += [(None, prose(rng, 30), "a") for _ in range(100)] + [(5, prose(rng, 30), "a") for _ in range(50)]
+    assert got(texts_only(spark, rows).repartition(3), 2) == brute(rows, 2)
+
+
+def test_full_sets_are_joined_by_id_and_text(spark, monkeypatch):
+    """2,000 texts under one id give 2,000 sets to compute, not their square."""
+    rng = random.Random(4)
+    words = prose(rng, 60).split()
+    rows = []
+    for k in range(2000):
+        copy = [*words]
+        copy[rng.randrange(60)] = f"g{k}"
+        rows.append((None, " ".join(copy), "a"))
+    computed = spark.sparkContext.accumulator(0)
+    whole = near_dedup.full_sets
+
+    def counted(text_col, c):
+        one = near_dedup.F.udf(lambda t: computed.add(1) or t, "string").asNondeterministic()
+        return whole(one(text_col), c)
+
+    monkeypatch.setattr(near_dedup, "full_sets", counted)
+    out = near_dedup.near_groups(texts_only(spark, rows).repartition(4), config=near_dedup.NearConfig(shingle=2))
+    assert out.select("root").distinct().count() == 1
+    assert 0 < computed.value <= 4000
+
+
 def test_minmax_shares_buckets_as_computed():
     """Share of equal buckets of pairs at similarity 0.8 is near similarity to the power of rows."""
     import numpy as np
