@@ -15,6 +15,7 @@ from basketry.session import scratch_path
 from basketry.sources import files as S
 from basketry.sources.adapters import (landed_availability, landed_customers, landed_order_items,
                                        landed_path, price_levels)
+from basketry.sources.incremental import LandedTable, read_landed, refresh
 from basketry.sources.json_variant import read_variant_lines, variant_flatten
 
 _ITEM_COLS = ", ".join(f.name for f in ORDER_ITEMS.fields)
@@ -126,6 +127,21 @@ def q_orders_source(spark, sf):
     return S.orders_source(spark, path, "1996-01-01", "1997-12-31").select(*ORDER_ITEMS.names)
 
 
+@register("orders_incremental", f"SELECT {_ITEM_COLS} FROM order_items")
+def q_orders_incremental(spark, sf):
+    """Order items that arrive in two lots, the second of which touches some of the periods."""
+    base = scratch_path(spark, "incremental-orders")
+    table = LandedTable(f"{base}/landing", f"{base}/table", f"{base}/manifest", ORDER_ITEMS, "periodStart", ("orderId",))
+    items = landed_order_items(spark, sf)
+    late = F.coalesce(F.col("periodStart") >= F.lit("2001-06-01").cast("date"), F.lit(True)) & \
+        F.coalesce(F.col("orderId") % 4 == 0, F.lit(True))
+    items.where(~late).write.parquet(f"{table.landing}/lot=1")
+    refresh(spark, table)
+    items.where(late).write.parquet(f"{table.landing}/lot=2")
+    refresh(spark, table)
+    return read_landed(spark, table)
+
+
 @register("customers_source", """
 SELECT * FROM customers WHERE lastOrder > TIMESTAMP '1996-01-01 00:00:00'
 """)
