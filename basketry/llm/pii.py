@@ -20,10 +20,12 @@ linked).
           13th on, 9 x 9833
 
 Phones: + and 8 to 15 digits in any grouping, or 3-3-4 digits with equal
-separators, parentheses or a leading 1. Cards: 13 to 19 digits together, 4-4-4-4,
+separators, parentheses or a leading 1, also before an extension after a slash.
+Cards: 13 to 19 digits together, 4-4-4-4 (also with dots),
 4-6-5 and 4-6-4. Dates: year first with - or /, month first with /, day first
-with . (and with / if it can't be month first), of one or two digits; equal
-dates stay linked over layouts, but for day-first slash dates, which are linked
+with . (and with / if it can't be month first), of one or two digits, also
+before a time of day after T and at both ends of a range (ends after year-first dates
+with / between them, after year-last ones with -); equal dates stay linked over layouts, but for day-first slash dates, which are linked
 among themselves. Left out: national phones in other groupings and without
 separators, cards in other groupings, dates with two-digit years, month names,
 or day or month first with -; social security numbers without separators;
@@ -57,12 +59,16 @@ SHAPES = {
              r"|(?<![\p{L}\p{N}+])\+[1-9](?:[ .\-]?\(?\d\)?){7,14}(?!\d)"
              r"|(?<![\p{L}\p{N}(])\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)"
              r"|(?<![\p{L}\p{N}+./\-])(?:1[ .\-])?(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3} \d{3} \d{4})"
-             r"(?![\p{L}\p{N}]|[./\-]\d)",
+             # a slash may lead to an extension
+             r"(?![\p{L}\p{N}]|[.\-]\d|/(?!\d{1,4}(?![\p{L}\p{N}./\-]))\d)",
     "ipv4": r"(?<![\p{L}\p{N}.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\p{L}\p{N}]|\.\d)",
-    "date": r"(?<![\p{L}\p{N}./\-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}"
-            r"|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\p{L}\p{N}]|[./\-]\d)",
+    # a date may be followed by a time of day after T, and be either end of a range
+    # (year-last dates around -, year-first dates around /)
+    "date": r"(?:(?<![\p{L}\p{N}./\-])|(?<=\d[./]\d{4}-)|(?<=\d{4}-\d{1,2}-\d{1,2}/)|(?<=[\dZ]/)(?<=T\d{2}:[\d:.]{2,12}Z?/))"
+            r"(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})"
+            r"(?!(?!T\d{2}:?\d{2})[\p{L}\p{N}]|\.\d|/(?!\d{4}-\d{1,2}-\d)\d|-(?!(?:\d{1,2}/\d{1,2}/|\d{1,2}\.\d{1,2}\.)\d{4}(?!\d))\d)",
     "ssn": r"(?<![\p{L}\p{N}.\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|[.\-]\d)",
-    "card": r"(?<![\p{L}\p{N}.\-])(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{4,5})(?![\p{L}\p{N}]|[.\-]\d)",
+    "card": r"(?<![\p{L}\p{N}.\-])(?:\d{13,19}|\d{4}[ .\-]\d{4}[ .\-]\d{4}[ .\-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{4,5})(?![\p{L}\p{N}]|[.\-]\d)",
 }
 CANDIDATE = "|".join(f"(?:{shape})" for shape in SHAPES.values())
 # what every candidate holds: an at sign, a quoted value after = or :, or three digits in some grouping

@@ -1,6 +1,9 @@
 import datetime as dt
+import hashlib
 import re
 
+import regex
+
 from basketry.llm import pii
 from pyspark.sql import functions as F
 from tests.llm.fixtures import awkward, empty
@@ -137,3 +140,142 @@ def test_late_days_are_permuted_among_themselves(spark):
     new = days.select(pii.permute_late_day(F.col("d"), "k").alias("d"))
     assert days.count() == pii.LATE_DAYS
     assert new.distinct().count() == pii.LATE_DAYS and new.exceptAll(days).count() == 0
+
+
+def test_timestamps_ranges_and_other_separators(spark):
+    texts = ["at 2024-01-01T10:00:00Z.", "1/2/2020-3/4/2020", "2020-01-02/2020-03-04", "call 555-123-4567/8 now",
+             "4111.1111.1111.1111", "2024-01-01T10:00:00Z/2024-02-01T10:00:00Z", "1.2.2020-3.4.2020"]
+    out, kinds = run(spark, texts)
+    assert kinds == [["date"], ["date"] * 2, ["date"] * 2, ["phone"], ["card"], ["date"] * 2, ["date"] * 2]
+    assert out[0] != texts[0] and re.fullmatch(r"at \d{4}-\d\d-\d\dT10:00:00Z\.", out[0])
+    for k in (1, 2, 6):
+        a, b = re.split("/" if k == 2 else "-", texts[k])
+        new = re.split("/" if k == 2 else "-", out[k])
+        assert len(new) == 2 and new[0] != a and new[1] != b
+    assert out[3].endswith("/8 now") and luhn(out[4]) and out[4] != texts[4]
+    # equal dates stay linked, with a time of day or without
+    pair, _ = run(spark, ["2024-01-01T10:00:00Z", "2024-01-01"])
+    assert pair[0] == pair[1] + "T10:00:00Z"
+
+
+def test_parts_of_longer_numbers_stay(spark):
+    texts = ["2024-01-01T1", "2024-01-01Tea", "2024-01-012", "1/2/2020-3", "1/2/2020-3/4/20201", "2020-01-02/2020",
+             "555-123-4567/89012", "555-123-4567/8/9", "1/2/2020/3/4/2020", "v2024-01-01"]
+    out, kinds = run(spark, texts)
+    assert out == texts and not any(kinds)
+
+
+# -- a second implementation, in plain Python (the shapes of candidates are taken as given) ------------
+
+def py_keyed(key, kind, *parts):
+    return hashlib.sha256("|".join([key, kind, *map(str, parts)]).encode()).hexdigest()
+
+
+def py_feistel(left, right, a, b, key, kind):
+    for i in range(8):
+        if i % 2 == 0:
+            left = (left + int(py_keyed(key, kind, i, right, a, b)[:15], 16)) % a
+        else:
+            right = (right + int(py_keyed(key, kind, i, left, a, b)[:15], 16)) % b
+    return left, right
+
+
+def py_digits(d, key, kind):
+    low = len(d) // 2
+    high = len(d) - low
+    x, y = py_feistel(int(d[:high]), int(d[high:]), 10 ** high, 10 ** low, key, kind)
+    return f"{x:0{high}d}{y:0{low}d}"
+
+
+def py_lay(value, digits):
+    it = iter(digits)
+    return "".join(next(it) if "0" <= c <= "9" else c for c in value)
+
+
+CYCLE = [dt.date(1800, 1, 1) + dt.timedelta(k) for k in range(146_097)]
+LATE = [d for d in CYCLE if d.day > 12]
+
+
+def py_date(value, key):
+    a, b, c = re.split(r"\D", value)
+    year_first, slash = len(a) == 4, value[len(a)] == "/"
+    day_first = not year_first and (not slash or int(a) > 12)
+    y, m, d = (a, b, c) if year_first else (c, b, a) if day_first else (c, a, b)
+    try:
+        old = dt.date(int(y), int(m), int(d))
+    except ValueError:
+        return None
+    if not CYCLE[0] <= old <= CYCLE[-1]:
+        return None
+    if day_first and slash:
+        r = LATE.index(old)
+        x, z = py_feistel(r // 9833, r % 9833, 9, 9833, key, "late date")
+        new = LATE[x * 9833 + z]
+    else:
+        r = (old - CYCLE[0]).days
+        x, z = py_feistel(r // 773, r % 773, 189, 773, key, "date")
+        new = CYCLE[x * 773 + z]
+    width = 2 if len(m) == len(d) == 2 else 1
+    md, dd, yy, sep = f"{new.month:0{width}d}", f"{new.day:0{width}d}", f"{new.year:04d}", value[len(a)]
+    return sep.join((yy, md, dd) if year_first else (dd, md, yy) if day_first else (md, dd, yy))
+
+
+def py_value(v, key):
+    """(pseudonym, kind) of a candidate; (v, None) if it is not valid."""
+    d = re.sub(r"\D", "", v)
+    if "@" in v:
+        return py_keyed(key, "email", v.lower())[:16].translate(str.maketrans("0123456789", "ghijklmnop")) + "@mail.invalid", "email"
+    if '"' in v or "'" in v:
+        at = max(v.rfind('"'), v.rfind("'")) + 1
+        return v[:at] + (py_keyed(key, "secret", v[at:]) + py_keyed(key, "secret2", v[at:]))[:len(v) - at], "secret"
+    groups = re.split(r"\D+", v)
+    if v[0] == "+" or "(" in v or [len(g) for g in groups[-3:]] == [3, 3, 4]:
+        code = 0
+        if v[0] == "+":
+            first = groups[1]
+            one, two = (re.match(x, first) for x in pii.SHORT_CODES)
+            code = len(first) if len(first) <= 3 else 1 if one else 2 if two else 3
+        n = min(10, len(d) - code)
+        return py_lay(v, d[:-n] + py_digits(d[-n:], key, "phone")), "phone"
+    if v.count(".") == 3 and max(map(len, groups)) <= 3:
+        if any(int(g) > 255 or (len(g) > 1 and g[0] == "0") for g in groups):
+            return v, None
+        o = [int(g) for g in groups]
+        x, y = py_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ipv4")
+        return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}", "ipv4"
+    if len(groups) == 3 and sorted(map(len, groups))[1] <= 2 and max(map(len, groups)) == 4 and [len(g) for g in groups] != [3, 2, 4]:
+        new = py_date(v, key)
+        return (new, "date") if new else (v, None)
+    if [len(g) for g in groups] == [3, 2, 4]:
+        area, group, serial = map(int, groups)
+        if not 1 <= area <= 899 or area == 666 or not group or not serial:
+            return v, None
+        x, y = py_feistel(area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn")
+        return f"{x + 1 + (x >= 665):03d}-{y // 9999 + 1:02d}-{y % 9999 + 1:04d}", "ssn"
+    if luhn(d) and d.strip("0"):
+        body = py_digits(d[:-1], key, "card")
+        return py_lay(v, make_card(body)), "card"
+    return v, None
+
+
+def py_pseudonymise(text, key):
+    kinds = []
+
+    def put(m):
+        new, kind = py_value(m[0], key)
+        kinds.extend([kind] if kind else [])
+        return new
+
+    return (None if text is None else regex.sub(pii.CANDIDATE, put, text, flags=regex.V0)), kinds
+
+
+def test_whole_texts_equal_the_plain_version(spark, sf_dir):
+    values = [v for group in (VALID, MORE) for vs in group.values() for v in vs]
+    texts = [None, "", "no value", "; ".join(values), "\n".join(f"<{v}> and ({v})" for v in values),
+             "3782 822463 10006, 31/02/1999, 256.1.1.1, 666-11-1111, 2023-02-29, 13/13/2020",
+             "2024-01-01T10:00:00Z 1/2/2020-3/4/2020 555-123-4567/8 4111.1111.1111.1111 2020-1-2/2020-3-4"]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    out, kinds = run(spark, texts)
+    want = [py_pseudonymise(t, "k") for t in texts]
+    assert out == [t for t, _ in want] and kinds == [k for _, k in want]
+    assert sum(map(len, kinds)) > 100
