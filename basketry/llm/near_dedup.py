@@ -16,7 +16,11 @@ most others over all its buckets:
 1. every node against the most central of its buckets' centres;
 2. across components only, every node against the centre of each bucket;
 3. across components only, the remaining pairs of each bucket, where one side
-   is outside the bucket's largest component.
+   is outside the bucket's largest component. Buckets with more than
+   ``hot_bucket`` nodes outside it (texts around one template that are not
+   linked) are replaced by a prefix-filter join: of the shingles that two
+   nodes of such buckets share, ordered rarest first, one is among the first
+   of both sets, and it must leave enough shingles after it on both sides.
 
 A pair whose ends are already in one component needs no check, so a large
 group of near copies costs a few checks a copy. Steps 2 and 3 also leave out
@@ -40,7 +44,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.common import WordHashes, cut, mix64, text_or_empty
@@ -57,6 +61,7 @@ class NearConfig:
     hashes: int = 90
     rows: int = 5
     bitmap_words: int = 32          # 64 bits each
+    hot_bucket: int = 64            # nodes outside a bucket's largest component
     seed: int = 20240501
 
     @property
@@ -197,6 +202,64 @@ def sizes_fit(n_a: Column, n_b: Column, c: NearConfig) -> Column:
     return 100 * F.least(n_a, n_b) >= c.percent * F.greatest(n_a, n_b)
 
 
+def set_items(items: str) -> Column:
+    """The items of a set as an array."""
+    @F.arrow_udf("array<long>")
+    def read(values: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(v.as_buffer(), np.int64) for v in values], type=pa.list_(pa.int64()))
+
+    return read(F.col(items))
+
+
+def outside_largest(rows: DataFrame, key: str) -> DataFrame:
+    """Add ``outside``: whether the row's root is not the most frequent one under its key."""
+    largest = (rows.groupBy(key, "root").agg(F.count(F.lit(1)).alias("n")).groupBy(key)
+               .agg(F.max(F.struct("n", "root")).alias("largest")).select(key, F.col("largest.root").alias("main")))
+    return rows.join(largest, key).withColumn("outside", F.col("root") != F.col("main"))
+
+
+def prefixes(nodes: DataFrame, sets: DataFrame, c: NearConfig) -> DataFrame:
+    """(token, node, n, root, at, short) of the first items, rarest first, of each node's set.
+
+    ``at`` counts from 1. A set linked to one not larger shares an item within these rows
+    with it, and that item is within the smaller one's ``short`` rows.
+    """
+    tokens = (nodes.select("node", "n", "root").join(sets.select("node", "items"), "node")
+              .select("node", "n", "root", F.explode(set_items("items")).alias("token")))
+    # an item of one node only takes a place in its order, and nothing else
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held_by")).where("held_by > 1")
+    one = Window.partitionBy("node")
+    at = F.col("n") - F.count(F.lit(1)).over(one) + F.row_number().over(one.orderBy("held_by", "token"))
+    left = F.col("n") - F.col("at") + 1         # items from this one on
+    return (tokens.join(shared, "token").withColumn("at", at)
+            .where(100 * left >= c.percent * F.col("n"))
+            .select("token", "node", "n", "root", "at", ((100 + c.percent) * left >= 2 * c.percent * F.col("n")).alias("short")))
+
+
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, c: NearConfig) -> DataFrame:
+    """Distinct pairs (a, b, n_a, n_b) of nodes of different roots that may be linked, by their prefixes."""
+    rows = prefixes(nodes, sets, c)
+    several = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    rows = cut(outside_largest(rows.join(several.select("token"), "token", "left_semi"), "token"))
+
+    def enough(side: str) -> Column:
+        return (100 + c.percent) * (F.col(f"{side}.n") - F.col(f"{side}.at") + 1) >= c.percent * (F.col("x.n") + F.col("y.n"))
+
+    def meet(larger: DataFrame, smaller: DataFrame) -> DataFrame:
+        ordered = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") > F.col("y.node")))
+        fit = ((F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & ordered
+               & sizes_fit(F.col("x.n"), F.col("y.n"), c) & enough("x") & enough("y"))
+        return (larger.alias("x").join(smaller.where("short").alias("y"), fit)
+                .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"),
+                        F.col("y.n").alias("n_b")))
+
+    # members of a token's largest component never meet one another
+    met = meet(rows, rows.where("outside")).unionByName(meet(rows.where("outside"), rows.where("not outside"))).distinct()
+    bits = sets.drop("items").join(nodes.select("node", "n"), "node")
+    return (met.join(bits.alias("x"), F.col("a") == F.col("x.node")).join(bits.alias("y"), F.col("b") == F.col("y.node"))
+            .where(bits_fit("x", "y", c)).select("a", "b", "n_a", "n_b"))
+
+
 def node_components(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, c: NearConfig) -> DataFrame:
     """(node, root) of the nodes linked to another, but for the roots.
 
@@ -257,13 +320,17 @@ def node_components(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str,
     roots = merge_components(roots, confirm(star, sets).where(linked(c)))
 
     # step 3: what is left of each bucket, across components; both sides of a pair
-    # can't be in the bucket's largest component, so one side is read without it
-    rows = open_buckets(roots).where("node <> centre")
-    largest = (rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
-               .agg(F.max(F.struct("n", "root")).alias("largest")).select("bucket", F.col("largest.root").alias("main")))
-    rows = rows.join(largest, "bucket").withColumn("outside", F.col("root") != F.col("main"))
+    # can't be in the bucket's largest component, so one side is read without it. Hot
+    # buckets give way to the prefixes of their nodes
+    rows = outside_largest(open_buckets(roots).where("node <> centre"), "bucket")
+    hot = cut(rows.where("outside").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+              .where(F.col("n") > c.hot_bucket).select("bucket"))
     once = ~F.col("y.outside") | (F.col("x.node") > F.col("y.node"))
-    rest = pairs(rows.where("outside"), rows, once)
+    cool = rows.join(hot, "bucket", "left_anti")
+    rest = pairs(cool.where("outside"), cool, once)
+    if not hot.isEmpty():
+        nodes_of_hot = rows.join(hot, "bucket", "left_semi").select("node", "n", "root").dropDuplicates(["node"])
+        rest = rest.unionByName(prefix_pairs(cut(nodes_of_hot), sets, c)).distinct()
     return merge_components(roots, confirm(rest, sets).where(linked(c)))
 
 

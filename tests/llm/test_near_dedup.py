@@ -36,8 +36,8 @@ def brute(rows, n):
     return sorted((str(rows[k][0]), len(sets[k]), str(least[find(k)])) for k in range(len(rows)))
 
 
-def got(df, n):
-    out = near_dedup.near_groups(df, config=near_dedup.NearConfig(shingle=n)).collect()
+def got(df, n, **more):
+    out = near_dedup.near_groups(df, config=near_dedup.NearConfig(shingle=n, **more)).collect()
     assert all(r["kept"] == (r["id"] == r["component_id"]) for r in out)
     return sorted((str(r["id"]), r["n_shingles"], str(r["component_id"])) for r in out)
 
@@ -105,6 +105,43 @@ def test_full_sets_are_joined_by_id_and_text(spark, monkeypatch):
     assert 0 < computed.value <= 4000
 
 
+def templated(rng, n, own):
+    """Texts of one template of 160 words and ``own`` words of their own at the end: unlinked for 40 or more."""
+    body = " ".join(f"t{k}" for k in range(160))
+    return [(k, body + " " + " ".join(f"o{k}_{j}" for j in range(own)), "a") for k in range(n)]
+
+
+def test_prefixes_of_hot_buckets_equal_brute_force(spark):
+    """Buckets of texts around templates, some of them linked, with every bucket taken as hot."""
+    rng = random.Random(5)
+    rows = templated(rng, 60, 40)
+    rows += [(1000 + k, rows[k % 60][1] + f" tail{k}" * rng.randrange(1, 4), "a") for k in range(40)]
+    words = prose(rng, 60, 200).split()
+    for k in range(120):
+        copy = [*words]
+        for at in rng.sample(range(60), rng.randrange(3, 20)):
+            copy[at] = f"g{rng.randrange(60)}"
+        rows.append((2000 + k, " ".join(copy[:rng.randrange(45, 61)]), "b"))
+    for hot in (0, 3):
+        assert got(texts_only(spark, rows).repartition(3), 2, hot_bucket=hot) == brute(rows, 2)
+
+
+def test_unlinked_texts_of_a_template_make_few_pairs(spark, monkeypatch):
+    """1,000 texts that share 0.67 of their shingles: some checks a text, not the square."""
+    counts = []
+    whole = near_dedup.confirm
+
+    def counted(pairs, sets):
+        counts.append(pairs.count())
+        return whole(pairs, sets)
+
+    monkeypatch.setattr(near_dedup, "confirm", counted)
+    rows = templated(random.Random(6), 1000, 40)
+    out = near_dedup.near_groups(texts_only(spark, rows).repartition(4), config=near_dedup.NearConfig(shingle=2))
+    assert out.where("not kept").isEmpty()
+    assert counts[-1] <= 64 * 1000 and sum(counts) <= 100_000
+
+
 def test_minmax_shares_buckets_as_computed():
     """Share of equal buckets of pairs at similarity 0.8 is near similarity to the power of rows."""
     import numpy as np
