@@ -14,6 +14,16 @@ and, from the first common word on, both sides must have enough words left
 are made only around the places of prefix words, of documents that hold enough
 words of a template, and count the words from the prefix word on in that order.
 
+Templates of related licenses differ by a word or two, so one notice can meet the
+threshold of several. Without separators a match is a place: a run of words whose
+first is a template word that it holds once, cut after the last word that adds to
+the match. Of matches of different labels that overlap, the one that holds less of
+its template goes and, where they hold the same share, the one of the shorter template;
+equals all stay. So a notice gets the label of its closest template, and templates that
+stand apart in a text each get theirs. Words are sets: a notice's words in
+another order match as well. Matches meet in cells of as many words as the longest
+run, so no text is compared with itself as a whole.
+
 All of it is DataFrame expressions. A document's text is read once: only its
 blocks' template words, a few strings, go on. The templates are a parameter;
 the prefix index made of them is broadcast below a stated number of rows and
@@ -60,10 +70,17 @@ TEMPLATES = [
             "General Public License"),
     ("lgpl", "This library is free software; you can redistribute it under the terms of the GNU Lesser General "
              "Public License"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+             "Lesser General Public License"),
     ("agpl-3.0", "Licensed under the GNU Affero General Public License, version 3"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+             "Affero General Public License"),
     ("cc-by-4.0", "Licensed under CC BY 4.0"),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-nd-4.0", "Licensed under CC BY-ND 4.0"),
+    ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd-4.0", "Licensed under CC BY-NC-ND 4.0"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted "
             "provided that the following conditions are met"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
@@ -209,7 +226,7 @@ def containment_join(blocks: DataFrame, templates: list[Template], order: dict[s
 
 
 def runs_join(rows: DataFrame, templates: list[Template], order: dict[str, int]) -> DataFrame:
-    """(row, label, score) of every place where a run of words and a template meet the threshold.
+    """(row, label, length, common, lo, hi) of every place of words lo to hi that meets a template's threshold.
 
     ``rows`` has ``row`` and ``hits``, the document's template words by place.
     """
@@ -217,10 +234,11 @@ def runs_join(rows: DataFrame, templates: list[Template], order: dict[str, int])
     prefixes = []
     for template in templates:
         ordered = sorted(template.words, key=order.__getitem__)
-        prefixes += [(w, template.label, len(ordered), template.needed, template.window, ordered[p:])
+        prefixes += [(w, template.label, len(ordered), template.needed, template.window, ordered, ordered[p:])
                      for p, w in enumerate(ordered[:len(ordered) - template.needed + 1])]
     index = spark.createDataFrame(
-        prefixes, "word string, label string, length int, needed int, window int, rest array<string>")
+        prefixes, "word string, label string, length int, needed int, window int, template_words array<string>, "
+                  "rest array<string>")
     if len(prefixes) <= BROADCAST_PREFIXES:
         index = F.broadcast(index)
 
@@ -235,19 +253,45 @@ def runs_join(rows: DataFrame, templates: list[Template], order: dict[str, int])
     probes = rows.where(F.size("hits") > 0).select("row", F.explode(probe).alias("p")).select("row", "p.*")
 
     def distinct(hits):
-        return F.size(F.array_distinct(F.transform(hits, lambda h: h["word"])))
+        return F.array_distinct(F.transform(hits, lambda h: h["word"]))
 
-    # a match is counted at its rarest common word: the others come later in the order
+    # a match has its rarest common word in the prefix, and the others come later in the order
     candidates = (probes.join(index, "word")
-                  .withColumn("near", F.filter("near", lambda h: (F.abs(h["at"] - F.col("at")) < F.col("window"))
-                                               & F.array_contains(F.col("rest"), h["word"])))
-                  .where(distinct(F.col("near")) >= F.col("needed")))
-    # it is enough to begin runs at hits
-    common = F.array_max(F.transform(
+                  .withColumn("near", F.filter("near", lambda h: F.abs(h["at"] - F.col("at")) < F.col("window")))
+                  .where(F.size(distinct(F.filter("near", lambda h: F.array_contains(F.col("rest"), h["word"]))))
+                         >= F.col("needed"))
+                  .withColumn("near", F.filter("near", lambda h: F.array_contains(F.col("template_words"), h["word"]))))
+    # runs begin at hits; of each the places of the first of every word
+    runs = F.transform(
         F.filter("near", lambda s: s["at"] <= F.col("at")),
-        lambda s: distinct(F.filter("near", lambda h: h["at"].between(s["at"], s["at"] + F.col("window") - 1)))))
-    return (candidates.withColumn("common", common).where(F.col("common") >= F.col("needed"))
-            .select("row", "label", (F.col("common") / F.col("length")).alias("score")))
+        lambda s: F.filter("near", lambda h: h["at"].between(s["at"], s["at"] + F.col("window") - 1)))
+    found = candidates.select("row", "label", "length", "needed", F.explode(runs).alias("run")).withColumn(
+        "firsts", F.transform(distinct(F.col("run")), lambda w: F.array_min(
+            F.transform(F.filter("run", lambda h: h["word"] == w), lambda h: h["at"]))))
+    found = found.select("row", "label", "length", "needed", F.size("firsts").alias("common"),
+                         F.get("run", F.lit(0))["at"].alias("lo"), F.array_max("firsts").alias("hi"),
+                         F.get("run", F.lit(0))["word"].alias("head"), "run").where("common >= needed")
+    once = F.size(F.filter("run", lambda h: (h["word"] == F.col("head")) & (h["at"] <= F.col("hi")))) == 1
+    return found.where(once).select("row", "label", "length", "common", "lo", "hi").distinct()
+
+
+def closest(matches: DataFrame, cell: int) -> DataFrame:
+    """(row, label, score) of the matches that no overlapping one of another label beats; none is longer than ``cell``."""
+    cells = matches.select("row", "label", "length", "common", "lo", "hi",
+                           F.explode(F.sequence((F.col("lo") / cell).cast("int"), (F.col("hi") / cell).cast("int"))).alias("cell"))
+    fields = ["label", "length", "common", "lo", "hi"]
+    # a cell holds at most one match a place and template
+    met = cells.groupBy("row", "cell").agg(F.collect_list(F.struct(*fields)).alias("all"))
+
+    def beats(o, m):
+        share = o["common"] * m["length"] - m["common"] * o["length"]
+        return ((o["label"] != m["label"]) & (o["lo"] <= m["hi"]) & (o["hi"] >= m["lo"])
+                & ((share > 0) | ((share == 0) & (o["length"] > m["length"]))))
+
+    judged = F.transform("all", lambda m: F.struct(*[m[f].alias(f) for f in fields],
+                                                   F.exists("all", lambda o: beats(o, m)).alias("beaten")))
+    return (met.select("row", F.inline(judged)).groupBy("row", *fields).agg(F.max("beaten").alias("beaten"))
+            .where("not beaten").select("row", "label", (F.col("common") / F.col("length")).alias("score")))
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -266,7 +310,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if made:
         order = frequency_order(rows, made)
         if block_separator is None:
-            matches = runs_join(rows, made, order)
+            matches = closest(runs_join(rows, made, order), max(t.window for t in made))
         else:
             matches = containment_join(rows.select("row", F.explode("blocks").alias("words")), made, order)
         found = matches.groupBy("row").agg(

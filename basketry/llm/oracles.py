@@ -103,10 +103,11 @@ def _license_sql() -> str:
 
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES.items())
-    templates = ", ".join(f"({t.label!r}, {list(t.words)!r}, {t.needed})" for t in make_templates(TEMPLATES, 0.9))
+    templates = ", ".join(f"({k}, {t.label!r}, {list(t.words)!r}, {t.needed}, {t.window})"
+                          for k, t in enumerate(make_templates(TEMPLATES, 0.9)))
     return rf"""
 WITH phrases(words, label) AS (VALUES {phrases}),
-templates(label, words, needed) AS (VALUES {templates}),
+templates(t, label, words, needed, reach) AS (VALUES {templates}),
 d AS (SELECT row_number() OVER () AS r, doc_id,
              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower
       FROM documents),
@@ -116,13 +117,24 @@ places AS (
   FROM w, phrases p),
 base AS (SELECT r, count(*) AS n, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels
          FROM places GROUP BY r),
-blocks AS (SELECT r, regexp_extract_all(b, '{word}') AS words
-           FROM (SELECT r, unnest(string_split(lower, chr(10))) AS b FROM d)),
+hits AS (
+  SELECT r, t, reach, needed, i, word
+  FROM (SELECT r, unnest(words) AS word, unnest(range(len(words))) AS i FROM w)
+  JOIN (SELECT t, reach, needed, unnest(words) AS word FROM templates) USING (word)),
+firsts AS (
+  SELECT a.r, a.t, a.needed, a.i AS lo, a.word AS head, b.word, min(b.i) AS i
+  FROM hits a JOIN hits b ON a.r = b.r AND a.t = b.t AND b.i BETWEEN a.i AND a.i + a.reach - 1 GROUP BY ALL),
+runs AS (
+  SELECT r, t, lo, head, count(*) AS common, max(i) AS hi FROM firsts GROUP BY r, t, lo, head, needed HAVING count(*) >= needed),
+matches AS (
+  SELECT r, label, len(words) AS length, common, lo, hi FROM runs JOIN templates USING (t)
+  WHERE NOT EXISTS (FROM hits h WHERE h.r = runs.r AND h.t = runs.t AND h.word = head AND h.i > lo AND h.i <= hi)),
 found AS (
-  SELECT r, list(DISTINCT label) AS labels, max(common / size) AS score
-  FROM (SELECT r, label, needed, len(t.words) AS size, len(list_distinct(list_intersect(t.words, b.words))) AS common
-        FROM blocks b, templates t WHERE len(b.words) >= needed)
-  WHERE common >= needed GROUP BY r)
+  SELECT r, list(DISTINCT label) AS labels, max(common / length) AS score FROM matches m
+  WHERE NOT EXISTS (
+    FROM matches o WHERE o.r = m.r AND o.label <> m.label AND o.lo <= m.hi AND o.hi >= m.lo
+      AND (o.common * m.length > m.common * o.length OR o.common * m.length = m.common * o.length AND o.length > m.length))
+  GROUP BY r)
 SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base,
        base.first_word::BIGINT AS first_word, base.last_word::BIGINT AS last_word,
        coalesce(list_aggregate(list_sort(base.labels), 'string_agg', ','), '') AS base_labels,

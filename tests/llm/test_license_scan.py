@@ -1,7 +1,10 @@
 import math
 import re
 
+import duckdb
+
 from basketry.llm import license_scan as ls
+from basketry.llm.oracles import ORACLES
 from basketry.llm.queries import QUERIES
 from tests.llm.fixtures import awkward, awkward_texts, empty, texts_only
 
@@ -66,20 +69,26 @@ def test_no_templates_and_empty(spark):
 
 
 def brute_runs(rows, templates, threshold):
-    """(id, labels, score) by every run of consecutive words of every document."""
+    """(id, labels, score) by every run of consecutive words of every document, the closest of overlapping matches."""
     out = []
     for i, t, _ in rows:
         words = WORD.findall(lower(t))
         labels = set(filter(None, brute([(i, t, "")], [], threshold)[0][5].split(",")))
-        best = 1.0 if labels else 0.0
+        matches = set()
         for label, text in templates:
             every = WORD.findall(lower(text))
             need, size = set(every), math.ceil(len(every) / threshold - 1e-9)
-            common = max((len(need & set(words[k:k + size])) for k in range(len(words))), default=0)
-            if common >= math.ceil(threshold * len(need) - 1e-9):
-                labels.add(label)
-                best = max(best, common / len(need))
-        out.append((str(i), ",".join(sorted(labels)), best))
+            for k in range(len(words)):
+                run = words[k:k + size]
+                common = need & set(run)
+                if run[0] in need and len(common) >= math.ceil(threshold * len(need) - 1e-9):
+                    end = max(run.index(w) for w in common)
+                    if run[:end + 1].count(run[0]) == 1:
+                        matches.add((len(common) / len(need), len(need), label, k, k + end))
+        kept = [m for m in matches
+                if not any(o[2] != m[2] and o[3] <= m[4] and o[4] >= m[3] and o[:2] > m[:2] for o in matches)]
+        best = 1.0 if labels else max((m[0] for m in kept), default=0.0)
+        out.append((str(i), ",".join(sorted(labels | {m[2] for m in kept})), best))
     return sorted(out)
 
 
@@ -105,10 +114,46 @@ def test_wrapped_notices_and_long_lines(spark):
     labels = {i: label for i, label, _ in got_runs(texts_only(spark, WRAPPED), ls.TEMPLATES, 0.9)}
     assert labels == {"1": "mit", "2": "gpl", "3": "bsd", "4": "", "5": "mit", "6": "unlicense"}
     for threshold in (0.5, 0.8, 0.9, 1.0):
-        for rows in (WRAPPED, NOTICES):
+        for rows in (WRAPPED, NOTICES, [(k, t, "a") for k, (t, _) in enumerate(OWN_LABELS)]):
             assert got_runs(texts_only(spark, rows), ls.TEMPLATES, threshold) == brute_runs(rows, ls.TEMPLATES, threshold)
 
 
+GPL, LESSER = "GNU General Public License", "GNU Lesser General Public License"
+FREE = "is free software: you can redistribute it and/or modify it under the terms of the"
+
+# notices of related licenses, and the labels that each is to get
+OWN_LABELS = [
+    (f"This work is licensed under the {GPL}, version 3.", "gpl,gpl-3.0"),
+    (f"This work is licensed under the {GPL}, version 2.", "gpl,gpl-2.0"),
+    ("Licensed under the GNU Affero General Public License, version 3", "agpl-3.0"),
+    (f"This program {FREE}\n{GPL}", "gpl"), (f"This library {FREE}\n{LESSER}", "lgpl"),
+    (f"This program {FREE}\nGNU Affero General Public License", "agpl"),
+    *[(f"Licensed under CC BY{v} 4.0.", f"cc-by,cc-by{v.lower()}-4.0")
+      for v in ("", "-NC", "-SA", "-ND", "-NC-SA", "-NC-ND")],
+    ("Licensed under CC BY-NC 4.0. " + "x " * 30 + "Licensed under CC BY 4.0.", "cc-by,cc-by-4.0,cc-by-nc-4.0"),
+    (f"This work is licensed under the {GPL}, version 3. This work is licensed under the {GPL}, version 2.",
+     "gpl,gpl-2.0,gpl-3.0"),
+    ("Licensed under the Apache License, Version 2.0; released under the MIT License", "apache,apache-2.0,mit"),
+    (f"Licensed under CC BY 4.0. This program {FREE} {GPL}. Licensed under the Apache License, Version 2.0",
+     "apache,apache-2.0,cc-by,cc-by-4.0,gpl"),
+]
+
+
+def test_each_notice_gets_its_own_label(spark, tmp_path):
+    rows = [(k, t, "a") for k, (t, _) in enumerate(OWN_LABELS)] + NOTICES + WRAPPED
+    rows = [(k, t, "a") for k, (_, t, _) in enumerate(rows)] + [(100, None, "a"), (101, "", None)]
+    texts_only(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["op8_license_scan"](spark, str(tmp_path)).collect()
+    got = {r["doc_id"]: r["labels"] for r in out}
+    assert [got[k] for k in range(len(OWN_LABELS))] == [labels for _, labels in OWN_LABELS]
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        cur = con.execute(ORACLES["op8_license_scan"])
+        names = [d[0] for d in cur.description]
+        want = cur.fetchall()
+    assert sorted((tuple(r[n] for n in names) for r in out)) == sorted(want)
+
+
 def test_runs_of_awkward_documents_equal_brute_force(spark):
     templates = [("prose", "w1 w2 w3 w4 w5 w6 w7 w8"), ("pair", "one two"), ("again", "a b a c"), ("none", "...")]
     for threshold in (0.3, 0.7):
