@@ -5,7 +5,9 @@ least ``min_payload`` bytes the one with the smallest page id is a response and
 the others are revisits that refer to it. Records are written by Spark's text
 writer, whose record separator is the two line ends that close a WARC record,
 so each part file is a valid archive in whatever store the folder is in, and
-a lost task writes its file anew. Files are bounded in records.
+a lost task writes its file anew. Files are bounded in records and in bytes: records go
+to classes of sizes, each with half the records a file of the one before; a
+record above the bound is a file of its own (one must stay below 2 GB).
 
 Reading takes every archive as bytes, walks its records by Content-Length and
 yields one capture a record. Each archive's captures form a run sorted by URL
@@ -38,6 +40,9 @@ CRLF = "\r\n"
 CAPTURES = ("page_id long, url_key string, captured_at string, record_type string, refers_to long, "
             "payload_bytes long, payload_digest string, archive string, at long, length long")
 RECORDS_PER_ARCHIVE = 2000
+ARCHIVE_BYTES = 256 << 20
+HEAD_BYTES = 1024                # header fields of a record but its URL, at most
+ROWS_PER_MERGE = 50_000
 
 
 def record_id(page_id: Column) -> Column:
@@ -79,11 +84,22 @@ def records(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(head, block).alias("value"))
 
 
+def size_class(payload_bytes: Column, records_per_archive: int, archive_bytes: int) -> Column:
+    """k for records of at most 2^k times the bytes that each of ``records_per_archive`` may have."""
+    bound = payload_bytes + 3 * F.octet_length(F.coalesce("url", F.lit(""))) + HEAD_BYTES
+    ordinary = max(1, archive_bytes // records_per_archive)
+    return sum((F.when(bound > ordinary << k, 1).otherwise(0) for k in range(records_per_archive.bit_length())), F.lit(0))
+
+
 def write_archives(pages: DataFrame, path: str, min_payload: int = 100,
-                   records_per_archive: int = RECORDS_PER_ARCHIVE) -> None:
+                   records_per_archive: int = RECORDS_PER_ARCHIVE, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write ``pages`` (page_id, url, html, captured_at) as archives into a new folder."""
-    (records(decide(pages, min_payload)).write.option("lineSep", CRLF * 2)
-     .option("maxRecordsPerFile", records_per_archive).text(path))
+    sizes = pages.select(size_class(F.octet_length(text_or_empty("html")), records_per_archive, archive_bytes).alias("k"))
+    present = [r["k"] for r in sizes.distinct().collect()]          # a dozen at most
+    rows = decide(pages, min_payload).withColumn("__class", size_class(F.col("payload_bytes"), records_per_archive, archive_bytes))
+    for k in sorted(present) or [0]:
+        (records(rows.where(F.col("__class") == k)).write.mode("append").option("lineSep", CRLF * 2)
+         .option("maxRecordsPerFile", max(1, records_per_archive >> k)).text(path))
 
 
 def url_key(url: str) -> str:
@@ -191,9 +207,13 @@ class LoserTree:
 
 
 def merge_index(captures: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Captures in global order of (url_key, captured_at, page_id), with ``order``, increasing in that order."""
+    """Captures in global order of (url_key, captured_at, page_id), with ``order``, increasing in that order.
+
+    ``captures`` is counted, so that a partition holds about ``ROWS_PER_MERGE`` of them.
+    """
     keys = ["url_key", "captured_at", F.col("page_id").asc_nulls_first()]
-    ranged = (captures.repartitionByRange(partitions, *keys) if partitions else captures.repartitionByRange(*keys))
+    partitions = partitions or max(1, -(-captures.count() // ROWS_PER_MERGE))
+    ranged = captures.repartitionByRange(partitions, *keys)
     schema = CAPTURES + ", order long"
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,3 +72,18 @@ def test_url_keys():
 
 def test_empty(spark):
     assert warc.archive_pages(spark, spark.createDataFrame([], SCHEMA), scratch_path(spark, "warc-test")).count() == 0
+
+
+def test_archives_are_bounded_in_bytes(spark, tmp_path):
+    """Pages of all sizes with a bound of 64 KB: only a record that is larger on its own exceeds it."""
+    rng = random.Random(8)
+    rows = [(k, f"http://h{k % 7}.org/{k}", "x" * rng.choice([0, 10, 300, 3000, 20_000, 60_000, 200_000]) + str(k), "2020-01-01T00:00:00Z")
+            for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, captured_at string").repartition(3)
+    path = str(tmp_path / "archives")
+    warc.write_archives(pages, path, records_per_archive=50, archive_bytes=64 << 10)
+    files = [f.read_bytes() for f in (tmp_path / "archives").glob("part-*")]
+    assert all(len(f) <= 64 << 10 or sum(1 for _ in warc.walk(f)) == 1 for f in files)
+    assert max(sum(1 for _ in warc.walk(f)) for f in files if f) > 10
+    captures = warc.read_captures(spark, path).collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in captures) == [(k, len(h)) for k, _, h, _ in rows]
