@@ -50,12 +50,22 @@ def last_n_periods(df: DataFrame, n: int = 12, column: str = "periodStart") -> D
 
 
 def producer_trends(rows: DataFrame) -> DataFrame:
-    """Units, distinct orders and distinct products per (period, producer)."""
-    return (rows.dropna(subset=["periodStart", "producerName"])
-            .groupBy("periodStart", "producerName").agg(
-                F.coalesce(F.sum("qty"), F.lit(0.0)).alias("total_qty"),
-                F.countDistinct("orderId").cast("long").alias("num_orders"),
-                F.countDistinct("productName").cast("long").alias("num_products")))
+    """Units, distinct orders and distinct products per (period, producer).
+
+    The rows are shuffled once, by period and producer: there are about as many
+    of those pairs as rows, so partial sums would not shrink them, and both
+    distinct counts are then taken where the rows are.
+    """
+    keys = ["periodStart", "producerName"]
+    narrow = (rows.dropna(subset=keys).select(*keys, "qty", "orderId", "productName").repartition(*keys))
+    none = {c: F.lit(None).cast(narrow.schema[c].dataType).alias(c) for c in ("qty", "orderId", "productName")}
+    pairs = narrow.select(*keys, F.inline(F.array(F.struct(F.col("qty"), F.col("orderId"), none["productName"]),
+                                                  F.struct(none["qty"], none["orderId"], F.col("productName")))))
+    return (pairs.groupBy(*keys, "orderId", "productName").agg(F.sum("qty").alias("_qty"))
+            .groupBy(*keys).agg(
+                F.coalesce(F.sum("_qty"), F.lit(0.0)).alias("total_qty"),
+                F.count("orderId").cast("long").alias("num_orders"),
+                F.count("productName").cast("long").alias("num_products")))
 
 
 def producer_summary(rows: DataFrame) -> DataFrame:
