@@ -199,12 +199,17 @@ def train_binary(labeled: DataFrame, key: str = "customerId", num_trees: int = 3
     return _fit_all([_prepare(labeled, key, seed)], config, cross_validate)[0]
 
 
-def score(feat: DataFrame, trained: TrainedModel, out_col: str) -> DataFrame:
-    """P(class 1) x 100 rounded half-even to one decimal; null when untrained."""
-    if trained.model is None:
-        return feat.withColumn(out_col, F.lit(None).cast("double"))
-    p1 = probabilities(feat.sparkSession, [trained.model], ML_FEATURES)[1]
-    return feat.withColumn(out_col, F.bround(p1 * 100.0, 1))
+def score(feat: DataFrame, models: dict[str, TrainedModel]) -> DataFrame:
+    """A column for each model: P(class 1) x 100 rounded half-even to one decimal; null when untrained.
+
+    All models score a row in one pass, so a task needs one Python worker.
+    """
+    def column(trained: TrainedModel) -> Column:
+        if trained.model is None:
+            return F.lit(None).cast("double")
+        return F.bround(probabilities(feat.sparkSession, [trained.model], ML_FEATURES)[1] * 100.0, 1)
+
+    return feat.withColumns({name: column(t) for name, t in models.items()})
 
 
 @dataclass
@@ -221,7 +226,7 @@ def run_customer_ml(seg: DataFrame, num_trees: int = 300, max_depth: int = MAX_D
                 _prepare(upgrade_labels(feat), "customerId", seed)]
     config = ForestConfig(num_trees=num_trees, max_depth=max_depth, seed=seed)
     churn, upgrade = _fit_all(prepared, config, cross_validate)
-    scored = score(score(feat, churn, "churn_risk_score"), upgrade, "upgrade_potential_score")
+    scored = score(feat, {"churn_risk_score": churn, "upgrade_potential_score": upgrade})
     return MlResult(scored, churn, upgrade)
 
 
