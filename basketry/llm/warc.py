@@ -43,23 +43,57 @@ RECORDS_PER_ARCHIVE = 2000
 ARCHIVE_BYTES = 256 << 20
 HEAD_BYTES = 1024                # header fields of a record but its URL, at most
 ROWS_PER_MERGE = 50_000
+BROADCAST_GROUPS = 200_000
+MARK_BITS = 16                   # of the bitmap, for each group
+MARK_BUCKETS = 8192              # of 4 KB: 32 MB
 
 
 def record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
 
 
-def decide(pages: DataFrame, min_payload: int) -> DataFrame:
-    """Add payload, its size and digest, and the response a revisit refers to."""
+def decide(pages: DataFrame, min_payload: int, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """Add payload, its size and digest, and the response a revisit refers to.
+
+    Payloads stay where they are read: the groups of equal ones, as (digest,
+    smallest id), are broadcast up to ``broadcast_groups``. Beyond that a
+    broadcast bitmap of their digests tells which rows may be in a group, and
+    only those are shuffled.
+    """
     rows = (pages.select("page_id", "url", "captured_at", text_or_empty("html").alias("payload"))
             .withColumn("payload_bytes", F.octet_length("payload").cast("long"))
             .withColumn("payload_digest", F.sha2("payload", 256)))
     # equal payloads are reduced to (digest, smallest id) before they meet; only groups of two or more go on
-    first = (rows.where(F.col("payload_bytes") >= min_payload).groupBy("payload_digest")
-             .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
-    out = rows.join(first.select("payload_digest", "first_id"), "payload_digest", "left")
+    first = cut(rows.where(F.col("payload_bytes") >= min_payload).groupBy("payload_digest")
+                .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+                .where("copies > 1 and first_id is not null").select("payload_digest", "first_id"))
+    groups = first.count()
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return out.withColumn("refers_to", F.when(revisit, F.col("first_id")))
+    refers_to = F.when(revisit, F.col("first_id"))
+    if groups <= broadcast_groups:
+        return rows.join(F.broadcast(first), "payload_digest", "left").withColumn("refers_to", refers_to)
+    marked = mark(rows, first, groups)
+    shared = marked.where("marked").join(first, "payload_digest", "left").withColumn("refers_to", refers_to)
+    alone = marked.where("not marked").withColumn("refers_to", F.lit(None).cast("long"))
+    columns = [*rows.columns, "refers_to"]
+    return alone.select(columns).unionByName(shared.select(columns))
+
+
+def mark(rows: DataFrame, first: DataFrame, groups: int) -> DataFrame:
+    """Add whether a row's digest may be in ``first`` (``marked``), without shuffling ``rows``.
+
+    The digests of ``first`` set bits of a bitmap that is broadcast. False for
+    a digest of ``first`` never, true for another one of about ``MARK_BITS``.
+    """
+    buckets = min(MARK_BUCKETS, -(-MARK_BITS * groups // 32768))       # of the bitmap functions' 32,768 bits
+    place = F.pmod(F.xxhash64("payload_digest"), F.lit(32768 * buckets)) + 1
+    bits = (first.select(F.bitmap_bucket_number(place).alias("__bucket"), F.bitmap_bit_position(place).alias("__bit"))
+            .groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits")))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return (rows.withColumn("__bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "__bucket", "left")
+            .withColumn("marked", found).drop("__bucket", "__bits"))
 
 
 def records(rows: DataFrame) -> DataFrame:

@@ -1,5 +1,10 @@
+import contextlib
 import hashlib
+import io
 import random
+import re
+
+from pyspark.sql import functions as F
 
 from basketry.llm import warc
 from basketry.session import scratch_path
@@ -87,3 +92,39 @@ def test_archives_are_bounded_in_bytes(spark, tmp_path):
     assert max(sum(1 for _ in warc.walk(f)) for f in files if f) > 10
     captures = warc.read_captures(spark, path).collect()
     assert sorted((r["page_id"], r["payload_bytes"]) for r in captures) == [(k, len(h)) for k, _, h, _ in rows]
+
+
+def sides(df):
+    """Columns that each exchange of the plan carries, and whether a row's payload is among them."""
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return [x for x in re.findall(r"\(\d+\) Exchange\n(?:Input \[\d+\]: )(.*)", buf.getvalue())]
+
+
+def test_payloads_are_not_shuffled(spark):
+    """The join by digest was a shuffle of all payloads, whose files and the archives together passed the disk limit."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        decided = warc.decide(spark.createDataFrame(pages(), SCHEMA).repartition(4).localCheckpoint(), 100)
+        assert not any(re.search(r"\bpayload#", x) for x in sides(decided))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_only_rows_that_may_share_a_payload_are_shuffled(spark):
+    """Beyond the limit of groups a bitmap finds the rows in groups; the result is the same."""
+    df = spark.createDataFrame(pages(), SCHEMA).repartition(4)
+    few, many = ([tuple(r) for r in warc.decide(df, 100, limit).select(
+        "page_id", "payload_bytes", "payload_digest", "refers_to").collect()] for limit in (200_000, 0))
+    assert sorted(few, key=str) == sorted(many, key=str) and any(r[3] for r in few)
+
+    alone = [(k, f"text {k} " * 20) for k in range(20_000)]
+    twice = [(30_000 + k, f"text {k % 1500} {k % 1500} " * 20) for k in range(3000)]
+    rows = spark.createDataFrame(alone + twice, "page_id long, payload string").withColumn(
+        "payload_digest", F.sha2("payload", 256))
+    first = rows.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    marked = warc.mark(rows, first, first.count()).where("marked")
+    assert marked.where("page_id >= 30000").count() == 3000
+    assert marked.count() < 3000 + 20_000 * 2 / warc.MARK_BITS
