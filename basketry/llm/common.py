@@ -7,28 +7,33 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.session import ensure_checkpoint_dir
+from basketry.session import _bytes, ensure_checkpoint_dir
 
 # A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 ARROW_ROWS = 256
+ARROW_BYTES = 4 << 20
 
 
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Send at most ``rows`` documents at a time to a Python worker.
+def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
+    """Send at most ``rows`` documents, and about ``size`` bytes, at a time to a Python worker.
 
     A batch is held whole on both sides; whole texts of tens of kilobytes
-    would make Spark's default of 10,000 rows several hundred megabytes.
+    would make Spark's defaults of 10,000 rows and 64 MB several hundred
+    megabytes. Smaller limits that are already set stay.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(key, "64m")) > size:
+        spark.conf.set(key, f"{size}b")
 
 
 def cut(df: DataFrame) -> DataFrame:

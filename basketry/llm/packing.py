@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, "
           "sequence_id long, offset long")
+PIECE_ROWS = 128                # of up to 8 KB of ids, sent back at a time
 
 
 @dataclass(frozen=True)
@@ -244,8 +245,8 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         packer = Packer(ends, config, TaskContext.get().partitionId() << 40)
 
         def rows(pieces):
-            for at in range(0, len(pieces), 1000):
-                cols = list(zip(*pieces[at:at + 1000]))
+            for at in range(0, len(pieces), PIECE_ROWS):
+                cols = list(zip(*pieces[at:at + PIECE_ROWS]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, type=pa.binary() if k == 3 else pa.int64()) for k, x in enumerate(cols)],
                     names=[x.split()[0] for x in PIECES.split(", ")])

@@ -2,20 +2,32 @@
 
 All but the last return the columns of ``docs``. Texts stay where they are
 read: a stage finds out from narrow rows which rows go, and the few that go
-are looked up by (id, hash of the text).
+are looked up by (id, hash of the text). Each stage bounds the batches that
+go to Python itself, as it may run outside ``corpus_pipeline.run``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm import exact_dedup, mixing, near_dedup, packing, quality
-from basketry.llm.common import cut, text_or_empty
+from basketry.llm.common import bounded_batches, cut, text_or_empty
 
 BROADCAST_ROWS = 200_000
 
 
+def bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+    return run
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -50,11 +62,13 @@ def once(docs: DataFrame, tied: DataFrame, key: Column) -> DataFrame:
     return docs.join(tied, same, "left_anti").unionByName(one)
 
 
+@bounded
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or are probably bad by the rules' votes go."""
     return quality.filter_documents(docs)
 
 
+@bounded
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts only one row stays, of the document with the largest id."""
     seen = exact_dedup.dedup_documents(docs).groupBy("id", F.col("digest").alias("key"), "kept").agg(
@@ -64,6 +78,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once(without(docs, several.where("not kept"), key), several.where("kept"), key)
 
 
+@bounded
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates one row stays, of the document with the smallest id.
 
@@ -77,11 +92,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once(without(docs, seen.where("not stays"), key), seen.where("stays and n > 1"), key)
 
 
+@bounded
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that the sources reach their target weights."""
     return mixing.mix_documents(docs)
 
 
+@bounded
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens, as in the packing query."""
     return packing.piece_digests(packing.pack_documents(docs, tokenizer_path()))

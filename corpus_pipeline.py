@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm import stages
-from basketry.llm.common import bounded_batches
 from basketry.session import scratch_path
 from basketry.sources.tables import read_table
 
@@ -30,7 +29,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply every stage to ``documents``."""
-    bounded_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")

@@ -70,3 +70,19 @@ def test_one_row_of_equal_or_near_texts_stays(spark):
         empty = 1 if given is out else 2             # empty sets are linked with nothing
         assert left == {"twice": 1, "once": 1, "no": 1, "": empty, "a0": 1, "b0": 1, "c0": 1, "alone": 1, "another": 1}
         assert [r["doc_id"] for r in near.where("text like 'c0%'").collect()] == [5]
+
+
+def test_every_stage_bounds_its_batches(spark):
+    """A stage that ran without ``run`` sent Python up to 10,000 texts, or 64 MB, at a time."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": "64m"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            for k, v in keys.items():
+                spark.conf.set(k, v)
+            stage(spark, awkward(spark), "")
+            assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256, name
+            assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{4 << 20}b", name
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
