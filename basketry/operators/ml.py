@@ -1,7 +1,7 @@
 """Churn-risk and upgrade-potential scoring with distributed random forests.
 
-Features and labels are DataFrame expressions. Forests are fitted on bounded,
-seeded samples of the labelled rows and kept as node tables (``forests``);
+Features and labels are DataFrame expressions. Forests are fitted on all
+labelled rows and kept as node tables (``forests``);
 cross-validation scores every labelled row by the forest that has not seen its
 fold, and the area under the ROC curve is exact (``exact_auc``). Only class
 counts, node tables and one figure a fold reach the driver.
@@ -132,12 +132,6 @@ def _prepare(labeled: DataFrame, key: str, seed: int) -> _Prepared:
     return _Prepared(data.checkpoint(eager=True), counts, min(MAX_FOLDS, n0, n1))
 
 
-def balanced(data: DataFrame, n0: int, n1: int) -> DataFrame:
-    """Add the class weights n / (2 * n_class) of the rows that are trained on."""
-    n = n0 + n1
-    return data.withColumn("weight", F.when(F.col("label") == 1, F.lit(n / (2.0 * n1))).otherwise(F.lit(n / (2.0 * n0))))
-
-
 def _training_rows(p: _Prepared, fold: int | None) -> tuple[DataFrame, dict[int, int]]:
     """The rows to train on, without a fold, with their ``_index`` in the class, and their number by class.
 
@@ -151,7 +145,7 @@ def _training_rows(p: _Prepared, fold: int | None) -> tuple[DataFrame, dict[int,
         sizes = {c: n - (n - fold + k - 1) // k for c, n in p.counts.items()}
         rows = p.data.where(number % k != fold)
         index = number - F.floor((number - fold + k - 1) / k)
-    return balanced(rows, sizes[0], sizes[1]).withColumn("_index", index.cast("long")), sizes
+    return rows.withColumn("_index", index.cast("long")), sizes
 
 
 def _fit_all(prepared: list[_Prepared], config: ForestConfig, cross_validate: bool) -> list[TrainedModel]:
@@ -192,7 +186,7 @@ def train_binary(labeled: DataFrame, key: str = "customerId", num_trees: int = 3
     """Balanced random forest; mean ROC-AUC over up to five folds.
 
     Trains only with at least ``MIN_PER_CLASS`` rows in each class. Class
-    weights are ``n / (2 * n_class)`` of the rows each fit is drawn from. Every
+    weights are ``n / (2 * n_class)`` of the rows of each fit. Every
     class is dealt evenly to the folds.
     """
     config = ForestConfig(num_trees=num_trees, max_depth=max_depth, seed=seed)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from basketry.functions.auc import exact_auc
 from basketry.operators import forests
 from basketry.operators import ml as M
+from basketry.operators import trees
 from basketry.operators.forests import ForestConfig
 from basketry.session import scratch_path
 
@@ -119,3 +120,66 @@ def test_index_outside_a_fold_counts_from_zero(spark):
         for label in (0, 1):
             got = sorted(r["_index"] for r in rows.where(F.col("label") == label).collect())
             assert got == list(range(sizes[label]))
+
+
+def test_forests_see_every_row(spark):
+    """Stripes of three neighbouring values: a sample of some thousand rows, or a few hundred thresholds, can't tell them apart."""
+    n = 9000
+    df = spark.range(n).select("id", (F.floor(F.col("id") / 3) % 2).cast("int").alias("label"), F.col("id").cast("double").alias("f0"))
+    data = M.stratified_number(df, "label", [F.col("id")], 1).withColumnRenamed("_number", "_index")
+    config = ForestConfig(num_trees=25, group_trees=10)
+    forest = forests.fit_groups(spark, {0: (data, {0: n // 2, 1: n // 2})}, ["f0"], config, weighted=True)[0]
+    assert len(forest.roots) == 25
+    right = df.withColumn("p", forests.probabilities(spark, [forest], ["f0"])[1]).where((F.col("p") > 0.5) == (F.col("label") == 1))
+    assert right.count() > 0.85 * n
+    again = forests.fit_groups(spark, {0: (data.repartition(5, "f0"), {0: n // 2, 1: n // 2})}, ["f0"], config, weighted=True)[0]
+    assert np.array_equal(again.threshold, forest.threshold) and np.array_equal(again.votes, forest.votes)
+
+
+def best_by_hand(x, y, weight, class_weight):
+    """Largest decrease of the Gini impurity over all features and thresholds."""
+    def squares(some):
+        mass = np.array([weight[some & (y == c)].sum() * w for c, w in enumerate(class_weight)])
+        return (mass ** 2).sum() / mass.sum()
+    every = np.ones(len(y), bool)
+    scores = [squares(f <= t) + squares(f > t) for f in x for t in np.unique(f)[:-1]]
+    mass = sum(weight[y == c].sum() * w for c, w in enumerate(class_weight))
+    return (max(scores) - squares(every)) / mass if scores else None
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_nodes_split_at_the_best_of_all_thresholds(classes):
+    rng = np.random.default_rng(classes)
+    n = 150
+    x = np.stack([rng.normal(size=n), rng.integers(0, 4, n).astype(float), np.full(n, 7.0)])
+    x[0, :3], x[0, 3:6] = [-0.0, 0.0, 1e300], [np.inf, -np.inf, -1e300]
+    y = rng.integers(0, classes, n).astype(np.uint8)
+    class_weight = np.arange(1.0, classes + 1)
+    nodes = trees.grow(np.stack([trees.codes(v) for v in x]), y, class_weight, [4, 9], 5, 30, 3)
+    with np.errstate(over="ignore"):
+        x = x.astype(np.float32).astype(float)
+    assert sorted(set(nodes.tree)) == [4, 9]
+    for number in (4, 9):
+        own = np.flatnonzero(nodes.tree == number)
+        weight = np.bincount(np.random.default_rng([5, number]).integers(0, n, n), minlength=n)
+        inside = {0: weight > 0}
+        for k, node in enumerate(own):
+            rows = inside[k]
+            assert nodes.stats[node].tolist() == [weight[rows & (y == c)].sum() * w for c, w in enumerate(class_weight)]
+            best = best_by_hand(x[:, rows], y[rows], weight[rows], class_weight)
+            if nodes.left[node] < 0:
+                assert best is None or np.count_nonzero(nodes.stats[node]) == 1
+                continue
+            assert nodes.gain[node] == pytest.approx(best)
+            high = x[nodes.feature[node]] > nodes.threshold[node]
+            inside[nodes.left[node]], inside[nodes.right[node]] = rows & ~high, rows & high
+        assert len(inside) == len(own)
+
+
+def test_trees_stop_at_their_depth_and_reject_missing_values():
+    x = np.arange(64.0)
+    y = (np.arange(64) % 2).astype(np.uint8)
+    nodes = trees.grow(trees.codes(x)[None], y, np.ones(2), [0], 1, 3, 1)
+    assert len(nodes.tree) <= 2 ** 4 - 1
+    with pytest.raises(ValueError):
+        trees.codes(np.array([1.0, np.nan]))
