@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketry import session as S
+from basketry.sources import adapters as A
 from basketry.sources import incremental as I
 
 SCHEMA = T.StructType().add("orderId", "long").add("periodStart", "date").add("qty", "double")
@@ -113,3 +115,64 @@ def test_period_filter_skips_folders(spark, landed):
     rows = I.read_landed(spark, landed).where(F.col("periodStart") >= F.lit(week(3)))
     assert rows.count() == 2
     assert len({f for f in rows.select("_metadata.file_path").distinct().toPandas()["file_path"]}) == 2
+
+
+def test_large_refresh_in_passes(spark, landed, monkeypatch):
+    """Passes over some of the partitions each give the rows of one, and leave no shuffle files."""
+    monkeypatch.setattr(S, "SLICE_BYTES", 700)
+    passes = []
+    rewrite = I._rewrite
+    monkeypatch.setattr(I, "_rewrite", lambda spark, t, held, some, *rest: passes.append(some) or rewrite(spark, t, held, some, *rest))
+    rows = [(k, [0, 1, 2, 3, None][k % 5], float(k)) for k in range(60)]
+    put(spark, landed, "a", rows)
+    put(spark, landed, "b", rows)
+    assert I.refresh(spark, landed) == I.Refresh(2, 5)
+    check(spark, landed)
+    assert len(passes) > 2 and sorted(sum(passes, []), key=str) == sorted({str(week(k)) if k is not None else None for k in (0, 1, 2, 3, None)}, key=str)
+    del passes[:]
+    before = state(landed)
+    put(spark, landed, "c", [(100, 2, 1.0), (101, None, 2.0)])
+    assert I.refresh(spark, landed) == I.Refresh(1, 2)
+    check(spark, landed)
+    assert len(passes) < 4 and {k for k, v in before.items() if state(landed)[k] == v} == \
+        {f"periodStart={week(k)}" for k in (0, 1, 3)}
+
+
+def shuffle_files(spark):
+    return {str(f) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+            for f in pathlib.Path(d).rglob("shuffle_*.data")}
+
+
+def test_a_write_leaves_no_shuffle_files(spark, tmp_path):
+    settings = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")}
+    before = shuffle_files(spark)
+    with S.short_lived_shuffles(spark, 3):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(-(-int(settings["spark.sql.shuffle.partitions"]) // 3))
+        spark.range(2000).groupBy((F.col("id") % 100).alias("k")).count().write.parquet(str(tmp_path / "out"))
+    assert shuffle_files(spark) <= before
+    assert {k: spark.conf.get(k, None) for k in settings} == settings
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 100
+
+
+def test_order_items_in_shares(spark, monkeypatch):
+    """Every row is in exactly one share, keys that repeat, are null or have no partner included."""
+    tables = {
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                     "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+                     [(k, 1, 1, n, 1.0, 2.5, 0.0, 0.0, "N", "F", None) for k in [*range(30), 3, None, 99] for n in (1, 2, 2)]),
+        "orders": ("o_orderkey int, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp",
+                   [(k, 1, "F", 5.0, dt.datetime(2024, 1, 5)) for k in [*range(5, 40), 7, None]]),
+        "customer": ("c_custkey long, c_name string, c_nationkey int, c_mktsegment string", [(1, "c", 1, "M")]),
+        "nation": ("n_nationkey int, n_name string", [(1, "n")]),
+        "part": ("p_partkey long, p_name string", [(1, "p")]),
+        "supplier": ("s_suppkey long, s_name string", [(1, "s")]),
+    }
+    monkeypatch.setattr(A, "read_table", lambda spark, d, name: spark.createDataFrame(tables[name][1], tables[name][0]))
+    monkeypatch.setattr(A, "_dimension", lambda spark, d, name, *cols: spark.createDataFrame(tables[name][1], tables[name][0]).select(*cols))
+    whole = sorted(map(str, A.order_items(spark, "x").collect()))
+    shares = [list(map(str, A.order_items(spark, "x", (k, 3)).collect())) for k in range(3)]
+    assert min(map(len, shares)) > 0 and sorted(sum(shares, [])) == whole
+    monkeypatch.setattr(A, "slices", lambda size, shuffles: 3)
+    monkeypatch.setattr(A, "star_state", lambda spark, d: ())
+    landed_rows = A.landed(spark, "test-shares", "x", A.order_items, cluster_by=["periodStart", "orderId"], shares=True)
+    assert sorted(map(str, landed_rows.collect())) == whole
